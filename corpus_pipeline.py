@@ -1,15 +1,69 @@
-"""The training-data pipeline: five stages over documents."""
+"""The training-data pipeline: language ID, near-dedup, decontamination, secret scan, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before kept; what it
+decides takes effect on its result. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.llm import bpe, decontamination, language_id, near_dup, secret_scan
+from vellum.llm.common import scratch_path
+from vellum.llm.queries import tokenizer_path
+
+LEAST_SCORE = 0.5
+SHINGLE = 5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, null texts and those whose best language isn't likelier than all others together go."""
+    found = language_id.learn_and_predict(docs)
+    return found.filter((F.col("lang_pred") != language_id.NONE) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document of smallest doc_id stays, once."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dup.NO_ID))
+    kept = near_dup.near_duplicates(docs, SHINGLE).filter("kept").select(key.alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words one in twenty is inside passages of the benchmark go."""
+    found = decontamination.find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(~decontamination.contaminated()).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets inside texts are replaced by a mark; all documents stay."""
+    found = secret_scan.redact(secret_scan.find_secrets(docs)).withColumn("n_chars", F.length("text").cast("long"))
+    return found.select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with n_tokens and ids (little-endian unsigned 32-bit)."""
+    return bpe.encode_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("bpe", encode),
+]
 
-STAGES: list = []
-ORACLE_SQL: str | None = None
+#: No SQL: languages are learnt and ids come from a tokenizer; tests/llm hold the result against brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
