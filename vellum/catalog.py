@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.plans import store_queries, text_queries
+
+PARTS = (text_queries, store_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Each query by name; a query takes (spark, folder of tables)."""
+    return {k: v for part in PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL by name, for the queries that SQL can express."""
+    return {k: v for part in PARTS for k, v in part.SQL.items()}
