@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import paper_queries, store_queries, stream_queries, text_queries
+from vellum.plans import paper_queries, store_queries, stream_queries, structure_queries, text_queries
 
-PARTS = (text_queries, paper_queries, store_queries, stream_queries)
+PARTS = (text_queries, paper_queries, structure_queries, store_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
