@@ -1,10 +1,11 @@
 """URL filters: host and path rules first, then path-template trees judged by labelled purity.
 
 Variable segments of a path (numbers, hexadecimal, segments with digits, very long ones) become
-wildcards. The templates of a host form a tree. From the root down, a branch whose share of good
-labels doesn't differ significantly from its siblings' is merged with the other such branches into
-one wildcard; a branch that differs stays. The labels that then fall on a template give its purity,
-smoothed towards the share over all labels, and templates of low purity are rejected.
+wildcards. The templates of a host form a tree. From the root down, branches whose shares of good
+labels don't differ significantly from those of their siblings merge into one wildcard (``*``), and so
+do those that lie significantly above (``*+``); a branch that lies significantly below stays. The labels
+that then fall on a template give its purity, smoothed towards the share over all labels, and templates
+of low purity are rejected.
 
 Pages are first counted by host and generalised path, so that a host with a third of all pages is a
 few rows in the tree. Everything here is built-in column expressions.
@@ -71,10 +72,10 @@ def template_purity(counted: DataFrame, depth: int = DEPTH, smoothing: float = S
         nodes = rows.filter("seg is not null").groupBy("host", "prefix", "seg").agg(F.sum("labelled").alias("m"), F.sum("good").alias("g"))
         parents = nodes.groupBy("host", "prefix").agg(F.sum("m").alias("pm"), F.sum("g").alias("pg"))
         p = (F.col("pg") - F.col("g") + smoothing * prior) / (F.col("pm") - F.col("m") + smoothing)
-        z = F.abs(F.col("g") - F.col("m") * p) / F.sqrt(F.col("m") * p * (1 - p) + 1e-9)
-        kept = nodes.join(parents, ["host", "prefix"]).filter((F.col("m") > 0) & (F.col("pm") > F.col("m")) & (z > different)).select("host", "prefix", "seg", F.lit(True).alias("own"))
+        z = (F.col("g") - F.col("m") * p) / F.sqrt(F.col("m") * p * (1 - p) + 1e-9)
+        kept = nodes.join(parents, ["host", "prefix"]).filter((F.col("m") > 0) & (F.col("pm") > F.col("m")) & (F.abs(z) > different)).select("host", "prefix", "seg", F.when(z > 0, "*+").otherwise(F.col("seg")).alias("own"))
         rows = rows.join(kept, ["host", "prefix", "seg"], "left")
-        step = F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.when(F.col("own"), F.col("seg")).otherwise("*")))
+        step = F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.coalesce("own", F.lit("*"))))
         rows = materialise(rows.select("host", "segments", "labelled", "good", step.alias("prefix")), "templates")
     purity = rows.groupBy("host", "prefix").agg(((F.sum("good") + smoothing * prior) / (F.sum("labelled") + smoothing)).alias("purity"))
     return rows.join(purity, ["host", "prefix"]).select("host", "segments", F.concat("host", "prefix").alias("template"), "purity")
