@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ from vellum.llm.common import map_arrow, shuffle_partitions
 
 WINDOW = 50
 GRAM = 24
-BLOCK_ANCHORS = 2_000_000
+BLOCK_ANCHORS = 1_000_000
 BLOCK_DOCS = 60_000
+BLOCK_FRAGMENTS = 400_000
 BATCH_WINDOWS = 1 << 16
 SEGMENT = (1 << 20) - 4096
 _LEAST = -(1 << 63)
@@ -86,6 +88,13 @@ COVER = "key long, ranges binary"
 _COVER = pa.schema([("key", pa.int64()), ("ranges", pa.binary())])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -129,7 +138,7 @@ def _ask(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, found, n = [], [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             for key, text in zip(_column(batch, "key"), _column(batch, "text"), strict=True):
                 h = np.unique(anchors((text or "").encode())[0])
                 if len(h):
@@ -200,8 +209,9 @@ def _cut(shards: int):
     """Fragments of shared anchors, by shard; equal fragments of a batch are sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sent: dict[int, tuple[dict[bytes, int], list[int], list[int], list[int]]] = {}
+        sent: dict[int, tuple[dict[bytes, int], list[int], list[int], list[int]]] = {}
+        n = 0
+        for batch in _slices(batches):
             for key, text, told in zip(_column(batch, "key"), _column(batch, "text"), _column(batch, "told"), strict=True):
                 if not told or not text:
                     continue
@@ -213,13 +223,22 @@ def _cut(shards: int):
                     number.append(texts.setdefault(data[a : b + WINDOW], len(texts)))
                     keys.append(key)
                     at.append(a)
-            out: list[list] = [[], [], []]
-            for s, (texts, number, keys, at) in sent.items():
-                head = np.array([len(texts), len(number)], "<u4").tobytes()
-                body = b"".join([head, np.array(keys, "<i8").tobytes(), np.array(at, "<u8").tobytes(), np.array(number, "<u4").tobytes(), np.array([len(x) for x in texts], "<u4").tobytes(), *texts])
-                for column, value in zip(out, (s, 0, body), strict=True):
-                    column.append(value)
-            yield _rows(_PACKED, out)
+                n += int(wanted.sum())
+            if n >= BLOCK_FRAGMENTS:
+                yield pack(sent)
+                sent, n = {}, 0
+        if sent:
+            yield pack(sent)
+
+    def pack(sent: dict) -> pa.RecordBatch:
+        out: list[list] = [[], [], []]
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for s, (texts, number, keys, at) in sent.items():
+            head = np.array([len(texts), len(number)], "<u4").tobytes()
+            body = b"".join([head, np.array(keys, "<i8").tobytes(), np.array(at, "<u4").tobytes(), np.array(number, "<u4").tobytes(), np.array([len(x) for x in texts], "<u4").tobytes(), *texts])
+            for column, value in zip(out, (s, 0, squeeze(body)), strict=True):
+                column.append(value)
+        return _rows(_PACKED, out)
 
     return run
 
@@ -264,13 +283,13 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts: dict[bytes, int] = {}
     number, keys, at = [], [], []
     for batch in batches:
-        for body in _column(batch, "payload"):
+        for body in map(zstandard.ZstdDecompressor().decompress, _column(batch, "payload")):
             n_texts, n = (int(x) for x in np.frombuffer(body, "<u4", 2))
             place = 8
             keys.append(np.frombuffer(body, "<i8", n, place))
             place += 8 * n
-            at.append(np.frombuffer(body, "<u8", n, place).astype(np.int64))
-            place += 8 * n
+            at.append(np.frombuffer(body, "<u4", n, place).astype(np.int64))
+            place += 4 * n
             local = np.frombuffer(body, "<u4", n, place)
             place += 4 * n
             size = np.frombuffer(body, "<u4", n_texts, place)
@@ -353,7 +372,7 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
     answers = map_arrow(asked.repartition(parts, "key"), _answer, ANSWER)
     told = answers.groupBy("key").agg(F.collect_list("anchors").alias("told"))
     cut = map_arrow(texts.join(told, "key", "left"), _cut(shards), PACKED)
-    found = map_arrow(cut.repartition(parts, "key"), _match, COVER)
+    found = map_arrow(cut.repartition(shards, "key"), _match, COVER)  # a task holds its shards' windows
     covers = found.groupBy("key").agg(F.collect_list("ranges").alias("covers"))
     return texts.join(covers, "key", "left")
 
@@ -366,7 +385,7 @@ def report(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list] = [[], [], [], [], []]
             for key, text, covers in zip(_column(batch, "key"), _column(batch, "text"), _column(batch, "covers"), strict=True):
                 data, runs = (text or "").encode(), merge_ranges(covers or [])
