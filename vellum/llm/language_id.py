@@ -12,6 +12,7 @@ n-grams of each language, so the size that is sent to executors doesn't grow wit
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import map_columns
+from vellum.llm.common import map_columns, materialise
 
 DOCS_EACH = 3000
-WORDS_EACH = 40_000
-GRAMS_EACH = 20_000
+WORDS_EACH = 20_000
+GRAMS_EACH = 6_000
 LONGEST = 4
 NONE = "und"
 _LETTERS = regex.compile(r"\p{L}+")
@@ -116,7 +117,7 @@ class Model:
 def train(labelled: DataFrame, docs_each: int = DOCS_EACH, words_each: int = WORDS_EACH, grams_each: int = GRAMS_EACH) -> tuple[list[str], dict, dict]:
     """(languages, word counts, n-gram counts) learnt from rows of (doc_id, text, lang); null texts and langs are left out."""
     counts = _counts(labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), docs_each)
-    counts = counts.checkpoint() if labelled.sparkSession.sparkContext.getCheckpointDir() else counts
+    counts = materialise(counts, "counts")
     words = _top(counts.filter("length(word) <= 40"), "word", words_each)
     grams: dict[str, dict[str, int]] = {}
     marked = counts.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("word"))
@@ -147,8 +148,6 @@ def predict(docs: DataFrame, model: tuple[list[str], dict, dict]) -> DataFrame:
     A text that is null or has no letter is ``und`` with score 0. Rows repeat as they do in ``docs``;
     columns of the same names are replaced.
     """
-    import uuid
-
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
