@@ -12,6 +12,7 @@ from vellum.functions.text import ranked, strip, words
 
 MARKDOWN = r"^(#{1,6})\s+(.+)$"
 NUMBER = r"^\d+(?:\.\d+)*\s+"
+MOST_CLASSES = 1000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -132,12 +133,16 @@ def section_features(sections: DataFrame) -> DataFrame:
 
 def section_classifier(features: DataFrame) -> DataFrame:
     """doc_id, section_idx, type, posterior: Gaussian naive Bayes fitted on the labelled rows (population variance + 1e-9),
-    and the probability that it gives to each row's own type. Classes are few rows, joined back."""
+    and the probability that it gives to each row's own type. The model is a row for each of at most 1,000 types."""
     names = ("n_keywords", "n_words", "n_sentences", "upper_share", "n_citations")
     stats = features.groupBy("type").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names], *[(F.var_pop(c) + 1e-9).alias(f"v_{c}") for c in names])
     total = features.count()
-    classes = stats.withColumnRenamed("type", "class").withColumn("one", F.lit(1))
-    rows = features.withColumn("one", F.lit(1)).join(F.broadcast(classes) if len(SECTION_HEADERS) < 100 else classes, "one")
+    known = stats.withColumnRenamed("type", "class")
+    if known.count() > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} section types")
+    fields = known.columns
+    classes = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in fields]) for r in known.collect()])  # a struct for each type
+    rows = features.select("*", F.explode(classes).alias("k")).select(*features.columns, "k.*")
     log = F.log(F.col("n") / total)
     for c in names:
         log = log - 0.5 * F.log(2 * 3.141592653589793 * F.col(f"v_{c}")) - (F.col(c) - F.col(f"m_{c}")) * (F.col(c) - F.col(f"m_{c}")) / (2 * F.col(f"v_{c}"))
