@@ -33,7 +33,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the split pattern of the byte-level vocabulary, with white space spelled out.
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 CACHE_CHARS = 64
 
 
@@ -83,10 +83,7 @@ class Vocabulary:
         lengths = np.array([len(by_id.get(i, b"")) for i in range(max(by_id) + 1)], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.blob = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(len(lengths))), np.uint8)
-        self._pieces: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {}
-        self._next: dict[str, bytes] = {}
-        self._loose: dict[str, bytes] = {}
+        self._chunks = ChunkEncoder(lambda chunks: [self._encode_chunk(c) for c in chunks])
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging by rank leaves token ``a`` next to token ``b``: no merge across their border comes first."""
@@ -148,24 +145,16 @@ class Vocabulary:
         return out
 
     def _encode_chunk(self, chunk: str) -> bytes:
-        ids, pieces, out = self.ids, self._pieces, []
+        ids, out = self.ids, []
         for piece in PIECES.findall(chunk):
-            known = pieces.get(piece)
-            if known is None:
-                known = b"".join([ids[r] for r in self.encode_piece(piece.encode("utf-8").decode("latin-1"))])
-                if len(piece) <= CACHE_CHARS:
-                    keep(pieces, {piece: known})
-            out.append(known)
+            out += [ids[r] for r in self.encode_piece(piece.encode("utf-8").decode("latin-1"))]
         return b"".join(out)
 
-    def _plain(self, text: str) -> bytes:
-        return encode_by_chunks(text, self._first, self._next, self._loose, lambda chunks: [self._encode_chunk(c) for c in chunks])
-
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if self._cut_special is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._plain(x) for x in self._cut_special.split(text))
+            return self._chunks.ids(text)
+        return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._chunks.ids(x) for x in self._cut_special.split(text))
 
     def decode(self, ids: bytes) -> str:
         """Text of ids by the offset table; broken UTF-8 becomes U+FFFD."""
@@ -177,43 +166,58 @@ class Vocabulary:
         return self.blob[at].tobytes().decode("utf-8", "replace")
 
 
-def encode_by_chunks(text: str, first: dict, following: dict, loose: dict, encode) -> bytes:
-    """Ids of a text from the kept ids of its chunks; ``encode`` is given the chunks that aren't known.
+class Kept:
+    """A table of kept ids in two generations: a full young one becomes the old one, and what is used again moves back."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        got = list(map(self.young.get, keys))
+        if None in got:
+            for i, g in enumerate(got):
+                if g is None and (g := self.old.get(keys[i])) is not None:
+                    got[i] = self.young[keys[i]] = g
+        return got
+
+    def add(self, new: dict[str, bytes]) -> None:
+        self.young.update((k, v) for k, v in new.items() if len(k) <= CACHE_CHARS)
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
 
-    Chunks begin at single spaces between visible characters. ``first`` has chunks at a text's
-    start, ``following`` those after a space (without it), ``loose`` those of other texts.
+
+class ChunkEncoder:
+    """Ids of texts from the ids of their chunks, of which each is encoded once and kept.
+
+    Chunks begin at single spaces between visible characters. ``encode`` gives the ids (bytes) of a list of chunks.
     """
-    if not text:
-        return b""
-    parts = text.split(" ")
-    got = list(map(following.get, parts))
-    got[0] = first.get(parts[0])
-    if None not in got:
-        return b"".join(got)
-    missing = [i for i, g in enumerate(got) if g is None]
-    if any(not parts[i] or parts[i][0].isspace() or parts[i][-1].isspace() for i in missing):
-        parts = _CUT.split(text)
-        parts[1:] = [f" {p}" for p in parts[1:]]
-        got = list(map(loose.get, parts))
+
+    def __init__(self, encode):
+        self.encode = encode
+        self.first, self.following, self.loose = Kept(), Kept(), Kept()  # at a text's start, after a space (without it), of other texts
+
+    def ids(self, text: str) -> bytes:
+        if not text:
+            return b""
+        parts = text.split(" ")
+        got = self.first.find(parts[:1]) + self.following.find(parts[1:])
+        if None not in got:
+            return b"".join(got)
+        missing = [i for i, g in enumerate(got) if g is None]
+        if any(not parts[i] or parts[i][0].isspace() or parts[i][-1].isspace() for i in missing):
+            parts = _CUT.split(text)
+            parts[1:] = [f" {p}" for p in parts[1:]]
+            return self._fill(parts, self.loose.find(parts), self.loose, "")
+        if got[0] is None:
+            got[0] = self._fill(parts[:1], [None], self.first, "")
+        return got[0] + self._fill(parts[1:], got[1:], self.following, " ")
+
+    def _fill(self, parts: list[str], got: list[bytes | None], table: Kept, before: str) -> bytes:
         new = list(dict.fromkeys(p for p, g in zip(parts, got, strict=True) if g is None))
-        ids = dict(zip(new, encode(new), strict=True))
-        keep(loose, {k: v for k, v in ids.items() if len(k) <= CACHE_CHARS})
+        ids = dict(zip(new, self.encode([before + p for p in new]), strict=True)) if new else {}
+        table.add(ids)
         return b"".join([ids[p] if g is None else g for p, g in zip(parts, got, strict=True)])
-    if got[0] is None:
-        got[0] = ids = encode(parts[:1])[0]
-        if len(parts[0]) <= CACHE_CHARS:
-            keep(first, {parts[0]: ids})
-    new = list(dict.fromkeys(parts[i] for i in missing if i))
-    ids = dict(zip(new, encode([f" {p}" for p in new]), strict=True))
-    keep(following, {k: v for k, v in ids.items() if len(k) <= CACHE_CHARS})
-    return b"".join([ids[p] if g is None else g for p, g in zip(parts, got, strict=True)])
-
-
-def keep(table: dict, new: dict) -> None:
-    """Add to a table of kept ids; a full one starts again."""
-    if len(table) + len(new) > CACHE_ENTRIES:
-        table.clear()
-    table.update(new)
 
 
 _loaded: dict[str, Vocabulary] = {}

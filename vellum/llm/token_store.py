@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.bpe import encode_by_chunks
+from vellum.llm.bpe import ChunkEncoder
 from vellum.llm.common import as_documents, map_arrow, materialise, scratch_path
 
 MAGIC = b"VTOK\x01"
@@ -46,6 +47,8 @@ class LibraryEncoder:
     the byte-level kind whose pattern always cuts there; texts of other kinds are encoded whole."""
 
     def __init__(self, path: str):
+        # Each task has a core of its own; the library's thread pool would only contend with other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -57,14 +60,14 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.tables: tuple[dict, dict, dict] = ({}, {}, {})
+        self.chunks = ChunkEncoder(self._encode)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(i)}I", *i) for i in (x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return encode_by_chunks(text, *self.tables, self._encode) if self.by_chunks else self._encode([text])[0]
+        return self.chunks.ids(text) if self.by_chunks else self._encode([text])[0]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -86,9 +89,10 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> bytes:
-    """A dictionary from at most ``sample_docs`` documents (those of lowest hash), ``sample_chars`` of each;
+    """A dictionary from about ``sample_docs`` documents (at most twice as many), drawn by hash, ``sample_chars`` of each;
     empty if there is too little to train on. It changes the size of files, never their content."""
-    sample = docs.filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id", "text")).select(F.substring("text", 1, sample_chars).alias("text")).limit(sample_docs).collect()
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, docs.count()))) < sample_docs
+    sample = docs.filter(drawn).select(F.substring("text", 1, sample_chars).alias("text")).limit(2 * sample_docs).collect()
     e = encoder(tokenizer_path)
     ids = [np.frombuffer(e.encode(r.text), "<u4").astype(f"<u{e.width}").tobytes() for r in sample]
     try:
