@@ -10,7 +10,7 @@ windows have equal anchors, so all places of a window meet in the task that has
 3. In a shard, fragments are taken in ascending doc_id order. Each batch gets a suffix array (its windows
    in sorted order), is merge-scanned against the existing levels for windows of smaller documents, and
    becomes a level; levels of equal size merge, so their sizes grow geometrically.
-4. Covered ranges return to their documents.
+4. Covered ranges return to their documents. Answers and ranges travel in bundles of many documents.
 
 The exchange of texts by document is the same in steps 2 and 4 and is made once.
 """
@@ -82,10 +82,10 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
 
 PACKED = "key long, kind int, payload binary"
 _PACKED = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
-ANSWER = "key long, anchors binary"
-_ANSWER = pa.schema([("key", pa.int64()), ("anchors", pa.binary())])
-COVER = "key long, ranges binary"
-_COVER = pa.schema([("key", pa.int64()), ("ranges", pa.binary())])
+BUNDLE = "key long, payload binary"
+_BUNDLE = pa.schema([("key", pa.int64()), ("payload", pa.binary())])
+VALUES = "key long, values binary"
+_VALUES = pa.schema([("key", pa.int64()), ("values", pa.binary())])
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ def _rows(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _ask(shards: int):
+def _ask(shards: int, buckets: int):
     """Anchors of each block of documents: one entry for each anchor to its shard (kind 0), and what is shared within the block (kind 1)."""
 
     def flush(keys: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
@@ -129,11 +129,10 @@ def _ask(shards: int):
                 column.append(value)
         inside = np.repeat(shared, size)
         doc, h = doc[inside], h[inside]
-        order = np.argsort(doc, kind="stable")
-        doc, low = doc[order], (h[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
-        for d, part in _groups(doc, low):
-            for column, value in zip(out, (keys[d], 1, part.tobytes()), strict=True):
-                column.append(value)
+        if len(doc):
+            for b, body in zip(*_bundles(all_keys[doc], (h & np.uint64(0xFFFFFFFF)).astype("<u4"), buckets), strict=True):
+                for column, value in zip(out, (b, 1, body), strict=True):
+                    column.append(value)
         return _rows(_PACKED, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +153,36 @@ def _ask(shards: int):
     return run
 
 
+def _bundles(keys: np.ndarray, values: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Values (a row of unsigned 32-bit integers for each key) of many documents as one payload for each bucket of documents."""
+    bucket = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+    order = np.lexsort((keys, bucket))
+    keys, values, bucket = keys[order], values[order].reshape(len(keys), -1), bucket[order]
+    out: tuple[list[int], list[bytes]] = ([], [])
+    for b, at in _groups(bucket, np.arange(len(keys))):
+        part, rows = keys[at], values[at]
+        start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        size = np.diff(np.concatenate([start, [len(part)]])) * rows.shape[1]
+        out[0].append(b)
+        out[1].append(np.array([len(start)], "<u4").tobytes() + part[start].astype("<i8").tobytes() + size.astype("<u4").tobytes() + rows.astype("<u4").tobytes())
+    return out
+
+
+def _unbundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document with all its values, from the payloads of whole buckets."""
+    found: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for body in _column(batch, "payload"):
+            n = int(np.frombuffer(body, "<u4", 1)[0])
+            size = np.frombuffer(body, "<u4", n, 4 + 8 * n)
+            at = 4 + 12 * n
+            for key, m in zip(np.frombuffer(body, "<i8", n, 4).tolist(), (size * 4).tolist(), strict=True):
+                found.setdefault(key, []).append(body[at : at + m])
+                at += m
+    if found:
+        yield _rows(_VALUES, [list(found), [b"".join(x) for x in found.values()]])
+
+
 def _groups(by: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Runs of equal ``by``, which is sorted."""
     if len(by):
@@ -162,47 +191,47 @@ def _groups(by: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarra
             yield int(by[a]), values[a:b]
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(buckets: int):
     """Low bits of each document's shared anchors, from the entries of whole shards."""
-    h, entry_key, alone = [], [], []
-    for batch in batches:
-        direct: list[list] = [[], []]
-        for key, kind, body in zip(_column(batch, "key"), _column(batch, "kind"), _column(batch, "payload"), strict=True):
-            if kind == 1:
-                direct[0].append(key)
-                direct[1].append(body)
-                continue
-            n_docs, n = np.frombuffer(body, "<u4", 2)
-            at = 8
-            docs = np.frombuffer(body, "<i8", n_docs, at)
-            at += 8 * int(n_docs)
-            number = np.frombuffer(body, "<u2", n, at)
-            at += 2 * int(n)
-            low = np.frombuffer(body, "<u4", n, at).astype(np.uint64)
-            high = np.frombuffer(body, "u1", n, at + 4 * int(n)).astype(np.uint64)
-            h.append(np.uint64(key) << np.uint64(40) ^ high << np.uint64(32) ^ low)
-            single = number != _SHARED
-            alone.append(single)
-            keys = np.zeros(int(n), np.int64)
-            keys[single] = docs[number[single]]
-            entry_key.append(keys)
-        if direct[0]:
-            yield _rows(_ANSWER, direct)
-    if not h:
-        return
-    h, keys, alone = np.concatenate(h), np.concatenate(entry_key), np.concatenate(alone)
-    order = np.argsort(h, kind="stable")
-    h, keys, alone = h[order], keys[order], alone[order]
-    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    size = np.diff(np.concatenate([start, [len(h)]]))
-    told = np.repeat(size > 1, size) & alone
-    keys, low = keys[told], (h[told] & np.uint64(0xFFFFFFFF)).astype("<u4")
-    order = np.argsort(keys, kind="stable")
-    out: list[list] = [[], []]
-    for key, part in _groups(keys[order], low[order]):
-        out[0].append(key)
-        out[1].append(part.tobytes())
-    yield _rows(_ANSWER, out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, entry_key, alone = [], [], []
+        for batch in batches:
+            direct: list[list] = [[], []]
+            for key, kind, body in zip(_column(batch, "key"), _column(batch, "kind"), _column(batch, "payload"), strict=True):
+                if kind == 1:
+                    direct[0].append(key)
+                    direct[1].append(body)
+                    continue
+                n_docs, n = np.frombuffer(body, "<u4", 2)
+                at = 8
+                docs = np.frombuffer(body, "<i8", n_docs, at)
+                at += 8 * int(n_docs)
+                number = np.frombuffer(body, "<u2", n, at)
+                at += 2 * int(n)
+                low = np.frombuffer(body, "<u4", n, at).astype(np.uint64)
+                high = np.frombuffer(body, "u1", n, at + 4 * int(n)).astype(np.uint64)
+                h.append(np.uint64(key) << np.uint64(40) ^ high << np.uint64(32) ^ low)
+                single = number != _SHARED
+                alone.append(single)
+                keys = np.zeros(int(n), np.int64)
+                keys[single] = docs[number[single]]
+                entry_key.append(keys)
+            if direct[0]:
+                yield _rows(_BUNDLE, direct)
+        if not h:
+            return
+        h, keys, alone = np.concatenate(h), np.concatenate(entry_key), np.concatenate(alone)
+        order = np.argsort(h, kind="stable")
+        h, keys, alone = h[order], keys[order], alone[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        size = np.diff(np.concatenate([start, [len(h)]]))
+        told = np.repeat(size > 1, size) & alone
+        keys, low = keys[told], (h[told] & np.uint64(0xFFFFFFFF)).astype("<u4")
+        if len(keys):
+            yield _rows(_BUNDLE, list(_bundles(keys, low, buckets)))
+
+    return run
 
 
 def _cut(shards: int):
@@ -217,7 +246,7 @@ def _cut(shards: int):
                     continue
                 data = text.encode()
                 h, first, last = anchors(data)
-                wanted = np.isin((h & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.frombuffer(b"".join(told), "<u4"))
+                wanted = np.isin((h & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.frombuffer(told, "<u4"))
                 for s, a, b in zip(_shard(h[wanted], shards).tolist(), first[wanted].tolist(), last[wanted].tolist(), strict=True):
                     texts, number, keys, at = sent.setdefault(s, ({}, [], [], []))
                     number.append(texts.setdefault(data[a : b + WINDOW], len(texts)))
@@ -278,80 +307,80 @@ def least_by_key(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[start], np.minimum.reduceat(sorted_docs, start), place
 
 
-def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match(buckets: int):
     """Ranges of each document that are covered by windows of smaller documents."""
-    texts: dict[bytes, int] = {}
-    number, keys, at = [], [], []
-    for batch in batches:
-        for body in map(zstandard.ZstdDecompressor().decompress, _column(batch, "payload")):
-            n_texts, n = (int(x) for x in np.frombuffer(body, "<u4", 2))
-            place = 8
-            keys.append(np.frombuffer(body, "<i8", n, place))
-            place += 8 * n
-            at.append(np.frombuffer(body, "<u4", n, place).astype(np.int64))
-            place += 4 * n
-            local = np.frombuffer(body, "<u4", n, place)
-            place += 4 * n
-            size = np.frombuffer(body, "<u4", n_texts, place)
-            place += 4 * n_texts
-            known = np.empty(n_texts, np.int64)
-            for i, m in enumerate(size.tolist()):
-                known[i] = texts.setdefault(body[place : place + m], len(texts))
-                place += m
-            number.append(known[local])
-    if not texts:
-        return
-    number, keys, at = np.concatenate(number), np.concatenate(keys), np.concatenate(at)
-    fragments = list(texts)
-    del texts
-    size = np.array([len(x) for x in fragments])
-    least = np.full(len(fragments), np.iinfo(np.int64).max)
-    np.minimum.at(least, number, keys)
-    later = keys > least[number]  # the same fragment is in a smaller document
-    doc, start, end = [keys[later]], [at[later]], [at[later] + size[number[later]]]
-    own = np.flatnonzero(~later)
-    own = own[np.argsort(number[own], kind="stable")]
-    bounds = np.searchsorted(number[own], np.arange(len(fragments) + 1))
-    levels, order, i = Levels(), np.argsort(least, kind="stable"), 0
-    windows = np.cumsum(size[order] - WINDOW + 1)
-    while i < len(order):
-        j = max(i + 1, int(np.searchsorted(windows, (windows[i - 1] if i else 0) + BATCH_WINDOWS, "right")))
-        batch = order[i:j]
-        data = np.frombuffer(b"".join([fragments[f] for f in batch]), np.uint8)
-        n = size[batch] - WINDOW + 1
-        base = np.concatenate([[0], np.cumsum(size[batch])[:-1]])
-        offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        window = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[np.repeat(base, n) + offset]).view(f"S{WINDOW}").ravel()
-        owner = np.repeat(batch, n)
-        distinct, docs, place = least_by_key(window, least[owner])
-        earlier = np.minimum(levels.scan(distinct), docs)
-        hit = np.flatnonzero(earlier[place] < least[owner])
-        levels.add(distinct, docs)
-        if len(hit):
-            f, o = owner[hit], offset[hit]
-            new = np.concatenate([[True], (f[1:] != f[:-1]) | (o[1:] != o[:-1] + 1)])
-            a = np.flatnonzero(new)
-            b = np.concatenate([a[1:], [len(hit)]]) - 1
-            times = bounds[f[a] + 1] - bounds[f[a]]
-            which = own[np.repeat(bounds[f[a]], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
-            doc.append(keys[which])
-            start.append(at[which] + np.repeat(o[a], times))
-            end.append(at[which] + np.repeat(o[b], times) + WINDOW)
-        i = j
-    doc, ranges = np.concatenate(doc), np.stack([np.concatenate(start), np.concatenate(end)], axis=1).astype("<u4")
-    order = np.argsort(doc, kind="stable")
-    out: list[list] = [[], []]
-    for key, part in _groups(doc[order], ranges[order]):
-        out[0].append(key)
-        out[1].append(part.tobytes())
-    yield _rows(_COVER, out)
-
-
-def merge_ranges(parts: list[bytes]) -> list[tuple[int, int]]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[bytes, int] = {}
+        number, keys, at = [], [], []
+        for batch in batches:
+            for body in map(zstandard.ZstdDecompressor().decompress, _column(batch, "payload")):
+                n_texts, n = (int(x) for x in np.frombuffer(body, "<u4", 2))
+                place = 8
+                keys.append(np.frombuffer(body, "<i8", n, place))
+                place += 8 * n
+                at.append(np.frombuffer(body, "<u4", n, place).astype(np.int64))
+                place += 4 * n
+                local = np.frombuffer(body, "<u4", n, place)
+                place += 4 * n
+                size = np.frombuffer(body, "<u4", n_texts, place)
+                place += 4 * n_texts
+                known = np.empty(n_texts, np.int64)
+                for i, m in enumerate(size.tolist()):
+                    known[i] = texts.setdefault(body[place : place + m], len(texts))
+                    place += m
+                number.append(known[local])
+        if not texts:
+            return
+        number, keys, at = np.concatenate(number), np.concatenate(keys), np.concatenate(at)
+        fragments = list(texts)
+        del texts
+        size = np.array([len(x) for x in fragments])
+        least = np.full(len(fragments), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, keys)
+        later = keys > least[number]  # the same fragment is in a smaller document
+        doc, start, end = [keys[later]], [at[later]], [at[later] + size[number[later]]]
+        own = np.flatnonzero(~later)
+        own = own[np.argsort(number[own], kind="stable")]
+        bounds = np.searchsorted(number[own], np.arange(len(fragments) + 1))
+        levels, order, i = Levels(), np.argsort(least, kind="stable"), 0
+        windows = np.cumsum(size[order] - WINDOW + 1)
+        while i < len(order):
+            j = max(i + 1, int(np.searchsorted(windows, (windows[i - 1] if i else 0) + BATCH_WINDOWS, "right")))
+            batch = order[i:j]
+            data = np.frombuffer(b"".join([fragments[f] for f in batch]), np.uint8)
+            n = size[batch] - WINDOW + 1
+            base = np.concatenate([[0], np.cumsum(size[batch])[:-1]])
+            offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            window = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, WINDOW)[np.repeat(base, n) + offset]).view(f"S{WINDOW}").ravel()
+            owner = np.repeat(batch, n)
+            distinct, docs, place = least_by_key(window, least[owner])
+            earlier = np.minimum(levels.scan(distinct), docs)
+            hit = np.flatnonzero(earlier[place] < least[owner])
+            levels.add(distinct, docs)
+            if len(hit):
+                f, o = owner[hit], offset[hit]
+                new = np.concatenate([[True], (f[1:] != f[:-1]) | (o[1:] != o[:-1] + 1)])
+                a = np.flatnonzero(new)
+                b = np.concatenate([a[1:], [len(hit)]]) - 1
+                times = bounds[f[a] + 1] - bounds[f[a]]
+                which = own[np.repeat(bounds[f[a]], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
+                doc.append(keys[which])
+                start.append(at[which] + np.repeat(o[a], times))
+                end.append(at[which] + np.repeat(o[b], times) + WINDOW)
+            i = j
+        doc, ranges = np.concatenate(doc), np.stack([np.concatenate(start), np.concatenate(end)], axis=1).astype("<u4")
+        if len(doc):
+            yield _rows(_BUNDLE, list(_bundles(doc, ranges, buckets)))
+
+    return run
+
+
+def merge_ranges(packed: bytes | None) -> list[tuple[int, int]]:
     """Maximal runs of covered bytes."""
-    if not parts:
+    if not packed:
         return []
-    r = np.frombuffer(b"".join(parts), "<u4").reshape(-1, 2).astype(np.int64)
+    r = np.frombuffer(packed, "<u4").reshape(-1, 2).astype(np.int64)
     r = r[np.argsort(r[:, 0], kind="stable")]
     end = np.maximum.accumulate(r[:, 1])
     new = np.concatenate([[True], r[1:, 0] > end[:-1]])
@@ -368,12 +397,12 @@ def covered_ranges(docs: DataFrame) -> DataFrame:
     parts = shuffle_partitions(spark)
     shards = 4 * parts
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), F.col("text").cast("string").alias("text"))
-    asked = map_arrow(texts, _ask(shards), PACKED)
-    answers = map_arrow(asked.repartition(parts, "key"), _answer, ANSWER)
-    told = answers.groupBy("key").agg(F.collect_list("anchors").alias("told"))
+    asked = map_arrow(texts, _ask(shards, parts), PACKED)
+    answers = map_arrow(asked.repartition(parts, "key"), _answer(parts), BUNDLE)
+    told = map_arrow(answers.repartition(parts, "key"), _unbundle, VALUES).withColumnRenamed("values", "told")
     cut = map_arrow(texts.join(told, "key", "left"), _cut(shards), PACKED)
-    found = map_arrow(cut.repartition(shards, "key"), _match, COVER)  # a task holds its shards' windows
-    covers = found.groupBy("key").agg(F.collect_list("ranges").alias("covers"))
+    found = map_arrow(cut.repartition(shards, "key"), _match(parts), BUNDLE)  # a task holds its shards' windows
+    covers = map_arrow(found.repartition(parts, "key"), _unbundle, VALUES).withColumnRenamed("values", "covers")
     return texts.join(covers, "key", "left")
 
 
@@ -388,7 +417,7 @@ def report(docs: DataFrame) -> DataFrame:
         for batch in _slices(batches):
             out: list[list] = [[], [], [], [], []]
             for key, text, covers in zip(_column(batch, "key"), _column(batch, "text"), _column(batch, "covers"), strict=True):
-                data, runs = (text or "").encode(), merge_ranges(covers or [])
+                data, runs = (text or "").encode(), merge_ranges(covers)
                 row = (None if key == _LEAST else key, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(remove(data, runs)).hexdigest())
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
