@@ -103,8 +103,8 @@ def test_near_duplicates_equal_brute_force(which, request):
 
 
 def test_near_duplicates_in_chains_and_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "SMALL", 20)
-    monkeypatch.setattr(near_dup, "MOST_DEPTH", 7)
+    monkeypatch.setattr(near_dup, "SMALL", 5)
+    monkeypatch.setattr(near_dup, "MORE_LEVELS", 2)
     rnd = np.random.RandomState(5)
     rows, words = [], [f"w{i}" for i in range(120)]
     for i in range(60):  # copies with a few changed words

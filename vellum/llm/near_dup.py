@@ -8,10 +8,12 @@ The first levels, in which nodes hold too much to be compared, are walked at onc
 follows the logarithm of the number of classes.
 
 Comparing costs no more than it must: a node first links its members to a hub (the member that
-shares most nodes with others), which is linear in the node. Members that this leaves in different
-components are then compared exhaustively, in nodes of at most ``SMALL`` members; larger ones branch
-on. Pairs are screened by set size (exact) and by a sketch of the minwise tokens, with a margin of
-4.5 standard deviations, and links are confirmed on full sets.
+shares most nodes with others), which is linear in the node. What is still apart is then compared
+exhaustively: members outside a node's largest component, its strays, with all members of other
+components. Nodes of at most ``SMALL`` strays are compared at once, so the work is linear in their
+members; others branch on for a few levels. What is large then is a group of similar documents that
+branching doesn't part, and is compared at once too. Pairs are screened by set size (exact) and by a sketch of the minwise
+tokens, with a margin of 4.5 standard deviations, and links are confirmed on full sets.
 
 A pair at the threshold shares no node of a tree with probability 0.48 at depth 5 and 0.56 at depth 7,
 and of all trees with 2e-6 to 3e-5.
@@ -36,8 +38,8 @@ SHINGLE = 2
 THRESHOLD = (80, 100)
 TOKENS = 128
 TREES = 18
-SMALL = 100
-MOST_DEPTH = 24
+SMALL = 24
+MORE_LEVELS = 3
 NIBBLES = TOKENS // 16
 #: Nibbles that a pair at the threshold shares, less 4.5 standard deviations.
 LEAST_SHARED = 84
@@ -235,17 +237,16 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, trees: int = TREES) -
     named = classes.select("cid", "n").join(labels, "cid", "left").select("cid", "n", F.coalesce("label", "cid").alias("label"))
     named = materialise(named, "named")
     rest = _mixed_nodes(leaves.select("node", "cid"), named)
-    pairs = []
-    for level in range(depth, MOST_DEPTH + 1):
-        small = F.col("size") <= (SMALL if level < MOST_DEPTH else 1 << 62)
-        pairs.append(_across(rest.filter(small)))
+    found = None
+    for level in range(depth, depth + MORE_LEVELS + 1):
+        last = level == depth + MORE_LEVELS
+        small = F.lit(True) if last else F.col("strays") <= SMALL
+        near = materialise(_across(rest.filter(small), classes).distinct(), "across")
+        found = near if found is None else found.union(near)
         large = rest.filter(~small).select("node", "cid")
-        if level == MOST_DEPTH or not large.head(1):
+        if last or not large.head(1):
             break
         rest = _mixed_nodes(_deeper(large, classes, level).distinct(), named)
-    found = pairs[0]
-    for p in pairs[1:]:
-        found = found.union(p)
     apart = materialise(found.distinct().join(stars, ["a", "b"], "left_anti"), "apart")
     more = _confirm(apart, classes, texts, width, "apart")
     if more.head(1):
@@ -260,17 +261,23 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, trees: int = TREES) -
 
 
 def _mixed_nodes(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """(node, cid, n, label, size) of the nodes whose members are in several components."""
+    """(node, cid, n, label, main, strays) of the nodes whose members are in several components: main is the label of
+    the largest, strays the number of members outside it."""
     rows = rows.join(named, "cid")
-    mixed = rows.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high").select("node", "size")
-    return materialise(rows.join(mixed, "node"), "mixed")
+    parts = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size")).filter("size > m.c")
+    return materialise(rows.join(mixed.select("node", F.col("m.label").alias("main"), (F.col("size") - F.col("m.c")).alias("strays")), "node"), "mixed")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of a node's members in different components whose sizes fit."""
-    a = rows.select("node", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    b = rows.select("node", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    return a.join(b, "node").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"))).select("a", "b")
+def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of a node's members in different components that sizes and sketches don't rule out: strays with all others."""
+    rows = rows.join(classes.select("cid", "sketch"), "cid")
+    side = lambda df, c: df.select("node", F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("label").alias(f"label_{c}"), F.col("sketch").alias(f"sketch_{c}"), "main")
+    a, b = side(rows.filter("label <> main"), "a").drop("main"), side(rows, "b")
+    once = (F.col("label_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    near = shared_nibbles(F.col("sketch_a"), F.col("sketch_b")) >= LEAST_SHARED
+    rule = (a["node"] == b["node"]) & (F.col("label_a") != F.col("label_b")) & once & _sizes_fit(F.col("n_a"), F.col("n_b")) & near
+    return a.join(b, rule).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def report(docs: DataFrame) -> DataFrame:
