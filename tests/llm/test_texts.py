@@ -38,6 +38,17 @@ def test_backing_off_to_ngrams():
     assert model.predict("123") == ("und", 0.0) == model.predict(None)
 
 
+def test_a_full_table_of_words_starts_again(monkeypatch):
+    monkeypatch.setattr(language_id, "_KEPT_WORDS", 3)
+    words = {"the": {"en": 50}, "le": {"fr": 50}}
+    model = language_id.Model(["en", "fr"], words, {"^t": {"en": 9}, "^l": {"fr": 9}})
+    texts = ["the tx ty", "le lx ly lz", "tx lx le", "le " * 5 + "a b c d e f g", "tx ty tz"]
+    monkeypatch.setattr(language_id, "_KEPT_WORDS", 1000)
+    fresh = [language_id.Model(["en", "fr"], words, {"^t": {"en": 9}, "^l": {"fr": 9}}).predict(t) for t in texts]
+    assert [model.predict(t)[0] for t in texts] == [x for x, _ in fresh]
+    assert [round(model.predict(t)[1], 9) for t in texts] == [round(x, 9) for _, x in fresh]
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert rows_of(language_id.report(df), "lang_pred", "score") == [("und", 0.0)]

@@ -98,15 +98,17 @@ class Model:
             new = {w for w, i in zip(words, at, strict=True) if i is None}
             if len(self.index) + len(new) > len(self.table):
                 self._start()
+                new = {w for w in words if w not in self.index}
             extra: dict[str, np.ndarray] = {}
             for w in new:
+                score = self.back_off(w)
                 if len(self.index) < len(self.table) and len(w) <= 64:
-                    self.table[len(self.index)] = self.back_off(w)
+                    self.table[len(self.index)] = score
                     self.index[w] = len(self.index)
                 else:
-                    extra[w] = self.back_off(w)
-            at = list(map(self.index.get, words))
-            total = self.table[[i for i in at if i is not None]].sum(axis=0) + sum(extra[w] for w, i in zip(words, at, strict=True) if i is None)
+                    extra[w] = score
+            at = [i for i in map(self.index.get, words) if i is not None]
+            total = self.table[at].sum(axis=0) + sum(extra[w] for w in words if w in extra)
         else:
             total = self.table[at].sum(axis=0)
         odds = np.exp(total - total.max())
