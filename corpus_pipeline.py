@@ -24,10 +24,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document of smallest doc_id stays, once."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(near_dup.NO_ID))
-    kept = near_dup.near_duplicates(docs, SHINGLE).filter("kept").select(key.alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document of smallest doc_id, then text hash, stays, once.
+
+    A null doc_id is the smallest. Rows that share a doc_id, or have none, but aren't near copies all stay.
+    """
+    key, mark = near_dup.row_id()
+    kept = near_dup.one_of_each(docs, SHINGLE).withColumnsRenamed({"key": "_key", "mark": "_mark"})
+    rows = docs.select(key.alias("_key"), mark.alias("_mark"), F.struct(*docs.columns).alias("_row")).join(kept, ["_key", "_mark"], "left_semi")
+    return rows.groupBy("_key", "_mark").agg(F.min("_row").alias("_row")).select("_row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

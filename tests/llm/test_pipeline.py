@@ -30,3 +30,17 @@ def test_stages_on_odd_rows(spark, sf, odd):
         assert "secrets" in rows.columns, name
     ids = [r.doc_id for r in corpus_pipeline.encode(spark, rows, sf).collect()]
     assert len(ids) == len(set(ids)) and {6, 7} <= set(ids) and not {3, 4, 5} & set(ids)
+
+
+LONG = [" ".join(f"{w}{i}" for i in range(40)) for w in ("river", "stone", "cloud", "grass", "amber")]
+NO_IDS = [(None, LONG[0]), (None, LONG[1]), (None, LONG[1] + " more"), (1, LONG[2]), (2, LONG[2] + " more"), (2, LONG[3]), (2, LONG[3]), (3, LONG[0] + " more"), (4, LONG[4]), (4, LONG[4] + "\n")]
+
+
+def test_near_dedup_decides_by_row(spark, sf):
+    """Null and shared doc_ids: one row of each group of near copies stays, whatever else has its id."""
+    df = spark.createDataFrame(NO_IDS, "doc_id long, text string")
+    stays = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, sf).collect()]
+    assert sorted((d or 0, t.split()[0]) for d, t in stays) == [(0, "river0"), (0, "stone0"), (1, "cloud0"), (2, "grass0"), (4, "amber0")]
+    assert (None, LONG[0]) in stays and (1, LONG[2]) in stays and (2, LONG[3]) in stays
+    again = corpus_pipeline.drop_near_duplicates(spark, df.orderBy("text").repartition(3), sf)
+    assert sorted(map(repr, stays)) == sorted(repr((r.doc_id, r.text)) for r in again.collect())

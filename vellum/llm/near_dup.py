@@ -99,8 +99,8 @@ def walk(tokens: np.ndarray, depth: int, trees: int = TREES) -> tuple[np.ndarray
     return rows, nodes
 
 
-FEATURES = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("cid", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("nodes", T.ArrayType(T.LongType()))])
-_FEATURES = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("cid", pa.int64()), ("sketch", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64()))])
+FEATURES = T.StructType([T.StructField("key", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("cid", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("nodes", T.ArrayType(T.LongType()))])
+_FEATURES = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("cid", pa.int64()), ("sketch", pa.list_(pa.int64())), ("nodes", pa.list_(pa.int64()))])
 
 
 def _class_id(s: np.ndarray) -> int:
@@ -124,7 +124,7 @@ def _features(width: int, depth: int):
                 place = {i: j for j, i in enumerate(full)}
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([_class_id(s) if len(s) else None for s in sets], pa.int64()),
+                        batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array([_class_id(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([packed[place[i]] if i in place else None for i in range(len(sets))], pa.list_(pa.int64())), pa.array([np.unique(parts[place[i]]) if i in place else None for i in range(len(sets))], pa.list_(pa.int64())),
                     ],
                     schema=_FEATURES,
@@ -207,18 +207,20 @@ def _deeper(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
     return rows.select("cid", F.explode(F.when(two, F.array(child(first), child(second))).otherwise(F.array(child(first)))).alias("node"))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, trees: int = TREES) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, for every row of ``docs``.
+def row_id() -> list[Column]:
+    """key (doc_id, or NO_ID) and mark (the text's hash), which tell the documents of a table apart."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.col("text").cast("string")).alias("mark")]
 
-    A null or empty text has no shingles and is linked with nothing. A null doc_id is the smallest.
-    Rows of one doc_id with different texts are documents of their own, whose components carry that id.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("text").cast("string").alias("text"))
+
+def _groups(docs: DataFrame, width: int, trees: int) -> tuple[DataFrame, DataFrame]:
+    """The features of every row, and (cid, row, label) of every class: row is its smallest (key, mark), and classes of
+    one label are near copies."""
+    key, mark = row_id()
+    texts = docs.select(key, F.col("text").cast("string").alias("text"), mark)
     rows = texts.count()
     depth = min(12, max(3, math.ceil(math.log(max(rows, 2)) / 2.5)))
     features = materialise(map_arrow(texts, _features(width, depth), FEATURES), "features")
-    classes = features.filter("n > 0").groupBy("cid").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
+    classes = features.filter("n > 0").groupBy("cid").agg(F.min("key").alias("key"), F.min(F.struct("key", "mark")).alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
     classes = materialise(classes, "classes")
 
     placed = classes.select("cid", F.explode("nodes").alias("node"))
@@ -251,8 +253,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, trees: int = TREES) -
     more = _confirm(apart, classes, texts, width, "apart")
     if more.head(1):
         labels = components(links.union(more))
-    named = classes.select("cid", "key").join(labels, "cid", "left").select("cid", "key", F.coalesce("label", "cid").alias("label"))
-    least = named.groupBy("label").agg(F.min("key").alias("component"))
+    return features, classes.select("cid", "row").join(labels, "cid", "left").select("cid", "row", F.coalesce("label", "cid").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, trees: int = TREES) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, for every row of ``docs``.
+
+    A null or empty text has no shingles and is linked with nothing. A null doc_id is the smallest.
+    Rows of one doc_id with different texts are documents of their own, whose components carry that id.
+    """
+    features, named = _groups(docs, width, trees)
+    least = named.groupBy("label").agg(F.min("row.key").alias("component"))
     of_class = named.join(least, "label").select("cid", "component")
     null_if_no_id = lambda c: F.when(c != NO_ID, c)
     found = features.select("key", "n", "cid").join(of_class, "cid", "left")
@@ -260,6 +271,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, trees: int = TREES) -
     return found.select(null_if_no_id(F.col("key")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null_if_no_id(component).alias("component_id"), (F.col("key") == component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, width: int = SHINGLE, trees: int = TREES) -> DataFrame:
+    """The row ids (key, mark) that stay: the smallest of each group of near copies, and all without shingles."""
+    features, named = _groups(docs, width, trees)
+    smallest = named.groupBy("label").agg(F.min("row").alias("row")).select("row.key", "row.mark")
+    return smallest.union(features.filter("n = 0").select("key", "mark").distinct())
+
+
 def _mixed_nodes(rows: DataFrame, named: DataFrame) -> DataFrame:
     """(node, cid, n, label, main, strays) of the nodes whose members are in several components: main is the label of
     the largest, strays the number of members outside it."""
