@@ -256,3 +256,15 @@ def test_impure_templates_are_rejected(spark):
     labels = [(i, i % 3 != 0) for i in range(0, 300, 2)]
     out = url_templates.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good boolean"), [])
     assert {(r.template, r.verdict) for r in out.select("template", "verdict").distinct().collect()} == {("site.org/ads/*", "block"), ("site.org/*+/*", "allow")}
+
+
+def test_deep_branches_are_told_apart(spark):
+    """Branches that differ in their fourth segment or later only; what lies below them merges."""
+    kinds = ("a/b/c/spam/x", "a/b/c/good/x", "a/b/c/d/e/f/spam", "a/b/c/d/e/f/good")
+    pages = [(i, f"http://site.org/{kinds[i % 4]}/{i}/end") for i in range(400)] + [(1000, "http://site.org/a/b/c/spam/y/z/1/2/3/4"), (1001, "http://site.org/a/b/c/d/e/f/good")]
+    labels = [(i, i % 2 == 1) for i in range(0, 400) if i % 8 < 4]
+    out = url_templates.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good boolean"), [])
+    found = {r.page_id: (r.template, r.verdict) for r in out.collect()}
+    assert all(found[i][1] == ("allow" if i % 2 else "block") for i in range(400))
+    assert found[1000] == ("site.org/*/*/*/spam/*/*/*/*/*/*", found[1000][1]) and found[1001][1] == "allow"
+    assert len({found[i][0] for i in range(400)}) == 4

@@ -13,12 +13,13 @@ few rows in the tree. Everything here is built-in column expressions.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import materialise
 
-DEPTH = 3
 SMOOTHING = 4.0
 LEAST_PURITY = 0.5
 DIFFERENT_Z = 2.5
@@ -47,8 +48,8 @@ def apply_rules(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return text, verdict
 
 
-def generalise(path: Column, depth: int = DEPTH) -> Column:
-    """The first ``depth`` segments with variable ones as wildcards, and one wildcard for all that follow."""
+def generalise(path: Column) -> Column:
+    """All segments, with variable ones as wildcards."""
 
     def one(segment: Column) -> Column:
         out = segment
@@ -56,17 +57,22 @@ def generalise(path: Column, depth: int = DEPTH) -> Column:
             out = F.when(segment.rlike(pattern), F.regexp_replace(segment, pattern, wildcard)).otherwise(out)
         return out
 
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    rest = F.when(F.size(segments) > depth, F.array(F.lit("{rest}"))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.concat(F.transform(F.slice(segments, 1, depth), one), rest)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), one)
+
 
+def template_purity(counted: DataFrame, smoothing: float = SMOOTHING, different: float = DIFFERENT_Z) -> DataFrame:
+    """(host, segments, template, purity) from rows of (host, segments, labelled, good).
 
-def template_purity(counted: DataFrame, depth: int = DEPTH, smoothing: float = SMOOTHING, different: float = DIFFERENT_Z) -> DataFrame:
-    """(host, segments, template, purity) from rows of (host, segments, labelled, good)."""
+    The tree goes on as long as two labelled paths of one branch have a further segment. Below that no branch
+    has a labelled sibling to differ from, so that all remaining segments are ``*``.
+    """
     total = counted.agg(F.sum("labelled").alias("m"), F.sum("good").alias("g")).first()
     prior = (total.g or 0) / total.m if total.m else 1.0
     rows = counted.withColumn("prefix", F.lit(""))
-    for level in range(depth + 1):
+    for level in count():
+        further = rows.filter((F.size("segments") > level) & (F.col("labelled") > 0))
+        if not further.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("paths")).filter("paths > 1").head(1):
+            break
         seg = F.get("segments", F.lit(level))
         rows = rows.withColumn("seg", seg)
         nodes = rows.filter("seg is not null").groupBy("host", "prefix", "seg").agg(F.sum("labelled").alias("m"), F.sum("good").alias("g"))
@@ -77,6 +83,7 @@ def template_purity(counted: DataFrame, depth: int = DEPTH, smoothing: float = S
         rows = rows.join(kept, ["host", "prefix", "seg"], "left")
         step = F.when(F.col("seg").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.coalesce("own", F.lit("*"))))
         rows = materialise(rows.select("host", "segments", "labelled", "good", step.alias("prefix")), "templates")
+    rows = rows.withColumn("prefix", F.concat("prefix", F.repeat(F.lit("/*"), F.size("segments") - level)))
     purity = rows.groupBy("host", "prefix").agg(((F.sum("good") + smoothing * prior) / (F.sum("labelled") + smoothing)).alias("purity"))
     return rows.join(purity, ["host", "prefix"]).select("host", "segments", F.concat("host", "prefix").alias("template"), "purity")
 
