@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from vellum.llm import near_dup, suffix_dedup
 
 from tests.llm.conftest import rows_of
@@ -123,3 +124,15 @@ def test_near_duplicates_in_chains_and_large_groups(spark, monkeypatch):
 
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_dup.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_sketches_tell_unlike_texts_apart(spark):
+    """Long texts without a common shingle share one nibble in sixteen, and their node parts at the next level."""
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(400)), 0) for i in range(12)]
+    df = spark.createDataFrame(rows, "key long, text string, mark long")
+    classes = near_dup.map_arrow(df, near_dup._features(2, 3), near_dup.FEATURES).cache()
+    pairs = classes.alias("a").join(classes.alias("b"), F.col("a.key") < F.col("b.key"))
+    shared = [r.s for r in pairs.select(near_dup.shared_nibbles(F.col("a.sketch"), F.col("b.sketch")).alias("s")).collect()]
+    assert max(shared) < 40 < near_dup.LEAST_SHARED
+    node = classes.select(F.lit(5).cast("long").alias("node"), "cid")
+    assert near_dup._deeper(node, classes, 3).select("node").distinct().count() > 4
