@@ -106,7 +106,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[Rule], least_purity:
 
 
 #: The rules that the contract fixes.
-RULES: list[Rule] = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+RULES: list[Rule] = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
 def report(pages: DataFrame, labels: DataFrame) -> DataFrame:
