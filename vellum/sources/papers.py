@@ -1,7 +1,7 @@
 """Papers derived from the documents table: sections, citations and reference lists by rules on doc_id.
 
 The text is one SQL expression that Spark and DuckDB read alike, so that both sides of a comparison have
-the same papers. ``doc_id % 5`` chooses the citation style, ``% 7 = 0`` leaves the references out,
+the same papers. Every character of a document is in its paper. ``doc_id % 5`` chooses the citation style, ``% 7 = 0`` leaves the references out,
 ``% 11 = 0`` cites a number that isn't listed, ``% 13 = 0`` lists an entry twice.
 """
 
@@ -49,12 +49,18 @@ def _references() -> str:
     return ", ".join(lines)
 
 
-BODY = "replace(substr(text, {0}, {1}), chr(10), ' ')"
-TEXT = f"""concat_ws(chr(10), concat('# Study ', CAST(doc_id AS STRING), ' of ', lang), '', 'Abstract', {BODY.format(1, 160)}, '', '1 Introduction',
-concat({BODY.format(161, 200)}, ' as ', {_choice(0)}, ' said.'), concat('It was shown ', {_choice(1)}, ' that we don''t know.'), '',
-CASE WHEN doc_id % 2 = 0 THEN '2 Methodology' END, CASE WHEN doc_id % 2 = 0 THEN concat({BODY.format(361, 300)}, CASE WHEN doc_id % 11 = 0 THEN concat(' See ', {_choice(2)}, '.') ELSE '' END) END, '',
-'## Results', {BODY.format(661, 200)}, '', CASE WHEN doc_id % 3 <> 1 THEN 'Discussion' END, CASE WHEN doc_id % 3 <> 1 THEN concat('Moreover, in order to see, your going  on .', {BODY.format(861, 120)}) END, '',
-'CONCLUSION', concat('In conclusion, ', {BODY.format(981, 150)}), CASE WHEN doc_id % 7 <> 0 THEN concat_ws(chr(10), '', CASE WHEN doc_id % 2 = 0 THEN 'References' ELSE 'VI. BIBLIOGRAPHY' END, {_references()}) END)"""
+def _share(start: int, end: int) -> str:
+    """The text between two percentages of its length, with its line breaks; the shares deal out the whole text."""
+    at = lambda p: f"CAST(floor(length(text) * {p} / 100) AS INT)"
+    return f"substr(text, {at(start)} + 1, {at(end)} - {at(start)})"
+
+
+#: The document's whole text is dealt to the sections; where a heading is left out, its part goes on under the one before.
+TEXT = f"""concat_ws(chr(10), concat('# Study ', CAST(doc_id AS STRING), ' of ', lang), '', 'Abstract', {_share(0, 10)}, '', '1 Introduction',
+concat({_share(10, 20)}, ' as ', {_choice(0)}, ' said.'), concat('It was shown ', {_choice(1)}, ' that we don''t know.'), '',
+CASE WHEN doc_id % 2 = 0 THEN '2 Methodology' END, concat({_share(20, 45)}, CASE WHEN doc_id % 11 = 0 THEN concat(' See ', {_choice(2)}, '.') ELSE '' END), '',
+'## Results', {_share(45, 70)}, '', CASE WHEN doc_id % 3 <> 1 THEN 'Discussion' END, concat('Moreover, in order to see, your going  on .', {_share(70, 90)}), '',
+'CONCLUSION', concat('In conclusion, ', {_share(90, 100)}), CASE WHEN doc_id % 7 <> 0 THEN concat_ws(chr(10), '', CASE WHEN doc_id % 2 = 0 THEN 'References' ELSE 'VI. BIBLIOGRAPHY' END, {_references()}) END)"""
 
 
 def load_papers(spark: SparkSession, folder: str) -> DataFrame:
