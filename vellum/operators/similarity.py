@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import WORD, ranked, strip, words
 from vellum.operators.segment import sentence_chunks
 
 THRESHOLD = 0.75
+#: More than rounding to four digits can add to a similarity.
+ROUNDING = 1e-4
 
 
 def tokens(text: Column) -> Column:
@@ -31,8 +33,10 @@ def tfidf_vectors(units: DataFrame, keys: list[str]) -> DataFrame:
 def match_chunks(chunks: DataFrame, sources: DataFrame, threshold: float | None = THRESHOLD) -> DataFrame:
     """doc_id, chunk_idx, source, similarity (4 digits), percent, preview of pairs that reach the threshold.
 
-    The comparison of every chunk with every source is a join on tokens and a sum of products: pairs without
-    a common token never meet. A threshold of 0 or None means the default.
+    A unit's tokens are ordered from the rarest on. If two units reach the threshold, the first token that they
+    share begins, in both, a rest whose norm reaches it too (the product of two rests bounds what they share from
+    there on). So units meet on such leading tokens alone, frequent words almost never, and the pairs that meet get
+    their whole product. A threshold of 0 or None means the default.
     """
     threshold = threshold or THRESHOLD
     none = F.lit(None).cast("long")
@@ -41,14 +45,17 @@ def match_chunks(chunks: DataFrame, sources: DataFrame, threshold: float | None
     )
     counts = units.select("a", "b", "s", F.explode(tokens(F.col("text"))).alias("token")).groupBy("a", "b", "s", "token").agg(F.count(F.lit(1)).alias("tf"))
     n = units.count()
-    idf = counts.groupBy("token").agg((F.log((1.0 + n) / (1.0 + F.count(F.lit(1)))) + 1).alias("idf"))
-    weights = counts.join(idf, "token").select("a", "b", "s", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    left, right = weights.filter("s is null"), weights.filter("s is not null").select(F.col("s").alias("source"), "token", F.col("w").alias("v"))
-    norm = lambda df, keys, w, name: df.groupBy(*keys).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(name))
-    dots = left.join(right, "token").groupBy("a", "b", "source").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(norm(left, ["a", "b"], "w", "n1"), ["a", "b"]).join(norm(right, ["source"], "v", "n2"), "source")
-    similarity = F.round(F.col("dot") / (F.col("n1") * F.col("n2")), 4)
-    near = scored.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold)
+    idf = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)
+    weights = counts.join(idf, "token").select("a", "b", "s", "token", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    unit = Window.partitionBy("a", "b", "s")
+    squares = lambda w: F.sum(F.col("w") * F.col("w")).over(w)
+    rest = squares(unit.orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing))
+    weights = weights.select("a", "b", "s", "token", (F.col("w") / F.sqrt(squares(unit))).alias("w"), F.sqrt(rest / squares(unit)).alias("rest"))
+    left, right = weights.filter("s is null").drop("s"), weights.filter("s is not null").select(F.col("s").alias("source"), "token", F.col("w").alias("v"), "rest")
+    leads = F.col("rest") >= threshold - ROUNDING
+    pairs = left.filter(leads).select("a", "b", "token").join(right.filter(leads).select("source", "token"), "token").select("a", "b", "source").distinct()
+    dots = pairs.join(left.drop("rest"), ["a", "b"]).join(right.drop("rest"), ["source", "token"]).groupBy("a", "b", "source").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    near = dots.withColumn("similarity", F.round("dot", 4)).filter(F.col("similarity") >= threshold)
     near = near.select(F.col("a").alias("doc_id"), F.col("b").alias("chunk_idx"), "source", "similarity", F.round(F.col("similarity") * 100, 2).alias("percent"))
     shown = F.when(F.length("chunk") > 100, F.concat(F.substring("chunk", 1, 100), F.lit("..."))).otherwise(F.col("chunk"))
     return near.join(chunks.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), shown.alias("preview")), ["doc_id", "chunk_idx"])
@@ -107,20 +114,26 @@ def combined_similarity(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     return joined.groupBy("a_id").agg((F.floor(F.max(overall) * 100 + 0.5) / 100).alias("best"))
 
 
-def cosine(x: Column, y: Column) -> Column:
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    norms = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when(norms > 0, dot(x, y) / norms).otherwise(0.0)
+def _dot(p: Column, q: Column) -> Column:
+    return F.aggregate(F.zip_with(p, q, lambda i, j: i * j), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def unit_vector(x: Column) -> Column:
+    """The vector at length 1; a vector of length 0 stays."""
+    x = F.transform(x, lambda v: v.cast("double"))
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v))
+    return F.when(norm > 0, F.transform(x, lambda v: v / norm)).otherwise(x)
 
 
 def vector_matches(queries: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity of a stated set of query vectors (vec_id, embedding) against all vectors; a vector isn't compared with itself.
 
-    The query set goes to all tasks in blocks if it fits the session's broadcast limit, else Spark joins by blocks.
+    Each vector is brought to length 1 once. The query set goes to all tasks in blocks if it fits the session's
+    broadcast limit, else Spark joins by blocks.
     """
-    a = queries.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    b = vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, F.col("a") != F.col("b")).select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 4).alias("similarity")).filter(F.col("similarity") >= threshold)
+    a = queries.select(F.col("vec_id").alias("a"), unit_vector(F.col("embedding")).alias("x"))
+    b = vectors.select(F.col("vec_id").alias("b"), unit_vector(F.col("embedding")).alias("y"))
+    return a.join(b, F.col("a") != F.col("b")).select("a", "b", F.round(_dot(F.col("x"), F.col("y")), 4).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
 def nearest_vector(queries: DataFrame, vectors: DataFrame, least: float = 0.30) -> DataFrame:
