@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import citations, detect, layout, references, structure
-from vellum.plans.paper_queries import REFERENCES, START, STRIP
+from vellum.operators import detect, layout, references, structure
+from vellum.plans.paper_queries import STRIP
 from vellum.plans.structure_queries import BLOCKS, METRICS, blocks, chunks, metrics
 from vellum.plans.text_queries import STYLE, WORDS
-from vellum.sources import corpus, papers
+from vellum.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,36 +82,6 @@ query(
     f"WITH {BLOCKS}, b AS (SELECT doc_id, count(*) AS n_before, count(*) FILTER ((block_idx + doc_id) % 3 > 0) AS n_after FROM blocks GROUP BY doc_id) SELECT *, n_after < greatest(1, floor(n_before * 0.65)) AS warn FROM b",
 )(lambda s, d: layout.retention_check(blocks(s, d), blocks(s, d).filter("(block_idx + doc_id) % 3 > 0")))
 
-ENTRY = r"^(.+?)\s*\((\d{4})[a-z]?\)\.\s*([^.]+)\.\s*([^,.]+)(?:,\s*(\d+)(?:\((\d+)\))?)?(?:,\s*([0-9]+-[0-9]+))?"
-NAMES = ("authors", "year", "title", "journal", "volume", "issue", "pages")
-PARSED = f"{START}, {REFERENCES}, parsed AS (SELECT doc_id, ref_idx, ref_number, {', '.join(f'''{STRIP.format(f"regexp_extract(text, '{ENTRY}', {i + 1})")} AS {c}''' for i, c in enumerate(NAMES))} FROM refs)"
-KEYS = "keys AS (SELECT doc_id, ref_idx, CASE WHEN ref_number IS NOT NULL THEN concat('ref', ref_number) WHEN regexp_replace(lower(string_split(authors, ',')[1]), '[^a-z0-9]', '', 'g') = '' THEN concat('unknown', ref_idx + 1) ELSE concat(regexp_replace(lower(string_split(authors, ',')[1]), '[^a-z0-9]', '', 'g'), year) END AS bib_key FROM parsed)"
-
-
-def parsed(s, d):
-    return references.parse_references(citations.extract_references(papers.load_papers(s, d)))
-
-
-query("cit11_parse_references", f"WITH {PARSED} SELECT * FROM parsed")(parsed)
-VOLUME = "CASE WHEN volume <> '' THEN ', ' || volume || CASE WHEN issue <> '' THEN '(' || issue || ')' ELSE '' END ELSE '' END"
-PAGES = "CASE WHEN pages <> '' THEN ', ' || pages ELSE '' END"
-RENDERED = {
-    "APA": f"authors || ' (' || year || '). ' || title || '. ' || journal || {VOLUME} || {PAGES} || '.'",
-    "IEEE": f"authors || ', \"' || title || ',\" ' || journal || {VOLUME} || {PAGES} || ', ' || year || '.'",
-    "MLA": f"authors || ' \"' || title || '.\" ' || journal || {VOLUME} || ' (' || year || ')' || {PAGES} || '.'",
-}
-for _style, _text in RENDERED.items():
-    query(
-        f"cit13_convert_{_style.lower()}",
-        f"""WITH {PARSED}, e AS (SELECT doc_id, {_text} AS entry, min(ref_idx) AS ref_idx FROM parsed WHERE title <> '' GROUP BY ALL), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {"ref_idx" if _style == "IEEE" else "lower(entry), ref_idx"}) AS INT) AS place FROM e)
-SELECT doc_id, place, {"concat('[', place, '] ', entry)" if _style == "IEEE" else "entry"} AS entry FROM p""",
-    )(lambda s, d, k=_style: references.convert_bibliography(parsed(s, d), k))
-query("cit15_bib_keys", f"WITH {PARSED}, {KEYS} SELECT * FROM keys")(lambda s, d: references.bib_keys(parsed(s, d)))
-ORDERED = ", ".join(f"CASE WHEN {c} <> '' THEN '  {n} = {{' || regexp_replace({c}, '([{{}}])', '\\\\\\1', 'g') || '}}' END" for c, n in (("authors", "author"), ("title", "title"), ("journal", "journal"), ("year", "year"), ("volume", "volume"), ("issue", "number"), ("pages", "pages")))
-query(
-    "snk2_export_bibliography",
-    f"WITH {PARSED}, {KEYS} SELECT p.doc_id, string_agg('@article{{' || bib_key || ',' || chr(10) || concat_ws(',' || chr(10), {ORDERED}) || chr(10) || '}}', chr(10) || chr(10) ORDER BY p.ref_idx) AS bibtex FROM parsed p JOIN keys k ON p.doc_id = k.doc_id AND p.ref_idx = k.ref_idx WHERE title <> '' GROUP BY p.doc_id",
-)(lambda s, d: references.export_bibliography(parsed(s, d)))
 LATEX = r"concat('Text \\cite{a', CAST(doc_id % 5 AS STRING), ', b} {and \\citep{c', CAST(doc_id % 3 AS STRING), '} $x$ ', lang, CASE WHEN doc_id % 4 = 0 THEN ' \\cite{} $' ELSE '' END)"
 LATEX_DUCK = LATEX.replace("\\\\", "\\")
 

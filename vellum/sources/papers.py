@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: author, initials, year, title, journal
+#: authors (surname, first name), year, title, journal
 ENTRIES = [
-    ("Smith", "J.", 2019, "Rivers of the north", "Journal of Water"),
-    ("Jones", "K. L.", 2020, "Maps and their makers", "Atlas Review"),
-    ("Garcia", "M.", 2018, "Counting birds", "Field Notes"),
-    ("Chen", "W.", 2021, "Sorting at scale", "Computing Letters"),
-    ("Brown", "A. B.", 2017, "On small harbours", "Coast Quarterly"),
-    ("Novak", "P.", 2022, "Paper and ink", "Print History"),
+    ((("Smith", "John"),), 2019, "Rivers of the north", "Journal of Water"),
+    ((("Jones", "Kate"), ("Garcia", "Maria")), 2020, "Maps and their makers", "Atlas Review"),
+    ((("Garcia", "Maria"), ("Lee", "Bo"), ("Kim", "Ann")), 2018, "Counting birds", "Field Notes"),
+    ((("Chen", "Wei"),), 2021, "Sorting at scale", "Computing Letters"),
+    ((("Brown", "Alan"), ("Diaz", "Eva"), ("Evans", "Fay"), ("Ford", "Gil"), ("Gray", "Hal"), ("Hill", "Ida"), ("Irwin", "Jan")), 2017, "On small harbours", "Coast Quarterly"),
+    ((("Novak", "Petra"), ("Okoro", "Sam")), 2022, "Paper and ink", "Print History"),
 ]
 CITED = {
     0: ("(Smith, 2019)", "(Jones & Garcia, 2018)", "(Okafor, 2016)"),
@@ -27,9 +27,20 @@ CITED = {
 }
 
 
-def _entry(i: int) -> str:
-    author, initials, year, title, journal = ENTRIES[i]
-    return f"{author}, {initials} ({year}). {title}. {journal}, {i + 3}({i + 1}), {10 * i + 1}-{10 * i + 9}."
+def _entry(i: int, style: int) -> str:
+    """An entry as a list of the style has it: APA, Harvard, MLA, IEEE, Chicago."""
+    people, year, title, journal = ENTRIES[i]
+    pages, volume, issue = f"{10 * i + 1}-{10 * i + 9}", i + 3, i + 1
+    if style == 0:
+        names = [f"{last}, {first[0]}." for last, first in people]
+        return f"{names[0] if len(names) == 1 else ', '.join(names[:-1]) + ', & ' + names[-1]} ({year}). {title}. {journal}, {volume}({issue}), {pages}." + (" https://doi.org/10.1/x" if i == 1 else "")
+    if style == 1:
+        return f"{people[0][0]} ({year}) '{title}', {journal}, vol. {volume}, no. {issue}, pp. {pages}."
+    if style == 2:
+        return f'{people[0][0]}, {people[0][1]}. "{title}". {journal}, vol. {volume}, no. {issue} ({year}): {pages}.'
+    if style == 3:
+        return ", ".join(f"{first[0]}. {last}" for last, first in people) + f', "{title}," {journal}, vol. {volume}, no. {issue}, pp. {pages}, {year}.'
+    return f"{people[0][0]}, {people[0][1]}. {title}. Boston: {journal} Press, {year}."
 
 
 def _choice(k: int) -> str:
@@ -37,8 +48,8 @@ def _choice(k: int) -> str:
 
 
 def _reference(i: int) -> str:
-    text = _entry(i)
-    return f"CASE WHEN doc_id % 5 = 3 THEN '[{i + 1}] {text}' ELSE '{text}' END"
+    each = [(f"[{i + 1}] " if style == 3 else "") + _entry(i, style) for style in range(5)]
+    return "CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN '{x.replace(chr(39), chr(39) * 2)}'" for k, x in enumerate(each)) + " END"
 
 
 def _references() -> str:
