@@ -1,40 +1,56 @@
 """Secret scans: known shapes, and a battery of randomness tests on long tokens.
 
-A token of 20 or more characters gets an encoding inferred from its characters. Three tests
-ask whether it could be a random string of that encoding: chi-squared uniformity over the
-alphabet, runs of digits against other characters, and serial correlation of neighbours.
-Their p-values are joined by Bonferroni. Tokens in which randomness is rejected are ordinary
-text; the rejections are chosen by the Benjamini-Hochberg rule within bands of length,
-because a short token gives the tests less power. What stays counts as a secret.
-
-Everything here is built-in column expressions; the p-values meet as a small histogram.
+A token of 20 or more characters with a letter gets an encoding, the smallest alphabet that holds its
+characters. A battery asks whether it could be a random string of that encoding: chi-squared uniformity
+over the alphabet, runs of character classes, and serial correlation at lags 1 to 4, joined by Bonferroni.
+Tokens in which randomness is rejected are never reported.
+
+The false-discovery control is of what is reported, so its null is that a token is ordinary text. Ordinary
+tokens change their character class seldom and have the letters of prose; a token's p-value is the chance
+that an ordinary one of its length has as many runs and as unusual letters (1 if the battery has rejected
+randomness). The Benjamini-Hochberg rule over these, within bands of length, chooses the reports: a short
+token gives too little evidence where most tokens of its length are ordinary.
+
+Everything here is built-in column expressions. Texts are read once; what is found is written, and the
+p-values meet as a small histogram.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.llm.common import materialise
+
 #: The patterns of the known kinds, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 8
+#: One of these is in every text with a match of ASSIGN, in lower case.
+ASSIGN_WORDS = ("passw", "secret", "token", "api")
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
-#: name, pattern of the whole token, alphabet
+#: Every match of TOKEN or HEX has this.
+LONG_RUN = "[A-Za-z0-9+/_-]{20}"
+_LOWER, _UPPER, _DIGITS, _OTHER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-"
+#: Alphabets by size; a token has the first that holds all its characters.
 ENCODINGS = (
-    ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
-    ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF"),
-    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("lower36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("upper36", r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("alnum", r"^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", r"^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", r"^[0-9A-Za-z_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
-)
+    ("hex", _DIGITS + "abcdef"), ("HEX", _DIGITS + "ABCDEF"), ("lower", _LOWER), ("upper", _UPPER), ("base32", _UPPER + "234567"), ("lower36", _DIGITS + _LOWER),
+    ("upper36", _DIGITS + _UPPER), ("lower38", _DIGITS + _LOWER + "_-"), ("upper38", _DIGITS + _UPPER + "_-"), ("letters", _UPPER + _LOWER), ("alnum", _DIGITS + _UPPER + _LOWER),
+    ("base64", _DIGITS + _UPPER + _LOWER + "+/"), ("base64url", _DIGITS + _UPPER + _LOWER + "_-"), ("any", _DIGITS + _UPPER + _LOWER + _OTHER),
+)
+#: Letters a to z per thousand letters of English prose.
+PROSE = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+#: Share of neighbours of different classes in ordinary tokens of one case, and in those of both cases or with separators.
+CHANGES, MORE_CHANGES = 0.15, 0.35
+#: Letters and runs of ordinary tokens come in words; their counts vary by so much more than independent ones.
+CLUSTERING = 2.0
+LAGS = (1, 2, 3, 4)
+#: The battery rejects randomness below this.
+LEAST_RANDOM = 0.01
 BANDS = (20, 24, 32, 40, 64, 128, 256)
 BINS_EACH = 20
 MOST_BINS = 1000
@@ -42,10 +58,11 @@ FALSE_DISCOVERY = 0.05
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def _places(text: Column, pattern: str, kind: int, value: int | None = None) -> Column:
+def _places(text: Column, pattern: str, kind: int, guard: Column, value: int | None = None) -> Column:
     """Code-point spans of the leftmost non-overlapping matches; with ``value``, only those whose group is long enough.
 
-    What lies between matches and the matches alternate, so their lengths add up to the places.
+    ``guard`` is true for every text with a match. What lies between matches and the matches alternate, so their
+    lengths add up to the places.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value or 0))
@@ -59,8 +76,7 @@ def _places(text: Column, pattern: str, kind: int, value: int | None = None) ->
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(sizes, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    return F.when(guard, F.aggregate(sizes, zero, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
 def upper_tail(z: Column) -> Column:
@@ -72,80 +88,140 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _encoding(token: Column) -> Column:
-    """Number of the first encoding that has all characters, or null; a token needs digits and letters."""
-    mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-    three = mixed & token.rlike("[a-z]") & token.rlike("[A-Z]")
-    return reduce(lambda out, i: out.when((three if i >= 5 else mixed) & token.rlike(ENCODINGS[i][1]), F.lit(i)), range(1, len(ENCODINGS)), F.when(mixed & token.rlike(ENCODINGS[0][1]), F.lit(0)))
-
-
-def randomness(token: Column) -> Column:
-    """p-value of the battery for a token without padding; null if no encoding fits."""
-    enc = _encoding(token)
-    alphabet = F.element_at(F.array(*[F.lit(a) for _, _, a in ENCODINGS]), enc + 1)
-    k = F.length(alphabet).cast("double")
-    n = F.length(token).cast("double")
-    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double"))
-    counts = F.transform(F.filter(F.split(alphabet, ""), lambda c: c != ""), lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"))
-    chi = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * c) * k / n - n
-    df = k - 1
-    p_chi = upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
-    shape = F.regexp_replace(F.regexp_replace(token, "[^0-9]", "l"), "[0-9]", "d")
-    changes = (2 * n - F.length(F.replace(shape, F.lit("dl"), F.lit(""))) - F.length(F.replace(shape, F.lit("ld"), F.lit("")))) / 2
-    n1 = F.length(F.regexp_replace(token, "[^0-9]", "")).cast("double")
-    mean = 2 * n1 * (n - n1) / n + 1
-    spread = F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
-    p_runs = F.least(F.lit(1.0), 2 * upper_tail(F.abs(changes + 1 - mean) / spread))
-    mid = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + c) / n
-    total = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + (c - mid) * (c - mid))
-    lagged = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda x, y: (x - mid) * (y - mid))
-    r = F.aggregate(lagged, F.lit(0.0), lambda acc, c: acc + c) / F.greatest(total, F.lit(1e-9))
-    p_serial = F.least(F.lit(1.0), 2 * upper_tail(F.abs((r + 1 / n) * F.sqrt(n))))
-    return F.when(enc.isNotNull(), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)))
-
-
-def _tokens(text: Column) -> Column:
-    """array<struct<start, end, band, bin>> of the tokens with an encoding; bin grows as the p-value falls."""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    spans = _places(text, TOKEN, len(KINDS) - 1)
-
-    def test(span: Column, token: Column) -> Column:
-        bare = F.regexp_replace(token, "=+$", "")
-        size = F.length(bare)
-        band = reduce(lambda acc, least: acc + F.when(size >= least, 1).otherwise(0), BANDS[1:], F.lit(0))
-        p = randomness(bare)
-        bin_ = F.least(F.lit(MOST_BINS), F.floor(-F.log(F.greatest(p, F.lit(1e-60))) * BINS_EACH)).cast("int")
-        return F.struct(span["start"].alias("start"), span["end"].alias("end"), band.alias("band"), bin_.alias("bin"))
-
-    tested = F.filter(F.zip_with(spans, found, test), lambda x: x["bin"].isNotNull())
-    return F.when(text.rlike(TOKEN), tested).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,band:int,bin:int>>)"))
-
-
-def rejection_bins(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[int, int]:
-    """For each band of length, the least bin in which randomness is rejected (Benjamini-Hochberg at ``rate``).
+def _of_encoding(values: list[float]) -> Column:
+    """A constant of each encoding, as an array."""
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _change(alphabet: str) -> tuple[float, float, float]:
+    """Of a random string: chance that neighbours differ in class, its variance, and the covariance of neighbouring pairs."""
+    shares = [sum(c in kind for c in alphabet) / len(alphabet) for kind in (_LOWER, _UPPER, _DIGITS, _OTHER)]
+    p = 1 - sum(x * x for x in shares)
+    return p, p * (1 - p), sum(x * (1 - x) ** 2 for x in shares) - p * p
+
+
+def _prose() -> tuple[list[float], float, float]:
+    """ln(chance in random letters / chance in prose) of each letter; its mean and variance in prose."""
+    q = [x / sum(PROSE) for x in PROSE]
+    odds = [math.log(1 / 26 / x) for x in q]
+    mean = sum(x * o for x, o in zip(q, odds, strict=True))
+    return odds, mean, sum(x * (o - mean) ** 2 for x, o in zip(q, odds, strict=True))
+
+
+def judged(tokens: DataFrame | None, name: str = "_tokens") -> DataFrame:
+    """Replace ``name``, an array<struct<start, end, token>>, by array<struct<start, end, band, bin, random, ordinary>>.
+
+    random is the battery's p-value, ordinary the p-value under the null of ordinary text, bin grows as the latter
+    falls. Tokens without a letter are left out. Each step is a column of its own, so that expressions stay small.
+    """
+
+    def add(df: DataFrame, **new) -> DataFrame:
+        return df.withColumn(name, F.transform(name, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), *[f(t).alias(k) for k, f in new.items()])))
+
+    keep = lambda *names: {k: (lambda t, k=k: t[k]) for k in names}
+    both = _LOWER + _UPPER + _DIGITS + _OTHER
+    shape = lambda t: F.translate(F.regexp_replace(t["token"], "=+$", ""), both, "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
+    df = add(tokens, token=lambda t: F.regexp_replace(t["token"], "=+$", ""), shape=shape)
+    df = df.withColumn(name, F.filter(name, lambda t: F.lower(t["shape"]).contains("a")))
+
+    def encoding(t: Column) -> Column:
+        out = F.lit(len(ENCODINGS) - 1)
+        for i in reversed(range(len(ENCODINGS) - 1)):
+            out = F.when(F.translate(t["token"], ENCODINGS[i][1], "") == "", i).otherwise(out)
+        return out
+
+    df = add(df, **keep("token", "shape"), enc=encoding, n=lambda t: F.length(t["token"]).cast("double"), changes=lambda t: (F.length(F.regexp_replace(t["shape"], r"(.)\1*+", "$1")) - 1).cast("double"))
+    constant = lambda t, values: F.element_at(_of_encoding(values), t["enc"] + 1)
+    df = add(df, **keep("token", "shape", "enc", "n", "changes"), alphabet=lambda t: F.element_at(F.array(*[F.lit(x) for _, x in ENCODINGS]), t["enc"] + 1), k=lambda t: constant(t, [len(x) for _, x in ENCODINGS]))
+    characters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    odds, mean, variance = _prose()
+    df = add(
+        df, **keep("shape", "enc", "n", "changes", "k"),
+        pairs=lambda t: F.aggregate(characters(t["alphabet"]), F.lit(0.0), lambda acc, c: acc + F.pow(F.length(t["token"]) - F.length(F.replace(t["token"], c, F.lit(""))), F.lit(2.0))),
+        codes=lambda t: F.transform(characters(t["token"]), lambda c: F.instr(t["alphabet"], c).cast("double")),
+        letters=lambda t: F.length(F.regexp_replace(t["token"], "[^A-Za-z]", "")).cast("double"),
+        odd=lambda t: F.aggregate(characters(F.regexp_replace(F.lower(t["token"]), "[^a-z]", "")), F.lit(0.0), lambda acc, c: acc + F.element_at(_of_encoding(odds), F.instr(F.lit(_LOWER), c))),
+    )
+    df = add(df, **keep("shape", "enc", "n", "changes", "k", "pairs", "codes", "letters", "odd"), mid=lambda t: F.aggregate(t["codes"], F.lit(0.0), lambda acc, c: acc + c) / t["n"])
+    df = add(df, **keep("shape", "enc", "n", "changes", "k", "pairs", "letters", "odd"), off=lambda t: F.transform(t["codes"], lambda c: c - t["mid"]))
+
+    def serial(t: Column, lag: int) -> Column:
+        size = F.greatest(F.size(t["off"]) - lag, F.lit(0))
+        lagged = F.zip_with(F.slice(t["off"], F.lit(1), size), F.slice(t["off"], F.lit(lag + 1), size), lambda x, y: x * y)
+        total = F.aggregate(t["off"], F.lit(0.0), lambda acc, x: acc + x * x)
+        return F.aggregate(lagged, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(total, F.lit(1e-9))
+
+    def chi_z(t: Column) -> Column:
+        df_ = t["k"] - 1
+        chi = F.greatest(t["pairs"] * t["k"] / t["n"] - t["n"], F.lit(0.0))
+        return (F.pow(chi / df_, F.lit(1 / 3)) - (1 - 2 / (9 * df_))) / F.sqrt(2 / (9 * df_))
+
+    def runs_z(t: Column) -> Column:
+        p, v, c = (constant(t, [_change(x)[i] for _, x in ENCODINGS]) for i in range(3))
+        spread = F.sqrt(F.greatest((t["n"] - 1) * v + 2 * (t["n"] - 2) * c, F.lit(1e-9)))
+        return F.when(p > 0, F.abs(t["changes"] - (t["n"] - 1) * p) / spread).otherwise(0.0)
+
+    split_up = lambda t: t["shape"].contains("-") | (t["shape"].contains("a") & t["shape"].contains("A"))
+    rate = lambda t: F.when(split_up(t), MORE_CHANGES).otherwise(CHANGES)
+    df = add(
+        df, **keep("n", "changes"),
+        chi=chi_z, runs=runs_z, serial=lambda t: F.greatest(*[F.abs(serial(t, lag) + 1 / t["n"]) for lag in LAGS]) * F.sqrt(t["n"]),
+        runs0=lambda t: (t["changes"] - (t["n"] - 1) * rate(t)) / F.sqrt((t["n"] - 1) * rate(t) * (1 - rate(t)) * CLUSTERING), letters0=lambda t: (t["odd"] - t["letters"] * mean) / F.sqrt(t["letters"] * variance * CLUSTERING),
+    )
+    tests = 2 + len(LAGS)
+    # Chi-squared uniformity is one-sided; a single class of characters has no runs to go by.
+    random = lambda t: F.least(F.lit(1.0), tests * F.least(upper_tail(t["chi"]), 2 * upper_tail(t["runs"]), 2 * upper_tail(t["serial"])))
+    ordinary = lambda t: upper_tail(F.when(t["changes"] > 0, (t["runs0"] + t["letters0"]) / 2**0.5).otherwise(t["letters0"]))
+    df = add(df, **keep("n"), random=random, ordinary=ordinary)
+
+    def band(t: Column) -> Column:
+        out = F.lit(0)
+        for i, least in enumerate(BANDS[1:], 1):
+            out = F.when(t["n"] >= least, i).otherwise(out)
+        return out
+
+    bin_ = lambda t: F.when(t["random"] < LEAST_RANDOM, 0).otherwise(F.least(F.lit(MOST_BINS), F.floor(-F.log(F.greatest(t["ordinary"], F.lit(1e-60))) * BINS_EACH)).cast("int"))
+    return add(df, band=band, bin=bin_, **keep("random", "ordinary"))
+
+
+def _scan(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` with _known and _tokens (see ``judged``) of every row, from one pass over its text, written."""
+    text = F.coalesce("text", F.lit(""))
+    low = F.lower(text)
+    named = low.contains(ASSIGN_WORDS[0])
+    for word in ASSIGN_WORDS[1:]:
+        named = named | low.contains(word)
+    rows = docs.withColumns({"_named": named & text.rlike(ASSIGN), "_long": text.rlike(LONG_RUN)})
+    known = F.concat(_places(text, ASSIGN, 0, F.col("_named"), 2), _places(text, ACCESS, 1, text.contains("AKIA")), _places(text, HEX, 2, F.col("_long")))
+    tokens = F.zip_with(_places(text, TOKEN, 3, F.col("_long")), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda s, t: F.struct(s["start"].alias("start"), s["end"].alias("end"), t.alias("token")))
+    rows = rows.withColumn("_known", known).withColumn("_tokens", F.when(F.col("_long"), tokens).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,token:string>>)")))
+    return materialise(judged(rows.select(*kept, "_known", "_tokens")), "scanned")
+
+
+def report_bins(scanned: DataFrame, rate: float = FALSE_DISCOVERY) -> dict[int, int]:
+    """For each band of length, the least bin that is reported (Benjamini-Hochberg at ``rate``).
 
     The histogram has at most bands x bins rows, whatever the corpus.
     """
-    tokens = docs.select(F.explode(_tokens(F.coalesce("text", F.lit("")))).alias("t")).groupBy("t.band", "t.bin").agg(F.count(F.lit(1)).alias("n"))
+    tokens = scanned.select(F.explode("_tokens").alias("t")).groupBy("t.band", "t.bin").agg(F.count(F.lit(1)).alias("n"))
     band = Window.partitionBy("band")
     ranked = tokens.select("band", "bin", F.sum("n").over(band.orderBy(F.desc("bin"))).alias("k"), F.sum("n").over(band).alias("m"))
     return {r.band: r.bin for r in ranked.filter(F.exp(-F.col("bin") / BINS_EACH) <= F.col("k") / F.col("m") * rate).groupBy("band").agg(F.min("bin").alias("bin")).collect()}
 
 
-def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY) -> DataFrame:
-    """Add ``secrets``: array<struct<start, kind, end>> by start, then kind (numbers of KINDS), in code points.
+def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY, kept: list[str] | None = None) -> DataFrame:
+    """Add ``secrets`` to the columns ``kept`` (default: all): array<struct<start, kind, end>> by start, then kind
+    (numbers of KINDS), in code points.
 
     Known shapes always count; random tokens are added where no known shape overlaps them. A null or empty
     text has none. Rows repeat as they do in ``docs``; a column named ``secrets`` is replaced.
     """
-    bins = rejection_bins(docs, rate)
+    scanned = _scan(docs, [c for c in kept or docs.columns if c != "secrets"])
+    bins = report_bins(scanned, rate)
     cut = F.array(*[F.lit(bins.get(b, MOST_BINS + 1)) for b in range(len(BANDS))])
-    text = F.coalesce("text", F.lit(""))
-    known = F.concat(_places(text, ASSIGN, 0, 2), _places(text, ACCESS, 1), _places(text, HEX, 2))
-    docs = docs.withColumn("_known", known).withColumn("_tokens", _tokens(text))
     free = lambda t: ~F.exists("_known", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    random = F.transform(F.filter("_tokens", lambda t: (t["bin"] < F.element_at(cut, t["band"] + 1)) & free(t)), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return docs.withColumn("secrets", F.array_sort(F.concat("_known", random))).drop("_known", "_tokens")
+    random = F.transform(F.filter("_tokens", lambda t: (t["bin"] > 0) & (t["bin"] >= F.element_at(cut, t["band"] + 1)) & free(t)), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    return scanned.withColumn("secrets", F.array_sort(F.concat("_known", random))).drop("_known", "_tokens")
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
@@ -167,8 +243,9 @@ def _joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
-    found = find_secrets(docs.select("doc_id", "text"))
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row; a null text has no spans, rows repeat as they do
+    in ``docs``, an empty table gives an empty one, and other columns are left out."""
+    found = find_secrets(docs.select("doc_id", "text"), kept=["doc_id"])
     number = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
     base = _joined(F.filter("secrets", lambda s: s["kind"] < 3))
     return found.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"))
