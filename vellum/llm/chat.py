@@ -1,26 +1,34 @@
 """Chat formatting in budgeted windows.
 
 Each turn is rendered between marks, with control strings inside its text escaped. Prefix sums
-of turn tokens deal the turns of a conversation to windows of a token budget, cut between turns.
-A window begins with the conversation's system turn, repeats a limited history of the turns
-before it, and then has its own turns. Only the texts of its own assistant turns are under the
-loss mask, so each is learnt from once.
+of turn tokens deal the turns of a conversation to windows, cut between turns. A window begins
+with the conversation's system turn, repeats a limited history of the turns before it, and then
+has its own turns. Only the texts of its own assistant turns are under the loss mask, so each is
+learnt from once.
+
+What the budget leaves beside the system turn and the history is the room for own turns. A turn
+of more than half the room has a window of its own; the others are dealt by where they begin, to
+stretches of half the room, so that the turns of one stretch never take more than the room. A
+window is beyond the budget only if its own single turn doesn't fit beside the system turn; then
+it repeats no history.
 
 Prefix sums are made in two steps, within blocks of turn numbers and over blocks, so that a long
-conversation isn't one task; what is gathered into one row is one window, which the budget bounds
-(a turn longer than the budget has a window of its own).
+conversation isn't one task; what is gathered into one row is one window.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vellum.llm.common import map_arrow
+from vellum.llm import bpe
+from vellum.llm.common import map_arrow, map_columns, materialise
 
 BUDGET = 512
 HISTORY = 128
@@ -44,45 +52,67 @@ def unescape(text: str) -> str:
     return text
 
 
-def estimate_tokens(rendered: Column) -> Column:
-    """Four characters a token, and one more for each turn."""
-    return (F.ceil(F.length(rendered) / 4) + 1).cast("long")
+def estimate_tokens(turns: DataFrame) -> DataFrame:
+    """Add ``tokens``: four characters of ``shown`` a token, and one more for each turn."""
+    return turns.withColumn("tokens", (F.ceil(F.length("shown") / 4) + 1).cast("long"))
+
+
+def count_tokens(path: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``tokens``: the number of ids of ``shown`` in a byte-level vocabulary. Marks are cut
+    from texts by the vocabulary's pattern, so the turns' numbers add up to that of the window."""
+
+    def add(turns: DataFrame) -> DataFrame:
+        def make():
+            v = bpe.vocabulary(path)
+            return lambda batch: [np.concatenate([np.diff(v.encode_batch(t)[1]) for _, t in bpe.slices(batch, "shown")] or [[]]).astype(np.int64)]
+
+        return map_columns(turns, [T.StructField("tokens", T.LongType())], make)
 
+    return add
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=estimate_tokens) -> DataFrame:
+
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens: Callable[[DataFrame], DataFrame] = estimate_tokens) -> DataFrame:
     """conv_id, window, formatted, n_repeated (turns that an earlier window has too), loss_spans (code points, end exclusive), n_tokens.
 
     Turns are ordered by turn (nulls first), then role and text. Null roles and texts are empty; a null
-    conv_id is a conversation of its own. The system turn is the conversation's first turn of that role, if
-    it is the first turn. Windows are numbered in order, with gaps after turns that are longer than a window.
+    conv_id is a conversation of its own. The system turn is the conversation's first turn, if it has that
+    role. A window's number is that of its first own turn, from 1. Extra columns are left out; an empty table
+    gives an empty one.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     inner = escape(F.col("text"))
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(MIDDLE))
     rows = rows.select("conv_id", "turn", "role", "text", F.concat(head, inner, F.lit(END)).alias("shown"), F.length(head).alias("skip"), F.length(inner).alias("size"))
-    rows = rows.withColumn("tokens", tokens(F.col("shown"))).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    rows = materialise(tokens(rows), "turns").withColumn("block", F.floor(F.col("turn") / BLOCK))
     order = ["turn", "role", "text"]
-    local = Window.partitionBy("conv_id", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("tokens").over(local)).withColumn("nth", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy(*order)))
+    local = Window.partitionBy("conv_id", "block").orderBy(*order)
+    rows = rows.withColumn("upto", F.sum("tokens").over(local.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(local)).drop("text")
     over_blocks = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("conv_id", "block").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("c"))
     blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("t").over(over_blocks), F.lit(0)).alias("t0"), F.coalesce(F.sum("c").over(over_blocks), F.lit(0)).alias("c0"))
     rows = rows.alias("r").join(blocks.alias("b"), F.col("r.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("r.block").eqNullSafe(F.col("b.block"))).select("r.*", "t0", "c0")
     rows = rows.select("conv_id", "role", "shown", "skip", "size", "tokens", (F.col("upto") + F.col("t0")).alias("upto"), (F.col("nth") + F.col("c0")).alias("nth"))
-    room = max(1, budget - history)
-    rows = rows.withColumn("window", F.floor((F.col("upto") - F.col("tokens")) / room))
-    ends = F.max("upto").over(Window.partitionBy("conv_id", "window"))
-    rows = rows.withColumn("end", ends).withColumn("later", F.floor(F.col("end") / room))
-    first = (F.col("nth") == 1) & (F.col("role") == SYSTEM)
-    near = (F.col("end") - (F.col("upto") - F.col("tokens")) <= history) & ~first
+    rows = materialise(rows, "numbered")
     turn = lambda repeat: F.struct(F.lit(repeat).alias("repeat"), F.col("nth"), "shown", "skip", "size", "tokens", (F.lit(repeat == 2) & (F.col("role") == LEARNT)).alias("learnt"))
+    first = (F.col("nth") == 1) & (F.col("role") == SYSTEM)
+    system = rows.filter(first).select(F.col("conv_id").alias("_conv"), F.col("tokens").alias("_kept"), F.array(turn(0)).alias("_system"))
+    own_system = F.col("conv_id").eqNullSafe(F.col("_conv"))
+    rows = rows.join(system.select("_conv", "_kept"), own_system, "left")
+    half = F.greatest(F.lit(1.0), (budget - history - F.coalesce("_kept", F.lit(0))) / 2)
+    begin = F.col("upto") - F.col("tokens")
+    # A turn of more than half the room ends its stretch: the next one begins beyond it.
+    rows = rows.withColumn("stretch", 2 * F.floor(begin / half) + (F.col("tokens") > half).cast("int"))
+    together = Window.partitionBy("conv_id", "stretch")
+    rows = rows.select("*", F.max("upto").over(together).alias("end"), F.min("nth").over(together).alias("window"), (F.max("nth").over(together) + 1).alias("later"))
+    near = (F.col("end") - begin <= history) & ~first
     place = lambda window, repeat: F.struct(window.alias("window"), turn(repeat).alias("turn"))
     placed = rows.select("conv_id", F.explode(F.when(near, F.array(place(F.col("window"), 2), place(F.col("later"), 1))).otherwise(F.array(place(F.col("window"), 2)))).alias("p")).select("conv_id", "p.window", "p.turn")
     windows = placed.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("turn")).alias("turns")).filter(F.exists("turns", lambda t: t["repeat"] == 2))
-    system = rows.filter(first).select(F.col("conv_id").alias("_conv"), F.array(turn(0)).alias("_system"))
-    windows = windows.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
-    with_system = F.when(F.col("_system").isNotNull() & (F.col("turns")[0]["nth"] != 1), F.concat("_system", "turns")).otherwise(F.col("turns"))
+    windows = windows.join(system, own_system, "left")
+    with_system = F.when(F.col("_system").isNotNull() & (F.col("window") != 1), F.concat("_system", "turns")).otherwise(F.col("turns"))
     windows = windows.select("conv_id", "window", with_system.alias("turns"))
+    n_tokens = F.aggregate("turns", F.lit(0).cast("long"), lambda acc, t: acc + t["tokens"])
+    windows = windows.withColumn("turns", F.when(n_tokens > budget, F.filter("turns", lambda t: t["repeat"] != 1)).otherwise(F.col("turns")))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"))
 
     def step(acc: Column, t: Column) -> Column:
@@ -92,7 +122,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
 
     return windows.select(
         "conv_id", "window", F.array_join(F.transform("turns", lambda t: t["shown"]), "").alias("formatted"), F.size(F.filter("turns", lambda t: t["repeat"] < 2)).alias("n_repeated"),
-        F.aggregate("turns", zero, step, lambda acc: acc["spans"]).alias("loss_spans"), F.aggregate("turns", F.lit(0).cast("long"), lambda acc, t: acc + t["tokens"]).alias("n_tokens"),
+        F.aggregate("turns", zero, step, lambda acc: acc["spans"]).alias("loss_spans"), n_tokens.alias("n_tokens"),
     )
 
 
@@ -150,7 +180,13 @@ def _row(conv, state) -> dict:
 EXTRA = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
-def report(conversations: DataFrame) -> DataFrame:
+def report(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation and of EXTRA.
+
+    Turns are ordered by turn (nulls first), then role and text; a null text or role is empty; a null conv_id is
+    a conversation; repeated rows are turns of their own; an empty table gives the row of EXTRA; other columns
+    are left out.
+    """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = conversations.sparkSession.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")
-    return read_back(format_windows(rows.unionByName(extra)))
+    return read_back(format_windows(rows.unionByName(extra), tokens=count_tokens(tokenizer_path)))

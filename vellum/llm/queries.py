@@ -36,7 +36,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.report(table(spark, sf_dir, "conversations"))
+    return chat.report(table(spark, sf_dir, "conversations"), tokenizer_path())
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
