@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import layout_queries, paper_queries, reference_queries, store_queries, stream_queries, structure_queries, text_queries, zone_queries
+from vellum.plans import layout_queries, paper_queries, reference_queries, review_queries, store_queries, stream_queries, structure_queries, text_queries, zone_queries
 
-PARTS = (text_queries, paper_queries, reference_queries, layout_queries, structure_queries, store_queries, stream_queries, zone_queries)
+PARTS = (text_queries, paper_queries, reference_queries, layout_queries, structure_queries, store_queries, stream_queries, zone_queries, review_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

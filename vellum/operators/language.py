@@ -82,6 +82,28 @@ def apply_text_rules(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_spaces", "n_punctuation", "n_your", "n_their", "text")
 
 
+# The verbs after "your", and the spellings, of the second rule set.
+YOUR_VERBS = "going|doing|coming|leaving|getting|being|saying|trying|running|making|giving|taking|eating|sleeping"
+SPELLINGS = [("accomodate", "accommodate"), ("bussiness", "business"), ("wether", "whether"), ("recieve", "receive"), ("neccessary", "necessary")]
+
+
+def basic_enhancements(docs: DataFrame) -> DataFrame:
+    """doc_id, text, changes (comma-joined, in order): spaces, space before punctuation and each spelling count as changes;
+    capitals after a sentence's end, your, their and its are mended without being counted."""
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    space, punct = "  ", r"\s+([.,!?;:])"
+    out = out.withColumn("c0", F.when(F.col("t").contains(space), "whitespace")).withColumn("t", F.regexp_replace("t", " {2,}", " "))
+    out = out.withColumn("c1", F.when(F.col("t").rlike(punct), "punctuation")).withColumn("t", F.regexp_replace("t", punct, "$1"))
+    raised = F.transform(F.regexp_extract_all("t", F.lit(r"[.!?]\s+[a-z]"), F.lit(0)), lambda m: F.concat(F.substring(m, 1, 1), F.lit(" "), F.upper(F.substring(m, -1, 1))))
+    out = out.withColumn("t", F.array_join(F.zip_with(F.split("t", r"[.!?]\s+[a-z]", -1), raised, lambda gap, r: F.concat(gap, F.coalesce(r, F.lit("")))), ""))
+    for pattern, new in ((rf"(?i)\byour\s+({YOUR_VERBS})\b", "you're $1"), (r"(?i)\btheir\s+(is|are|was|were)\b", "there $1"), (r"(?i)\bits\s+(is|are|was|were|has|have|had)\b", "it's $1")):
+        out = out.withColumn("t", F.regexp_replace("t", ascii_rule(pattern), new))
+    for i, (wrong, right) in enumerate(SPELLINGS, 2):
+        pattern = ascii_rule(rf"(?i)\b{wrong}\b")
+        out = out.withColumn(f"c{i}", F.when(F.col("t").rlike(pattern) & (F.regexp_replace("t", pattern, right) != F.col("t")), wrong)).withColumn("t", F.regexp_replace("t", pattern, right))
+    return out.select("doc_id", F.col("t").alias("text"), F.concat_ws(",", *[f"c{i}" for i in range(2 + len(SPELLINGS))]).alias("changes"))
+
+
 def style_suggestions(docs: DataFrame) -> DataFrame:
     """doc_id, type, n: a row for each kind of suggestion that a document gets.
 

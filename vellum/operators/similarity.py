@@ -30,13 +30,14 @@ def tfidf_vectors(units: DataFrame, keys: list[str]) -> DataFrame:
     return weights.join(norms, keys).select(*keys, "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def match_chunks(chunks: DataFrame, sources: DataFrame, threshold: float | None = THRESHOLD) -> DataFrame:
+def match_chunks(chunks: DataFrame, sources: DataFrame, threshold: float | None = THRESHOLD, fitted: DataFrame | None = None) -> DataFrame:
     """doc_id, chunk_idx, source, similarity (4 digits), percent, preview of pairs that reach the threshold.
 
     A unit's tokens are ordered from the rarest on. If two units reach the threshold, the first token that they
     share begins, in both, a rest whose norm reaches it too (the product of two rests bounds what they share from
     there on). So units meet on such leading tokens alone, frequent words almost never, and the pairs that meet get
-    their whole product. A threshold of 0 or None means the default.
+    their whole product. A threshold of 0 or None means the default. Weights are fitted on chunks and sources, or on the
+    table ``fitted`` (text), so that they don't depend on which chunks come together.
     """
     threshold = threshold or THRESHOLD
     none = F.lit(None).cast("long")
@@ -44,9 +45,12 @@ def match_chunks(chunks: DataFrame, sources: DataFrame, threshold: float | None
         sources.select(none.alias("a"), none.alias("b"), F.col("source_id").cast("long").alias("s"), F.col("text").alias("text"))
     )
     counts = units.select("a", "b", "s", F.explode(tokens(F.col("text"))).alias("token")).groupBy("a", "b", "s", "token").agg(F.count(F.lit(1)).alias("tf"))
-    n = units.count()
-    idf = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)
-    weights = counts.join(idf, "token").select("a", "b", "s", "token", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    if fitted is None:
+        n, df = units.count(), counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        n, df = fitted.count(), fitted.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    weights = counts.join(df, "token", "inner" if fitted is None else "left").na.fill(0, ["df"])
+    weights = weights.select("a", "b", "s", "token", "df", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
     unit = Window.partitionBy("a", "b", "s")
     squares = lambda w: F.sum(F.col("w") * F.col("w")).over(w)
     rest = squares(unit.orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing))
@@ -81,10 +85,10 @@ def plagiarism_report(chunks: DataFrame, matches: DataFrame, threshold: float =
     return out.withColumn("level", plagiarism_level(F.col("score"), threshold))
 
 
-def batch_check(docs: DataFrame, sources: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def batch_check(docs: DataFrame, sources: DataFrame, threshold: float = THRESHOLD, fitted: DataFrame | None = None) -> DataFrame:
     """The whole corpus against a table of sources (source_id, text): two-sentence chunks, matches, report."""
     chunks = sentence_chunks(docs.filter(F.trim("text") != ""), 2)
-    return plagiarism_report(chunks, match_chunks(chunks, sources, threshold), threshold)
+    return plagiarism_report(chunks, match_chunks(chunks, sources, threshold, fitted), threshold)
 
 
 def similar_sentences(a: DataFrame, b: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -178,6 +182,29 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(groups, "k").select("doc_id", "first_id", "group_size", (F.col("doc_id") == F.col("first_id")).alias("kept"))
 
 
+def shingle_candidates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """a_id, b_id (a_id < b_id), jaccard of texts whose sets of ``width``-word shingles reach the threshold; of texts that are
+    equal but for case and white space the first stands for all.
+
+    Two such sets share one of the rarest ``size - least overlap + 1`` shingles of each, so texts meet on rare shingles
+    alone; what meets is counted in full, so there is no false pair and none is missed.
+    """
+    rows = docs.filter(strip(F.col("text")) != "").select("doc_id", normal_key(F.col("text")).alias("t"))
+    texts = rows.groupBy(F.sha2("t", 256).alias("k")).agg(F.min("doc_id").alias("d"), F.min("t").alias("t")).select("d", F.split("t", " ").alias("w"))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " ")))
+    shingles = texts.select("d", F.explode(F.array_distinct(pieces)).alias("s"))
+    counts = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    unit = Window.partitionBy("d")
+    placed = shingles.join(counts, "s").select("d", "s", "df", F.row_number().over(unit.orderBy("df", "s")).alias("nth"), F.count(F.lit(1)).over(unit).alias("n"))
+    leads = placed.filter((F.col("df") > 1) & (F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).select("d", "s", "n")
+    side = lambda df, x: df.select(F.col("d").alias(f"{x}_id"), "s", F.col("n").alias(f"n_{x}"))
+    fits = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    pairs = side(leads, "a").join(side(leads, "b"), "s").filter((F.col("a_id") < F.col("b_id")) & fits).select("a_id", "b_id", "n_a", "n_b").distinct()
+    both = pairs.join(shingles.select(F.col("d").alias("a_id"), "s"), "a_id").join(shingles.select(F.col("d").alias("b_id"), "s"), ["b_id", "s"])
+    found = both.groupBy("a_id", "b_id", "n_a", "n_b").agg(F.count(F.lit(1)).alias("o"))
+    return found.select("a_id", "b_id", (F.col("o") / (F.col("n_a") + F.col("n_b") - F.col("o"))).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9).withColumn("jaccard", F.round("jaccard", 6))
+
+
 def word_overlap(pairs: DataFrame) -> DataFrame:
     """pair_id, confidence: Jaccard of lower-case words within 0.5 to 1; 0 for equal texts, 0.5 for an empty original."""
     p = pairs.select("pair_id", "original", "revised", F.array_distinct(words(F.lower("original"))).alias("a"), F.array_distinct(words(F.lower("revised"))).alias("b"))

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.lexicons import ESSENTIAL, JOURNAL, RECOMMENDED, SECTION_HEADERS, SECTION_KEYWORDS
-from vellum.functions.text import ranked, strip, words
+from vellum.functions.lexicons import ESSENTIAL, JOURNAL, KNOWLEDGE, OPTIONAL_SECTIONS, RECOMMENDED, REQUIRED_SECTIONS, SECTION_HEADERS, SECTION_KEYWORDS, SECTION_SIGNS
+from vellum.functions.text import ascii_rule, ranked, strip, words
+from vellum.operators.similarity import tokens
+from vellum.operators.zones import KEYWORDS, MEASURES, REFERENCE_TITLES, TITLE_NUMBER, is_marginal, single_spaced
 
 MARKDOWN = r"^(#{1,6})\s+(.+)$"
 NUMBER = r"^\d+(?:\.\d+)*\s+"
@@ -205,3 +207,124 @@ def guideline_rules(docs: DataFrame, pattern: str, most: int = 40) -> DataFrame:
     rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line", strip(F.col("line"))).filter(F.col("line").rlike(pattern))
     first = rows.withColumn("k", F.lower(F.regexp_replace("line", r"\s+", " "))).groupBy("doc_id", "k").agg(F.min(F.struct("line_no", "line")).alias("f")).select("doc_id", "f.line_no", "f.line")
     return ranked(first, ["doc_id"], ["line_no"], "place").filter(F.col("place") <= most).select("doc_id", "place", "line")
+
+
+def section_scores(chunks: DataFrame, knowledge: list[tuple[str, str]] = KNOWLEDGE) -> DataFrame:
+    """doc_id, section, score (4 digits): the best cosine of a document's chunks with the statements on each section, by
+    TF-IDF fitted on the statements; pairs without a common word have none. The statements are a fixed short list."""
+    spark = chunks.sparkSession
+    kb = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(knowledge)], "kb_idx int, section string, text string")
+    words_of = kb.select("kb_idx", "section", F.explode(tokens(F.col("text"))).alias("token")).groupBy("kb_idx", "section", "token").agg(F.count(F.lit(1)).alias("tf"))
+    idf = words_of.groupBy("token").agg((F.log((1.0 + len(knowledge)) / (1.0 + F.count(F.lit(1)))) + 1).alias("idf"))
+
+    def unit(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        w = df.join(F.broadcast(idf), "token").withColumn("w", F.col("tf") * F.col("idf"))
+        return w.select(*keys, "token", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))).alias(name))
+
+    mine = chunks.select("doc_id", "chunk_idx", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "chunk_idx", "token").agg(F.count(F.lit(1)).alias("tf"))
+    both = unit(mine, ["doc_id", "chunk_idx"], "v").join(F.broadcast(unit(words_of, ["kb_idx", "section"], "w")), "token")
+    scores = both.groupBy("doc_id", "chunk_idx", "kb_idx", "section").agg(F.sum(F.col("v") * F.col("w")).alias("c"))
+    return scores.groupBy("doc_id", "section").agg(F.round(F.max("c"), 4).alias("score"))
+
+
+def gap_report(chunks: DataFrame, present: float = 0.35, thin: float = 0.25) -> DataFrame:
+    """doc_id, present, thin, missing (comma-joined), coverage of documents with chunks (doc_id, chunk_idx, text): a section is
+    present or thin by its score; of the others required ones are missing. Optional sections count for the coverage,
+    which may so be more than 1."""
+    asked = F.array(*map(F.lit, [*REQUIRED_SECTIONS, *OPTIONAL_SECTIONS]))
+    known = section_scores(chunks).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "score"))).alias("m"))
+    rows = chunks.select("doc_id").distinct().join(known, "doc_id", "left").withColumn("asked", asked)
+    score = lambda s: F.coalesce(F.element_at("m", s), F.lit(0.0))
+    lists = rows.select("doc_id", F.filter("asked", lambda s: score(s) >= present).alias("p"), F.filter("asked", lambda s: (score(s) >= thin) & (score(s) < present)).alias("t"), F.filter("asked", lambda s: (score(s) < thin) & s.isin(*REQUIRED_SECTIONS)).alias("m"))
+    return lists.select("doc_id", F.array_join("p", ",").alias("present"), F.array_join("t", ",").alias("thin"), F.array_join("m", ",").alias("missing"), F.round(F.size("p") / len(REQUIRED_SECTIONS), 3).alias("coverage"))
+
+
+def keyword_gaps(chunks: DataFrame) -> DataFrame:
+    """doc_id, present, missing (comma-joined required sections), coverage by section types and words of the whole text."""
+    low = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "text"))), lambda x: x["text"]), " "))
+    rows = chunks.groupBy("doc_id").agg(F.collect_set("section_type").alias("k"), low.alias("t"))
+    said = F.filter(F.array(*[F.when(reduce(lambda a, b: a | b, [F.col("t").contains(w) for w in ws]), k) for k, ws in SECTION_SIGNS]), lambda x: x.isNotNull())
+    asked = F.array(*map(F.lit, REQUIRED_SECTIONS))
+    rows = rows.select("doc_id", F.array_union("k", said).alias("k")).select("doc_id", F.array_intersect(asked, "k").alias("p"), F.array_except(asked, "k").alias("m"))
+    return rows.select("doc_id", F.array_join("p", ",").alias("present"), F.array_join("m", ",").alias("missing"), F.round(F.size("p") / len(REQUIRED_SECTIONS), 3).alias("coverage"))
+
+
+# What makes a paragraph a heading inside a section.
+HEADING_MARK = r"^\s*(?:[IVXLCDM]+\.|\d+(?:\.\d+)*\.?|[A-Z]\.)\s+\S+"
+NO_HEADINGS = ("abstract", "references", "bibliography", "works cited")
+KNOWN_HEADINGS = ("background", "related work", "literature review", "methodology", "methods", "results", "discussion", "limitations", "conclusion", "future work", "experimental setup", "dataset", "data collection", "evaluation")
+HEADING_BARS = (r"\b(et al|doi|http|www|@)\b", r"^(?:o|[-*•])\s+", r"[%~]|(?:accuracy|precision|recall|support|samples?|prediction)\s*:")
+CITED_YEAR = r"\([A-Za-z][^)]*,\s*\d{4}[a-z]?\)"
+
+
+def is_embedded_heading(text: Column) -> Column:
+    """At most 120 characters and 10 words without marks of prose or measures: numbered, mostly upper-case, title case, or known."""
+    v = single_spaced(text)
+    low, n = F.lower(v), F.regexp_count(v, F.lit("[A-Za-z0-9]+"))
+    upper, letters = F.regexp_count(v, F.lit(r"\p{Lu}")), F.regexp_count(v, F.lit(r"\p{L}"))
+    titled = F.size(F.filter(words(v), lambda w: w.rlike(r"^\p{Lu}")))
+    barred = reduce(lambda a, b: a | b, [low.rlike(ascii_rule(p)) for p in HEADING_BARS]) | v.rlike(CITED_YEAR) | v.rlike(r":\s*(?:\d|~)") | (F.regexp_count(v, F.lit("[0-9]")) >= 2) | low.isin(*NO_HEADINGS)
+    shape = v.rlike(HEADING_MARK) | (~v.rlike("[.,;:]$") & (((letters > 0) & (upper / F.greatest(letters, F.lit(1)) > 0.65)) | ((n <= 8) & (titled >= F.greatest(F.lit(1), F.floor(F.size(words(v)) / 2)))) | low.isin(*KNOWN_HEADINGS)))
+    return (F.length(v) <= 120) & n.between(1, 10) & ~barred & shape
+
+
+def embedded_headings(paragraphs: DataFrame) -> DataFrame:
+    """doc_id, section_idx, sub_idx (from 1), title (null for what precedes the first heading), n_paragraphs, text of sections
+    (doc_id, section_idx, para_idx, text) split at heading-like paragraphs after the first; headings without a body go."""
+    order = Window.partitionBy("doc_id", "section_idx").orderBy("para_idx")
+    rows = paragraphs.withColumn("head", (F.row_number().over(order) > 1) & is_embedded_heading(F.col("text"))).withColumn("island", F.sum(F.col("head").cast("int")).over(order))
+    out = rows.groupBy("doc_id", "section_idx", "island").agg(F.max(F.when(F.col("head"), single_spaced(F.col("text")))).alias("title"), F.count_if(~F.col("head")).alias("n_paragraphs"), F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("para_idx", "text")))).alias("l"))
+    out = ranked(out.filter("n_paragraphs > 0"), ["doc_id", "section_idx"], ["island"], "sub_idx")
+    return out.select("doc_id", "section_idx", "sub_idx", "title", "n_paragraphs", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+
+
+FRONT_MATTER = ("table of contents", "contents", "list of tables", "list of figures")
+
+
+def clean_heading(text: Column) -> Column:
+    """A heading without its number and with single spaces, or as it is if nothing is left."""
+    v = F.regexp_replace(F.regexp_replace(F.regexp_replace(strip(text), TITLE_NUMBER, ""), r"\s+", " "), r"^[ _\t-]+|[ _\t-]+$", "")
+    return F.when(v != "", v).otherwise(strip(text))
+
+
+def document_title(blocks: DataFrame, most: int = 30) -> DataFrame:
+    """doc_id, title: of the first ``most`` blocks up to three titles and headings within half a point of the largest font, if
+    that is a title's or 12 points at least; else the first block of at most 30 words. Metadata lines don't count."""
+    early = ranked(blocks, ["doc_id"], ["block_idx"], "nth").filter((F.col("nth") <= most) & (strip(F.col("text")) != ""))
+    able = F.col("type").isin("title", "heading") & ~is_marginal(F.col("text"))
+    size = F.coalesce("font_size", F.lit(0.0))
+    by = Window.partitionBy("doc_id")
+    early = early.withColumn("largest", F.max(F.when(able, F.struct(size.alias("size"), (-F.col("nth")).alias("at"), (F.col("type") == "title").alias("t")))).over(by))
+    fits = able & (F.abs(size - F.col("largest.size")) <= 0.5) & ((F.col("largest.size") >= 12) | F.col("largest.t"))
+    early = early.withColumn("k", F.sum(fits.cast("int")).over(by.orderBy("nth")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(fits & (F.col("k") <= 3), F.struct("nth", clean_heading(F.col("text")).alias("t"))))), lambda x: x["t"]), " ")
+    plain = ~is_marginal(F.col("text")) & (F.size(words(F.col("text"))) <= 30)
+    out = early.groupBy("doc_id").agg(joined.alias("a"), F.min_by(F.when(plain, clean_heading(F.col("text"))), F.when(plain, F.col("nth"))).alias("b"))
+    return out.select("doc_id", F.when(F.col("a") != "", F.col("a")).otherwise(F.col("b")).alias("title"))
+
+
+def document_parts(blocks: DataFrame) -> DataFrame:
+    """doc_id, block_idx, part, section_idx of blocks (doc_id, block_idx, type, text, font_size) that aren't blank.
+
+    Parts: title, heading, body, table, abstract, keywords, references and dropped. A reference heading, or the first
+    ``[n]`` paragraph, begins the references, in which later headings stay unless one is the abstract's. What precedes the
+    first heading is dropped, and so are headings that are in the title, and sections of front matter or without body.
+    """
+    order = Window.partitionBy("doc_id").orderBy("block_idx")
+    rows = blocks.filter((strip(F.col("text")) != "") | (F.col("type") == "table")).join(document_title(blocks), "doc_id", "left")
+    head, low = F.col("type") == "heading", F.lower(F.col("clean"))
+    rows = rows.withColumn("s", strip(F.col("text"))).withColumn("clean", clean_heading(F.col("text"))).withColumn("in_title", head & F.lower(F.coalesce("title", F.lit(""))).contains(low))
+    listed = (F.col("type") == "paragraph") & F.col("s").rlike(r"^\[\d+\]\s+\S+")
+    event = F.when(head & ~F.col("in_title"), F.when(low.isin(*REFERENCE_TITLES), "r").when(low == "abstract", "a").otherwise("s")).when(listed, "r")
+    rows = rows.withColumn("event", event).withColumn("listed", F.coalesce(F.last(F.when(F.col("event") != "s", F.col("event")), ignorenulls=True).over(order), F.lit("")) == "r")
+    rows = rows.withColumn("opens", (F.col("event") == "s") & ~F.col("listed"))
+    rows = rows.withColumn("state", F.last(F.when(F.col("opens"), "s").when(F.col("event") == "a", "a"), ignorenulls=True).over(order)).withColumn("section_idx", F.sum(F.coalesce(F.col("opens").cast("int"), F.lit(0))).over(order))
+    part = (
+        F.when(F.col("type") == "title", "title").when(F.col("in_title"), "dropped").when(head & F.col("event").isin("r", "a"), "dropped").when(F.col("listed"), "references").when(head, "heading")
+        .when(F.col("type") == "table", F.when(F.col("state") == "s", "table").otherwise("dropped")).when(F.lower("s").startswith("abstract:"), "abstract").when(F.col("s").rlike(KEYWORDS), "keywords")
+        .when(F.col("state") == "a", "abstract").when((F.col("state") == "s") & ~F.lower("s").isin(*FRONT_MATTER), "body").otherwise("dropped")
+    )
+    rows = rows.withColumn("part", part)
+    section = Window.partitionBy("doc_id", "section_idx")
+    full = F.max(F.col("part") == "body").over(section) & ~F.coalesce(F.max(F.when(F.col("part") == "heading", low.isin(*FRONT_MATTER))).over(section), F.lit(False))
+    return rows.select("doc_id", "block_idx", F.when(F.col("part").isin("heading", "body", "table") & ~full, "dropped").otherwise(F.col("part")).alias("part"), "section_idx")

@@ -105,6 +105,7 @@ KEYS = f"keys AS (SELECT doc_id, ref_idx, CASE WHEN ref_number IS NOT NULL THEN
 query("cit15_bib_keys", f"WITH {PARSED}, {KEYS} SELECT * FROM keys")(lambda s, d: ref.bib_keys(parsed(s, d)))
 
 N = "len(authors)"
+SPACED = r"regexp_replace(raw, '\s+', ' ', 'g')"
 IEEE_NAME, HARVARD_NAME = r"^([A-Za-z'-]+),\s*([A-Z])[a-z]*(?:\s*([A-Z])\.?)?", r"^([A-Za-z'-]+),\s*([A-Z])"
 TURNED = f"list_transform(authors[1:6], lambda x: CASE WHEN {hit('x', IEEE_NAME)} THEN concat({get('x', IEEE_NAME, 2)}, '.', CASE WHEN {get('x', IEEE_NAME, 3)} <> '' THEN concat(' ', {get('x', IEEE_NAME, 3)}, '.') ELSE '' END, ' ', {get('x', IEEE_NAME, 1)}) ELSE x END)"
 SHORT = f"list_transform(authors, lambda x: CASE WHEN {hit('x', HARVARD_NAME)} THEN concat({get('x', HARVARD_NAME, 1)}, ', ', {get('x', HARVARD_NAME, 2)}, '.') ELSE x END)"
@@ -141,7 +142,7 @@ for _style in ref.STYLES:
     _order = "ref_idx" if _numbered else rf"lower(regexp_replace(entry, '^[\[(]?\d+[\])]?\s*', '')), ref_idx"
     query(
         f"cit13_convert_{_style.lower()}",
-        rf"""WITH {PARSED}, o AS (SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY doc_id, lower({strip("regexp_replace(raw, '\s+', ' ', 'g')")}) ORDER BY ref_idx) = 1), n AS (SELECT *, lower({AUTHORS["APA"]}) AS who, {strip(rendered(_style))} AS shown FROM o),
+        rf"""WITH {PARSED}, o AS (SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY doc_id, lower({strip(SPACED)}) ORDER BY ref_idx) = 1), n AS (SELECT *, lower({AUTHORS["APA"]}) AS who, {strip(rendered(_style))} AS shown FROM o),
 e AS (SELECT doc_id, ref_idx, CASE WHEN NOT (who IN ('', 'unknown author') AND lower(title) IN ('', 'untitled') AND lower(year) IN ('', 'n.d.')) AND length(shown) >= 10 THEN shown ELSE {strip("raw")} END AS entry FROM n), p AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {_order}) AS INT) AS place FROM e)
 SELECT doc_id, place, {rf"CASE WHEN regexp_matches(entry, '^\[\d+\]') THEN entry ELSE concat('[', place, '] ', entry) END" if _numbered else "entry"} AS entry FROM p UNION ALL SELECT DISTINCT doc_id, 0, '{ref.HEADINGS[_style]}' FROM p""",
     )(lambda s, d, k=_style: ref.convert_bibliography(parsed(s, d), k))

@@ -50,12 +50,17 @@ SELECT l.user_id, count(*) AS used, last_reset FROM l JOIN e ON e.user_id = l.us
 )(lambda s, d: jobs.run_to_table(jobs.usage_counters(jobs.event_stream(s, d).select("user_id", "ts"), 5), ["user_id"]))
 
 
-@query("stm5_screen_new_documents", matches_sql(2, 0.75) + REPORT.format(0.75))
+# Weights fitted on the sources alone.
+FITTED = matches_sql(2, 0.75).replace("x_i AS (SELECT token, ln((1.0 + (SELECT count(*) FROM x_u)) / (1.0 + count(*))) + 1 AS idf FROM x_c GROUP BY token)", "x_i AS (SELECT token, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*) FILTER (s IS NOT NULL))) + 1 AS idf FROM x_c GROUP BY token)")
+
+
+@query("stm5_screen_new_documents", FITTED + REPORT.format(0.75))
 def screen(spark, folder):
-    """Each trigger's documents against the sources; weights are fitted on the trigger's chunks and the sources."""
+    """Each trigger's documents against the sources. Weights are fitted on the sources, so that a document's result doesn't
+    depend on the trigger that it comes with."""
     stream = spark.readStream.schema(corpus.DOCUMENTS).parquet(f"{folder}/documents.parquet*")
     sources = bench(spark, folder)
-    return jobs.run_to_table(stream, ["doc_id"], "append", each=lambda rows: similarity.batch_check(rows, sources))
+    return jobs.run_to_table(stream, ["doc_id"], "append", each=lambda rows: similarity.batch_check(rows, sources, fitted=sources))
 
 
 query(

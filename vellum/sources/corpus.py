@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,13 @@ def corpus_metadata(docs: DataFrame, visuals: DataFrame | None = None) -> DataFr
 def write_results(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None, mode: str = "append") -> None:
     """Append results as Parquet or JSON lines, in folders by the given columns."""
     df.write.mode(mode).partitionBy(*(by or [])).format(kind).save(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share (``spark.checkpoint.dir``). Only local executors may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{base.rstrip('/')}/vellum-{spark.range(1).select(F.expr('uuid()')).first()[0]}"

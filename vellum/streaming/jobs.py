@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vellum.sources.corpus import shared_folder
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 PROGRESS = "type string, stage int, chunk int, total int"
 
@@ -104,8 +105,7 @@ def run_to_table(stream: DataFrame, keys: list[str], mode: str = "update", check
     ``each`` is applied to each trigger's rows first.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    run = f"{base}/stream-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+    run = shared_folder(spark)
     path, checkpoint = path or f"{run}/out", checkpoint or f"{run}/checkpoint"
     schema = each(spark.createDataFrame([], stream.schema)).schema if each else stream.schema
 
