@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import places, ranked, strip
+from vellum.sources.corpus import written_once
 
 # Header patterns of reference sections.
 HEADS = r"(?:references?|bibliography|works\s+cited|reference\s+list|sources)"
@@ -138,7 +139,7 @@ def match_citations(citations: DataFrame, references: DataFrame) -> DataFrame:
 
 def citation_match_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_citations, n_references, matched, unmatched, uncited, quality (percent of citations that match) of every document."""
-    citations, references = extract_citations(docs), extract_references(docs)
+    citations, references = written_once(extract_citations(docs)), written_once(extract_references(docs))
     edges = match_citations(citations, references).filter("is_primary")
     count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
     out = docs.select("doc_id").join(count(citations, "n_citations"), "doc_id", "left").join(count(references, "n_references"), "doc_id", "left")
@@ -148,10 +149,12 @@ def citation_match_report(docs: DataFrame) -> DataFrame:
 
 
 def unmatched_citations(citations: DataFrame, edges: DataFrame) -> DataFrame:
+    """The citations that have no edge."""
     return citations.join(edges, ["doc_id", "cit_idx"], "left_anti")
 
 
 def uncited_references(references: DataFrame, edges: DataFrame) -> DataFrame:
+    """The references that are no citation's primary match."""
     return references.join(edges.filter("is_primary"), ["doc_id", "ref_idx"], "left_anti")
 
 

@@ -19,19 +19,24 @@ TONE_CONTRACTION = r"\b\w+'\w+\b"
 TONE_FIRST_PERSON = r"(?i)\b(?:I|me|my|mine|we|us|our|ours)\b"
 
 
-def syllables(word: Column) -> Column:
-    """Vowel groups of the ASCII letters; one less for a final e, one more for a final le, at least one; one up to three letters."""
-    w = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    groups = F.greatest(F.regexp_count(w, F.lit("[aeiouy]+")), F.when(w.rlike("[aeiouy]"), 0).otherwise(1))
-    count = groups - F.when(w.endswith("e"), 1).otherwise(0) + F.when(w.endswith("le"), 1).otherwise(0)
-    return F.when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), count))
+def syllables(word: Column, marked: Column) -> Column:
+    """Vowel groups of a lower-case word of letters, each a V in ``marked``; one less for a final e, one more for a final
+    le, at least one; one up to three letters."""
+    groups = F.greatest(F.lit(1), F.length(marked) - F.length(F.replace(marked, F.lit("V"), F.lit(""))))
+    count = groups - F.when(word.endswith("e"), 1).otherwise(0) + F.when(word.endswith("le"), 1).otherwise(0)
+    return F.when(F.length(word) <= 3, 1).otherwise(F.greatest(F.lit(1), count))
 
 
 def readability(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_words, n_syllables, n_complex, flesch, level, fog; null scores without words or sentences."""
+    """doc_id, n_sentences, n_words, n_syllables, n_complex, flesch, level, fog; null scores without words or sentences.
+
+    Case, other characters and vowels are seen to once for a whole text. A word without ASCII letters has one syllable.
+    """
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", F.size(sentences(text, "any")).alias("n_sentences"), F.transform(words(text), syllables).alias("s"))
-    base = base.select("doc_id", "n_sentences", F.size("s").alias("n_words"), F.aggregate("s", F.lit(0), lambda acc, x: acc + x).alias("n_syllables"), F.size(F.filter("s", lambda x: x > 2)).alias("n_complex"))
+    base = docs.select("doc_id", F.size(sentences(text, "any")).alias("n_sentences"), F.size(words(text)).alias("n_words"), F.regexp_replace(F.lower(text), r"[^a-z\s]", "").alias("t"))
+    base = base.select("doc_id", "n_sentences", "n_words", F.zip_with(words(F.col("t")), words(F.regexp_replace("t", "[aeiouy]+", "V")), syllables).alias("s"))
+    counted = F.aggregate("s", F.col("n_words") - F.size("s"), lambda acc, x: acc + x)
+    base = base.select("doc_id", "n_sentences", "n_words", counted.alias("n_syllables"), F.size(F.filter("s", lambda x: x > 2)).alias("n_complex"))
     some = (F.col("n_sentences") > 0) & (F.col("n_words") > 0)
     ease = 206.835 - 1.015 * (F.col("n_words") / F.col("n_sentences")) - 84.6 * (F.col("n_syllables") / F.col("n_words"))
     fog = 0.4 * (F.col("n_words") / F.col("n_sentences") + 100 * F.col("n_complex") / F.col("n_words"))

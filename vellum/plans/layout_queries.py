@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.text import words
 from vellum.operators import detect, layout, references, structure
 from vellum.plans.paper_queries import STRIP
 from vellum.plans.structure_queries import BLOCKS, METRICS, blocks, chunks, metrics
 from vellum.plans.text_queries import STYLE, WORDS
-from vellum.sources import corpus
+from vellum.sources import corpus, papers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,12 +72,14 @@ query(
     f"""WITH {METRICS}, b AS (SELECT doc_id, n_sections + 2 AS n_sections, n_paragraphs + doc_id % 5 AS n_paragraphs, n_references, avg_paragraph_words FROM metrics)
 SELECT a.doc_id, round(b.n_sections - a.n_sections, 2) AS d_n_sections, round(b.n_paragraphs - a.n_paragraphs, 2) AS d_n_paragraphs, round(b.n_references - a.n_references, 2) AS d_n_references, round(b.avg_paragraph_words - a.avg_paragraph_words, 2) AS d_avg_paragraph_words, true AS b_chosen FROM metrics a JOIN b ON a.doc_id = b.doc_id""",
 )(lambda s, d: (lambda m: structure.compare_segmentations(m, m.withColumn("n_sections", F.col("n_sections") + 2).withColumn("n_paragraphs", F.col("n_paragraphs") + F.col("doc_id") % 5)))(metrics(s, d)))
-RUN = "SELECT source AS variant, n_chars AS src_words, n_chars - doc_id % 300 AS out_words, doc_id % 12 AS sections, doc_id % 15 AS citations, doc_id % 2 = 0 AS artifact, doc_id % 4 AS warnings FROM documents WHERE n_chars > 400"
+# A run for each paper: words of its text and of its sections, sections, references, whether it has an abstract, few paragraphs as warnings.
+RUN = "n_sections AS sections, n_references AS citations, has_abstract AS artifact, CASE WHEN n_paragraphs <= 4 THEN 5 ELSE 0 END AS warnings, avg_paragraph_words * n_paragraphs AS out_words"
 query(
     "str12_pipeline_score",
-    f"""WITH r AS ({RUN}), s AS (SELECT variant, greatest(0, least(1, 0.45 * greatest(0, least(1, out_words / greatest(1, src_words))) + 0.20 * least(1, sections / 8) + 0.20 * least(1, citations / 10) + 0.15 * CAST(artifact AS INT) - 0.10 * least(1, warnings / 10))) AS s FROM r)
+    f"""WITH {METRICS}, r AS (SELECT source AS variant, len({WORDS.format("text")}) AS src_words, {RUN} FROM papers p JOIN metrics m ON p.doc_id = m.doc_id),
+s AS (SELECT variant, greatest(0, least(1, 0.45 * greatest(0, least(1, out_words / greatest(1, src_words))) + 0.20 * least(1, sections / 8) + 0.20 * least(1, citations / 10) + 0.15 * CAST(artifact AS INT) - 0.10 * least(1, warnings / 10))) AS s FROM r)
 SELECT variant, round(avg(s), 4) AS mean_score, count(*) AS n FROM s GROUP BY variant""",
-)(lambda s, d: layout.pipeline_score(documents(s, d).filter("n_chars > 400").selectExpr("source AS variant", "n_chars AS src_words", "n_chars - doc_id % 300 AS out_words", "doc_id % 12 AS sections", "doc_id % 15 AS citations", "doc_id % 2 = 0 AS artifact", "doc_id % 4 AS warnings")))
+)(lambda s, d: layout.pipeline_score(papers.load_papers(s, d).select("doc_id", F.col("source").alias("variant"), F.size(words(F.col("text"))).alias("src_words")).join(metrics(s, d).selectExpr("doc_id", *[x.strip() for x in RUN.split(", ")]), "doc_id")))
 query(
     "str13_retention_check",
     f"WITH {BLOCKS}, b AS (SELECT doc_id, count(*) AS n_before, count(*) FILTER ((block_idx + doc_id) % 3 > 0) AS n_after FROM blocks GROUP BY doc_id) SELECT *, n_after < greatest(1, floor(n_before * 0.65)) AS warn FROM b",

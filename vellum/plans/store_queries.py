@@ -73,8 +73,8 @@ query("ops3_documents_per_user", "SELECT c_custkey, c_name, count(o_orderkey) AS
 )
 query(
     "ops4_list_documents",
-    "WITH m AS (SELECT * FROM orders WHERE o_custkey % 10 = 3 AND o_orderstatus = 'O') SELECT o_orderkey, o_custkey, o_totalprice, (SELECT count(*) FROM m) AS n_total, CAST((SELECT ceil(count(*) / 20) FROM m) AS BIGINT) AS n_pages FROM m ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 20",
-)(lambda s, d: ops.list_documents(table(s, d, "orders"), F.expr("o_custkey % 10 = 3 AND o_orderstatus = 'O'"), newest("o_orderdate", "o_orderkey"), 2, 20).select("o_orderkey", "o_custkey", "o_totalprice", "n_total", "n_pages"))
+    "WITH m AS (SELECT * FROM orders WHERE o_orderstatus = 'O') SELECT o_orderkey, o_custkey, o_totalprice, (SELECT count(*) FROM m) AS n_total, CAST((SELECT ceil(count(*) / 20) FROM m) AS BIGINT) AS n_pages FROM m ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 20",
+)(lambda s, d: ops.list_documents(table(s, d, "orders"), F.expr("o_orderstatus = 'O'"), newest("o_orderdate", "o_orderkey"), 2, 20).select("o_orderkey", "o_custkey", "o_totalprice", "n_total", "n_pages"))
 query("ops5_status_counts", "SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS n_o, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'P') AS n_p FROM orders GROUP BY o_orderpriority")(
     lambda s, d: ops.status_counts(table(s, d, "orders"), "o_orderpriority", "o_orderstatus", ["O", "F", "P"])
 )

@@ -163,6 +163,18 @@ def pairs(spark, folder):
     return d.withColumn("b_id", F.col("doc_id") % n).join(b.select(F.col("source_id").alias("b_id"), F.col("text").alias("b_text")), "b_id").select(F.col("doc_id").alias("a_id"), F.col("text").alias("a_text"), "b_id", "b_text")
 
 
+#: Three partners for each document.
+TRIPLES = "SELECT DISTINCT doc_id AS a_id, d.text AS a_text, b.item_id AS b_id, b.text AS b_text FROM documents d JOIN benchmark b ON b.item_id IN (d.doc_id % (SELECT count(*) FROM benchmark), (d.doc_id + 1) % (SELECT count(*) FROM benchmark), (7 * d.doc_id + 3) % (SELECT count(*) FROM benchmark))"
+
+
+def triples(spark, folder):
+    b = bench(spark, folder)
+    n = b.count()
+    ids = F.array_distinct(F.array(F.col("doc_id") % n, (F.col("doc_id") + 1) % n, (7 * F.col("doc_id") + 3) % n))
+    d = spark.read.parquet(f"{folder}/documents.parquet").withColumn("b_id", F.explode(ids))
+    return d.join(b.select(F.col("source_id").alias("b_id"), F.col("text").alias("b_text")), "b_id").select(F.col("doc_id").alias("a_id"), F.col("text").alias("a_text"), "b_id", "b_text")
+
+
 def pair_sql(pairs_sql: str) -> str:
     return f"""p AS ({pairs_sql}), ta AS (SELECT a_id, b_id, token, count(*) AS n FROM (SELECT a_id, b_id, unnest({TOKENS.format("a_text")}) AS token FROM p) GROUP BY ALL),
 tb AS (SELECT a_id, b_id, token, count(*) AS n FROM (SELECT a_id, b_id, unnest({TOKENS.format("b_text")}) AS token FROM p) GROUP BY ALL),
@@ -174,8 +186,8 @@ pair_scores AS (SELECT a_id, b_id, CASE WHEN sum(x * x) > 0 AND sum(y * y) > 0 T
 query("sim5_pair_tfidf", f"WITH {pair_sql(PAIRS)} SELECT * FROM pair_scores")(lambda s, d: similarity.pair_tfidf(pairs(s, d)))
 query(
     "sim6_combined_similarity",
-    f"""WITH {pair_sql(PAIRS)} SELECT a_id, floor(max((score + coalesce(nullif(CASE WHEN a_id % 3 = 1 THEN NULL WHEN a_id % 3 = 2 THEN 0 ELSE (a_id + b_id) % 100 END, 0), score)) / 2) * 100 + 0.5) / 100 AS best FROM pair_scores GROUP BY a_id""",
-)(lambda s, d: (lambda lex: similarity.combined_similarity(lex, lex.filter("a_id % 3 <> 1").select("a_id", "b_id", F.when(F.col("a_id") % 3 == 2, 0.0).otherwise(((F.col("a_id") + F.col("b_id")) % 100).cast("double")).alias("score"))))(similarity.pair_tfidf(pairs(s, d))))
+    f"""WITH {pair_sql(TRIPLES)} SELECT a_id, floor(max((score + coalesce(nullif(CASE WHEN a_id % 3 = 1 THEN NULL WHEN a_id % 3 = 2 THEN 0 ELSE (a_id + b_id) % 100 END, 0), score)) / 2) * 100 + 0.5) / 100 AS best FROM pair_scores GROUP BY a_id""",
+)(lambda s, d: (lambda lex: similarity.combined_similarity(lex, lex.filter("a_id % 3 <> 1").select("a_id", "b_id", F.when(F.col("a_id") % 3 == 2, 0.0).otherwise(((F.col("a_id") + F.col("b_id")) % 100).cast("double")).alias("score"))))(similarity.pair_tfidf(triples(s, d))))
 
 
 def vectors(spark, folder):

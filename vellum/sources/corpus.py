@@ -69,3 +69,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base.rstrip('/')}/vellum-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """A table that several steps read: written to the shared folder and read again, so that it is made once."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
