@@ -104,8 +104,7 @@ def test_near_duplicates_equal_brute_force(which, request):
 
 
 def test_near_duplicates_in_chains_and_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "SMALL", 5)
-    monkeypatch.setattr(near_dup, "MORE_LEVELS", 2)
+    monkeypatch.setattr(near_dup, "SMALL", 0)
     rnd = np.random.RandomState(5)
     rows, words = [], [f"w{i}" for i in range(120)]
     for i in range(60):  # copies with a few changed words
@@ -127,12 +126,37 @@ def test_near_duplicates_of_an_empty_table(spark):
 
 
 def test_sketches_tell_unlike_texts_apart(spark):
-    """Long texts without a common shingle share one nibble in sixteen, and their node parts at the next level."""
+    """Long texts without a common shingle share one nibble in sixteen."""
     rows = [(i, " ".join(f"w{i}-{k}" for k in range(400)), 0) for i in range(12)]
     df = spark.createDataFrame(rows, "key long, text string, mark long")
     classes = near_dup.map_arrow(df, near_dup._features(2, 3), near_dup.FEATURES).cache()
     pairs = classes.alias("a").join(classes.alias("b"), F.col("a.key") < F.col("b.key"))
     shared = [r.s for r in pairs.select(near_dup.shared_nibbles(F.col("a.sketch"), F.col("b.sketch")).alias("s")).collect()]
     assert max(shared) < 40 < near_dup.LEAST_SHARED
-    node = classes.select(F.lit(5).cast("long").alias("node"), "cid")
-    assert near_dup._deeper(node, classes, 3).select("node").distinct().count() > 4
+
+
+def test_differences_lose_no_pair(spark):
+    """Every pair of different labels at the threshold of which one isn't linked with the hub is found by differences."""
+    rnd = np.random.RandomState(11)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(150):
+        w = list(base)
+        for k in range(i % 10, 150, 14) if i % 10 < 5 else ():  # versions that the hub isn't near to
+            w[k] = f"v{k}"
+        for k in rnd.randint(0, 150, rnd.randint(1, 12)):
+            w[k] = f"x{k}-{rnd.randint(3)}"
+        if i % 3 == 0:
+            w = w[rnd.randint(0, 9) :]
+        rows.append((i, " ".join(w), 0))
+    rows.append((999, " ".join(base), 0))
+    texts = spark.createDataFrame(rows, "key long, text string, mark long")
+    classes = near_dup.map_arrow(texts, near_dup._features(2, 3), near_dup.FEATURES).cache()
+    sets = {near_dup._class_id(s): set(s.tolist()) for s in (near_dup.shingle_set(t) for _, t, _ in rows)}
+    hub = near_dup._class_id(near_dup.shingle_set(rows[-1][1]))
+    linked = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    label = {c: hub if linked(s, sets[hub]) else c for c, s in sets.items()}
+    members = spark.createDataFrame([(hub, c, x) for c, x in label.items()], "hub long, cid long, label long")
+    found = {(r.a, r.b) for r in near_dup._by_difference(members, classes, texts, 2).collect()}
+    expected = {(a, b) for a in sets for b in sets if a < b and hub not in (a, b) and label[a] != label[b] and linked(sets[a], sets[b])}
+    assert len(expected) > 20 and expected <= found
+    assert len(found) < 2 * len(expected) + 20

@@ -8,15 +8,17 @@ The first levels, in which nodes hold too much to be compared, are walked at onc
 follows the logarithm of the number of classes.
 
 Comparing costs no more than it must: a node first links its members to a hub (the member that
-shares most nodes with others), which is linear in the node. What is still apart is then compared
-exhaustively: members outside a node's largest component, its strays, with all members of other
-components. Nodes of at most ``SMALL`` strays are compared at once, so the work is linear in their
-members; others branch on for a few levels. What is large then is a group of similar documents that
-branching doesn't part, and is compared at once too. Pairs are screened by set size (exact) and by a sketch of the minwise
-tokens, with a margin of 4.5 standard deviations, and links are confirmed on full sets.
+shares most nodes with others), which is linear in the node. What is still apart is then compared:
+members outside a node's largest component with all members of other components. Nodes of at most
+``SMALL`` members are compared exhaustively, so the work is linear in the number of nodes. In
+larger ones members are described by how they differ from the hub. A stray isn't linked with the hub,
+so whatever it is linked with shares more than about half of its own differences with the stray; an
+index of as many differences as must hold a shared one, those that the hub lacks first, gives all
+such pairs, however large the node. Pairs are screened by set size (exact) and by a sketch of the
+minwise tokens, with a margin of 4.5 standard deviations, and links are confirmed on full sets.
 
 A pair at the threshold shares no node of a tree with probability 0.48 at depth 5 and 0.56 at depth 7,
-and of all trees with 8e-8 to 3e-6; after three more levels with 5e-6 to 3e-5. The sketch drops it with 9e-6.
+and of all trees with 8e-8 to 3e-6. The sketch drops it with 9e-6.
 """
 
 from __future__ import annotations
@@ -38,8 +40,7 @@ SHINGLE = 2
 THRESHOLD = (80, 100)
 TOKENS = 128
 TREES = 22
-SMALL = 24
-MORE_LEVELS = 3
+SMALL = 48
 NIBBLES = TOKENS // 16
 #: Nibbles that a pair at the threshold shares, less 4.5 standard deviations.
 LEAST_SHARED = 84
@@ -149,12 +150,9 @@ def _sizes_fit(a: Column, b: Column) -> Column:
     return THRESHOLD[1] * F.least(a, b) >= THRESHOLD[0] * F.greatest(a, b)
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, name: str) -> DataFrame:
-    """The pairs (a, b) that are links: screened by sketch, then confirmed on full sets."""
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(shared_nibbles(F.col("sketch_a"), F.col("sketch_b")) >= LEAST_SHARED).select("a", "b")
-    near = materialise(near, f"{name}-near")
-    needed = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "key"), "cid")
+def _full_sets(cids: DataFrame, classes: DataFrame, texts: DataFrame, width: int, name: str) -> DataFrame:
+    """(cid, members): the whole sets of some classes, written."""
+    needed = cids.distinct().join(classes.select("cid", "key"), "cid")
     chosen = texts.join(needed.select("key").distinct(), "key", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +160,15 @@ def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int,
             found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_class_id(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "members"])
 
-    full = materialise(map_arrow(chosen, sets, "cid long, members binary").dropDuplicates(["cid"]), f"{name}-sets")
+    return materialise(map_arrow(chosen, sets, "cid long, members binary").dropDuplicates(["cid"]), f"{name}-sets")
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, name: str) -> DataFrame:
+    """The pairs (a, b) that are links: screened by sketch, then confirmed on full sets."""
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").filter(shared_nibbles(F.col("sketch_a"), F.col("sketch_b")) >= LEAST_SHARED).select("a", "b")
+    near = materialise(near, f"{name}-near")
+    full = _full_sets(near.select(F.col("a").alias("cid")).union(near.select(F.col("b").alias("cid"))), classes, texts, width, name)
     both = near.join(full.select(F.col("cid").alias("a"), F.col("members").alias("set_a")), "a").join(full.select(F.col("cid").alias("b"), F.col("members").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,16 +203,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _deeper(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Children of (node, cid) rows, by the sketch's nibbles."""
-    rows = rows.join(classes.select("cid", "sketch"), "cid")
-    choice = F.xxhash64("node", F.lit(level))
-    child = lambda at: F.xxhash64("node", at, F.call_function("shiftrightunsigned", F.get("sketch", F.floor(at / 16).cast("int")), (F.pmod(at, F.lit(16)) * 4).cast("int")).bitwiseAND(F.lit(15)))
-    first, second = F.pmod(choice, F.lit(TOKENS)), F.pmod(F.shiftrightunsigned(choice, 20), F.lit(TOKENS))
-    two = F.pmod(F.shiftrightunsigned(choice, 40), F.lit(4)) == 0
-    return rows.select("cid", F.explode(F.when(two, F.array(child(first), child(second))).otherwise(F.array(child(first)))).alias("node"))
-
-
 def row_id() -> list[Column]:
     """key (doc_id, or NO_ID) and mark (the text's hash), which tell the documents of a table apart."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.col("text").cast("string")).alias("mark")]
@@ -229,7 +225,7 @@ def _groups(docs: DataFrame, width: int, trees: int) -> tuple[DataFrame, DataFra
     # A hub for each node, and the pairs of its other members with it.
     weight = leaves.groupBy("cid").agg(F.sum("size").alias("weight")).join(classes.select("cid", "n"), "cid")
     weighed = leaves.join(weight, "cid")
-    hubs = weighed.groupBy("node").agg(F.max(F.struct("weight", "cid", "n")).alias("hub"))
+    hubs = materialise(weighed.groupBy("node").agg(F.max(F.struct("weight", "cid", "n")).alias("hub")), "hubs")
     stars = weighed.join(hubs, "node").filter(F.col("cid") != F.col("hub.cid")).filter(_sizes_fit(F.col("n"), F.col("hub.n")))
     stars = materialise(stars.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct(), "stars")
     links = _confirm(stars, classes, texts, width, "stars")
@@ -239,16 +235,12 @@ def _groups(docs: DataFrame, width: int, trees: int) -> tuple[DataFrame, DataFra
     named = classes.select("cid", "n").join(labels, "cid", "left").select("cid", "n", F.coalesce("label", "cid").alias("label"))
     named = materialise(named, "named")
     rest = _mixed_nodes(leaves.select("node", "cid"), named)
-    found = None
-    for level in range(depth, depth + MORE_LEVELS + 1):
-        last = level == depth + MORE_LEVELS
-        small = F.lit(True) if last else F.col("strays") <= SMALL
-        near = materialise(_across(rest.filter(small), classes).distinct(), "across")
-        found = near if found is None else found.union(near)
-        large = rest.filter(~small).select("node", "cid")
-        if last or not large.head(1):
-            break
-        rest = _mixed_nodes(_deeper(large, classes, level).distinct(), named)
+    small = F.col("size") <= SMALL
+    found = _across(rest.filter(small), classes)
+    large = rest.filter(~small).join(hubs.select("node", F.col("hub.cid").alias("hub")), "node").select("hub", "cid", "label").distinct()
+    large = materialise(large, "large")
+    if large.head(1):
+        found = found.union(_by_difference(large, classes, texts, width))
     apart = materialise(found.distinct().join(stars, ["a", "b"], "left_anti"), "apart")
     more = _confirm(apart, classes, texts, width, "apart")
     if more.head(1):
@@ -279,16 +271,16 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE, trees: int = TREES) -> Da
 
 
 def _mixed_nodes(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """(node, cid, n, label, main, strays) of the nodes whose members are in several components: main is the label of
-    the largest, strays the number of members outside it."""
+    """(node, cid, n, label, main, size) of the nodes whose members are in several components: main is the label of
+    the largest, size the number of all members."""
     rows = rows.join(named, "cid")
     parts = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("node").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size")).filter("size > m.c")
-    return materialise(rows.join(mixed.select("node", F.col("m.label").alias("main"), (F.col("size") - F.col("m.c")).alias("strays")), "node"), "mixed")
+    return materialise(rows.join(mixed.select("node", F.col("m.label").alias("main"), "size"), "node"), "mixed")
 
 
 def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of a node's members in different components that sizes and sketches don't rule out: strays with all others."""
+    """Pairs of a node's members in different components that sizes and sketches don't rule out: those outside the largest with all others."""
     rows = rows.join(classes.select("cid", "sketch"), "cid")
     side = lambda df, c: df.select("node", F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("label").alias(f"label_{c}"), F.col("sketch").alias(f"sketch_{c}"), "main")
     a, b = side(rows.filter("label <> main"), "a").drop("main"), side(rows, "b")
@@ -298,5 +290,57 @@ def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return a.join(b, rule).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+DIFFERENCES = "hub long, cid long, label long, n int, stray boolean, parts array<long>, n_parts int, bits array<long>, slack int"
+BITS = 512
+
+
+def _by_difference(rows: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs of different components among the members (hub, cid, label) of each hub that can be links.
+
+    With D(x) the symmetric difference of x and the hub, the sets x and m are linked if |D(x)| + |D(m)| - 2 |D(x) & D(m)|
+    is at most (|x| + |m|) / 9. For a stray |D(x)| > (|x| + |hub|) / 9, hence 2 |D(x) & D(m)| > |D(m)| + (|hub| - |m|) / 9.
+    In any common order of differences, the first |D| - least overlap + 1 of both then have one in common. Pairs that do
+    are screened, without loss, by what their differences can have in common at most: the shared bits of two bitmaps, and
+    as many differences as have no bit of their own.
+    """
+    gap, total = THRESHOLD[1] - THRESHOLD[0], THRESHOLD[1] + THRESHOLD[0]
+    full = _full_sets(rows.select("cid").union(rows.select(F.col("hub").alias("cid"))), classes, texts, width, "large")
+    both = rows.join(full, "cid").join(full.select(F.col("cid").alias("hub"), F.col("members").alias("of_hub")), "hub").filter("cid <> hub")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, strays, parts, counts, bits = [], [], [], [], []
+            for x, h in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                x, h = np.frombuffer(x, np.uint64), np.frombuffer(h, np.uint64)
+                d = np.concatenate([np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)])
+                stray = total * len(d) > gap * (len(x) + len(h))
+                overlap = (total * len(d) + gap * (len(h) - len(x))) // (2 * total) + 1
+                if stray:  # its partners are of limited size, and their differences hold the overlap
+                    overlap = max(overlap, len(d) - gap * (len(x) + len(x) * THRESHOLD[1] // THRESHOLD[0]) // total)
+                sizes.append(len(x))
+                strays.append(stray)
+                parts.append(d[: max(0, len(d) - overlap + 1)].view(np.int64))
+                mask = np.zeros(BITS, bool)
+                mask[(d % np.uint64(BITS)).astype(np.int64)] = True
+                counts.append((len(d), len(d) - int(mask.sum())))
+                bits.append(np.packbits(mask).view(np.int64))
+            columns = [pa.array(sizes, pa.int32()), pa.array(strays, pa.bool_()), pa.array(parts, pa.list_(pa.int64())), pa.array([c for c, _ in counts], pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array([c for _, c in counts], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["hub", "cid", "label", "n", "stray", "parts", "n_parts", "bits", "slack"])
+
+    told = materialise(map_arrow(both.select("hub", "cid", "label", "members", "of_hub"), differ, DIFFERENCES), "differences")
+    listed = told.select("hub", "cid", "label", "n", "stray", "n_parts", "bits", "slack", F.explode("parts").alias("part"))
+    shared = listed.groupBy("hub", "part").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("stray").alias("any")).filter("least < most and any").select("hub", "part")
+    listed = materialise(listed.join(shared, ["hub", "part"]), "shared")
+    side = lambda df, c: df.select("hub", "part", F.col("cid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "label", "stray", "n_parts", "bits", "slack")])
+    a, b = side(listed.filter("stray"), "a"), side(listed, "b")
+    shared = F.least("slack_a", "slack_b")
+    for i in range(BITS // 64):
+        shared = shared + F.bit_count(F.col("bits_a")[i].bitwiseAND(F.col("bits_b")[i]))
+    near = total * (F.col("n_parts_a") + F.col("n_parts_b") - 2 * shared) <= gap * (F.col("n_a") + F.col("n_b"))
+    rule = (a["hub"] == b["hub"]) & (a["part"] == b["part"]) & (F.col("label_a") != F.col("label_b")) & (~F.col("stray_b") | (F.col("a") < F.col("b"))) & _sizes_fit(F.col("n_a"), F.col("n_b")) & near
+    return a.join(b, rule).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs``, as ``near_duplicates`` gives them."""
     return near_duplicates(docs.select("doc_id", "text"))
