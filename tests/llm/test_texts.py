@@ -1,9 +1,13 @@
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 from vellum.llm import bpe, chat, decontamination, fingerprints, language_id, secret_scan, url_templates
 
@@ -48,7 +52,50 @@ def test_a_full_table_of_words_starts_again(monkeypatch):
     monkeypatch.setattr(language_id, "_KEPT_WORDS", 1000)
     fresh = [language_id.Model(["en", "fr"], words, {"^t": {"en": 9}, "^l": {"fr": 9}}).predict(t) for t in texts]
     assert [model.predict(t)[0] for t in texts] == [x for x, _ in fresh]
-    assert [round(model.predict(t)[1], 9) for t in texts] == [round(x, 9) for _, x in fresh]
+    assert [model.predict(t)[1] for t in texts] == [x for _, x in fresh]
+
+
+def languages_by_brute_force(rows, texts):
+    """(lang_pred, score) of texts by a model of all labelled rows, straight from the description of the method."""
+    words, grams = {}, {}
+    for doc_id, text, lang in rows:
+        if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 and lang and text:
+            for w in regex.findall(r"\p{L}+", text.lower()):
+                words.setdefault(w, Counter())[lang] += 1
+                for n in range(1, 5):
+                    for i in range(len(w) + 3 - n):
+                        grams.setdefault(f"^{w}$"[i : i + n], Counter())[lang] += 1
+    languages = sorted({k for c in words.values() for k in c})
+
+    def scores(table):
+        totals = [0.5 * len(table) + sum(c[k] for c in table.values()) for k in languages]
+        return {x: np.array([math.log((c[k] + 0.5) / t) for k, t in zip(languages, totals, strict=True)]) for x, c in table.items()}
+
+    known = scores(words)
+    pieces = [scores({g: c for g, c in grams.items() if len(g) == n}) for n in range(1, 5)]
+    out = []
+    for text in texts:
+        total = np.zeros(len(languages))
+        found = regex.findall(r"\p{L}+", text.lower()) if text else []
+        for w in found:
+            marked = f"^{w}$"
+            for n in (4, 3, 2, 1):
+                own = [pieces[n - 1][marked[i : i + n]] for i in range(len(marked) - n + 1) if marked[i : i + n] in pieces[n - 1]]
+                if w in known or own:
+                    break
+            total += known[w] if w in known else np.mean(own, axis=0) if own else np.full(len(languages), -12.0)
+        odds = np.exp(total - total.max())
+        out.append((languages[int(odds.argmax())], float(odds.max() / odds.sum())) if found else ("und", 0.0))
+    return out
+
+
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_languages_equal_brute_force(which, request):
+    df = request.getfixturevalue(which)
+    rows = [(r.doc_id, r.text, r.lang) for r in df.collect()]
+    expected = languages_by_brute_force(rows, [t for _, t, _ in rows])
+    found = sorted(((r.doc_id, r.lang_pred, round(r.score, 6)) for r in language_id.report(df).collect()), key=repr)
+    assert found == sorted(((d, p, round(x, 6)) for (d, _, _), (p, x) in zip(rows, expected, strict=True)), key=repr)
 
 
 def test_language_without_labels(spark):

@@ -5,31 +5,32 @@ its longest known character n-grams: the mean score of those of length 4, else 3
 marks at the word's ends. A text's language is the one with the highest sum over its words.
 
 The model is fitted on a bounded sample of labelled rows: about ``docs_each`` documents of each
-language, chosen by a hash of the row. It keeps at most ``words_each`` words and ``grams_each``
-n-grams of each language, so the size that is sent to executors doesn't grow with the corpus.
+language, chosen by a hash of the row. It has all words and n-grams of the sample; their number,
+and so the size that is sent to executors, doesn't grow with the corpus.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import map_columns, materialise
+from vellum.llm.common import map_arrow, map_columns, materialise, resident
 
-DOCS_EACH = 3000
-WORDS_EACH = 20_000
-GRAMS_EACH = 6_000
+DOCS_EACH = 500
 LONGEST = 4
 NONE = "und"
 _LETTERS = regex.compile(r"\p{L}+")
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 200_000
+_LONGEST_KEPT = 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -44,16 +45,27 @@ def _counts(labelled: DataFrame, docs_each: int) -> DataFrame:
         return labelled.select("lang", F.lit("").alias("word"), F.lit(1).cast("long").alias("n")).limit(0)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, docs_each / n))]), F.col("lang"))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    return labelled.filter(drawn < share).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.update((lang, w) for w in words_of(text))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"])
 
-def _top(counts: DataFrame, key: str, most: int) -> dict[str, dict[str, int]]:
-    """The ``most`` most frequent keys of each language."""
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), key)
+    return map_arrow(labelled.filter(drawn < share).select("lang", "text"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters, in lower case."""
+    return _LETTERS.findall(text.lower()) if text else []
+
+
+def _all(counts: DataFrame, key: str) -> dict[str, dict[str, int]]:
+    """Counts by key and language; the sample bounds them."""
     out: dict[str, dict[str, int]] = {}
-    for r in counts.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).collect():  # at most languages x most
-        out.setdefault(r[key], {})[r.lang] = r.n
+    for r in counts.toLocalIterator():
+        out.setdefault(r[key], {})[r["lang"]] = r["n"]
     return out
 
 
@@ -90,57 +102,47 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The best language and its posterior probability; ``und`` and 0 without letters or languages."""
-        words = _LETTERS.findall(text.lower()) if text else []
+        words = words_of(text)
         if not words or not self.languages:
             return NONE, 0.0
-        at = list(map(self.index.get, words))
+        index, table = self.index, self.table
+        at = list(map(index.get, words))
         if None in at:
-            new = {w for w, i in zip(words, at, strict=True) if i is None}
-            if len(self.index) + len(new) > len(self.table):
+            new = [w for w in dict.fromkeys(words) if w not in index]
+            if len(index) + len(new) > len(table):
                 self._start()
-                new = {w for w in words if w not in self.index}
-            extra: dict[str, np.ndarray] = {}
-            for w in new:
-                score = self.back_off(w)
-                if len(self.index) < len(self.table) and len(w) <= 64:
-                    self.table[len(self.index)] = score
-                    self.index[w] = len(self.index)
-                else:
-                    extra[w] = score
-            at = [i for i in map(self.index.get, words) if i is not None]
-            total = self.table[at].sum(axis=0) + sum(extra[w] for w in words if w in extra)
-        else:
-            total = self.table[at].sum(axis=0)
+                index, table = self.index, self.table
+                new = [w for w in dict.fromkeys(words) if w not in index]
+            if len(index) + len(new) > len(table) or max(map(len, new)) > _LONGEST_KEPT:  # a table for this text alone
+                known = [w for w in dict.fromkeys(words) if w in index]
+                table = np.array([*(table[index[w]] for w in known), *map(self.back_off, new)])
+                index = {w: i for i, w in enumerate([*known, *new])}
+            else:
+                for w in new:
+                    table[len(index)] = self.back_off(w)
+                    index[w] = len(index)
+            at = list(map(index.get, words))
+        total = table[at].sum(axis=0)  # in the order of the text, whatever was kept before
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
 
 
-def train(labelled: DataFrame, docs_each: int = DOCS_EACH, words_each: int = WORDS_EACH, grams_each: int = GRAMS_EACH) -> tuple[list[str], dict, dict]:
+def train(labelled: DataFrame, docs_each: int = DOCS_EACH) -> tuple[list[str], dict, dict]:
     """(languages, word counts, n-gram counts) learnt from rows of (doc_id, text, lang); null texts and langs are left out."""
     counts = _counts(labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang"), docs_each)
     counts = materialise(counts, "counts")
-    words = _top(counts.filter("length(word) <= 40"), "word", words_each)
+    words = _all(counts, "word")
     grams: dict[str, dict[str, int]] = {}
     marked = counts.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("word"))
     for n in range(1, LONGEST + 1):
-        pieces = F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i, n=n: F.substring(F.col("word"), i, F.lit(n)))
+        size = F.lit(n)  # no second parameter of the function below: that would be an element's place
+        pieces = F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring(F.col("word"), i, size))  # noqa: B023
         rows = marked.filter(F.length("word") >= n).select("lang", "n", F.explode(pieces).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        grams |= _top(rows, "gram", grams_each)
+        grams |= _all(rows, "gram")
     return sorted({k for c in words.values() for k in c}), words, grams
 
 
-_model: tuple[str, Model] | None = None
-
-
-def _model_of(key: str, sent) -> Model:
-    global _model
-    if _model is None or _model[0] != key:
-        _model = None
-        _model = (key, Model(*sent.value))
-    return _model[1]
-
-
 PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
@@ -153,7 +155,7 @@ def predict(docs: DataFrame, model: tuple[list[str], dict, dict]) -> DataFrame:
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        m = _model_of(key, sent)
+        m = resident(key, lambda: Model(*sent.value))
 
         def work(batch: pa.RecordBatch) -> list:
             found = [m.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
@@ -170,7 +172,7 @@ def learn_and_predict(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row."""
+    """doc_id, held_out, lang_pred, score of every row; rows repeat, an empty table gives an empty one, other columns are left out."""
     docs = docs.select("doc_id", "text", "lang")
     found = predict(docs.select("doc_id", "text"), train(docs.filter(~held_out(F.col("doc_id")))))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
