@@ -15,6 +15,18 @@ from pyspark.sql import types as T
 
 
 _shipped: set[str] = set()
+_resident: tuple[object, object] | None = None
+#: Rows of an Arrow batch. Texts can be long, and a worker holds a batch several times over.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def resident(key: object, make: Callable[[], object]) -> object:
+    """A worker's large object (a model, an automaton, a vocabulary). A worker that goes on with another one lets the last go."""
+    global _resident
+    if _resident is None or _resident[0] != key:
+        _resident = None
+        _resident = (key, make())
+    return _resident[1]
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,15 +44,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with this package at hand on the executors."""
+    """mapInArrow with this package at hand on the executors, in small batches unless the session has a number of its own."""
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH[0]) == "10000":  # Spark's default
+        df.sparkSession.conf.set(*BATCH)
     return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one is set only where none is."""
+    """The folder all executors share (``spark.checkpoint.dir``); one is set only where none is and the executors are local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import map_columns, materialise
+from vellum.llm.common import map_columns, materialise, resident
 
 WIDTH = 13
 MAX_BYTES = 16_000_000
@@ -82,17 +82,6 @@ class Scanner:
         return len(words), list(zip(np.searchsorted(spaces, start).tolist(), (np.searchsorted(spaces, end) - 1).tolist(), [items for _, (_, items) in found], strict=True))
 
 
-_scanner: tuple[str, Scanner] | None = None
-
-
-def _scanner_of(key: str, patterns) -> Scanner:
-    global _scanner
-    if _scanner is None or _scanner[0] != key:
-        _scanner = None
-        _scanner = (key, Scanner(patterns.value))
-    return _scanner[1]
-
-
 def runs(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching (first, last) as maximal runs."""
     out: list[tuple[int, int]] = []
@@ -135,7 +124,7 @@ def _scan(docs: DataFrame, sent, key: str, first: bool) -> DataFrame:
     """Scan with one automaton; what earlier ones found is in the columns of FOUND and is added to."""
 
     def make():
-        scanner = _scanner_of(key, sent)
+        scanner = resident(key, lambda: Scanner(sent.value))
 
         def work(batch: pa.RecordBatch) -> list:
             column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
