@@ -66,11 +66,12 @@ def test_levels_grow_geometrically():
     assert levels.scan(np.array(["07005"], "S50"))[0] == 7
 
 
-def components_by_brute_force(rows):
+def components_by_brute_force(rows, width=2):
+    """(doc_id, set size, component, kept) of each row, sorted."""
     sets = []
     for _, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets.append({(a, b) for a, b in zip(words, words[1:], strict=False)} or ({tuple(words)} if words else set()))
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
     parent = list(range(len(rows)))
 
     def find(i):

@@ -1,9 +1,13 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vellum.llm import bpe, secret_scan
 from vellum.llm.queries import tokenizer_path
 
+from tests.llm.test_dedup import components_by_brute_force
+from tests.llm.test_texts import hits_by_brute_force, secrets_by_brute_force
+
 
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -44,3 +48,42 @@ def test_near_dedup_decides_by_row(spark, sf):
     assert (None, LONG[0]) in stays and (1, LONG[2]) in stays and (2, LONG[3]) in stays
     again = corpus_pipeline.drop_near_duplicates(spark, df.orderBy("text").repartition(3), sf)
     assert sorted(map(repr, stays)) == sorted(repr((r.doc_id, r.text)) for r in again.collect())
+
+
+def redacted_by_brute_force(text):
+    out, at = [], 0
+    for _, a, b in secrets_by_brute_force(text):
+        if a >= at:
+            out += [text[at:a], "[REDACTED]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_run_equals_brute_force(spark, sf):
+    """Given the documents that the language stage keeps, every later decision and the ids."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.identify_language(spark, docs, sf).collect()]
+    assert len(kept) > 0.8 * docs.count()
+    assert not {d for d, t in kept} & {r.doc_id for r in docs.filter("text is null or not rlike(text, '\\\\p{L}')").collect()}
+    least = {d for d, _, _, own in components_by_brute_force(kept, 5) if own}
+    apart = [(d, t) for d, t in kept if d in least]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {r[0] for r in hits_by_brute_force(apart, bench) if not r[-1]}
+    library = Tokenizer.from_file(tokenizer_path())
+    expected = []
+    for d, t in apart:
+        if d in clean:
+            text = redacted_by_brute_force(t)
+            expected.append((d, text, len(text), library.encode(text, add_special_tokens=False).ids))
+    found = [(r.doc_id, r.text, r.n_chars, np.frombuffer(r.ids, "<u4").tolist()) for r in corpus_pipeline.run(spark, sf).collect()]
+    assert sorted(found) == sorted(expected)
+    assert len(expected) < len(apart) < len(kept)
+
+
+def test_an_empty_table(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, rows, sf)
+    assert rows.collect() == []

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from vellum.llm import bpe, token_store
@@ -45,6 +46,27 @@ def test_a_full_table_of_kept_chunks_starts_again(library, monkeypatch):
         assert np.frombuffer(v.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("entries", [300_000, 2])
+def test_batches_equal_the_library(library, monkeypatch, entries):
+    """Texts of both kinds in one batch, nulls among them, with tables that hold all chunks or start anew for each slice."""
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", entries)
+    rnd = random.Random(2)
+    texts = [None, "", " ", "one", "one two one two", "one two\nthree four", "x" * 200 + " y", "a <|endoftext|> b", "tail\u2003 of\x85 it"]
+    texts += ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 30))) for _ in range(300)] + [" ".join(rnd.choice(["red", "blue", "it's", "é🙂", "x\ny", "42"]) for _ in range(40)) for _ in range(50)]
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for encoder in (token_store.LibraryEncoder(PATH), bpe.Vocabulary(PATH)):
+        found = []
+        for part, own in bpe.slices(batch, "text", 500):
+            if isinstance(encoder, bpe.Vocabulary):
+                ids, bounds = encoder.encode_batch(own)
+                found += [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            else:
+                found += [x.tolist() for x in encoder.encode_batch(own)]
+            assert part.num_rows == len(own)
+        assert found == expected
+
+
 @pytest.mark.parametrize("which", ["documents", "odd"])
 def test_digests(which, request, library):
     df = request.getfixturevalue(which)
@@ -87,7 +109,7 @@ def test_one_document_is_read_alone():
     sink = io.BytesIO()
     w = token_store.FileWriter(sink, b"", 2)
     for i in range(5):
-        w.add(i, np.arange(i, dtype="<u4").tobytes())
+        w.add(i, np.arange(i, dtype="<u4"))
     w.close()
     r = token_store.FileReader(sink, b"")
     assert len(r) == 5 and np.frombuffer(r.ids(3), "<u4").tolist() == [0, 1, 2]
