@@ -10,8 +10,8 @@ work is linear in the piece. The accepted sequence is the one that merging by
 rank gives.
 
 Texts are cut at single spaces between visible characters, where the pattern of
-the vocabulary always cuts, so that each distinct chunk is encoded once in a
-worker and kept in a table of bounded size.
+the vocabulary always cuts. Each distinct chunk of a batch of texts is looked up
+once in a table of bounded size that a worker keeps, or else encoded.
 """
 
 from __future__ import annotations
@@ -19,22 +19,28 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vellum.llm.common import as_documents, map_columns
+from vellum.llm.common import as_documents, map_columns, resident
 
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: the split pattern of the byte-level vocabulary, with white space spelled out.
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-CACHE_ENTRIES = 200_000
-CACHE_CHARS = 64
+_BLANK = r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts with a single space that isn't between visible characters.
+_ODD = rf"^[{_BLANK}]|[{_BLANK}]\z| [{_BLANK}]|[{_BLANK}] "
+CACHE_ENTRIES = 300_000
+CACHE_IDS = 3_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -83,7 +89,7 @@ class Vocabulary:
         lengths = np.array([len(by_id.get(i, b"")) for i in range(max(by_id) + 1)], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.blob = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(len(lengths))), np.uint8)
-        self._chunks = ChunkEncoder(lambda chunks: [self._encode_chunk(c) for c in chunks])
+        self._chunks = ChunkEncoder(lambda chunks: flat([self._encode_chunk(c) for c in chunks]), self.encode, list(self.special))
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging by rank leaves token ``a`` next to token ``b``: no merge across their border comes first."""
@@ -156,6 +162,10 @@ class Vocabulary:
             return self._chunks.ids(text)
         return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._chunks.ids(x) for x in self._cut_special.split(text))
 
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where those of each begin and end."""
+        return self._chunks.batch(texts)
+
     def decode(self, ids: bytes) -> str:
         """Text of ids by the offset table; broken UTF-8 becomes U+FFFD."""
         i = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -166,68 +176,134 @@ class Vocabulary:
         return self.blob[at].tobytes().decode("utf-8", "replace")
 
 
-class Kept:
-    """A table of kept ids in two generations: a full young one becomes the old one, and what is used again moves back."""
+def flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids one after the other, and how many each part has."""
+    return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
-    def find(self, keys: list[str]) -> list[bytes | None]:
-        got = list(map(self.young.get, keys))
-        if None in got:
-            for i, g in enumerate(got):
-                if g is None and (g := self.old.get(keys[i])) is not None:
-                    got[i] = self.young[keys[i]] = g
-        return got
+class Table:
+    """Chunks with their ids, as flat arrays."""
 
-    def add(self, new: dict[str, bytes]) -> None:
-        self.young.update((k, v) for k, v in new.items() if len(k) <= CACHE_CHARS)
-        if len(self.young) > CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
+    def __init__(self, words: pa.Array | None = None, ids: np.ndarray | None = None, bounds: np.ndarray | None = None):
+        self.words = pa.array([], pa.large_string()) if words is None else words
+        self.ids = np.empty(0, "<u4") if ids is None else ids
+        self.bounds = np.zeros(1, np.int64) if bounds is None else bounds
 
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-class ChunkEncoder:
-    """Ids of texts from the ids of their chunks, of which each is encoded once and kept.
+    def part(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of some entries."""
+        size = self.bounds[at + 1] - self.bounds[at]
+        end = np.cumsum(size)
+        return self.ids[np.arange(int(size.sum())) + np.repeat(self.bounds[at] - (end - size), size)], size
+
+    def add(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids = np.concatenate([self.ids, ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size)])
 
-    Chunks begin at single spaces between visible characters. ``encode`` gives the ids (bytes) of a list of chunks.
-    """
+
+class Kept:
+    """Tables of kept ids in two generations: a full young one becomes the old one, and what is used again moves back."""
 
     def __init__(self, encode):
         self.encode = encode
-        self.first, self.following, self.loose = Kept(), Kept(), Kept()  # at a text's start, after a space (without it), of other texts
+        self.young, self.old = Table(), Table()
+
+    def find(self, words: pa.Array, before: str) -> np.ndarray:
+        """The places of distinct words in the young table; unknown ones are encoded with ``before`` in front and added."""
+        if len(self.young.words) > CACHE_ENTRIES or len(self.young.ids) > CACHE_IDS:
+            self.old, self.young = self.young, Table()
+        at = self.young.find(words)
+        for known in (True, False):
+            missing = np.flatnonzero(at < 0)
+            if not len(missing):
+                break
+            rest = words.take(pa.array(missing))
+            if known:
+                place = self.old.find(rest)
+                found = np.flatnonzero(place >= 0)
+                missing, rest = missing[found], rest.take(pa.array(found))
+                ids, size = self.old.part(place[found])
+            else:
+                ids, size = self.encode([before + x if x else "" for x in rest.to_pylist()])
+            at[missing] = len(self.young.words) + np.arange(len(missing))
+            self.young.add(rest, ids, size)
+        return at
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = text.split(" ")
-        got = self.first.find(parts[:1]) + self.following.find(parts[1:])
-        if None not in got:
-            return b"".join(got)
-        missing = [i for i, g in enumerate(got) if g is None]
-        if any(not parts[i] or parts[i][0].isspace() or parts[i][-1].isspace() for i in missing):
-            parts = _CUT.split(text)
-            parts[1:] = [f" {p}" for p in parts[1:]]
-            return self._fill(parts, self.loose.find(parts), self.loose, "")
-        if got[0] is None:
-            got[0] = self._fill(parts[:1], [None], self.first, "")
-        return got[0] + self._fill(parts[1:], got[1:], self.following, " ")
 
-    def _fill(self, parts: list[str], got: list[bytes | None], table: Kept, before: str) -> bytes:
-        new = list(dict.fromkeys(p for p, g in zip(parts, got, strict=True) if g is None))
-        ids = dict(zip(new, self.encode([before + p for p in new]), strict=True)) if new else {}
-        table.add(ids)
-        return b"".join([ids[p] if g is None else g for p, g in zip(parts, got, strict=True)])
+class ChunkEncoder:
+    """Ids of texts from the ids of their chunks, of which each distinct one of a batch is looked up, or encoded and kept.
+
+    Chunks begin at single spaces between visible characters. ``encode`` gives the ids of a list of chunks (see
+    ``flat``), ``whole`` those of a text that isn't cut at single spaces alone; ``marks`` are strings that make a text
+    such a one.
+    """
 
+    def __init__(self, encode, whole=None, marks: list[str] = ()):
+        self.whole, self.marks = whole or self.ids, marks
+        self.first, self.following, self.loose = Kept(encode), Kept(encode), Kept(encode)  # at a text's start, after a space (without it), of other texts
 
-_loaded: dict[str, Vocabulary] = {}
+    def ids(self, text: str) -> bytes:
+        """Ids of one text."""
+        if not text:
+            return b""
+        parts = _CUT.split(text)
+        parts[1:] = [f" {p}" for p in parts[1:]]
+        found = pa.array(parts, pa.large_string()).dictionary_encode()
+        at = self.loose.find(found.dictionary, "")
+        return self.loose.young.part(at[found.indices.to_numpy()])[0].tobytes()
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where those of each begin and end (one more than there are texts)."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        for mark in self.marks:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        alone, size = flat([self.whole(texts[int(i)].as_py()) for i in odd])
+        if len(odd):
+            mask = np.zeros(len(texts), bool)
+            mask[odd] = True
+            texts = pc.if_else(pa.array(mask), "", texts)
+        parts = pc.split_pattern(texts, " ")
+        starts = parts.offsets.to_numpy().astype(np.int64)
+        pieces, begin = parts.values, starts[:-1]
+        later = np.ones(len(pieces), bool)
+        later[begin] = False
+        # Of each piece, where its ids begin in the ids of all tables together, and how many it has.
+        each, from_ = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        every, offset = [alone], len(alone)
+        for where, table, before in ((begin, self.first, ""), (np.flatnonzero(later), self.following, " ")):
+            found = pieces.take(pa.array(where)).dictionary_encode()
+            at = table.find(found.dictionary, before)[found.indices.to_numpy()]
+            bounds = table.young.bounds
+            each[where], from_[where] = bounds[at + 1] - bounds[at], bounds[at] + offset
+            every.append(table.young.ids)
+            offset += len(table.young.ids)
+        each[begin[odd]], from_[begin[odd]] = size, np.cumsum(size) - size
+        end = np.cumsum(each)
+        ids = np.concatenate(every)[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(from_ - (end - each), each)]
+        return ids, np.concatenate([[0], end])[starts]
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of a batch with at most ``most`` bytes of texts (or one row), each with its column of texts."""
+    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())
+    total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        yield batch.slice(at, end - at), texts.slice(at, end - at)
+        at = end
+    pa.default_memory_pool().release_unused()
 
 
 def vocabulary(path: str) -> Vocabulary:
-    """The vocabulary of a file, once in each process."""
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+    """The vocabulary of a file, kept by the process until it needs another large object."""
+    return resident(("vocabulary", path), lambda: Vocabulary(path))
 
 
 ENCODED = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
@@ -244,8 +320,12 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
         v = vocabulary(path)
 
         def work(batch: pa.RecordBatch) -> list:
-            ids = [v.encode(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            return [[len(x) // 4 for x in ids], ids]
+            out: list[list] = [[], []]
+            for _, texts in slices(batch, text):
+                ids, bounds = v.encode_batch(texts)
+                out[0] += np.diff(bounds).tolist()
+                out[1] += [ids[a:b].tobytes() for a, b in pairwise(bounds.tolist())]
+            return out
 
         return work
 
@@ -274,11 +354,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> list:
             n, a, b = [], [], []
-            for t in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                ids = v.encode(t or "")
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(v.decode(ids).encode("utf-8")).hexdigest())
+            for _, texts in slices(batch, "text"):
+                ids, bounds = v.encode_batch(texts)
+                n += np.diff(bounds).tolist()
+                for start, end in pairwise(bounds.tolist()):
+                    own = ids[start:end].tobytes()
+                    a.append(hashlib.sha256(own).hexdigest())
+                    b.append(hashlib.sha256(v.decode(own).encode("utf-8")).hexdigest())
             return [n, a, b]
 
         return work

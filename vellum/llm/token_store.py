@@ -20,7 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.bpe import ChunkEncoder
-from vellum.llm.common import as_documents, map_arrow, materialise, scratch_path
+from vellum.llm.bpe import ChunkEncoder, flat, slices
+from vellum.llm.common import as_documents, map_arrow, materialise, resident, scratch_path
 
 MAGIC = b"VTOK\x01"
 SAMPLE_DOCS = 400
@@ -60,23 +60,50 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        line = self._one_by_one(["\n"])[0]
+        self.line_end = int.from_bytes(line, "little") if self.by_chunks and len(line) == 4 else None
         self.chunks = ChunkEncoder(self._encode)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _one_by_one(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(i)}I", *i) for i in (x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self.chunks.ids(text) if self.by_chunks else self._encode([text])[0]
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks one after the other, and how many each has. If all are a space and a word, they go to the library
+        in long texts, a word a line: the pattern cuts before a space, the line end between is one token, and no such
+        chunk holds a line end."""
+        plain = [self.line_end is not None and c[:1] == " " and c.split() == [c[1:]] for c in chunks]
+        if not all(plain):
+            return flat(self._mixed(chunks, plain))
+        ids, size = [], []
+        for at in range(0, len(chunks), 2000):
+            some = np.array(self.tokenizer.encode_batch_fast(["\n".join(chunks[at : at + 2000])], add_special_tokens=False)[0].ids, "<u4")
+            cut = some == self.line_end
+            ids.append(some[~cut])
+            size.append(np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(some)]])) - 1)
+        return np.concatenate(ids), np.concatenate(size)
+
+    def _mixed(self, chunks: list[str], plain: list[bool]) -> list[bytes]:
+        lined, others = [c for c, p in zip(chunks, plain, strict=True) if p], [c for c, p in zip(chunks, plain, strict=True) if not p]
+        ids, size = self._encode(lined) if lined else (None, np.empty(0, np.int64))
+        bounds = np.concatenate([[0], np.cumsum(size)]).tolist()
+        one, other = iter(ids[a:b].tobytes() for a, b in pairwise(bounds)), iter(self._one_by_one(others))
+        return [next(one) if p else next(other) for p in plain]
 
+    def encode(self, text: str) -> bytes:
+        """Ids of one text as little-endian unsigned 32-bit integers."""
+        return self.chunks.ids(text) if self.by_chunks else self._one_by_one([text])[0]
 
-_encoders: dict[str, LibraryEncoder] = {}
+    def encode_batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        if not self.by_chunks:
+            yield from (np.frombuffer(self.encode(t or ""), "<u4") for t in texts.to_pylist())
+            return
+        ids, bounds = self.chunks.batch(texts)
+        yield from (ids[a:b] for a, b in pairwise(bounds.tolist()))
 
 
 def encoder(path: str) -> LibraryEncoder:
-    if path not in _encoders:
-        _encoders[path] = LibraryEncoder(path)
-    return _encoders[path]
+    return resident(("encoder", path), lambda: LibraryEncoder(path))
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -117,12 +144,12 @@ class FileWriter:
         self.sink.write(_HEAD.pack(MAGIC, hashlib.sha256(dictionary).digest(), width))
         self.at, self.doc_ids, self.counts, self.offsets = _HEAD.size, [], [], [_HEAD.size]
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        frame = self.pack.compress(np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes())
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        frame = self.pack.compress(ids.astype(f"<u{self.width}").tobytes())
         self.sink.write(frame)
         self.at += len(frame)
         self.doc_ids.append(doc_id)
-        self.counts.append(len(ids) // 4)
+        self.counts.append(len(ids))
         self.offsets.append(self.at)
 
     def close(self) -> None:
@@ -209,7 +236,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     with fs.open_output_stream(f"{path}/{hashlib.sha256(dictionary).hexdigest()}.dictionary") as f:
         f.write(dictionary)
     sent = spark.sparkContext.broadcast(dictionary)
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
+    end = np.array([] if end_id is None else [end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, part = encoder(tokenizer_path), TaskContext.get().partitionId()
@@ -222,19 +249,21 @@ def write_store(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
             return pa.RecordBatch.from_pylist([{"part": part, "number": number, "path": f"{folder}/{name}", "n_docs": len(writer.doc_ids), "n_tokens": sum(writer.counts)}], schema=MANIFEST)
 
         for batch in batches:
-            for doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                if writer is None:
-                    name = f"{part:06d}-{number:04d}-{uuid.uuid4().hex}.tok"
-                    out = fs.open_output_stream(f"{path}/{name}")
-                    writer = FileWriter(out, sent.value, e.width)
-                writer.add(doc_id, e.encode(text or "") + end)
-                if writer.at >= file_bytes:
-                    yield done()
-                    number, writer = number + 1, None
+            for part_of, texts in slices(batch, "text"):
+                for doc_id, ids in zip(part_of.column(0).to_pylist(), e.encode_batch(texts), strict=True):
+                    if writer is None:
+                        name = f"{part:06d}-{number:04d}-{uuid.uuid4().hex}.tok"
+                        out = fs.open_output_stream(f"{path}/{name}")
+                        writer = FileWriter(out, sent.value, e.width)
+                    writer.add(doc_id, np.concatenate([ids, end]))
+                    if writer.at >= file_bytes:
+                        yield done()
+                        number, writer = number + 1, None
         if writer is not None:
             yield done()
 
-    ordered = docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Ranges by doc_id alone, so that no text is sampled for them; rows of one doc_id are in one range.
+    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = materialise(map_arrow(ordered, run, "part int, number int, path string, n_docs long, n_tokens long"), "manifest")
     rows = manifest.orderBy("part", "number").collect()  # one row for each file
     bases = [0, *accumulate(r.n_tokens for r in rows)]
