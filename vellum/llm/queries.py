@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, chat, decontamination, fingerprints, language_id, near_dup, secret_scan, suffix_dedup, token_store, url_templates
+from vellum.llm import bpe, chat, decontamination, fingerprints, language_id, mixing, near_dup, periodic_runs, secret_scan, suffix_dedup, token_store, url_templates, whitening
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -69,9 +69,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document in a mix of sources by weight."""
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of each embedding."""
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of each document."""
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query by name."""
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_near_dup, op3_fingerprints, op4_language_id, op5_chat, op6_token_store, op7_bpe, op8_url_templates, op9_decontamination, op10_secret_scan)}
+    found = (op1_suffix_dedup, op2_near_dup, op3_fingerprints, op4_language_id, op5_chat, op6_token_store, op7_bpe, op8_url_templates, op9_decontamination, op10_secret_scan)
+    return {f.__name__: f for f in (*found, op11_mixing, op12_whitening, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
