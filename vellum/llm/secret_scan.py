@@ -1,14 +1,15 @@
 """Secret scans: known shapes, and a battery of randomness tests on long tokens.
 
-A token of 20 or more characters with a letter gets an encoding, the smallest alphabet that holds its
-characters. A battery asks whether it could be a random string of that encoding: chi-squared uniformity
+A token of 20 or more characters with a letter gets an encoding, inferred from its own characters: an alphabet of
+the classes that it uses (lower and upper case, digits, each separator for itself; fewer letters or digits for
+hexadecimal, base 32 and base 58). A battery asks whether it could be a random string of that encoding: chi-squared uniformity
 over the alphabet, runs of character classes, and serial correlation at lags 1 to 4, joined by Bonferroni.
 Tokens in which randomness is rejected are never reported.
 
 The false-discovery control is of what is reported, so its null is that a token is ordinary text. Ordinary
 tokens change their character class seldom and have the letters of prose; a token's p-value is the chance
-that an ordinary one of its length has as many runs and as unusual letters (1 if the battery has rejected
-randomness). The Benjamini-Hochberg rule over these, within bands of length, chooses the reports: a short
+that an ordinary one of its length has as many runs, as many turns between letters and digits, or as unusual letters, the rarest of the three
+counted three times (1 if the battery has rejected randomness); few runs don't make strange letters more ordinary. The Benjamini-Hochberg rule over these, within bands of length, chooses the reports: a short
 token gives too little evidence where most tokens of its length are ordinary.
 
 Everything here is built-in column expressions. Texts are read once; what is found is written, and the
@@ -35,17 +36,14 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"
 #: Every match of TOKEN or HEX has this.
 LONG_RUN = "[A-Za-z0-9+/_-]{20}"
+CLASSES = ("digits", "upper", "lower", "other")
 _LOWER, _UPPER, _DIGITS, _OTHER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-"
-#: Alphabets by size; a token has the first that holds all its characters.
-ENCODINGS = (
-    ("hex", _DIGITS + "abcdef"), ("HEX", _DIGITS + "ABCDEF"), ("lower", _LOWER), ("upper", _UPPER), ("base32", _UPPER + "234567"), ("lower36", _DIGITS + _LOWER),
-    ("upper36", _DIGITS + _UPPER), ("lower38", _DIGITS + _LOWER + "_-"), ("upper38", _DIGITS + _UPPER + "_-"), ("letters", _UPPER + _LOWER), ("alnum", _DIGITS + _UPPER + _LOWER),
-    ("base64", _DIGITS + _UPPER + _LOWER + "+/"), ("base64url", _DIGITS + _UPPER + _LOWER + "_-"), ("any", _DIGITS + _UPPER + _LOWER + _OTHER),
-)
 #: Letters a to z per thousand letters of English prose.
 PROSE = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
 #: Share of neighbours of different classes in ordinary tokens of one case, and in those of both cases or with separators.
 CHANGES, MORE_CHANGES = 0.15, 0.35
+#: Share of neighbouring letters and digits (separators left out) of which one is a letter, the other a digit, in ordinary tokens.
+TURNS = 0.12
 #: Letters and runs of ordinary tokens come in words; their counts vary by so much more than independent ones.
 CLUSTERING = 2.0
 LAGS = (1, 2, 3, 4)
@@ -88,16 +86,24 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _of_encoding(values: list[float]) -> Column:
-    """A constant of each encoding, as an array."""
+def _of_letters(values: list[float]) -> Column:
+    """A constant of each letter, as an array."""
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _change(alphabet: str) -> tuple[float, float, float]:
-    """Of a random string: chance that neighbours differ in class, its variance, and the covariance of neighbouring pairs."""
-    shares = [sum(c in kind for c in alphabet) / len(alphabet) for kind in (_LOWER, _UPPER, _DIGITS, _OTHER)]
-    p = 1 - sum(x * x for x in shares)
-    return p, p * (1 - p), sum(x * (1 - x) ** 2 for x in shares) - p * p
+def _alphabet(t: Column) -> dict[str, Column]:
+    """The parts of a token's alphabet by class, each empty where the token has nothing of it."""
+    has = lambda pattern: t["token"].rlike(pattern)
+    lower, upper, digits, other = has("[a-z]"), has("[A-Z]"), has("[0-9]"), has("[+/_-]")
+    base58 = lower & upper & digits & ~other & ~has("[0OIl]")
+    pick = lambda used, *cases: F.when(~used, "").otherwise(F.coalesce(*[F.when(when, chars) for when, chars in cases]))
+    always = F.lit(True)
+    return {
+        "digits": pick(digits, (base58, _DIGITS[1:]), (upper & ~lower & ~has("[0189]"), _DIGITS[2:8]), (always, _DIGITS)),
+        "upper": pick(upper, (base58, _UPPER.replace("I", "").replace("O", "")), (digits & ~lower & ~has("[G-Z]"), _UPPER[:6]), (always, _UPPER)),
+        "lower": pick(lower, (base58, _LOWER.replace("l", "")), (digits & ~upper & ~has("[g-z]"), _LOWER[:6]), (always, _LOWER)),
+        "other": F.concat(*[F.when(t["token"].contains(c), c).otherwise("") for c in _OTHER]),
+    }
 
 
 def _prose() -> tuple[list[float], float, float]:
@@ -124,26 +130,24 @@ def judged(tokens: DataFrame | None, name: str = "_tokens") -> DataFrame:
     df = add(tokens, token=lambda t: F.regexp_replace(t["token"], "=+$", ""), shape=shape)
     df = df.withColumn(name, F.filter(name, lambda t: F.lower(t["shape"]).contains("a")))
 
-    def encoding(t: Column) -> Column:
-        out = F.lit(len(ENCODINGS) - 1)
-        for i in reversed(range(len(ENCODINGS) - 1)):
-            out = F.when(F.translate(t["token"], ENCODINGS[i][1], "") == "", i).otherwise(out)
-        return out
-
-    df = add(df, **keep("token", "shape"), enc=encoding, n=lambda t: F.length(t["token"]).cast("double"), changes=lambda t: (F.length(F.regexp_replace(t["shape"], r"(.)\1*+", "$1")) - 1).cast("double"))
-    constant = lambda t, values: F.element_at(_of_encoding(values), t["enc"] + 1)
-    df = add(df, **keep("token", "shape", "enc", "n", "changes"), alphabet=lambda t: F.element_at(F.array(*[F.lit(x) for _, x in ENCODINGS]), t["enc"] + 1), k=lambda t: constant(t, [len(x) for _, x in ENCODINGS]))
+    changes = lambda shape: (F.length(F.regexp_replace(shape, r"(.)\1*+", "$1")) - 1).cast("double")
+    df = add(df, **keep("token", "shape"), parts=lambda t: F.struct(*[v.alias(k) for k, v in _alphabet(t).items()]))
+    df = add(
+        df, **keep("token", "shape"), alphabet=lambda t: F.concat(*[t["parts"][c] for c in CLASSES]), sizes=lambda t: F.array(*[F.length(t["parts"][c]).cast("double") for c in CLASSES]),
+        n=lambda t: F.length(t["token"]).cast("double"), changes=lambda t: changes(t["shape"]), turns=lambda t: changes(F.translate(t["shape"], "A-", "a")), plain=lambda t: F.length(F.translate(t["shape"], "-", "")).cast("double"),
+    )
+    df = add(df, **keep("token", "shape", "alphabet", "n", "changes", "turns", "plain"), k=lambda t: F.length(t["alphabet"]).cast("double"), shares=lambda t: F.transform(t["sizes"], lambda x: x / F.length(t["alphabet"])))
     characters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
     odds, mean, variance = _prose()
     df = add(
-        df, **keep("shape", "enc", "n", "changes", "k"),
+        df, **keep("shape", "shares", "n", "changes", "turns", "plain", "k"),
         pairs=lambda t: F.aggregate(characters(t["alphabet"]), F.lit(0.0), lambda acc, c: acc + F.pow(F.length(t["token"]) - F.length(F.replace(t["token"], c, F.lit(""))), F.lit(2.0))),
         codes=lambda t: F.transform(characters(t["token"]), lambda c: F.instr(t["alphabet"], c).cast("double")),
         letters=lambda t: F.length(F.regexp_replace(t["token"], "[^A-Za-z]", "")).cast("double"),
-        odd=lambda t: F.aggregate(characters(F.regexp_replace(F.lower(t["token"]), "[^a-z]", "")), F.lit(0.0), lambda acc, c: acc + F.element_at(_of_encoding(odds), F.instr(F.lit(_LOWER), c))),
+        odd=lambda t: F.aggregate(characters(F.regexp_replace(F.lower(t["token"]), "[^a-z]", "")), F.lit(0.0), lambda acc, c: acc + F.element_at(_of_letters(odds), F.instr(F.lit(_LOWER), c))),
     )
-    df = add(df, **keep("shape", "enc", "n", "changes", "k", "pairs", "codes", "letters", "odd"), mid=lambda t: F.aggregate(t["codes"], F.lit(0.0), lambda acc, c: acc + c) / t["n"])
-    df = add(df, **keep("shape", "enc", "n", "changes", "k", "pairs", "letters", "odd"), off=lambda t: F.transform(t["codes"], lambda c: c - t["mid"]))
+    df = add(df, **keep("shape", "shares", "n", "changes", "turns", "plain", "k", "pairs", "codes", "letters", "odd"), mid=lambda t: F.aggregate(t["codes"], F.lit(0.0), lambda acc, c: acc + c) / t["n"])
+    df = add(df, **keep("shape", "shares", "n", "changes", "turns", "plain", "k", "pairs", "letters", "odd"), off=lambda t: F.transform(t["codes"], lambda c: c - t["mid"]))
 
     def serial(t: Column, lag: int) -> Column:
         size = F.greatest(F.size(t["off"]) - lag, F.lit(0))
@@ -157,21 +161,25 @@ def judged(tokens: DataFrame | None, name: str = "_tokens") -> DataFrame:
         return (F.pow(chi / df_, F.lit(1 / 3)) - (1 - 2 / (9 * df_))) / F.sqrt(2 / (9 * df_))
 
     def runs_z(t: Column) -> Column:
-        p, v, c = (constant(t, [_change(x)[i] for _, x in ENCODINGS]) for i in range(3))
+        # Of a random string: chance that neighbours differ in class, its variance, and the covariance of neighbouring pairs.
+        total = lambda f: F.aggregate(t["shares"], F.lit(0.0), lambda acc, x: acc + f(x))
+        p = 1 - total(lambda x: x * x)
+        v, c = p * (1 - p), total(lambda x: x * (1 - x) * (1 - x)) - p * p
         spread = F.sqrt(F.greatest((t["n"] - 1) * v + 2 * (t["n"] - 2) * c, F.lit(1e-9)))
-        return F.when(p > 0, F.abs(t["changes"] - (t["n"] - 1) * p) / spread).otherwise(0.0)
+        return F.when(p > 1e-9, F.abs(t["changes"] - (t["n"] - 1) * p) / spread).otherwise(0.0)
 
     split_up = lambda t: t["shape"].contains("-") | (t["shape"].contains("a") & t["shape"].contains("A"))
-    rate = lambda t: F.when(split_up(t), MORE_CHANGES).otherwise(CHANGES)
+    rate = lambda t: F.when(split_up(t), F.lit(MORE_CHANGES)).otherwise(CHANGES)
+    more = lambda number, n, rate: (number - (n - 1) * rate) / F.sqrt(F.greatest(n - 1, F.lit(1.0)) * rate * (1 - rate) * CLUSTERING)
     df = add(
-        df, **keep("n", "changes"),
+        df, **keep("n", "changes", "turns", "plain"),
         chi=chi_z, runs=runs_z, serial=lambda t: F.greatest(*[F.abs(serial(t, lag) + 1 / t["n"]) for lag in LAGS]) * F.sqrt(t["n"]),
-        runs0=lambda t: (t["changes"] - (t["n"] - 1) * rate(t)) / F.sqrt((t["n"] - 1) * rate(t) * (1 - rate(t)) * CLUSTERING), letters0=lambda t: (t["odd"] - t["letters"] * mean) / F.sqrt(t["letters"] * variance * CLUSTERING),
+        runs0=lambda t: more(t["changes"], t["n"], rate(t)), turns0=lambda t: more(t["turns"], t["plain"], F.lit(TURNS)), letters0=lambda t: (t["odd"] - t["letters"] * mean) / F.sqrt(t["letters"] * variance * CLUSTERING),
     )
     tests = 2 + len(LAGS)
     # Chi-squared uniformity is one-sided; a single class of characters has no runs to go by.
     random = lambda t: F.least(F.lit(1.0), tests * F.least(upper_tail(t["chi"]), 2 * upper_tail(t["runs"]), 2 * upper_tail(t["serial"])))
-    ordinary = lambda t: upper_tail(F.when(t["changes"] > 0, (t["runs0"] + t["letters0"]) / 2**0.5).otherwise(t["letters0"]))
+    ordinary = lambda t: F.when(t["changes"] > 0, F.least(F.lit(1.0), 3 * F.least(upper_tail(t["runs0"]), upper_tail(t["turns0"]), upper_tail(t["letters0"])))).otherwise(upper_tail(t["letters0"]))
     df = add(df, **keep("n"), random=random, ordinary=ordinary)
 
     def band(t: Column) -> Column:
