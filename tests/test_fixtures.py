@@ -127,7 +127,7 @@ def test_routes(spark):
 def test_progress(spark):
     now = datetime.datetime(2024, 1, 1)
     events = spark.createDataFrame([(1, now, 1, "stage", 2, None, None), (2, now, 1, "start", None, None, None), (3, now, 1, "progress", None, 5, 20), (3, now, 0, "start", None, None, None)], "job_id long, ts timestamp, event_id long, type string, stage int, chunk int, total int")
-    assert rows(jobs.job_progress(events), "job_id", "percent") == [(1, 24), (2, 16), (3, 36)]
+    assert rows(jobs.job_progress_table(events), "job_id", "percent") == [(1, 24), (2, 16), (3, 36)]
 
 
 @pytest.mark.parametrize(

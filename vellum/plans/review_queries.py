@@ -13,7 +13,7 @@ from vellum.plans.paper_queries import STRIP
 from vellum.plans.structure_queries import BLOCKS, CHUNKS, blocks, chunks
 from vellum.plans.text_queries import FILLED, FINGERPRINT, TOKENS, WORDS, docs
 from vellum.plans.zone_queries import IN, MARGINAL, SPACED
-from vellum.sources import corpus
+from vellum.sources import corpus, results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,10 +177,28 @@ def text_files(spark, folder):
 
 
 @query("snk1_write_results", f"SELECT doc_id, lang, source, md5(text) AS digest FROM {FILLED}")
-def results(spark, folder):
+def appended(spark, folder):
     """The corpus appended in two halves as JSON lines, in folders by source."""
     path = corpus.shared_folder(spark)
     rows = docs(spark, folder).select("doc_id", "lang", "source", "text")
     for half in (rows.filter("doc_id % 2 = 0"), rows.filter("doc_id % 2 <> 0 or doc_id is null")):
         corpus.write_results(half, path, "json", ["source"])
     return digest(spark.read.schema("doc_id long, lang string, text string, source string").json(path))
+
+
+@query("snk1_resumed_results", f"SELECT doc_id, i - 1 AS line_no, md5(l[i]) AS digest FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {FILLED}))")
+def resumed(spark, folder):
+    """Lines of the corpus as JSON lines in four steps: a run that ends after one, a run that fails within a step after its rows
+    have been computed in part, and a run that does what is missing."""
+    path = corpus.shared_folder(spark)
+    rows = docs(spark, folder).select("doc_id", "text")
+    lines = lambda df: df.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    broken = lambda df: lines(df).withColumn("line", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0, F.raise_error(F.lit("a planned stop"))).otherwise(F.col("line")))
+    results.resume_results(rows, path, ["doc_id"], lines, "json", steps=4, most_steps=1)
+    try:
+        results.resume_results(rows, path, ["doc_id"], broken, "json", steps=4)
+    except Exception as e:
+        if "a planned stop" not in str(e):
+            raise
+    results.resume_results(rows, path, ["doc_id"], lines, "json", steps=4)
+    return results.read_results(spark, path, "doc_id long, line_no int, line string", "json").select("doc_id", "line_no", F.md5("line").alias("digest"))
