@@ -118,35 +118,6 @@ def combined_similarity(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     return joined.groupBy("a_id").agg((F.floor(F.max(overall) * 100 + 0.5) / 100).alias("best"))
 
 
-def _dot(p: Column, q: Column) -> Column:
-    return F.aggregate(F.zip_with(p, q, lambda i, j: i * j), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def unit_vector(x: Column) -> Column:
-    """The vector at length 1; a vector of length 0 stays."""
-    x = F.transform(x, lambda v: v.cast("double"))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.when(norm > 0, F.transform(x, lambda v: v / norm)).otherwise(x)
-
-
-def vector_matches(queries: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """a, b, similarity of a stated set of query vectors (vec_id, embedding) against all vectors; a vector isn't compared with itself.
-
-    Each vector is brought to length 1 once. The query set goes to all tasks in blocks if it fits the session's
-    broadcast limit, else Spark joins by blocks.
-    """
-    a = queries.select(F.col("vec_id").alias("a"), unit_vector(F.col("embedding")).alias("x"))
-    b = vectors.select(F.col("vec_id").alias("b"), unit_vector(F.col("embedding")).alias("y"))
-    return a.join(b, F.col("a") != F.col("b")).select("a", "b", F.round(_dot(F.col("x"), F.col("y")), 4).alias("similarity")).filter(F.col("similarity") >= threshold)
-
-
-def nearest_vector(queries: DataFrame, vectors: DataFrame, least: float = 0.30) -> DataFrame:
-    """a, b, similarity, matched: the first vector of largest similarity for each query, and whether it reaches ``least``."""
-    scored = vector_matches(queries, vectors, -2.0)
-    best = scored.groupBy("a").agg(F.max(F.struct(F.col("similarity"), (-F.col("b")).alias("b"))).alias("m"))
-    return best.select("a", (-F.col("m.b")).alias("b"), F.col("m.similarity").alias("similarity"), (F.col("m.similarity") >= least).alias("matched"))
-
-
 def candidate_pages(chunks: DataFrame, pages: DataFrame, first_chunks: int = 8, query_tokens: int = 12, k: int = 3, frequent: int = 64) -> DataFrame:
     """doc_id, chunk_idx, page_id, hits, place: the k pages that have most of the first tokens of each of a document's first
     chunks; of equal ones the smaller page_id.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicons
-from vellum.operators import detect, language, segment, similarity
+from vellum.operators import detect, language, segment, similarity, vectors
 from vellum.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,15 +190,20 @@ query(
 )(lambda s, d: (lambda lex: similarity.combined_similarity(lex, lex.filter("a_id % 3 <> 1").select("a_id", "b_id", F.when(F.col("a_id") % 3 == 2, 0.0).otherwise(((F.col("a_id") + F.col("b_id")) % 100).cast("double")).alias("score"))))(similarity.pair_tfidf(triples(s, d))))
 
 
-def vectors(spark, folder):
+def embedded(spark, folder):
     v = spark.read.parquet(f"{folder}/embeddings.parquet")
     return v.filter("vec_id % 50 = 0"), v
 
 
 COSINE = """WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 4) AS similarity
 FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)"""
-query("sim7_vector_matches", f"{COSINE} SELECT * FROM s WHERE similarity >= 0.25")(lambda s, d: similarity.vector_matches(*vectors(s, d), 0.25))
-query("sim7_nearest_vector", f"{COSINE}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS k FROM s) SELECT a, b, similarity, similarity >= 0.3 AS matched FROM r WHERE k = 1")(lambda s, d: similarity.nearest_vector(*vectors(s, d)))
+query("sim7_vector_matches", f"{COSINE} SELECT * FROM s WHERE similarity >= 0.25")(lambda s, d: vectors.vector_matches(*embedded(s, d), 0.25))
+query("sim7_nearest_vector", f"{COSINE}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS k FROM s) SELECT a, b, similarity, similarity >= 0.3 AS matched FROM r WHERE k = 1")(lambda s, d: vectors.nearest_vector(*embedded(s, d)))
+ALL_PAIRS = """WITH c AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS e, count(*) AS n FROM embeddings GROUP BY embedding), u AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM c),
+s AS (SELECT a.id AS a, b.id AS b, b.n AS n, round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 4) AS similarity FROM u a, u b WHERE a.id <> b.id),
+l AS (SELECT a, CAST(sum(n) AS BIGINT) AS n_links, arg_max(b, (similarity, -b)) AS nearest_id, max(similarity) AS similarity FROM s WHERE similarity >= 0.3 GROUP BY a)
+SELECT vec_id, id AS class_id, c.n AS n_same, coalesce(n_links, 0) AS n_links, nearest_id, similarity FROM embeddings JOIN c ON embedding::DOUBLE[] = e LEFT JOIN l ON id = a"""
+query("sim7_vector_links", ALL_PAIRS)(lambda s, d: vectors.vector_links(embedded(s, d)[1], 0.3))
 
 CANDIDATES = f"""chunks AS ({chunks_sql(2)}), t AS (SELECT DISTINCT doc_id, chunk_idx, token FROM (SELECT doc_id, chunk_idx, unnest({TOKENS.format("chunk")}[1:12]) AS token FROM chunks WHERE chunk_idx < 8)),
 pg AS (SELECT page_id, {PAGE} AS text FROM pages WHERE length({PAGE}) >= 50), ix AS (SELECT DISTINCT page_id, token FROM (SELECT page_id, unnest({TOKENS.format("text")}) AS token FROM pg)),
