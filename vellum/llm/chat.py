@@ -21,14 +21,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm import bpe
-from vellum.llm.common import map_arrow, map_columns, materialise
+from vellum.llm.common import map_arrow, map_columns, materialise, resident
+from vellum.llm.token_store import LibraryEncoder
 
 BUDGET = 512
 HISTORY = 128
@@ -58,13 +58,13 @@ def estimate_tokens(turns: DataFrame) -> DataFrame:
 
 
 def count_tokens(path: str) -> Callable[[DataFrame], DataFrame]:
-    """A function that adds ``tokens``: the number of ids of ``shown`` in a byte-level vocabulary. Marks are cut
-    from texts by the vocabulary's pattern, so the turns' numbers add up to that of the window."""
+    """A function that adds ``tokens``: the number of ids of ``shown`` by the tokenizers library with a byte-level vocabulary.
+    Marks are cut from texts by the vocabulary's pattern, so the turns' numbers add up to that of the window."""
 
     def add(turns: DataFrame) -> DataFrame:
         def make():
-            v = bpe.vocabulary(path)
-            return lambda batch: [np.concatenate([np.diff(v.encode_batch(t)[1]) for _, t in bpe.slices(batch, "shown")] or [[]]).astype(np.int64)]
+            tokenizer = resident(("library", path), lambda: LibraryEncoder(path)).tokenizer
+            return lambda batch: [[len(x.ids) for _, t in bpe.slices(batch, "shown") for x in tokenizer.encode_batch_fast(t.to_pylist(), add_special_tokens=False)]]
 
         return map_columns(turns, [T.StructField("tokens", T.LongType())], make)
 
