@@ -60,3 +60,10 @@ def banded(x: Column, bands: list[tuple[float | None, str]]) -> Column:
     for least, label in reversed(bands[:-1]):
         out = F.when(x >= least, label).otherwise(out)
     return out
+
+
+def overlap_confidence(original: Column, revised: Column) -> Column:
+    """Jaccard of lower-case words within 0.5 to 1; 0 for equal texts, 0.5 for an empty original; four digits."""
+    a, b = F.array_distinct(words(F.lower(original))), F.array_distinct(words(F.lower(revised)))
+    jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    return F.round(F.when(original == revised, 0.0).when(F.size(a) == 0, 0.5).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(1.0), jaccard))), 4)

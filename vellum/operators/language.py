@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.lexicons import FLESCH_LEVELS, GRAMMAR_RULES, INFORMAL, NEGATIVE, POSITIVE, STOP_WORDS, VERBOSE
-from vellum.functions.text import ascii_rule, banded, occurrences, places, ranked, strip, words
+from vellum.functions.text import ascii_rule, banded, occurrences, overlap_confidence, places, ranked, strip, words
 from vellum.operators.segment import sentences
 
 # Patterns of the style rules (words of any script) and of the tone rules (ASCII words).
@@ -172,6 +172,8 @@ def revision_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def revision_stats(changes: DataFrame) -> DataFrame:
-    """doc_id, total, changed, unchanged, percent of changed sentences."""
-    out = changes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("changed").alias("changed"))
-    return out.select("doc_id", "total", "changed", (F.col("total") - F.col("changed")).alias("unchanged"), F.floor(F.col("changed") / F.col("total") * 100 + 0.5).alias("percent"))
+    """doc_id, total, changed, unchanged, percent of changed sentences, confidence (mean over all sentences, three digits)."""
+    tenthousandths = F.round(overlap_confidence(F.col("original"), F.col("revised")) * 10_000).cast("long")
+    out = changes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("changed").alias("changed"), F.sum(tenthousandths).alias("c"))
+    mean = F.floor(F.col("c") / F.col("total") / 10 + 0.5) / 1000
+    return out.select("doc_id", "total", "changed", (F.col("total") - F.col("changed")).alias("unchanged"), F.floor(F.col("changed") / F.col("total") * 100 + 0.5).alias("percent"), mean.alias("confidence"))

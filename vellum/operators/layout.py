@@ -28,13 +28,35 @@ def pack_chunks(blocks: DataFrame, target: int = 2000) -> DataFrame:
     return rows.select("doc_id", F.posexplode(packed).alias("chunk_idx", "c")).select("doc_id", "chunk_idx", "c.*")
 
 
+#: Aligned blocks of 1, 2, 4, ... pages: [first, last] is a union of at most two blocks of each size.
+_LOW, _HIGH = "shiftright(a + shiftleft(1L, l) - 1, l)", "shiftright(b, l)"
+_BLOCK = "if({high} > {low} and {edge} % 2 = 1, named_struct('level', l, 'block', {edge} - {back}), null)"
+COVER = f"flatten(transform(sequence(0, 31), l -> filter(array({_BLOCK.format(high=_HIGH, low=_LOW, edge=_LOW, back=0)}, {_BLOCK.format(high=_HIGH, low=_LOW, edge=_HIGH, back=1)}), x -> x is not null)))"
+
+
 def attach_by_page(items: DataFrame, sections: DataFrame) -> DataFrame:
     """doc_id, item_id, section_idx: the last section whose pages contain the item's, else the last that starts at or before
-    it, else the first. One aggregate over a join on the document."""
-    both = items.select("doc_id", "item_id", "page").join(sections.select("doc_id", "section_idx", "page_start", "page_end"), "doc_id")
-    starts, contains = F.col("page_start") <= F.col("page"), F.col("page").between(F.col("page_start"), F.col("page_end"))
-    rank = F.struct(F.when(contains, 2).when(starts, 1).otherwise(0).alias("r"), F.when(starts, F.col("section_idx")).otherwise(-F.col("section_idx")).alias("o"), "section_idx")
-    return both.groupBy("doc_id", "item_id").agg(F.max(rank).alias("m")).select("doc_id", "item_id", F.col("m.section_idx").alias("section_idx"))
+    it, else the first; items of documents without sections are left out.
+
+    Only distinct pages meet sections. A section's pages are cut into aligned blocks, two of each size at most, and a page
+    lies in one block of each size, so containment is an equality of blocks; the last section that has started is a
+    running maximum over starts and pages. Rows between stages grow with items + sections (times the bits of a page number).
+    Pages count from 0; an item without a page gets the first section.
+    """
+    spans = sections.select("doc_id", "section_idx", F.greatest(F.col("page_start").cast("long"), F.lit(0)).alias("s"), (F.col("page_end").cast("long") + 2).alias("b"), F.col("page_start").cast("long").alias("start"))
+    pages = items.select("doc_id", F.col("page").cast("long").alias("page")).distinct()
+    cover = spans.filter("s is not null and b is not null").withColumn("a", F.col("s") + 1).select("doc_id", "section_idx", F.explode(F.expr(COVER)).alias("c"))
+    last = cover.groupBy("doc_id", "c").agg(F.max("section_idx").alias("inside"))
+    blocks = F.expr("transform(sequence(0, cast(floor(log2(page + 1)) as int)), l -> named_struct('level', l, 'block', shiftright(page + 1, l)))")
+    inside = pages.filter("page >= 0").select("doc_id", "page", F.explode(blocks).alias("c")).join(last, ["doc_id", "c"]).groupBy("doc_id", "page").agg(F.max("inside").alias("inside"))
+    points = spans.select("doc_id", F.lit(None).cast("long").alias("page"), F.col("start").alias("at"), "section_idx", F.lit(False).alias("asked"))
+    points = points.unionByName(pages.select("doc_id", "page", F.col("page").alias("at"), F.lit(None).cast("int").alias("section_idx"), F.lit(True).alias("asked")))
+    upto = F.max(F.when(F.col("at").isNotNull(), F.col("section_idx"))).over(Window.partitionBy("doc_id").orderBy("at"))
+    started = points.withColumn("started", upto).filter("asked").select("doc_id", "page", "started")
+    first = sections.groupBy("doc_id").agg(F.min("section_idx").alias("first"))
+    found = started.join(first, "doc_id").join(inside, ["doc_id", "page"], "left").select(F.col("doc_id").alias("_doc"), F.col("page").alias("_page"), F.coalesce("inside", F.when(F.col("page").isNotNull(), F.col("started")), "first").alias("section_idx"))
+    same = (F.col("doc_id") == F.col("_doc")) & F.col("page").cast("long").eqNullSafe(F.col("_page"))
+    return items.select("doc_id", "item_id", "page").join(found, same).select("doc_id", "item_id", "section_idx")
 
 
 def table_rows(docs: DataFrame) -> DataFrame:
@@ -69,3 +91,14 @@ def retention_check(before: DataFrame, after: DataFrame, share: float = 0.65) ->
     count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
     both = count(before, "n_before").join(count(after, "n_after"), "doc_id", "left").na.fill(0, ["n_after"])
     return both.withColumn("warn", F.col("n_after") < F.greatest(F.lit(1), F.floor(F.col("n_before") * share)))
+
+
+def block_id_errors(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, problem, block_id: blocks without an id (``no id``, one row a block), ids that several blocks of a document have
+    (``duplicate``) and ids that ``found`` lacks (``missing``). Both tables have doc_id and block_id; blank ids are none."""
+    clean = F.nullif(strip(F.coalesce(F.col("block_id").cast("string"), F.lit(""))), F.lit(""))
+    rows = blocks.select("doc_id", clean.alias("block_id"))
+    named = rows.filter("block_id is not null").groupBy("doc_id", "block_id").agg(F.count(F.lit(1)).alias("n"))
+    problem = lambda df, name: df.select("doc_id", F.lit(name).alias("problem"), "block_id")
+    there = found.select("doc_id", clean.alias("block_id")).filter("block_id is not null").distinct()
+    return problem(rows.filter("block_id is null"), "no id").union(problem(named.filter("n > 1"), "duplicate")).union(problem(named.join(there, ["doc_id", "block_id"], "left_anti"), "missing"))

@@ -76,21 +76,40 @@ def active_job_per_document(jobs: DataFrame) -> DataFrame:
     return ranked(jobs.filter(F.col("status").isin("queued", "running")), ["user_id", "doc_id"], [F.desc("queued_at"), F.desc("job_id")], "_place").filter("_place = 1").drop("_place")
 
 
-def reusable_results(jobs: DataFrame) -> DataFrame:
-    """job_id, reused_id: the latest other job with the same cache key, null where there is none.
+def cache_key(**parts: Column) -> Column:
+    """SHA-256 of a JSON object of the parts, sorted by name; a null is a value, so that it differs from a missing part."""
+    return F.sha2(F.to_json(F.struct(*[parts[k].alias(k) for k in sorted(parts)]), {"ignoreNullFields": "false"}), 256)
 
-    Two aggregates give the latest and the one before it, so a key with a third of all jobs needs no list.
-    """
-    latest = jobs.groupBy("cache_key").agg(F.max("job_id").alias("latest"))
-    known = jobs.join(latest, "cache_key")
-    before = known.filter("job_id < latest").groupBy("cache_key").agg(F.max("job_id").alias("before"))
-    return known.join(before, "cache_key", "left").select("job_id", F.when(F.col("job_id") == F.col("latest"), F.col("before")).otherwise(F.col("latest")).alias("reused_id"))
 
+def reusable_results(jobs: DataFrame) -> DataFrame:
+    """job_id, reused_id: the latest other completed job of the same document, style and content, null where there is none.
 
-def job_timings(jobs: DataFrame) -> DataFrame:
-    """stage, n, mean and median elapsed time over all jobs' stages (array of structs stage_timings)."""
-    stages = jobs.select(F.explode("stage_timings").alias("t")).select(F.col("t.name").alias("stage"), F.col("t.elapsed_ms").alias("ms"))
-    return stages.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.round(F.percentile("ms", 0.5), 3).alias("median_ms"))
+    ``jobs`` has job_id, document, style, content, status and completed_at. The latest is by time of completion, then by
+    job_id; jobs that are queued, running, failed or have no time of completion are never reused, but may reuse. Two
+    aggregates give the latest and the one before it, so a key with a third of all jobs needs no list.
+    """
+    keyed = jobs.select("job_id", cache_key(document=F.col("document"), style=F.col("style"), content=F.col("content")).alias("key"), F.when(F.col("status") == "completed", F.col("completed_at")).alias("done"))
+    rank = F.struct("done", "job_id")
+    done = keyed.filter("done is not null")
+    latest = done.groupBy("key").agg(F.max(rank).alias("latest"))
+    before = done.join(latest, "key").filter(rank < F.col("latest")).groupBy("key").agg(F.max(rank).alias("before"))
+    known = keyed.join(latest, "key", "left").join(before, "key", "left")
+    return known.select("job_id", F.when(F.col("job_id") == F.col("latest.job_id"), F.col("before.job_id")).otherwise(F.col("latest.job_id")).alias("reused_id"))
+
+
+def job_timings(jobs: DataFrame, accuracy: int = 100_000) -> DataFrame:
+    """stage, n, mean_ms, median_ms, retries of all jobs' stages and of the wait in the queue (stage ``queue``).
+
+    ``jobs`` has queued_at, started_at, attempts and stage_timings, an array of structs (name, elapsed_ms). A job waits until it
+    is started; one that isn't yet has no wait. retries are the attempts beyond the first, of all jobs, in the row of the
+    queue. The median is a value whose rank is right within n / ``accuracy``, from sketches that merge, so no stage's values
+    are gathered.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    wait = (micros("started_at") - micros("queued_at")) / 1000
+    stages = jobs.select(F.explode("stage_timings").alias("t")).select(F.col("t.name").alias("stage"), F.col("t.elapsed_ms").cast("double").alias("ms"), F.lit(None).cast("long").alias("retries"))
+    queue = jobs.select(F.lit("queue").alias("stage"), wait.alias("ms"), F.greatest(F.coalesce("attempts", F.lit(0)) - 1, F.lit(0)).cast("long").alias("retries"))
+    return stages.unionByName(queue).groupBy("stage").agg(F.count("ms").alias("n"), F.round(F.avg("ms"), 3).alias("mean_ms"), F.percentile_approx("ms", 0.5, accuracy).alias("median_ms"), F.sum("retries").alias("retries"))
 
 
 def plans(spark: SparkSession) -> DataFrame:
@@ -103,6 +122,20 @@ def usage_vs_limits(users: DataFrame, plans: DataFrame) -> DataFrame:
     return users.join(plans.select("plan", "documents_per_month"), "plan").select("user_id", "plan", "used", "documents_per_month", F.least(F.lit(100).cast("long"), share).alias("percent"))
 
 
+#: What each limit of a plan is about.
+LIMITS = {"documents": "documents_per_month", "plagiarism_checks": "plagiarism_checks", "storage": "storage_limit"}
+
+
+def usage_of_all_limits(users: DataFrame, plans: DataFrame) -> DataFrame:
+    """user_id, plan, resource, used, allowed (-1: no limit), percent (of at least 1, at most 100), within: a row for each user
+    and each of documents, plagiarism checks and storage. ``users`` has a column of each name; null is none."""
+    of = lambda name: F.struct(F.lit(name).alias("resource"), F.coalesce(F.col(name).cast("long"), F.lit(0)).alias("used"), F.col(f"_{name}").cast("long").alias("allowed"))
+    limits = plans.select("plan", *[F.col(c).alias(f"_{name}") for name, c in LIMITS.items()])
+    rows = users.join(limits, "plan").select("user_id", "plan", F.explode(F.array(*map(of, LIMITS))).alias("r")).select("user_id", "plan", "r.*")
+    share = F.floor(F.col("used") / F.greatest(F.col("allowed"), F.lit(1)) * 100 + 0.5)
+    return rows.select("*", F.least(F.lit(100).cast("long"), share).alias("percent"), ((F.col("allowed") < 0) | (F.col("used") <= F.col("allowed"))).alias("within"))
+
+
 def monthly_usage_reset(users: DataFrame, now: Column, days: int = 30) -> DataFrame:
     """user_id, used, reset: the counter is zero if the last reset is more than ``days`` days ago."""
     due = F.unix_timestamp(now) - F.unix_timestamp("last_reset") > days * 86_400
@@ -119,6 +152,12 @@ def cascade_delete(docs: DataFrame, children: DataFrame, deleted: DataFrame, key
     return docs.join(deleted, key, "left_anti"), children.join(deleted, key, "left_anti")
 
 
+def detach_projects(docs: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
+    """Documents' columns after projects were deleted: every document stays, its reference ``key`` to a deleted project is null."""
+    gone = deleted.select(F.col(key).alias("_gone")).distinct()
+    return docs.join(gone, F.col(key) == F.col("_gone"), "left").withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
+
+
 def storage_after_delete(users: DataFrame, removed: DataFrame) -> DataFrame:
     """user_id, storage less what was removed, at least 0."""
     sums = removed.groupBy("user_id").agg(F.sum("size").alias("gone"))

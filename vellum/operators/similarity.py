@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import WORD, ranked, strip, words
+from vellum.functions.text import WORD, overlap_confidence, ranked, strip
 from vellum.operators.segment import sentence_chunks
 
 THRESHOLD = 0.75
@@ -142,14 +142,39 @@ def candidate_pages(chunks: DataFrame, pages: DataFrame, first_chunks: int = 8,
     return ranked(hits.union(full), chunk, [F.desc("hits"), "page_id"], "place").filter(F.col("place") <= k)
 
 
+def page_scores(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, chunk_idx, page_id, similarity of each chunk and its candidate pages: cosine of TF-IDF fitted on the two texts.
+
+    Chunks and pages are counted once each, whatever they meet: with two texts the idf of shared tokens is 1 and that of
+    others a constant, so a pair needs its shared tokens and both squares, which are sums of a text alone.
+    """
+    unit = ["doc_id", "chunk_idx"]
+    candidates = candidate_pages(chunks, pages).select(*unit, "page_id")
+    counted = lambda df, keys, text: df.select(*keys, F.explode(tokens(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
+    square = lambda df, keys, name: df.groupBy(*keys).agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
+    mine = counted(chunks.join(candidates.select(*unit).distinct(), unit, "left_semi"), unit, "chunk")
+    theirs = counted(pages, ["page_id"], "text")
+    shared = candidates.join(mine.withColumnRenamed("tf", "a"), unit).join(theirs.withColumnRenamed("tf", "b"), ["page_id", "token"])
+    sums = shared.groupBy(*unit, "page_id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("sa"), F.sum(F.col("b") * F.col("b")).alias("sb"))
+    sums = sums.join(square(mine, unit, "na"), unit).join(square(theirs, ["page_id"], "nb"), "page_id")
+    alone = F.pow(F.log(F.lit(1.5)) + 1, F.lit(2.0))
+    length = lambda whole, part: F.sqrt(F.col(part) + alone * (F.col(whole) - F.col(part)))
+    score = F.round(F.col("dot") / (length("na", "sa") * length("nb", "sb")) * 100, 2) / 100
+    return candidates.join(sums.select(*unit, "page_id", score.alias("similarity")), [*unit, "page_id"], "left").na.fill(0.0, ["similarity"])
+
+
+def web_matches(chunks: DataFrame, pages: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """doc_id, chunk_idx, page_id, url, similarity, percent, preview (150 characters of the chunk) of pairs that reach the threshold."""
+    shown = F.concat(F.substring("chunk", 1, 150), F.when(F.length("chunk") > 150, "...").otherwise(""))
+    hits = page_scores(chunks, pages).filter(F.col("similarity") >= threshold)
+    hits = hits.join(chunks.select("doc_id", "chunk_idx", shown.alias("preview")), ["doc_id", "chunk_idx"]).join(pages.select("page_id", "url"), "page_id")
+    return hits.select("doc_id", "chunk_idx", "page_id", "url", "similarity", F.round(F.col("similarity") * 100, 2).alias("percent"), "preview")
+
+
 def web_report(chunks: DataFrame, pages: DataFrame, threshold: float = 0.72) -> DataFrame:
     """doc_id, score, n_matches, pages_checked, chunks_checked, n_sources against each chunk's candidate pages."""
-    candidates = candidate_pages(chunks, pages)
-    pairs = candidates.join(chunks, ["doc_id", "chunk_idx"]).join(pages.select("page_id", F.col("text").alias("b_text")), "page_id")
-    scores = pair_tfidf(pairs.select(F.struct("doc_id", "chunk_idx").alias("a_id"), F.col("chunk").alias("a_text"), F.col("page_id").alias("b_id"), "b_text"))
-    scores = scores.select("a_id.doc_id", "a_id.chunk_idx", F.col("b_id").alias("page_id"), (F.col("score") / 100).alias("similarity"))
     hit = F.col("similarity") >= threshold
-    return scores.groupBy("doc_id").agg(
+    return page_scores(chunks, pages).groupBy("doc_id").agg(
         F.coalesce(_mean(F.when(hit, F.col("similarity"))), F.lit(0.0)).alias("score"), F.count_if(hit).alias("n_matches"), F.countDistinct("page_id").alias("pages_checked"),
         F.countDistinct("chunk_idx").alias("chunks_checked"), F.countDistinct(F.when(hit, F.col("page_id"))).alias("n_sources"),
     )
@@ -194,7 +219,4 @@ def shingle_candidates(docs: DataFrame, width: int = 5, threshold: float = 0.8)
 
 def word_overlap(pairs: DataFrame) -> DataFrame:
     """pair_id, confidence: Jaccard of lower-case words within 0.5 to 1; 0 for equal texts, 0.5 for an empty original."""
-    p = pairs.select("pair_id", "original", "revised", F.array_distinct(words(F.lower("original"))).alias("a"), F.array_distinct(words(F.lower("revised"))).alias("b"))
-    jaccard = F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
-    value = F.when(F.col("original") == F.col("revised"), 0.0).when(F.size("a") == 0, 0.5).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(1.0), jaccard)))
-    return p.select("pair_id", F.round(value, 4).alias("confidence"))
+    return pairs.select("pair_id", overlap_confidence(F.col("original"), F.col("revised")).alias("confidence"))

@@ -85,6 +85,14 @@ query(
     f"WITH {BLOCKS}, b AS (SELECT doc_id, count(*) AS n_before, count(*) FILTER ((block_idx + doc_id) % 3 > 0) AS n_after FROM blocks GROUP BY doc_id) SELECT *, n_after < greatest(1, floor(n_before * 0.65)) AS warn FROM b",
 )(lambda s, d: layout.retention_check(blocks(s, d), blocks(s, d).filter("(block_idx + doc_id) % 3 > 0")))
 
+KNOWN_IDS = "CASE WHEN block_idx % 7 = 6 THEN ' ' WHEN block_idx % 5 = 4 THEN concat('b', block_idx - 1) ELSE concat('b', block_idx) END"
+query(
+    "str13_block_id_errors",
+    f"""WITH {BLOCKS}, b AS (SELECT doc_id, nullif(trim({KNOWN_IDS}), '') AS block_id FROM blocks), f AS (SELECT DISTINCT doc_id, concat('b', block_idx) AS block_id FROM blocks WHERE (block_idx + doc_id) % 3 > 0), n AS (SELECT doc_id, block_id, count(*) AS n FROM b WHERE block_id IS NOT NULL GROUP BY ALL)
+SELECT doc_id, 'no id' AS problem, block_id FROM b WHERE block_id IS NULL UNION ALL SELECT doc_id, 'duplicate', block_id FROM n WHERE n > 1
+UNION ALL SELECT doc_id, 'missing', block_id FROM n WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = n.doc_id AND f.block_id = n.block_id)""",
+)(lambda s, d: layout.block_id_errors(blocks(s, d).select("doc_id", F.expr(KNOWN_IDS).alias("block_id")), blocks(s, d).filter("(block_idx + doc_id) % 3 > 0").select("doc_id", F.concat(F.lit("b"), "block_idx").alias("block_id"))))
+
 LATEX = r"concat('Text \\cite{a', CAST(doc_id % 5 AS STRING), ', b} {and \\citep{c', CAST(doc_id % 3 AS STRING), '} $x$ ', lang, CASE WHEN doc_id % 4 = 0 THEN ' \\cite{} $' ELSE '' END)"
 LATEX_DUCK = LATEX.replace("\\\\", "\\")
 

@@ -91,21 +91,53 @@ query("ops9_active_job_per_document", f"SELECT job_id, user_id, doc_id, status F
 )
 query(
     "ops10_reusable_results",
-    "WITH j AS (SELECT doc_id AS job_id, sha256(text) AS k FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY job_id DESC) AS n, nth_value(job_id, 1) OVER w AS a, nth_value(job_id, 2) OVER w AS b FROM j WINDOW w AS (PARTITION BY k ORDER BY job_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT job_id, CASE WHEN n = 1 THEN b ELSE a END AS reused_id FROM r",
-)(lambda s, d: ops.reusable_results(table(s, d, "documents").select(F.col("doc_id").alias("job_id"), F.sha2("text", 256).alias("cache_key"))))
-query(
-    "ops11_job_timings",
-    "SELECT stage, count(*) AS n, round(avg(ms), 3) AS mean_ms, round(quantile_cont(ms, 0.5), 3) AS median_ms FROM (SELECT event_type AS stage, value * 10 AS ms FROM events UNION ALL SELECT 'queue', value + event_id % 7 FROM events) GROUP BY stage",
+    f"""WITH j AS (SELECT event_id AS job_id, sha256(concat('{{"content":"', md5(props[1:7]), '","document":', user_id, ',"style":"', CASE event_id % 2 WHEN 0 THEN 'APA' ELSE 'IEEE' END, '"}}')) AS k, CASE WHEN {STATUS} = 'completed' THEN ts END AS done FROM events),
+d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY done DESC, job_id DESC) AS n FROM j WHERE done IS NOT NULL)
+SELECT j.job_id, CASE WHEN j.job_id = a.job_id THEN b.job_id ELSE a.job_id END AS reused_id FROM j LEFT JOIN d a ON a.k = j.k AND a.n = 1 LEFT JOIN d b ON b.k = j.k AND b.n = 2""",
 )(
-    lambda s, d: ops.job_timings(
-        table(s, d, "events").select(F.array(F.struct(F.col("event_type").alias("name"), (F.col("value") * 10).alias("elapsed_ms")), F.struct(F.lit("queue").alias("name"), (F.col("value") + F.col("event_id") % 7).alias("elapsed_ms"))).alias("stage_timings"))
+    lambda s, d: ops.reusable_results(
+        table(s, d, "events").select(
+            F.col("event_id").alias("job_id"), F.col("user_id").alias("document"), F.when(F.col("event_id") % 2 == 0, "APA").otherwise("IEEE").alias("style"),
+            F.md5(F.substring("props", 1, 7)).alias("content"), F.expr(STATUS).alias("status"), F.col("ts").alias("completed_at"),
+        )
     )
+)
+
+
+@query(
+    "ops11_job_timings",
+    """WITH l AS (SELECT l_orderkey, min(l_shipdate) AS started_at, count(*) AS attempts FROM lineitem GROUP BY l_orderkey),
+t AS (SELECT l_returnflag AS stage, l_quantity * 1000 AS ms, NULL AS retries FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+UNION ALL SELECT 'queue', (epoch_us(started_at) - epoch_us(o_orderdate)) / 1000, greatest(coalesce(attempts, 0) - 1, 0) FROM orders LEFT JOIN l ON o_orderkey = l_orderkey)
+SELECT stage, count(ms) AS n, round(avg(ms), 3) AS mean_ms, quantile_disc(ms, 0.5) AS median_ms, CAST(sum(retries) AS BIGINT) AS retries FROM t GROUP BY stage""",
 )
+def timings(spark, folder):
+    """Orders are jobs, queued at their date and started with the first shipment; lines are their stages and attempts."""
+    stage = F.struct(F.col("l_returnflag").alias("name"), (F.col("l_quantity") * 1000).alias("elapsed_ms"))
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("started_at"), F.count(F.lit(1)).alias("attempts"), F.collect_list(stage).alias("stage_timings"))
+    return ops.job_timings(table(spark, folder, "orders").select("o_orderkey", F.col("o_orderdate").alias("queued_at")).join(lines, "o_orderkey", "left"))
+
+
 query("ops12_usage_vs_limits", f"WITH u AS ({USERS}), p AS (SELECT *, CASE plan WHEN 'free' THEN 5 ELSE -1 END AS documents_per_month FROM u) SELECT *, CAST(least(100, floor(used / greatest(documents_per_month, 1) * 100 + 0.5)) AS BIGINT) AS percent FROM p")(
     lambda s, d: ops.usage_vs_limits(users(s, d), ops.plans(s))
 )
 
 
+LIMITS = "SELECT * FROM (VALUES ('free', 5, 0, 104857600), ('premium', -1, 10, 10737418240), ('team', -1, -1, 107374182400)) p(plan, d, c, b)"
+query(
+    "ops12_all_limits",
+    f"""WITH u AS (SELECT c_custkey AS user_id, {PLAN} AS plan, count(o_orderkey) AS d, count(*) FILTER (o_orderstatus = 'F') AS c, coalesce(sum(CAST(floor(o_totalprice) AS BIGINT) * 100), 0) AS b FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_mktsegment), p AS ({LIMITS}),
+r AS (SELECT user_id, u.plan, 'documents' AS resource, u.d AS used, p.d AS allowed FROM u JOIN p ON u.plan = p.plan UNION ALL SELECT user_id, u.plan, 'plagiarism_checks', u.c, p.c FROM u JOIN p ON u.plan = p.plan UNION ALL SELECT user_id, u.plan, 'storage', u.b, p.b FROM u JOIN p ON u.plan = p.plan)
+SELECT user_id, plan, resource, CAST(used AS BIGINT) AS used, CAST(allowed AS BIGINT) AS allowed, CAST(least(100, floor(used / greatest(allowed, 1) * 100 + 0.5)) AS BIGINT) AS percent, allowed < 0 OR used <= allowed AS within FROM r""",
+)(
+    lambda s, d: ops.usage_of_all_limits(
+        table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.expr(PLAN).alias("plan")).join(
+            table(s, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("o_orderstatus") == "F").alias("plagiarism_checks"), F.sum(F.floor("o_totalprice") * 100).alias("storage")), "user_id", "left"),
+        ops.plans(s),
+    )
+)
+
+
 @query(
     "ops13_monthly_usage_reset",
     """WITH n AS (SELECT max(ts) AS now FROM events), u AS (SELECT user_id, count(*) AS used, CASE WHEN user_id % 3 = 0 THEN max(ts) - INTERVAL 31 DAY WHEN user_id % 3 = 1 THEN (SELECT now FROM n) - INTERVAL 30 DAY ELSE max(ts) END AS last_reset FROM events GROUP BY user_id)
@@ -132,6 +164,9 @@ def deletion(spark, folder):
 query("ops15_cascade_delete", f"SELECT l_orderkey AS o_orderkey, count(*) AS n_lines FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM {GONE}) GROUP BY l_orderkey")(
     lambda s, d: ops.cascade_delete(*deletion(s, d), "o_orderkey")[1].groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_lines"))
 )
+query("ops15_project_delete", f"SELECT l_partkey, l_suppkey, l_linenumber, l_quantity, CASE WHEN l_orderkey IN (SELECT o_orderkey FROM {GONE}) THEN NULL ELSE l_orderkey END AS o_orderkey FROM lineitem")(
+    lambda s, d: (lambda orders, lines, deleted: ops.detach_projects(lines.select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "o_orderkey"), deleted, "o_orderkey"))(*deletion(s, d))
+)
 query(
     "ops15_storage_after_delete",
     f"WITH g AS (SELECT o_custkey, count(*) * 100 AS gone FROM {GONE} JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey) SELECT c_custkey AS user_id, greatest(0, CAST(floor(c_acctbal) AS BIGINT) - coalesce(gone, 0)) AS storage FROM customer LEFT JOIN g ON c_custkey = o_custkey",

@@ -217,6 +217,13 @@ SELECT a_id.doc_id AS doc_id, coalesce(floor(sum(CASE WHEN score / 100 >= 0.2 TH
 count(DISTINCT b_id) FILTER (score / 100 >= 0.2) AS n_sources FROM pair_scores GROUP BY 1""",
 )(lambda s, d: similarity.web_report(segment.sentence_chunks(docs(s, d), 2), corpus.load_page_sources(s, d), 0.2))
 
+query(
+    "sim9_web_matches",
+    f"""WITH {CANDIDATES}, {pair_sql("SELECT {'doc_id': c.doc_id, 'chunk_idx': c.chunk_idx} AS a_id, chunk AS a_text, c.page_id AS b_id, pg.text AS b_text FROM cand c JOIN chunks USING (doc_id, chunk_idx) JOIN pg ON c.page_id = pg.page_id")}
+SELECT k.doc_id, k.chunk_idx, b_id AS page_id, url, score / 100 AS similarity, round(score, 2) AS percent, concat(chunk[1:150], CASE WHEN length(chunk) > 150 THEN '...' ELSE '' END) AS preview
+FROM pair_scores JOIN chunks k ON a_id.doc_id = k.doc_id AND a_id.chunk_idx = k.chunk_idx JOIN pages ON b_id = pages.page_id WHERE score / 100 >= 0.2""",
+)(lambda s, d: similarity.web_matches(segment.sentence_chunks(docs(s, d), 2), corpus.load_page_sources(s, d), 0.2))
+
 KEY = r"lower(" + STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')") + ")"
 query("sim11_exact_duplicates", f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {KEY}) AS first_id, count(*) OVER (PARTITION BY {KEY}) AS group_size, doc_id = min(doc_id) OVER (PARTITION BY {KEY}) AS kept FROM {FILLED}")(lambda s, d: similarity.exact_duplicates(docs(s, d)))
 
@@ -246,8 +253,10 @@ def changes(spark, folder):
     return language.revision_changes(v.select(F.col("pair_id").alias("doc_id"), F.col("original").alias("text")), v.select(F.col("pair_id").alias("doc_id"), F.col("revised").alias("text")))
 
 
+CONFIDENCES = f"""o AS (SELECT *, CASE WHEN original = revised THEN 0 WHEN len(a) = 0 THEN 0.5 ELSE round(greatest(0.5, least(1.0, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))))), 4) END AS confidence
+FROM (SELECT *, list_distinct({WORDS.format("lower(original)")}) AS a, list_distinct({WORDS.format("lower(revised)")}) AS b FROM c))"""
 query("lng7_revision_changes", f"WITH {CHANGES} SELECT * FROM c")(changes)
-query("lng8_revision_stats", f"WITH {CHANGES} SELECT doc_id, count(*) AS total, count(*) FILTER (changed) AS changed, count(*) FILTER (NOT changed) AS unchanged, CAST(floor(count(*) FILTER (changed) / count(*) * 100 + 0.5) AS BIGINT) AS percent FROM c GROUP BY doc_id")(
+query("lng8_revision_stats", f"WITH {CHANGES}, {CONFIDENCES} SELECT doc_id, count(*) AS total, count(*) FILTER (changed) AS changed, count(*) FILTER (NOT changed) AS unchanged, CAST(floor(count(*) FILTER (changed) / count(*) * 100 + 0.5) AS BIGINT) AS percent, floor(CAST(sum(CAST(round(confidence * 10000) AS BIGINT)) AS BIGINT) / count(*) / 10 + 0.5) / 1000 AS confidence FROM o GROUP BY doc_id")(
     lambda s, d: language.revision_stats(changes(s, d))
 )
 
