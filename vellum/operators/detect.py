@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.lexicons import AI_LABELS, FILLERS, TOO_SHORT
 from vellum.functions.text import banded, strip, words
 from vellum.operators.segment import sentences
+from vellum.operators.terms import with_term_count
 
 
 def _lengths(text: Column) -> Column:
@@ -17,10 +16,10 @@ def _lengths(text: Column) -> Column:
     return F.filter(F.transform(sentences(text, "punct"), lambda s: F.size(words(s))), lambda n: n >= 4)
 
 
-def style_features(docs: DataFrame) -> DataFrame:
+def style_features(docs: DataFrame, fillers: DataFrame | list[str] = FILLERS) -> DataFrame:
     """doc_id, n_sentences, mean_len, std_len, burstiness, cv, filler_hits, filler_density, diversity; the four of sentence length are null below four sentences.
 
-    All from one pass over each text, without an exchange.
+    All from one pass over each text, without an exchange. ``fillers`` is a list of phrases, or a table (term) of any size.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"), _lengths(text).alias("n"), F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]+$")).alias("w"))
@@ -29,8 +28,7 @@ def style_features(docs: DataFrame) -> DataFrame:
     enough = F.col("n_sentences") >= 4
     base = base.select("doc_id", "text", "w", count.alias("n_sentences"), F.try_divide(total(lambda x: x), count).alias("mean"), "n")
     base = base.withColumn("std", F.sqrt(F.try_divide(total(lambda x: (x - F.col("mean")) * (x - F.col("mean"))), F.col("n_sentences"))))
-    hits = reduce(lambda acc, p: acc + F.lower("text").contains(p).cast("int"), FILLERS, F.lit(0))
-    base = base.withColumn("filler_hits", hits)
+    base = with_term_count(base, F.col("text"), fillers, "filler_hits")
     return base.select(
         "doc_id", "text", "n_sentences",
         F.when(enough, F.col("mean")).alias("mean_len"), F.when(enough, F.col("std")).alias("std_len"),
@@ -40,9 +38,9 @@ def style_features(docs: DataFrame) -> DataFrame:
     )
 
 
-def ai_scores(docs: DataFrame) -> DataFrame:
+def ai_scores(docs: DataFrame, fillers: DataFrame | list[str] = FILLERS) -> DataFrame:
     """doc_id, score (0 to 100, one digit), label; texts under 80 characters have no score."""
-    f = style_features(docs)
+    f = style_features(docs, fillers)
     b, cv, m, d = (F.col(c) for c in ("burstiness", "cv", "mean_len", "filler_density"))
     points = (
         F.lit(50.0)

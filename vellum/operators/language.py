@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions.lexicons import FLESCH_LEVELS, GRAMMAR_RULES, INFORMAL, NEGATIVE, POSITIVE, STOP_WORDS, VERBOSE
 from vellum.functions.text import ascii_rule, banded, occurrences, overlap_confidence, places, ranked, strip, words
 from vellum.operators.segment import sentences
+from vellum.operators.terms import short_list, with_term_count
 
 # Patterns of the style rules (words of any script) and of the tone rules (ASCII words).
 CONTRACTION = r"(?U)\b\w+'\w+\b"
@@ -109,36 +110,42 @@ def basic_enhancements(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("t").alias("text"), F.concat_ws(",", *[f"c{i}" for i in range(2 + len(SPELLINGS))]).alias("changes"))
 
 
-def style_suggestions(docs: DataFrame) -> DataFrame:
+def style_suggestions(docs: DataFrame, verbose: DataFrame | list[str] | None = None) -> DataFrame:
     """doc_id, type, n: a row for each kind of suggestion that a document gets.
 
     formality (contractions), style (passive voice), academic_tone (more than three first persons), conciseness (verbose
-    phrases), repetition (words of more than four letters used more than three times).
+    phrases), repetition (words of more than four letters used more than three times). ``verbose`` is a list of phrases, or
+    a table (term) of any size.
     """
     text, lower = F.col("text"), F.lower("text")
-    verbose = reduce(lambda acc, p: acc + lower.contains(p[0]).cast("int"), VERBOSE, F.lit(0))
-    docs = docs.filter("text is not null")
+    docs = with_term_count(docs.filter("text is not null"), text, [p for p, _ in VERBOSE] if verbose is None else verbose, "_verbose")
     n = lambda kind, count: F.struct(F.lit(kind).alias("type"), count.cast("long").alias("n"))
     first = occurrences(text, FIRST_PERSON_SHORT)
-    flat = docs.select("doc_id", F.explode(F.array(n("formality", occurrences(text, CONTRACTION)), n("style", text.rlike(PASSIVE).cast("int")), n("academic_tone", F.when(first > 3, first).otherwise(0)), n("conciseness", verbose))).alias("s")).select("doc_id", "s.*").filter("n > 0")
+    flat = docs.select("doc_id", F.explode(F.array(n("formality", occurrences(text, CONTRACTION)), n("style", text.rlike(PASSIVE).cast("int")), n("academic_tone", F.when(first > 3, first).otherwise(0)), n("conciseness", F.col("_verbose")))).alias("s")).select("doc_id", "s.*").filter("n > 0")
     bare = F.transform(words(lower), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
     tokens = docs.select("doc_id", F.explode(F.filter(bare, lambda w: F.length(w) > 4)).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 3")
     return flat.unionByName(tokens.groupBy("doc_id").agg(F.lit("repetition").alias("type"), F.count(F.lit(1)).alias("n")))
 
 
-def academic_tone(docs: DataFrame) -> DataFrame:
-    """doc_id, n_informal, n_contractions, first_person, score: five points less for each suggestion."""
+def academic_tone(docs: DataFrame, informal: DataFrame | list[str] | None = None) -> DataFrame:
+    """doc_id, n_informal, n_contractions, first_person, score: five points less for each suggestion. ``informal`` is a list of
+    words and phrases, or a table (term) of any size."""
     text = F.coalesce("text", F.lit(""))
-    informal = reduce(lambda acc, p: acc + text.rlike(ascii_rule(rf"(?i)\b{p[0]}\b")).cast("int"), INFORMAL, F.lit(0))
-    base = docs.select("doc_id", informal.alias("n_informal"), occurrences(text, ascii_rule(TONE_CONTRACTION)).alias("n_contractions"), occurrences(text, ascii_rule(TONE_FIRST_PERSON)).alias("first_person"))
+    base = with_term_count(docs, text, [p for p, _ in INFORMAL] if informal is None else informal, "n_informal", "words")
+    base = base.select("doc_id", "n_informal", occurrences(text, ascii_rule(TONE_CONTRACTION)).alias("n_contractions"), occurrences(text, ascii_rule(TONE_FIRST_PERSON)).alias("first_person"))
     total = F.col("n_informal") + F.col("n_contractions") + F.when(F.col("first_person") > 0, 1).otherwise(0)
     return base.withColumn("score", F.greatest(F.lit(0), 100 - 5 * total))
 
 
-def top_keywords(docs: DataFrame, k: int = 10, stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """doc_id, place, keyword, n: the k most frequent words of four or more letters, ties by first use."""
+def top_keywords(docs: DataFrame, k: int = 10, stop_words: DataFrame | list[str] = STOP_WORDS) -> DataFrame:
+    """doc_id, place, keyword, n: the k most frequent words of four or more letters, ties by first use. ``stop_words`` is a list,
+    or a table (term) of any size."""
     rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("pos", "keyword"))
-    counts = rows.filter(F.col("keyword").rlike("^[a-z]{4,}$") & ~F.col("keyword").isin(stop_words)).groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    rows = rows.filter(F.col("keyword").rlike("^[a-z]{4,}$"))
+    few = short_list(stop_words)
+    counts = (rows.filter(~F.col("keyword").isin(few)) if few else rows).groupBy("doc_id", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    if few is None:
+        counts = counts.join(stop_words.select(F.col("term").alias("keyword")), "keyword", "left_anti")
     return ranked(counts, ["doc_id"], [F.desc("n"), "first"], "place").filter(F.col("place") <= k).select("doc_id", "place", "keyword", "n")
 
 
@@ -150,11 +157,11 @@ def lead_summary(docs: DataFrame, most: int = 150) -> DataFrame:
     return docs.filter(F.length(text) >= 100).select("doc_id", F.when(F.length(lead) > most, cut).otherwise(lead).alias("summary"))
 
 
-def lexicon_sentiment(docs: DataFrame, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> DataFrame:
-    """doc_id, n_positive, n_negative, score, label: a word counts once if it is anywhere in the text."""
-    lower = F.lower("text")
-    count = lambda ws: reduce(lambda acc, w: acc + lower.contains(w).cast("int"), ws, F.lit(0))
-    base = docs.filter(F.trim("text") != "").select("doc_id", count(positive).alias("n_positive"), count(negative).alias("n_negative"))
+def lexicon_sentiment(docs: DataFrame, positive: DataFrame | list[str] = POSITIVE, negative: DataFrame | list[str] = NEGATIVE) -> DataFrame:
+    """doc_id, n_positive, n_negative, score, label: a word counts once if it is anywhere in the text. The words are lists, or
+    tables (term) of any size."""
+    base = with_term_count(docs.filter(F.trim("text") != ""), F.col("text"), positive, "n_positive")
+    base = with_term_count(base, F.col("text"), negative, "n_negative").select("doc_id", "n_positive", "n_negative")
     p, n = F.col("n_positive"), F.col("n_negative")
     score = F.when(p > n, 0.6 + p / (p + n) * 0.4).when(n > p, 0.4 - n / (p + n) * 0.4).otherwise(0.5)
     return base.select("doc_id", "n_positive", "n_negative", F.round(score, 2).alias("score"), F.when(p > n, "positive").when(n > p, "negative").otherwise("neutral").alias("label"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions.lexicons import ESSENTIAL, JOURNAL, KNOWLEDGE, OPTIONAL_SECTIONS, RECOMMENDED, REQUIRED_SECTIONS, SECTION_HEADERS, SECTION_KEYWORDS, SECTION_SIGNS
 from vellum.functions.text import ascii_rule, ranked, strip, words
 from vellum.operators.similarity import tokens
+from vellum.operators.terms import short_list, with_terms
 from vellum.operators.zones import KEYWORDS, MEASURES, REFERENCE_TITLES, TITLE_NUMBER, is_marginal, single_spaced
 
 MARKDOWN = r"^(#{1,6})\s+(.+)$"
@@ -45,6 +46,23 @@ def section_type(heading: Column) -> Column:
     return F.coalesce(*found, F.lit("generic"))
 
 
+def section_types(headings: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Add section_type to rows with a heading: the type of the first keyword (by place) that is in it, else generic.
+
+    ``keywords`` (section_type, place, term) is a table of any size; lower-case terms count anywhere in the heading.
+    """
+    few = short_list(keywords)
+    if few is not None:
+        order = keywords.filter(F.coalesce("term", F.lit("")) != "").orderBy("place", "section_type", "term").collect()
+        kinds = F.filter(F.array(*[F.struct(F.lit(r.term).alias("t"), F.lit(r.section_type).alias("k")) for r in order]), lambda x: F.lower("heading").contains(x["t"])) if order else F.expr("cast(array() as array<struct<t:string,k:string>>)")
+        return headings.withColumn("section_type", F.coalesce(F.get(kinds, F.lit(0))["k"], F.lit("generic")))
+    # Of each distinct heading the terms that are in it, then the first of them.
+    distinct = headings.select("heading").filter("heading is not null").distinct()
+    found = with_terms(distinct, F.col("heading"), keywords, "_terms").select("heading", F.explode("_terms").alias("term"))
+    first = found.join(keywords, "term").groupBy("heading").agg(F.min(F.struct("place", "section_type", "term")).alias("m")).select("heading", F.col("m.section_type").alias("section_type"))
+    return headings.drop("section_type").join(first, "heading", "left").na.fill("generic", ["section_type"])
+
+
 def block_level(style: Column, section_level: Column) -> Column:
     """Level 1 to 6 of a heading by its section_level, else its style; 0 for other blocks."""
     number = F.regexp_extract(style, r"(?i)Heading\s*(\d+)", 1)

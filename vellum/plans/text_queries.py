@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import lexicons
-from vellum.operators import detect, language, segment, similarity, vectors
+from vellum.operators import detect, language, segment, similarity, terms, vectors
 from vellum.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -365,3 +365,22 @@ query(
 SELECT *, round(CASE WHEN n_positive > n_negative THEN 0.6 + n_positive / (n_positive + n_negative) * 0.4 WHEN n_negative > n_positive THEN 0.4 - n_negative / (n_positive + n_negative) * 0.4 ELSE 0.5 END, 2) AS score,
 CASE WHEN n_positive > n_negative THEN 'positive' WHEN n_negative > n_positive THEN 'negative' ELSE 'neutral' END AS label FROM c""",
 )(lambda s, d: language.lexicon_sentiment(docs(s, d)))
+
+
+# Dictionaries as tables: the two-word phrases of the benchmark
+
+
+def phrases(spark, folder):
+    w = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w")).filter("size(w) > 1")
+    return w.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).alias("term")).distinct()
+
+
+PHRASES = "p AS (SELECT DISTINCT concat(w[i], ' ', w[i + 1]) AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark WHERE text IS NOT NULL)))"
+query("aid2_phrases_of_a_table", f"WITH {PHRASES} SELECT doc_id, CAST(count(term) AS INT) AS n_inside FROM documents LEFT JOIN p ON contains(lower(text), term) GROUP BY doc_id")(
+    lambda s, d: terms.with_term_count(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), F.col("text"), phrases(s, d), "n_inside").select("doc_id", "n_inside")
+)
+query(
+    "lng6_tone_by_a_table",
+    f"""WITH {PHRASES}, d AS (SELECT doc_id, lower(text) AS low FROM {FILLED}), h AS (SELECT doc_id, count(term) AS n FROM d LEFT JOIN p ON CASE WHEN contains(low, term) THEN regexp_matches(low, concat('(?:^|[^a-z0-9_])', term, '(?:$|[^a-z0-9_])')) ELSE false END GROUP BY doc_id)
+SELECT doc_id, CAST(n AS INT) AS n_informal FROM h""",
+)(lambda s, d: language.academic_tone(docs(s, d), phrases(s, d)).select("doc_id", "n_informal"))
