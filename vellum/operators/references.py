@@ -234,13 +234,8 @@ def convert_in_text(docs: DataFrame, parsed: DataFrame, target: str) -> DataFram
     return rows.select("doc_id", F.regexp_replace("text", COMMA_YEAR, "($1 $2)").alias("text"))
 
 
-def semantic_citation_match(unmatched: DataFrame, references: DataFrame, least: float = 0.30) -> DataFrame:
-    """doc_id, cit_idx, ref_idx, score (4 digits): for citations without a match the most similar entry of their document, if it
-    reaches ``least``.
-
-    A citation stands for its author, year and context without its mark. Cosine of TF-IDF fitted on the document's entries;
-    other words of a citation don't count. Of equal scores the first entry counts.
-    """
+def citation_scores(unmatched: DataFrame, references: DataFrame) -> DataFrame:
+    """doc_id, cit_idx, ref_idx, score of pairs of a document that share a word of an entry."""
     query = strip(F.concat_ws(" ", F.nullif(F.col("author"), F.lit("")), F.nullif(F.col("year_or_page"), F.lit("")), F.nullif(strip(F.replace("context", F.col("text"), F.lit(""))), F.lit(""))))
     counted = lambda df, keys, text: df.select(*keys, F.explode(tokens(text)).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
     entries = counted(references, ["doc_id", "ref_idx"], F.col("text"))
@@ -252,11 +247,42 @@ def semantic_citation_match(unmatched: DataFrame, references: DataFrame, least:
         return w.select("doc_id", key, "token", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id", key)))).alias(name))
 
     both = unit(counted(unmatched, ["doc_id", "cit_idx"], query), "cit_idx", "v").join(unit(entries, "ref_idx", "w"), ["doc_id", "token"])
-    scores = both.groupBy("doc_id", "cit_idx", "ref_idx").agg(F.round(F.sum(F.col("v") * F.col("w")), 4).alias("score"))
+    return both.groupBy("doc_id", "cit_idx", "ref_idx").agg(F.round(F.sum(F.col("v") * F.col("w")), 4).alias("score"))
+
+
+def best_references(scores: DataFrame, least: float) -> DataFrame:
+    """Of each citation the entry of largest score, the first of equal ones, if it reaches ``least``."""
     best = scores.groupBy("doc_id", "cit_idx").agg(F.max(F.struct("score", (-F.col("ref_idx")).alias("at"))).alias("m"))
     return best.select("doc_id", "cit_idx", (-F.col("m.at")).alias("ref_idx"), F.col("m.score").alias("score")).filter(F.col("score") >= least)
 
 
+def semantic_citation_match(unmatched: DataFrame, references: DataFrame, least: float = 0.30) -> DataFrame:
+    """doc_id, cit_idx, ref_idx, score (4 digits): for citations without a match the most similar entry of their document, if it
+    reaches ``least``.
+
+    A citation stands for its author, year and context without its mark. Cosine of TF-IDF fitted on the document's entries;
+    other words of a citation don't count. Of equal scores the first entry counts.
+    """
+    return best_references(citation_scores(unmatched, references), least)
+
+
+def vector_citation_match(unmatched: DataFrame, references: DataFrame, citation_vectors: DataFrame, reference_vectors: DataFrame, least: float = 0.30) -> DataFrame:
+    """``semantic_citation_match`` with vectors of one's own: doc_id, cit_idx, ref_idx, score.
+
+    ``citation_vectors`` has (doc_id, cit_idx, embedding), ``reference_vectors`` (doc_id, ref_idx, embedding). Pairs of which
+    both have a vector (of one length, not null) are compared by it, all others by TF-IDF; the best of all pairs counts, the
+    first entry of equal ones.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i.cast("double") * j), F.lit(0.0), lambda acc, v: acc + v)
+    cits = unmatched.select("doc_id", "cit_idx").join(citation_vectors.filter("embedding is not null").select("doc_id", "cit_idx", F.col("embedding").alias("x")), ["doc_id", "cit_idx"])
+    refs = references.select("doc_id", "ref_idx").join(reference_vectors.filter("embedding is not null").select("doc_id", "ref_idx", F.col("embedding").alias("y")), ["doc_id", "ref_idx"])
+    norm = F.sqrt(dot(F.col("x"), F.col("x"))) * F.sqrt(dot(F.col("y"), F.col("y")))
+    score = F.when(norm > 0, F.round(dot(F.col("x"), F.col("y")) / norm, 4)).otherwise(0.0)
+    dense = cits.join(refs, "doc_id").filter("size(x) = size(y)").select("doc_id", "cit_idx", "ref_idx", score.alias("score"))
+    sparse = citation_scores(unmatched, references).join(dense.select("doc_id", "cit_idx", "ref_idx"), ["doc_id", "cit_idx", "ref_idx"], "left_anti")
+    return best_references(dense.unionByName(sparse.select(*dense.columns)), least)
+
+
 def reference_like_rows(rows: DataFrame) -> DataFrame:
     """The rows of ``rows`` (with text) and is_reference: at least 35 characters that begin like an entry and have a bibliographic sign."""
     v = strip(F.regexp_replace("text", r"\s+", " "))

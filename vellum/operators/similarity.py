@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import WORD, overlap_confidence, ranked, strip
 from vellum.operators.segment import sentence_chunks
+from vellum.operators.vectors import keyed_matches
 
 THRESHOLD = 0.75
 #: More than rounding to four digits can add to a similarity.
@@ -65,6 +66,24 @@ def match_chunks(chunks: DataFrame, sources: DataFrame, threshold: float | None
     return near.join(chunks.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), shown.alias("preview")), ["doc_id", "chunk_idx"])
 
 
+def match_chunk_vectors(chunks: DataFrame, sources: DataFrame, chunk_vectors: DataFrame, source_vectors: DataFrame, threshold: float | None = THRESHOLD) -> DataFrame:
+    """``match_chunks`` with vectors of one's own: pairs of which both have one are compared by it, all others by TF-IDF.
+
+    ``chunk_vectors`` has (doc_id, chunk_idx, embedding), ``source_vectors`` (source_id, embedding), at most one for each; a
+    null vector is none.
+    """
+    threshold = threshold or THRESHOLD
+    key = ["doc_id", "chunk_idx"]
+    mine = chunks.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx")).join(chunk_vectors.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "embedding").filter("embedding is not null"), key)
+    theirs = source_vectors.filter("embedding is not null").select(F.col("source_id").cast("long").alias("source"), "embedding").join(sources.select(F.col("source_id").cast("long").alias("source")), "source", "left_semi")
+    shown = F.when(F.length("chunk") > 100, F.concat(F.substring("chunk", 1, 100), F.lit("..."))).otherwise(F.col("chunk"))
+    previews = chunks.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), shown.alias("preview"))
+    dense = keyed_matches(mine, theirs, threshold).withColumn("percent", F.round(F.col("similarity") * 100, 2)).join(previews, key)
+    sparse = match_chunks(chunks, sources, threshold).join(mine.select(*key, F.lit(True).alias("_m")), key, "left").join(theirs.select("source", F.lit(True).alias("_t")), "source", "left")
+    columns = [*key, "source", "similarity", "percent", "preview"]
+    return dense.select(*columns).unionByName(sparse.filter("_m is null or _t is null").select(*columns))
+
+
 def _mean(x: Column) -> Column:
     """Mean of values of four digits, to four digits; summed as integers, so that it doesn't depend on the order."""
     return F.floor(F.try_divide(F.sum(F.round(x * 10_000).cast("long")), F.count(x)) + 0.5) / 10_000

@@ -154,9 +154,11 @@ def block_join(queries: DataFrame, index: Index, score: Callable, schema: str, l
     return met.mapInArrow(products, schema)
 
 
-def _matches(least: float) -> Callable:
+def _matches(least: float, same_ids: bool = True) -> Callable:
+    """Pairs from ``least`` on; with ``same_ids`` both sides have the ids of one table, and none meets itself."""
+
     def score(cosine, left, right):
-        i, j = np.nonzero((cosine >= least) & (left[:, None] != right[None, :]))
+        i, j = np.nonzero((cosine >= least) & ((left[:, None] != right[None, :]) | (not same_ids)))
         return left[i], right[j], cosine[i, j]
 
     return score
@@ -182,6 +184,23 @@ def vector_matches(queries: DataFrame, vectors: DataFrame, least: float) -> Data
     return block_join(_whole(queries, index.pivots.shape[1]), index, _matches(least), "a long, b long, similarity double", least)
 
 
+def keyed_matches(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """The columns of both tables but their embeddings, and similarity, of pairs of rows of two tables of keyed vectors (any
+    columns, and embedding) from ``least`` on. Their other columns have different names."""
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return written_once(df.withColumn("vec_id", F.monotonically_increasing_id()))
+
+    left, right = numbered(a), numbered(b)
+    index = build_index(right.select("vec_id", "embedding"))
+    keys = lambda df, name: df.withColumnRenamed("vec_id", name).drop("embedding")
+    if index is None:
+        pairs = a.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    else:
+        pairs = block_join(_whole(left, index.pivots.shape[1]), index, _matches(least, False), "a long, b long, similarity double", least)
+    return pairs.withColumnsRenamed({"a": "_a", "b": "_b"}).join(keys(left, "_a"), "_a").join(keys(right, "_b"), "_b").drop("_a", "_b")
+
+
 def nearest_vector(queries: DataFrame, vectors: DataFrame, least: float = 0.30) -> DataFrame:
     """a, b, similarity, matched: the first vector of largest similarity for each query, and whether it reaches ``least``.
 

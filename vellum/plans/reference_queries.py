@@ -170,16 +170,35 @@ for _style in ref.STYLES:
         f"WITH {CITED}, kv AS ({_maps}), maps AS (SELECT doc_id, map_from_entries(list({{'k': k, 'v': v}})) AS m FROM kv GROUP BY doc_id) SELECT p.doc_id, md5({_text}) AS digest FROM papers p LEFT JOIN maps ON p.doc_id = maps.doc_id",
     )(lambda s, d, k=_style: ref.convert_in_text(papers.load_papers(s, d), parsed(s, d), k).select("doc_id", F.md5("text").alias("digest")))
 
-query(
-    "cit9_semantic_citation_match",
-    f"""WITH {ALL}, u AS (SELECT c.doc_id, c.cit_idx, concat_ws(' ', nullif(author, ''), nullif(year_or_page, ''), nullif({strip("replace(context, text, '')")}, '')) AS q FROM cits c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.doc_id = c.doc_id AND e.cit_idx = c.cit_idx)),
+SCORED = f"""WITH {ALL}, u AS (SELECT c.doc_id, c.cit_idx, concat_ws(' ', nullif(author, ''), nullif(year_or_page, ''), nullif({strip("replace(context, text, '')")}, '')) AS q FROM cits c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.doc_id = c.doc_id AND e.cit_idx = c.cit_idx)),
 ut AS (SELECT doc_id, cit_idx, token, count(*) AS tf FROM (SELECT doc_id, cit_idx, unnest({TOKENS.format("q")}) AS token FROM u) GROUP BY ALL), rt AS (SELECT doc_id, ref_idx, token, count(*) AS tf FROM (SELECT doc_id, ref_idx, unnest({TOKENS.format("text")}) AS token FROM refs) GROUP BY ALL),
 n AS (SELECT doc_id, count(*) AS n FROM refs GROUP BY doc_id), idf AS (SELECT rt.doc_id, token, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1 AS idf FROM rt JOIN n ON rt.doc_id = n.doc_id GROUP BY rt.doc_id, token),
 uw AS (SELECT ut.doc_id, cit_idx, ut.token, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY ut.doc_id, cit_idx)) AS norm FROM ut JOIN idf ON ut.doc_id = idf.doc_id AND ut.token = idf.token),
 rw AS (SELECT rt.doc_id, ref_idx, rt.token, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY rt.doc_id, ref_idx)) AS norm FROM rt JOIN idf ON rt.doc_id = idf.doc_id AND rt.token = idf.token),
 s AS (SELECT uw.doc_id, cit_idx, ref_idx, round(sum(uw.w / uw.norm * rw.w / rw.norm), 4) AS score FROM uw JOIN rw ON uw.doc_id = rw.doc_id AND uw.token = rw.token GROUP BY ALL)
-SELECT * FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, cit_idx ORDER BY score DESC, ref_idx) = 1) WHERE score >= 0.3""",
+"""
+query(
+    "cit9_semantic_citation_match",
+    f"""{SCORED}SELECT * FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, cit_idx ORDER BY score DESC, ref_idx) = 1) WHERE score >= 0.3""",
 )(lambda s, d: (lambda c, r, e: ref.semantic_citation_match(citations.unmatched_citations(c, e), r))(*edges(s, d)))
+CIT_VECTOR, REF_VECTOR = "(doc_id * 31 + cit_idx) % 500", "(doc_id * 17 + ref_idx) % 500"
+
+
+@query(
+    "cit9_vector_citation_match",
+    f"""{SCORED}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), uv AS (SELECT u.doc_id, cit_idx, v AS x FROM u JOIN e ON vec_id = {CIT_VECTOR} WHERE cit_idx % 3 <> 0), rv AS (SELECT doc_id, ref_idx, v AS y FROM refs JOIN e ON vec_id = {REF_VECTOR} WHERE ref_idx % 4 <> 3),
+d AS (SELECT uv.doc_id, cit_idx, ref_idx, round(list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))), 4) AS score FROM uv JOIN rv ON uv.doc_id = rv.doc_id),
+a AS (SELECT * FROM d UNION ALL SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = s.doc_id AND d.cit_idx = s.cit_idx AND d.ref_idx = s.ref_idx))
+SELECT * FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, cit_idx ORDER BY score DESC, ref_idx) = 1) WHERE score >= 0.3""",
+)
+def vector_citations(spark, folder):
+    """Two citations in three and three entries in four have a vector of the embeddings table."""
+    cits, refs, found = edges(spark, folder)
+    v = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    left = citations.unmatched_citations(cits, found)
+    of = lambda df, key, vec, some: df.select("doc_id", key).filter(some).withColumn("vec_id", F.expr(vec)).join(v, "vec_id").drop("vec_id")
+    return ref.vector_citation_match(left, refs, of(left, "cit_idx", CIT_VECTOR, "cit_idx % 3 <> 0"), of(refs, "ref_idx", REF_VECTOR, "ref_idx % 4 <> 3"))
+
 
 V = strip(r"regexp_replace(line, '\s+', ' ', 'g')")
 query("cit18_reference_like_rows", f"WITH {START} SELECT doc_id, line_no, length({V}) >= 35 AND {hit(V, ref.STARTS)} AND {hit(f'lower({V})', ref.SIGNALS)} AS is_reference FROM lines")(

@@ -153,6 +153,22 @@ query("sim4_similar_sentences", f"{matches_sql(1, 0.7)} SELECT m.doc_id, m.chunk
     lambda s, d: similarity.similar_sentences(docs(s, d), bench(s, d))
 )
 
+
+@query(
+    "sim2_vector_matches",
+    matches_sql(2, 0.4) + """, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), cv AS (SELECT doc_id, chunk_idx, chunk, v AS x FROM chunks JOIN e ON vec_id = (doc_id * 7 + chunk_idx) % 500 WHERE chunk_idx % 2 = 0), sv AS (SELECT item_id AS source, v AS y FROM benchmark JOIN e ON vec_id = item_id % 500 WHERE item_id % 3 <> 0),
+d AS (SELECT doc_id, chunk_idx, source, round(list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))), 4) AS similarity FROM cv, sv)
+SELECT doc_id, chunk_idx, source, similarity FROM d WHERE similarity >= 0.4 UNION ALL SELECT doc_id, chunk_idx, source, similarity FROM matches m WHERE NOT (chunk_idx % 2 = 0 AND source % 3 <> 0)""",
+)
+def vector_chunks(spark, folder):
+    """Every second chunk and two sources in three have a vector of the embeddings table."""
+    v = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    chunks, sources = segment.sentence_chunks(docs(spark, folder), 2), bench(spark, folder)
+    mine = chunks.filter("chunk_idx % 2 = 0").select("doc_id", "chunk_idx", ((F.col("doc_id") * 7 + F.col("chunk_idx")) % 500).alias("vec_id")).join(v, "vec_id").drop("vec_id")
+    theirs = sources.filter("source_id % 3 <> 0").select("source_id", (F.col("source_id") % 500).alias("vec_id")).join(v, "vec_id").drop("vec_id")
+    return similarity.match_chunk_vectors(chunks, sources, mine, theirs, 0.4).select("doc_id", "chunk_idx", "source", "similarity")
+
+
 PAIRS = "SELECT doc_id AS a_id, d.text AS a_text, b.item_id AS b_id, b.text AS b_text FROM documents d JOIN (SELECT item_id, text, item_id AS k FROM benchmark) b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.k"
 
 
