@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions.text import WORD, overlap_confidence, ranked, strip
 from vellum.operators.segment import sentence_chunks
 from vellum.operators.vectors import keyed_matches
+from vellum.sources.corpus import written_once
 
 THRESHOLD = 0.75
 #: More than rounding to four digits can add to a similarity.
@@ -37,26 +38,33 @@ def match_chunks(chunks: DataFrame, sources: DataFrame, threshold: float | None
     A unit's tokens are ordered from the rarest on. If two units reach the threshold, the first token that they
     share begins, in both, a rest whose norm reaches it too (the product of two rests bounds what they share from
     there on). So units meet on such leading tokens alone, frequent words almost never, and the pairs that meet get
-    their whole product. A threshold of 0 or None means the default. Weights are fitted on chunks and sources, or on the
-    table ``fitted`` (text), so that they don't depend on which chunks come together.
+    their whole product. Tokens that no source has count for a chunk's length and for nothing else, so they are dropped
+    before anything is sorted; what is left of the chunks is written once. A threshold of 0 or None means the default.
+    Weights are fitted on chunks and sources, or on the table ``fitted`` (text), so that they don't depend on which chunks
+    come together.
     """
     threshold = threshold or THRESHOLD
-    none = F.lit(None).cast("long")
-    units = chunks.select(F.col("doc_id").cast("long").alias("a"), F.col("chunk_idx").cast("long").alias("b"), none.alias("s"), F.col("chunk").alias("text")).unionByName(
-        sources.select(none.alias("a"), none.alias("b"), F.col("source_id").cast("long").alias("s"), F.col("text").alias("text"))
-    )
-    counts = units.select("a", "b", "s", F.explode(tokens(F.col("text"))).alias("token")).groupBy("a", "b", "s", "token").agg(F.count(F.lit(1)).alias("tf"))
+    counted = lambda df, keys, text: df.select(*keys, F.explode(tokens(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
+    left = counted(chunks.select(F.col("doc_id").cast("long").alias("a"), F.col("chunk_idx").cast("long").alias("b"), "chunk"), ["a", "b"], "chunk")
+    right = written_once(counted(sources.select(F.col("source_id").cast("long").alias("source"), "text"), ["source"], "text"))
+    known = right.groupBy("token").agg(F.count(F.lit(1)).alias("n_s"))
     if fitted is None:
-        n, df = units.count(), counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        n = chunks.count() + sources.count()
+        df = left.groupBy("token").agg(F.count(F.lit(1)).alias("n_c")).join(known, "token", "full").na.fill(0, ["n_c", "n_s"]).select("token", (F.col("n_c") + F.col("n_s")).alias("df"), (F.col("n_s") > 0).alias("shared"))
     else:
-        n, df = fitted.count(), fitted.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weights = counts.join(df, "token", "inner" if fitted is None else "left").na.fill(0, ["df"])
-    weights = weights.select("a", "b", "s", "token", "df", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
-    unit = Window.partitionBy("a", "b", "s")
-    squares = lambda w: F.sum(F.col("w") * F.col("w")).over(w)
-    rest = squares(unit.orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing))
-    weights = weights.select("a", "b", "s", "token", (F.col("w") / F.sqrt(squares(unit))).alias("w"), F.sqrt(rest / squares(unit)).alias("rest"))
-    left, right = weights.filter("s is null").drop("s"), weights.filter("s is not null").select(F.col("s").alias("source"), "token", F.col("w").alias("v"), "rest")
+        n = fitted.count()
+        df = fitted.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        df = df.join(known, "token", "full").select("token", F.coalesce("df", F.lit(0)).alias("df"), F.col("n_s").isNotNull().alias("shared"))
+
+    def weighed(counts: DataFrame, unit: list[str]) -> DataFrame:
+        """Of the shared tokens of each unit the weight and the norm of the rest, at the length of the whole unit."""
+        w = counts.join(df, "token", "left").na.fill(0, ["df"]).withColumn("w", F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1))
+        squares = lambda over: F.sum(F.col("w") * F.col("w")).over(over)
+        w = w.withColumn("whole", squares(Window.partitionBy(*unit))).filter("shared")
+        rest = squares(Window.partitionBy(*unit).orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing))
+        return written_once(w.select(*unit, "token", (F.col("w") / F.sqrt("whole")).alias("w"), F.sqrt(rest / F.col("whole")).alias("rest")))
+
+    left, right = weighed(left, ["a", "b"]), weighed(right, ["source"]).withColumnRenamed("w", "v")
     leads = F.col("rest") >= threshold - ROUNDING
     pairs = left.filter(leads).select("a", "b", "token").join(right.filter(leads).select("source", "token"), "token").select("a", "b", "source").distinct()
     dots = pairs.join(left.drop("rest"), ["a", "b"]).join(right.drop("rest"), ["source", "token"]).groupBy("a", "b", "source").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
