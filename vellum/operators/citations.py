@@ -32,27 +32,42 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
 
 
+def _start(rows: DataFrame) -> Column:
+    """(line_no, ref_at) where a line (line_no, s, at) begins a reference section, else null."""
+    inline = F.length(F.regexp_extract("s", rf"^(.*?){INLINE.replace('(?i)', '(?i:', 1)})", 1))
+    head = F.col("s").rlike(HEADER)
+    near = F.col("s").rlike(INLINE) & (F.col("s").contains("[1]") | (inline <= 5))
+    return F.when(head | near, F.struct("line_no", (F.col("at") + F.when(head, 0).otherwise(inline)).alias("ref_at")))
+
+
 def reference_start(docs: DataFrame) -> DataFrame:
     """doc_id, ref_at, ref_line: where the reference section begins; documents without one are left out.
 
     A header stands on its own line, or is followed by ``[1]`` in its line, or begins a line's end within 5 characters.
     """
     rows = lines(docs).withColumn("s", strip(F.col("line")))
-    inline = F.length(F.regexp_extract("s", rf"^(.*?){INLINE.replace('(?i)', '(?i:', 1)})", 1))
-    head = F.col("s").rlike(HEADER)
-    near = F.col("s").rlike(INLINE) & (F.col("s").contains("[1]") | (inline <= 5))
-    found = rows.filter(head | near).select("doc_id", F.struct("line_no", (F.col("at") + F.when(head, 0).otherwise(inline)).alias("ref_at")).alias("f"))
+    found = rows.select("doc_id", _start(rows).alias("f")).filter("f is not null")
     return found.groupBy("doc_id").agg(F.min("f").alias("f")).select("doc_id", F.col("f.ref_at").alias("ref_at"), F.col("f.line_no").alias("ref_line"))
 
 
+def marked_lines(docs: DataFrame) -> DataFrame:
+    """The lines with s (the line without white space at its ends), ref_at and ref_line (null without a reference section).
+
+    One exchange and one sort by document serve the offsets, the section's start and what is numbered afterwards.
+    """
+    rows = lines(docs).withColumn("s", strip(F.col("line")))
+    whole = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("f", _start(rows)).withColumn("f", F.min("f").over(whole))
+    return rows.select("doc_id", "line_no", "line", "s", "at", F.col("f.ref_at").alias("ref_at"), F.col("f.line_no").alias("ref_line"))
+
+
 def extract_citations(docs: DataFrame) -> DataFrame:
     """doc_id, cit_idx, text, line, position, col, author, year_or_page, style_type, context.
 
     Only text before the reference section counts. In each line a match that overlaps one of a pattern of
     higher priority, or an earlier one of its own, is dropped.
     """
-    rows = lines(docs).join(reference_start(docs).select("doc_id", "ref_at"), "doc_id", "left")
-    rows = rows.filter(F.col("line").rlike(r"[(\[^]") & (F.col("ref_at").isNull() | (F.col("at") < F.col("ref_at"))))
+    rows = marked_lines(docs).filter(F.col("line").rlike(r"[(\[^]") & (F.col("ref_at").isNull() | (F.col("at") < F.col("ref_at"))))
 
     def of(i: int) -> Column:
         style, pattern = STYLES[i]
@@ -87,8 +102,7 @@ def extract_references(docs: DataFrame) -> DataFrame:
     ``[n]`` starts an entry, also several times in a line; a capitalised word starts an author-date entry; an
     indented line goes on with the entry before.
     """
-    start = docs.join(reference_start(docs), "doc_id")
-    rows = lines(start).join(start.select("doc_id", "ref_line"), "doc_id").filter("line_no > ref_line").withColumn("s", strip(F.col("line"))).filter("s <> ''")
+    rows = marked_lines(docs).filter("line_no > ref_line and s <> ''")
     many = (F.regexp_count("s", F.lit(r"\[")) >= 2) & F.col("s").rlike(r"\[\d+\]")
     pieces = F.when(many, F.filter(F.transform(F.split("s", r"(?=\[\d+\])"), strip), lambda p: p.rlike(r"^\[\d+\]"))).otherwise(F.array("s"))
     rows = rows.select("doc_id", "line_no", "line", F.posexplode(pieces).alias("k", "p"))
@@ -106,6 +120,14 @@ def extract_references(docs: DataFrame) -> DataFrame:
     return grouped.select("doc_id", "ref_idx", F.col("r")[0]["number"].alias("ref_number"), F.col("r")[0]["line_no"].alias("line"), F.regexp_extract(F.col("r")[0]["body"], AUTHOR, 1).alias("author"), text.alias("text"))
 
 
+def citations_and_references(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables, made in one job that exchanges the lines once, and written."""
+    found = [extract_citations(docs), extract_references(docs)]
+    tagged = [df.select(F.struct(*df.columns).alias(name)) for df, name in zip(found, ("citation", "reference"), strict=True)]
+    table = written_once(tagged[0].unionByName(tagged[1], allowMissingColumns=True))
+    return tuple(table.filter(F.col(name).isNotNull()).select(f"{name}.*") for name in ("citation", "reference"))
+
+
 def match_numeric(citations: DataFrame, references: DataFrame) -> DataFrame:
     """doc_id, cit_idx, ref_idx, is_primary of documents most of whose citations are numeric.
 
@@ -139,7 +161,7 @@ def match_citations(citations: DataFrame, references: DataFrame) -> DataFrame:
 
 def citation_match_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_citations, n_references, matched, unmatched, uncited, quality (percent of citations that match) of every document."""
-    citations, references = written_once(extract_citations(docs)), written_once(extract_references(docs))
+    citations, references = citations_and_references(docs)
     edges = match_citations(citations, references).filter("is_primary")
     count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
     out = docs.select("doc_id").join(count(citations, "n_citations"), "doc_id", "left").join(count(references, "n_references"), "doc_id", "left")

@@ -70,7 +70,7 @@ def both(spark, folder):
 
 
 def edges(spark, folder):
-    c, r = both(spark, folder)
+    c, r = cit.citations_and_references(papers.load_papers(spark, folder))
     return c, r, cit.match_citations(c, r)
 
 
@@ -84,8 +84,8 @@ d AS (SELECT *, ieee0 * CASE WHEN chicago = 0 AND apa = 0 AND harvard = 0 THEN 1
 SELECT doc_id, CASE most WHEN 0 THEN 'Unknown' WHEN apa THEN 'APA' WHEN harvard THEN 'Harvard' WHEN mla THEN 'MLA' WHEN chicago THEN 'Chicago' ELSE 'IEEE' END AS style FROM m""",
 )(lambda s, d: cit.citation_style(papers.load_papers(s, d)))
 query("cit4_extract_references", f"WITH {START}, {REFERENCES} SELECT * FROM refs")(lambda s, d: both(s, d)[1])
-query("cit5_match_numeric", f"WITH {ALL} SELECT * FROM e1")(lambda s, d: cit.match_numeric(*both(s, d)))
-query("cit6_match_author_year", f"WITH {ALL} SELECT * FROM e2")(lambda s, d: cit.match_author_year(*both(s, d)))
+query("cit5_match_numeric", f"WITH {ALL} SELECT * FROM e1")(lambda s, d: cit.match_numeric(*edges(s, d)[:2]))
+query("cit6_match_author_year", f"WITH {ALL} SELECT * FROM e2")(lambda s, d: cit.match_author_year(*edges(s, d)[:2]))
 query(
     "cit7_citation_match_report",
     f"""WITH {ALL}, c AS (SELECT doc_id, count(*) AS n_citations FROM cits GROUP BY doc_id), r AS (SELECT doc_id, count(*) AS n_references FROM refs GROUP BY doc_id), e AS (SELECT doc_id, count(*) AS matched, count(DISTINCT ref_idx) AS used FROM edges WHERE is_primary GROUP BY doc_id)
