@@ -67,3 +67,10 @@ def overlap_confidence(original: Column, revised: Column) -> Column:
     a, b = F.array_distinct(words(F.lower(original))), F.array_distinct(words(F.lower(revised)))
     jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
     return F.round(F.when(original == revised, 0.0).when(F.size(a) == 0, 0.5).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(1.0), jaccard))), 4)
+
+
+def cosine(x: Column, y: Column) -> Column:
+    """Cosine of two arrays of numbers of one length; 0 where one has length 0."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda i, j: i.cast("double") * j), F.lit(0.0), lambda acc, v: acc + v)
+    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+    return F.when(norm > 0, dot(x, y) / norm).otherwise(0.0)

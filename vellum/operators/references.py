@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import ascii_rule, ranked, strip
+from vellum.functions.text import ascii_rule, cosine, ranked, strip
 from vellum.operators.similarity import tokens
 
 STYLES = ("APA", "IEEE", "MLA", "Chicago", "Harvard")
@@ -273,11 +273,9 @@ def vector_citation_match(unmatched: DataFrame, references: DataFrame, citation_
     both have a vector (of one length, not null) are compared by it, all others by TF-IDF; the best of all pairs counts, the
     first entry of equal ones.
     """
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i.cast("double") * j), F.lit(0.0), lambda acc, v: acc + v)
     cits = unmatched.select("doc_id", "cit_idx").join(citation_vectors.filter("embedding is not null").select("doc_id", "cit_idx", F.col("embedding").alias("x")), ["doc_id", "cit_idx"])
     refs = references.select("doc_id", "ref_idx").join(reference_vectors.filter("embedding is not null").select("doc_id", "ref_idx", F.col("embedding").alias("y")), ["doc_id", "ref_idx"])
-    norm = F.sqrt(dot(F.col("x"), F.col("x"))) * F.sqrt(dot(F.col("y"), F.col("y")))
-    score = F.when(norm > 0, F.round(dot(F.col("x"), F.col("y")) / norm, 4)).otherwise(0.0)
+    score = F.round(cosine(F.col("x"), F.col("y")), 4)
     dense = cits.join(refs, "doc_id").filter("size(x) = size(y)").select("doc_id", "cit_idx", "ref_idx", score.alias("score"))
     sparse = citation_scores(unmatched, references).join(dense.select("doc_id", "cit_idx", "ref_idx"), ["doc_id", "cit_idx", "ref_idx"], "left_anti")
     return best_references(dense.unionByName(sparse.select(*dense.columns)), least)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.lexicons import ESSENTIAL, JOURNAL, KNOWLEDGE, OPTIONAL_SECTIONS, RECOMMENDED, REQUIRED_SECTIONS, SECTION_HEADERS, SECTION_KEYWORDS, SECTION_SIGNS
-from vellum.functions.text import ascii_rule, ranked, strip, words
+from vellum.functions.text import ascii_rule, cosine, ranked, strip, words
 from vellum.operators.similarity import tokens
 from vellum.operators.terms import short_list, with_terms
 from vellum.operators.zones import KEYWORDS, MEASURES, REFERENCE_TITLES, TITLE_NUMBER, is_marginal, single_spaced
@@ -227,9 +227,9 @@ def guideline_rules(docs: DataFrame, pattern: str, most: int = 40) -> DataFrame:
     return ranked(first, ["doc_id"], ["line_no"], "place").filter(F.col("place") <= most).select("doc_id", "place", "line")
 
 
-def section_scores(chunks: DataFrame, knowledge: list[tuple[str, str]] = KNOWLEDGE) -> DataFrame:
-    """doc_id, section, score (4 digits): the best cosine of a document's chunks with the statements on each section, by
-    TF-IDF fitted on the statements; pairs without a common word have none. The statements are a fixed short list."""
+def statement_scores(chunks: DataFrame, knowledge: list[tuple[str, str]] = KNOWLEDGE) -> DataFrame:
+    """doc_id, chunk_idx, kb_idx, section, c: cosine of each chunk with each statement on a section (section, text), by TF-IDF
+    fitted on the statements; pairs without a common word are left out. The statements are a fixed short list."""
     spark = chunks.sparkSession
     kb = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(knowledge)], "kb_idx int, section string, text string")
     words_of = kb.select("kb_idx", "section", F.explode(tokens(F.col("text"))).alias("token")).groupBy("kb_idx", "section", "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -241,16 +241,41 @@ def section_scores(chunks: DataFrame, knowledge: list[tuple[str, str]] = KNOWLED
 
     mine = chunks.select("doc_id", "chunk_idx", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "chunk_idx", "token").agg(F.count(F.lit(1)).alias("tf"))
     both = unit(mine, ["doc_id", "chunk_idx"], "v").join(F.broadcast(unit(words_of, ["kb_idx", "section"], "w")), "token")
-    scores = both.groupBy("doc_id", "chunk_idx", "kb_idx", "section").agg(F.sum(F.col("v") * F.col("w")).alias("c"))
+    return both.groupBy("doc_id", "chunk_idx", "kb_idx", "section").agg(F.sum(F.col("v") * F.col("w")).alias("c"))
+
+
+def vector_statement_scores(chunks: DataFrame, chunk_vectors: DataFrame, statement_vectors: DataFrame, knowledge: list[tuple[str, str]] = KNOWLEDGE) -> DataFrame:
+    """``statement_scores`` with vectors of one's own: ``chunk_vectors`` has (doc_id, chunk_idx, embedding), ``statement_vectors``
+    (kb_idx, embedding), at most one for each; a null vector is none.
+
+    Pairs of which both have a vector of one length are compared by it (a vector of length 0 has cosine 0), all others by
+    TF-IDF. Statements are as many as ``knowledge`` has, so their vectors are broadcast.
+    """
+    key = ["doc_id", "chunk_idx"]
+    mine = chunks.select(*key).join(chunk_vectors.filter("embedding is not null").select(*key, F.col("embedding").alias("x")), key)
+    listed = F.array(*[F.struct(F.lit(i).alias("kb_idx"), F.lit(k).alias("section")) for i, (k, _) in enumerate(knowledge)])
+    theirs = statement_vectors.filter("embedding is not null").filter(F.col("kb_idx").between(0, len(knowledge) - 1)).select(F.col("kb_idx").cast("int").alias("kb_idx"), F.col("embedding").alias("y"))
+    pairs = mine.select(*key, "x", F.explode(listed).alias("k")).select(*key, "x", "k.*").join(F.broadcast(theirs), "kb_idx").filter("size(x) = size(y)")
+    dense = pairs.select(*key, "kb_idx", "section", cosine(F.col("x"), F.col("y")).alias("c"))
+    sparse = statement_scores(chunks, knowledge).join(dense.select(*key, "kb_idx"), [*key, "kb_idx"], "left_anti")
+    return dense.unionByName(sparse)
+
+
+def section_scores(chunks: DataFrame, vectors: tuple[DataFrame, DataFrame] | None = None, knowledge: list[tuple[str, str]] = KNOWLEDGE) -> DataFrame:
+    """doc_id, section, score (4 digits): the best cosine of a document's chunks with the statements on each section.
+
+    By TF-IDF, or, for chunks and statements that have one in ``vectors`` (of chunks, of statements), by vector.
+    """
+    scores = statement_scores(chunks, knowledge) if vectors is None else vector_statement_scores(chunks, *vectors, knowledge)
     return scores.groupBy("doc_id", "section").agg(F.round(F.max("c"), 4).alias("score"))
 
 
-def gap_report(chunks: DataFrame, present: float = 0.35, thin: float = 0.25) -> DataFrame:
+def gap_report(chunks: DataFrame, present: float = 0.35, thin: float = 0.25, vectors: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """doc_id, present, thin, missing (comma-joined), coverage of documents with chunks (doc_id, chunk_idx, text): a section is
     present or thin by its score; of the others required ones are missing. Optional sections count for the coverage,
-    which may so be more than 1."""
+    which may so be more than 1. ``vectors`` as in ``section_scores``."""
     asked = F.array(*map(F.lit, [*REQUIRED_SECTIONS, *OPTIONAL_SECTIONS]))
-    known = section_scores(chunks).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "score"))).alias("m"))
+    known = section_scores(chunks, vectors).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "score"))).alias("m"))
     rows = chunks.select("doc_id").distinct().join(known, "doc_id", "left").withColumn("asked", asked)
     score = lambda s: F.coalesce(F.element_at("m", s), F.lit(0.0))
     lists = rows.select("doc_id", F.filter("asked", lambda s: score(s) >= present).alias("p"), F.filter("asked", lambda s: (score(s) >= thin) & (score(s) < present)).alias("t"), F.filter("asked", lambda s: (score(s) < thin) & s.isin(*REQUIRED_SECTIONS)).alias("m"))

@@ -57,6 +57,28 @@ query(
     f"""WITH {GAPS}, x AS (SELECT c.doc_id, i, a.section, required, coalesce(score, 0) AS score FROM (SELECT DISTINCT doc_id FROM chunks) c CROSS JOIN {ASKED} LEFT JOIN sc ON sc.doc_id = c.doc_id AND sc.section = a.section)
 SELECT doc_id, coalesce(string_agg(section, ',' ORDER BY i) FILTER (score >= 0.35), '') AS present, coalesce(string_agg(section, ',' ORDER BY i) FILTER (score >= 0.25 AND score < 0.35), '') AS thin, coalesce(string_agg(section, ',' ORDER BY i) FILTER (score < 0.25 AND required), '') AS missing, round(count(*) FILTER (score >= 0.35) / 7, 3) AS coverage FROM x GROUP BY doc_id""",
 )(lambda s, d: structure.gap_report(said(s, d)))
+# Two chunks in three and three statements in four have a vector of the embeddings table.
+CHUNK_VECTOR, KB_VECTOR = "(doc_id * 5 + chunk_idx) % 500", "kb_idx * 31 % 500"
+
+
+def gap_vectors(spark, folder):
+    """Vectors of chunks and of statements."""
+    v = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    mine = said(spark, folder).filter("chunk_idx % 3 <> 1").select("doc_id", "chunk_idx", F.expr(CHUNK_VECTOR).alias("vec_id")).join(v, "vec_id").drop("vec_id")
+    kb = spark.range(len(lexicons.KNOWLEDGE)).select(F.col("id").cast("int").alias("kb_idx")).filter("kb_idx % 4 <> 3")
+    return mine, kb.withColumn("vec_id", F.expr(KB_VECTOR)).join(v, "vec_id").drop("vec_id")
+
+
+query(
+    "str5_vector_gaps",
+    f"""WITH {GAPS}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), cv AS (SELECT doc_id, chunk_idx, v AS x FROM chunks JOIN e ON vec_id = {CHUNK_VECTOR} WHERE chunk_idx % 3 <> 1), kv AS (SELECT kb_idx, section, v AS y FROM kb JOIN e ON vec_id = {KB_VECTOR} WHERE kb_idx % 4 <> 3),
+dense AS (SELECT doc_id, chunk_idx, kb_idx, section, list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) AS c FROM cv, kv),
+sparse AS (SELECT doc_id, chunk_idx, kb_idx, section, sum(cw.w / cw.norm * kw.w / kw.norm) AS c FROM cw JOIN kw ON cw.token = kw.token GROUP BY ALL),
+va AS (SELECT * FROM dense UNION ALL SELECT * FROM sparse s WHERE NOT EXISTS (SELECT 1 FROM dense d WHERE d.doc_id = s.doc_id AND d.chunk_idx = s.chunk_idx AND d.kb_idx = s.kb_idx)),
+vs AS (SELECT doc_id, section, round(max(c), 4) AS score FROM va GROUP BY ALL),
+x AS (SELECT c.doc_id, i, a.section, required, coalesce(score, 0) AS score FROM (SELECT DISTINCT doc_id FROM chunks) c CROSS JOIN {ASKED} LEFT JOIN vs ON vs.doc_id = c.doc_id AND vs.section = a.section)
+SELECT doc_id, coalesce(string_agg(section, ',' ORDER BY i) FILTER (score >= 0.35), '') AS present, coalesce(string_agg(section, ',' ORDER BY i) FILTER (score >= 0.25 AND score < 0.35), '') AS thin, coalesce(string_agg(section, ',' ORDER BY i) FILTER (score < 0.25 AND required), '') AS missing, round(count(*) FILTER (score >= 0.35) / 7, 3) AS coverage FROM x GROUP BY doc_id""",
+)(lambda s, d: structure.gap_report(said(s, d), vectors=gap_vectors(s, d)))
 SIGNS = ", ".join(f"CASE WHEN {' OR '.join(f"contains(t, '{w}')" for w in ws)} THEN '{k}' END" for k, ws in lexicons.SECTION_SIGNS)
 query(
     "str5_keyword_gaps",
