@@ -67,7 +67,20 @@ def extract_citations(docs: DataFrame) -> DataFrame:
     Only text before the reference section counts. In each line a match that overlaps one of a pattern of
     higher priority, or an earlier one of its own, is dropped.
     """
-    rows = marked_lines(docs).filter(F.col("line").rlike(r"[(\[^]") & (F.col("ref_at").isNull() | (F.col("at") < F.col("ref_at"))))
+    return _citations(marked_lines(docs).filter(_before_references()))
+
+
+def _before_references() -> Column:
+    """Lines before the reference section that can hold a citation."""
+    return F.col("line").rlike(r"[(\[^]") & (F.col("ref_at").isNull() | (F.col("at") < F.col("ref_at")))
+
+
+def _after_header() -> Column:
+    return F.coalesce((F.col("line_no") > F.col("ref_line")) & (F.col("s") != ""), F.lit(False))
+
+
+def _citations(rows: DataFrame) -> DataFrame:
+    """Citations in lines (of ``marked_lines``) that can hold one."""
 
     def of(i: int) -> Column:
         style, pattern = STYLES[i]
@@ -102,7 +115,11 @@ def extract_references(docs: DataFrame) -> DataFrame:
     ``[n]`` starts an entry, also several times in a line; a capitalised word starts an author-date entry; an
     indented line goes on with the entry before.
     """
-    rows = marked_lines(docs).filter("line_no > ref_line and s <> ''")
+    return _references(marked_lines(docs).filter(_after_header()))
+
+
+def _references(rows: DataFrame) -> DataFrame:
+    """Entries in the lines (of ``marked_lines``) after headers."""
     many = (F.regexp_count("s", F.lit(r"\[")) >= 2) & F.col("s").rlike(r"\[\d+\]")
     pieces = F.when(many, F.filter(F.transform(F.split("s", r"(?=\[\d+\])"), strip), lambda p: p.rlike(r"^\[\d+\]"))).otherwise(F.array("s"))
     rows = rows.select("doc_id", "line_no", "line", F.posexplode(pieces).alias("k", "p"))
@@ -121,8 +138,9 @@ def extract_references(docs: DataFrame) -> DataFrame:
 
 
 def citations_and_references(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables, made in one job that exchanges the lines once, and written."""
-    found = [extract_citations(docs), extract_references(docs)]
+    """Both tables, written. The lines that matter are found in one pass and written first; they are few of all."""
+    rows = written_once(marked_lines(docs).filter(_before_references() | _after_header()))
+    found = [_citations(rows.filter(_before_references())), _references(rows.filter(_after_header()))]
     tagged = [df.select(F.struct(*df.columns).alias(name)) for df, name in zip(found, ("citation", "reference"), strict=True)]
     table = written_once(tagged[0].unionByName(tagged[1], allowMissingColumns=True))
     return tuple(table.filter(F.col(name).isNotNull()).select(f"{name}.*") for name in ("citation", "reference"))
