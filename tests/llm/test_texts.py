@@ -298,6 +298,26 @@ def test_fingerprints(spark, documents):
     assert rows_of(fingerprints.report(documents.limit(1)), "near_next") == [(1.0,)]
 
 
+def test_likeness_is_near_the_true_one(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    texts = [(r.doc_id, r.text or "") for r in docs.orderBy("doc_id").collect()]
+    units = lambda t: Counter(x for x in re.split(r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+", t) if x.strip(" "))
+    found = {r.doc_id: r for r in fingerprints.report(docs).collect()}
+    off, turned = [], []
+    for (i, t), (_, u) in zip(texts, [*texts[1:], texts[0]], strict=True):
+        if len(t) < 200:
+            continue
+        true = []
+        for other in (t[: len(t) - len(t) // 2] + u[: len(t) // 2], u):
+            a, b = units(t), units(other)
+            true.append(1 - ((a - b).total() + (b - a).total()) / max(1, a.total() + b.total()))
+        off += [abs(found[i].near_edited - true[0]), abs(found[i].near_next - true[1])]
+        if true[0] - true[1] > 0.2:
+            turned.append(found[i].near_edited <= found[i].near_next)
+    assert len(off) > 1500 and sorted(off)[len(off) * 95 // 100] < 0.1
+    assert len(turned) > 500 and sum(turned) == 0
+
+
 # Chat formatting
 
 

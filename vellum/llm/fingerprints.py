@@ -1,11 +1,12 @@
 """Document fingerprints: homomorphic multiset hashes of paragraphs.
 
 A fingerprint is a vector of sums of hashes. The identity lanes add wide hashes of the
-paragraphs (lines) modulo 2^60; the likeness lanes add, modulo 2^20, single hash bits of the
-paragraphs' sentences, three lanes packed into one integer. Sums don't depend on order, so
+paragraphs (lines) modulo 2^60; the likeness lanes add, modulo 2^15, single hash bits of the
+paragraphs' sentences, four lanes packed into one integer. Sums don't depend on order, so
 equal multisets of paragraphs have equal fingerprints, and adding or removing a paragraph
 adds or subtracts its own vector. The difference of two fingerprints' likeness lanes, taken
-as sums of signs, has a mean square equal to the size of the multisets' difference.
+as sums of signs, has a mean square equal to the size of the multisets' difference (the sum of
+squared multiplicities). With 720 lanes its standard error is 0.053 of that.
 
 Everything here is built-in column expressions.
 """
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from vellum.llm.common import as_documents
 
 IDENTITY_LANES = 4
-PACKED = 20
-LANE_BITS = 20
-LANES_EACH = 3
+HASHES = 12
+LANE_BITS = 15
+LANES_EACH = 4
+PACKED = HASHES * LANE_BITS
 M60 = (1 << 60) - 1
 LANE_MASK = (1 << LANE_BITS) - 1
 ONE_BIT = sum(1 << LANE_BITS * i for i in range(LANES_EACH))
@@ -42,15 +44,15 @@ def sentences(text: Column) -> Column:
 
 def _sum(units: Column, vector, width: int) -> Column:
     """Lane by lane sums modulo 2^60 of each unit's vector, with the number of units in front."""
-    zero = F.array(*[F.lit(0).cast("long")] * (width + 1))
-    return F.aggregate(units, zero, lambda acc, u: F.zip_with(acc, F.concat(F.array(F.lit(1).cast("long")), vector(u)), lambda a, b: (a + b).bitwiseAND(F.lit(M60))))
+    zero = F.array_repeat(F.lit(0).cast("long"), width + 1)
+    return F.aggregate(units, zero, lambda acc, u: F.zip_with(acc, F.array(F.lit(1).cast("long"), *vector(u)), lambda a, b: (a + b).bitwiseAND(F.lit(M60))))
 
 
 def fingerprint(text: Column) -> Column:
     """array<bigint>: paragraphs, identity lanes, sentences, packed likeness lanes."""
-    identity = _sum(paragraphs(text), lambda u: F.array(*[F.xxhash64(F.lit(seed), u).bitwiseAND(F.lit(M60)) for seed in range(IDENTITY_LANES)]), IDENTITY_LANES)
-    bits = F.transform(sentences(text), lambda u: F.xxhash64(F.lit("likeness"), u))
-    likeness = _sum(bits, lambda h: F.array(*[F.shiftrightunsigned(h, i).bitwiseAND(F.lit(ONE_BIT)) for i in range(PACKED)]), PACKED)
+    identity = _sum(paragraphs(text), lambda u: [F.xxhash64(F.lit(seed), u).bitwiseAND(F.lit(M60)) for seed in range(IDENTITY_LANES)], IDENTITY_LANES)
+    bits = F.transform(sentences(text), lambda u: F.array(*[F.xxhash64(F.lit("likeness"), F.lit(j), u) for j in range(HASHES)]))
+    likeness = _sum(bits, lambda h: [F.shiftrightunsigned(h[j], i).bitwiseAND(F.lit(ONE_BIT)) for j in range(HASHES) for i in range(LANE_BITS)], PACKED)
     return F.concat(identity, likeness)
 
 
@@ -65,27 +67,32 @@ def as_text(fp: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 - (size of the difference) / (size of both), as the likeness lanes tell it, from 0 to 1; 1 for equal fingerprints."""
+    """1 - |a - b|^2 / (|a|^2 + |b|^2) of the likeness lanes as sums of signs, from 0 to 1; 1 for equal fingerprints.
+
+    For multisets without repeated sentences that is 1 - (size of the difference) / (size of both); squares of both kinds
+    grow alike where sentences repeat.
+    """
     at = IDENTITY_LANES + 1
     count = lambda x: F.element_at(x, at + 1)
     half = 1 << LANE_BITS - 1
+    lanes = lambda v: [F.shiftrightunsigned(v, LANE_BITS * i).bitwiseAND(F.lit(LANE_MASK)) for i in range(LANES_EACH)]
 
-    def square(x: Column, y: Column) -> Column:
-        total = F.lit(0.0)
-        for i in range(LANES_EACH):
-            lane = lambda v, i=i: F.shiftrightunsigned(v, LANE_BITS * i).bitwiseAND(F.lit(LANE_MASK))
-            d = F.pmod(2 * (lane(x) - lane(y)) - (count(a) - count(b)) + half, F.lit(2 * half)) - half
-            total = total + d.cast("double") * d
-        return total
+    def square(twice: Column, n: Column) -> Column:
+        """Square of a lane as a sum of signs: twice the sum of bits less the number of sentences."""
+        d = F.pmod(twice - n + half, F.lit(2 * half)) - half
+        return d.cast("double") * d
 
-    pairs = F.zip_with(F.slice(a, at + 2, PACKED), F.slice(b, at + 2, PACKED), square)
-    gap = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x) / (PACKED * LANES_EACH)
-    both = count(a) + count(b)
-    return F.when(a == b, 1.0).when(both == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - gap / both)))
+    added = lambda parts: F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
+    packed = lambda x: F.slice(x, at + 2, PACKED)
+    gap = added(F.zip_with(packed(a), packed(b), lambda x, y: sum((square(2 * (i - j), count(a) - count(b)) for i, j in zip(lanes(x), lanes(y), strict=True)), F.lit(0.0))))
+    norm = lambda fp: added(F.transform(packed(fp), lambda x: sum((square(2 * i, count(fp)) for i in lanes(x)), F.lit(0.0))))
+    both = norm(a) + norm(b)
+    return F.when(a == b, 1.0).when(both == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(gap, both)))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Add next_<column>: the value in the next document, ascending doc_id (after the last: the first).
+def with_next(docs: DataFrame, columns: list[str], made: dict[str, Column] | None = None) -> DataFrame:
+    """Add next_<column>: the value in the next document, ascending doc_id (after the last: the first). Columns that are
+    ``made`` from others are added after the exchange, so they don't go through it.
 
     Documents are dealt to ranges of doc_id of about equal size; the first row of each range is also put at
     the end of the range before, so one exchange and a window within ranges are enough. A null doc_id is the
@@ -101,10 +108,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     before = {b.b: a.b for a, b in zip([firsts[-1], *firsts[:-1]], firsts, strict=True)} if firsts else {0: 0}
     is_first = key.isin([r.k for r in firsts]) if firsts else F.lit(False)
     earlier = F.element_at(F.array(*[F.lit(before.get(b, 0)) for b in range(len(bounds) + 1)]), bucket + 1)
-    place = lambda b, late: F.struct(b.cast("int").alias("bucket"), F.lit(late).alias("late"))
-    rows = docs.select("*", F.explode(F.when(is_first, F.array(place(bucket, False), place(earlier, True))).otherwise(F.array(place(bucket, False)))).alias("_place"))
-    order = Window.partitionBy("_place.bucket").orderBy("_place.late", key, "text")
-    return rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).filter(~F.col("_place.late")).drop("_place")
+    place = lambda b, late: F.struct(b.cast("int").alias("_bucket"), F.lit(late).alias("_late"))
+    rows = docs.select("*", F.explode(F.when(is_first, F.array(place(bucket, False), place(earlier, True))).otherwise(F.array(place(bucket, False)))).alias("_place")).select("*", "_place.*").drop("_place")
+    rows = rows.repartition("_bucket").withColumns(made or {})
+    order = Window.partitionBy("_bucket").orderBy("_late", key, "text")
+    return rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).filter(~F.col("_late")).drop("_bucket", "_late")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -113,7 +121,7 @@ def report(docs: DataFrame) -> DataFrame:
     A null text is empty. The edited text has its last half replaced by as much of the next document's start.
     """
     docs = as_documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(docs.withColumn("fp", fingerprint(F.col("text"))), ["text", "fp"])
+    docs = with_next(docs, ["text", "fp"], {"fp": fingerprint(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)).alias("edited"))
