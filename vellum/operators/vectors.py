@@ -1,10 +1,11 @@
 """Joins of dense vectors by cosine: exact, pruned by pivots, in blocks of matrices.
 
-The indexed vectors, at length 1, are dealt to cells by their nearest pivot, and cells to blocks of bounded size. A
-query vector can only meet a cell whose pivot is, in angle, no further away than the cell's radius and the angle of
+The indexed vectors, at length 1, are dealt to cells by their nearest pivot, and cells that lie near each other to blocks
+of bounded size. A query vector can only meet a cell whose pivot is, in angle, no further away than the cell's radius and the angle of
 the least similarity together (the triangle inequality of angles), so nothing is lost and most cells are never
-opened where vectors lie in groups. Queries go in blocks of neighbours; each pair of blocks is one matrix product in
-one task, and what leaves the task is what the caller asks for: pairs, or each query's partial best.
+opened where vectors lie in groups. Queries go in blocks of neighbours, once to each block of the index that they can
+meet; a pair of blocks is multiplied in one task, and what leaves the task is what the caller asks for: pairs, or each
+query's partial sums and best. Neither side is broadcast.
 
 Pivots and radii are the only things that the driver holds; their number grows with the square root of the rows, up
 to a bound in bytes.
@@ -27,17 +28,22 @@ from vellum.sources.corpus import written_once
 
 ROWS_EACH = 1024
 PIVOT_BYTES = 16 << 20
+#: A block of the index has at most so many bytes and rows. Queries travel once to each block, so blocks are large; a small index is still so many tasks.
+BLOCK_BYTES, BLOCK_ROWS, LEAST_BLOCKS = 4 << 20, 8192, 64
 #: Similarities are rounded to four digits; angles are compared with this much room.
 ROUNDING, ROOM = 1e-4, 1e-6
-BLOCK = "cell int, block int, ids array<long>, x binary"
+BLOCK = "unit int, block int, ids array<long>, n array<long>, x binary"
 
 
 @dataclass(frozen=True)
 class Index:
-    """Pivots (a row each), largest angle and number of blocks of each cell, and the table of blocks."""
+    """Pivots (a row each) and largest angle of each cell, cells in order of their units and where each unit begins there, number
+    of blocks of each unit, and the table of blocks."""
 
     pivots: np.ndarray
     radius: np.ndarray
+    order: np.ndarray
+    starts: np.ndarray
     n_blocks: np.ndarray
     blocks: DataFrame
 
@@ -55,38 +61,54 @@ def _angle(cosine: np.ndarray) -> np.ndarray:
 
 
 def _whole(vectors: DataFrame, d: int) -> DataFrame:
-    return vectors.filter((F.size("embedding") == d) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v.cast("double")))).select(F.col("vec_id").cast("long").alias("id"), "embedding")
+    n = F.col("_n") if "_n" in vectors.columns else F.lit(1)
+    return vectors.filter((F.size("embedding") == d) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v.cast("double")))).select(F.col("vec_id").cast("long").alias("id"), "embedding", n.cast("long").alias("n"))
 
 
-def _blocks(vectors: DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """Radius and number of blocks of each cell, and the blocks. A block is a hash share of its cell, so that no cell is one task."""
+def _grouped_cells(pivots: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells in an order that keeps neighbours together, and the unit of each cell: up to ``most`` rows of cells in a row, or one larger cell."""
+    order = np.argsort((pivots @ pivots[: math.isqrt(len(pivots))].T).argmax(1), kind="stable")
+    unit, at, held = np.zeros(len(pivots), np.int64), 0, 0
+    for c in order:
+        if held and held + rows[c] > most:
+            at, held = at + 1, 0
+        unit[c] = at
+        held += rows[c]
+    return order, unit
+
+
+def _blocks(vectors: DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """What ``Index`` has beside the pivots. A block is a hash share of its unit, so that no cell is one task."""
 
     def cells(batches):
         for batch in batches:
             cosine = _units(batch, "embedding") @ pivots.T
             near = cosine.argmax(1) if len(cosine) else np.zeros(0, np.int64)
             angle = _angle(cosine[np.arange(len(near)), near])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(angle)], names=["id", "embedding", "cell", "angle"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(angle)], names=["id", "embedding", "n", "cell", "angle"])
 
     ship(vectors.sparkSession)
     kind = vectors.schema["embedding"].dataType.simpleString()
-    placed = written_once(vectors.mapInArrow(cells, f"id long, embedding {kind}, cell int, angle double"))
-    radius, n_blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+    placed = written_once(vectors.mapInArrow(cells, f"id long, embedding {kind}, n long, cell int, angle double"))
+    radius, held = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
     for r in placed.groupBy("cell").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).collect():  # a row for each pivot
-        radius[r.cell], n_blocks[r.cell] = r.angle, math.ceil(r.n / ROWS_EACH)
-    share = F.element_at(F.from_json(F.lit(str(n_blocks.tolist())), "array<long>"), F.col("cell") + 1)
-    rows = placed.groupBy("cell", F.pmod(F.xxhash64("id", "embedding"), share).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "embedding")).alias("rows"))
+        radius[r.cell], held[r.cell] = r.angle, r.n
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * pivots.shape[1]), math.ceil(held.sum() / LEAST_BLOCKS)))
+    order, unit = _grouped_cells(pivots, held, most)
+    n_blocks = np.ceil(np.bincount(unit, held) / most).astype(np.int64)
+    starts = np.searchsorted(unit[order], np.arange(len(n_blocks)))
+    of = lambda values, at: F.element_at(F.from_json(F.lit(str(values.tolist())), "array<long>"), at + 1)
+    rows = placed.withColumn("unit", of(unit, F.col("cell")).cast("int"))
+    rows = rows.groupBy("unit", F.pmod(F.xxhash64("id", "embedding"), of(n_blocks, F.col("unit"))).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "n", "embedding")).alias("rows"))
 
     def packed(batches):
         for batch in batches:
-            ids, xs = [], []
-            for rows in batch.column(2):
+            for i, rows in enumerate(batch.column(2)):  # a block at a time: each is up to BLOCK_BYTES
                 inner = pa.RecordBatch.from_struct_array(rows.values)
-                ids.append(inner.column(0))
-                xs.append(_units(inner, "embedding").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.to_pylist() for i in ids], pa.list_(pa.int64())), pa.array(xs, pa.binary())], names=["cell", "block", "ids", "x"])
+                lists = [pa.array([inner.column(c).to_pylist()], pa.list_(pa.int64())) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), *lists, pa.array([_units(inner, "embedding").tobytes()], pa.binary())], names=["unit", "block", "ids", "n", "x"])
 
-    return radius, n_blocks, written_once(rows.mapInArrow(packed, BLOCK))
+    return radius, order, starts, n_blocks, written_once(rows.mapInArrow(packed, BLOCK))
 
 
 def build_index(vectors: DataFrame) -> Index | None:
@@ -106,13 +128,14 @@ def build_index(vectors: DataFrame) -> Index | None:
     return Index(pivots, *_blocks(rows, pivots))
 
 
-def block_join(queries: DataFrame, index: Index, score: Callable, schema: str, least: float | None = None, bound: str | None = None) -> DataFrame:
+def block_join(queries: DataFrame, index: Index, score: Callable, schema: str, least: float | None = None, bound: str | None = None, counted: bool = False) -> DataFrame:
     """``score(similarities, query ids, indexed ids)``, columns of ``schema``, for each pair of a query block and a block that it can meet.
 
     Similarities are a matrix rounded to four digits. A query meets what can reach ``least``, or its own value in the column
-    ``bound``; a query block meets a block if one of its members does. ``queries`` has (id, embedding) of the index's length.
+    ``bound``; a query block meets a block if one of its members does. With ``counted`` the score gets the counts (``_n``) of
+    the indexed vectors, too. ``queries`` has (id, embedding) of the index's length.
     """
-    pivots, radius, n_blocks = index.pivots, index.radius, index.n_blocks
+    pivots, radius, order, starts = index.pivots, index.radius, index.order, index.starts
     d = pivots.shape[1]
     rows = queries.select("id", "embedding", (F.lit(float(least)) if bound is None else F.col(bound).cast("double")).alias("least"))
 
@@ -121,34 +144,36 @@ def block_join(queries: DataFrame, index: Index, score: Callable, schema: str, l
             cosine = _units(batch, "embedding") @ pivots.T
             near = cosine.argmax(1) if len(cosine) else np.zeros(0, np.int64)
             room = _angle(batch.column(2).to_numpy(zero_copy_only=False) - ROUNDING)[:, None] + radius[None, :] + ROOM
-            meets = (_angle(cosine) <= room) & (n_blocks > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array([np.flatnonzero(m).astype(np.int32) for m in meets], pa.list_(pa.int32()))], names=["id", "embedding", "home", "cells"])
+            meets = np.logical_or.reduceat((_angle(cosine) <= room)[:, order], starts, axis=1)  # an empty cell's radius is less than any angle
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array([np.flatnonzero(m).astype(np.int32) for m in meets], pa.list_(pa.int32()))], names=["id", "embedding", "home", "units"])
 
     ship(queries.sparkSession)
     kind = queries.schema["embedding"].dataType.simpleString()
-    placed = written_once(rows.mapInArrow(cells, f"id long, embedding {kind}, home int, cells array<int>"))
+    placed = written_once(rows.mapInArrow(cells, f"id long, embedding {kind}, home int, units array<int>"))
     # Neighbours travel together: queries of one cell, split by hash into shares of about the size of a block.
     shares = np.ones(len(pivots), np.int64)
     for r in placed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each pivot
         shares[r.home] = math.ceil(r.n / ROWS_EACH)
     group = F.pmod(F.xxhash64("id", "embedding"), F.element_at(F.from_json(F.lit(str(shares.tolist())), "array<long>"), F.col("home") + 1)).cast("int")
-    grouped = placed.groupBy("home", group.alias("share")).agg(F.collect_list(F.struct("id", "embedding")).alias("rows"), F.array_distinct(F.flatten(F.collect_set("cells"))).alias("cells"))
-    blocks_of = F.from_json(F.lit(str(n_blocks.tolist())), "array<long>")
-    wide = grouped.select("rows", F.explode("cells").alias("cell")).select("rows", "cell", F.explode(F.sequence(F.lit(0), F.element_at(blocks_of, F.col("cell") + 1).cast("int") - 1)).alias("block"))
-    met = wide.join(index.blocks, ["cell", "block"]).select("rows", "ids", "x")
+    grouped = placed.groupBy("home", group.alias("share")).agg(F.collect_list(F.struct("id", "embedding")).alias("rows"), F.array_distinct(F.flatten(F.collect_set("units"))).alias("units"))
+    blocks_of = F.from_json(F.lit(str(index.n_blocks.tolist())), "array<long>")
+    wide = grouped.select("rows", F.explode("units").alias("unit")).select("rows", "unit", F.explode(F.sequence(F.lit(0), F.element_at(blocks_of, F.col("unit") + 1).cast("int") - 1)).alias("block"))
+    # By estimate this side may be the smaller one and would be broadcast; it is all queries times the blocks they meet.
+    met = wide.join(index.blocks.hint("shuffle_hash"), ["unit", "block"]).select("rows", "ids", "n", "x")
 
     def products(batches):
         for batch in batches:
-            for rows, ids, x in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for rows, ids, n, x in zip(*batch.columns, strict=True):
                 inner = pa.RecordBatch.from_struct_array(rows.values)
                 right = np.frombuffer(x.as_py()).reshape(-1, d)
-                left_ids = inner.column(0).to_numpy(zero_copy_only=False)
+                left_ids, ids, n = (c.to_numpy(zero_copy_only=False) for c in (inner.column(0), ids.values, n.values))
                 for at in range(0, len(left_ids), ROWS_EACH):
-                    part = inner.slice(at, ROWS_EACH)
-                    cosine = np.floor((_units(part, "embedding") @ right.T) * 1e4 + 0.5) / 1e4
-                    out = score(cosine, left_ids[at : at + ROWS_EACH], ids.values.to_numpy(zero_copy_only=False))
-                    if len(out[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+                    left = _units(inner.slice(at, ROWS_EACH), "embedding")
+                    for to in range(0, len(ids), ROWS_EACH):
+                        cosine = np.floor((left @ right[to : to + ROWS_EACH].T) * 1e4 + 0.5) / 1e4
+                        out = score(cosine, left_ids[at : at + ROWS_EACH], ids[to : to + ROWS_EACH], *([n[to : to + ROWS_EACH]] if counted else []))
+                        if len(out[0]):
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
 
     names = StructType.fromDDL(schema).names
     return met.mapInArrow(products, schema)
@@ -175,6 +200,18 @@ def _best(cosine, left, right):
     return left[ok], right[at][ok], value[ok]
 
 
+def _linked(least: float) -> Callable:
+    """Of each query the number of vectors (by their counts) from ``least`` on with another id, the smallest id of the most similar, and its similarity."""
+
+    def score(cosine, left, right, n):
+        hit = (cosine >= least) & (left[:, None] != right[None, :])
+        some = hit.any(1)
+        found, b, similarity = _best(np.where(hit, cosine, -np.inf)[some], left[some], right)
+        return found, hit[some] @ n, b, similarity
+
+    return score
+
+
 def vector_matches(queries: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     """a, b, similarity (4 digits) of query vectors (vec_id, embedding) against all vectors, from ``least`` on; a vector isn't
     compared with its own id. A vector of length 0 has similarity 0 to all."""
@@ -226,18 +263,17 @@ def vector_links(vectors: DataFrame, least: float) -> DataFrame:
     """vec_id, class_id, n_same, n_links, nearest_id, similarity of every vector against all others.
 
     Equal vectors are one class (class_id: their smallest id, n_same: how many), and classes are compared once, so a
-    group with a third of all rows is one vector. n_links counts the vectors of other classes from ``least`` on,
+    group with a third of all rows is one vector. A task sums what a vector links to, so links aren't written out. n_links counts the vectors of other classes from ``least`` on,
     nearest_id is the class of the most similar (of equals the smallest), null without a link. Vectors that can't be
     compared (null, of another length) are classes without links.
     """
     classes = written_once(vectors.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n")))
-    index = build_index(classes.select("vec_id", "embedding"))
+    index = build_index(classes.select("vec_id", "embedding", F.col("n").alias("_n")))
     schema = "a long, n long, b long, similarity double"
     if index is None:
         links = vectors.sparkSession.createDataFrame([], schema)
     else:
-        pairs = block_join(_whole(classes, index.pivots.shape[1]), index, _matches(least), "a long, b long, similarity double", least)
-        links = pairs.join(classes.select(F.col("vec_id").alias("b"), "n"), "b").select("a", "n", "b", "similarity")
+        links = block_join(_whole(classes, index.pivots.shape[1]), index, _linked(least), schema, least, counted=True)
     best = links.groupBy("a").agg(F.sum("n").alias("n_links"), F.max(F.struct("similarity", (-F.col("b")).alias("b"))).alias("m"))
     best = best.select(F.col("a").alias("class_id"), "n_links", (-F.col("m.b")).alias("nearest_id"), F.col("m.similarity").alias("similarity"))
     return _members(vectors, classes).join(best, "class_id", "left").na.fill(0, ["n_links"])
