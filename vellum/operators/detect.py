@@ -16,6 +16,18 @@ def _lengths(text: Column) -> Column:
     return F.filter(F.transform(sentences(text, "punct"), lambda s: F.size(words(s))), lambda n: n >= 4)
 
 
+def _deviation(n: Column) -> Column:
+    """Standard deviation by Welford's one pass, as SQL has it to the last bit: where it is the mean's equal, that bit decides a band of scores."""
+    zero = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(acc: Column, x: Column) -> Column:
+        k = acc["k"] + 1.0
+        mean = acc["mean"] + (x - acc["mean"]) / k
+        return F.struct(k.alias("k"), mean.alias("mean"), (acc["squares"] + (x - mean) * (x - acc["mean"])).alias("squares"))
+
+    return F.aggregate(n, zero, step, lambda acc: F.sqrt(F.try_divide(acc["squares"], acc["k"])))
+
+
 def style_features(docs: DataFrame, fillers: DataFrame | list[str] = FILLERS) -> DataFrame:
     """doc_id, n_sentences, mean_len, std_len, burstiness, cv, filler_hits, filler_density, diversity; the four of sentence length are null below four sentences.
 
@@ -24,10 +36,8 @@ def style_features(docs: DataFrame, fillers: DataFrame | list[str] = FILLERS) ->
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", text.alias("text"), _lengths(text).alias("n"), F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike("^[a-z]+$")).alias("w"))
     count = F.size("n")
-    total = lambda f: F.aggregate("n", F.lit(0.0), lambda acc, x: acc + f(x.cast("double")))
     enough = F.col("n_sentences") >= 4
-    base = base.select("doc_id", "text", "w", count.alias("n_sentences"), F.try_divide(total(lambda x: x), count).alias("mean"), "n")
-    base = base.withColumn("std", F.sqrt(F.try_divide(total(lambda x: (x - F.col("mean")) * (x - F.col("mean"))), F.col("n_sentences"))))
+    base = base.select("doc_id", "text", "w", count.alias("n_sentences"), F.try_divide(F.aggregate("n", F.lit(0.0), lambda acc, x: acc + x), count).alias("mean"), _deviation(F.col("n")).alias("std"))
     base = with_term_count(base, F.col("text"), fillers, "filler_hits")
     return base.select(
         "doc_id", "text", "n_sentences",
@@ -59,6 +69,6 @@ def ai_score_rollup(docs: DataFrame, by: str = "source") -> DataFrame:
     scores = ai_scores(docs).join(docs.select("doc_id", by), "doc_id")
     s = F.col("score")
     return scores.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.count("score").alias("n_scored"), F.round(F.avg("score"), 2).alias("mean_score"), F.count_if(s >= 75).alias("n_likely_ai"),
+        F.count(F.lit(1)).alias("n_docs"), F.count("score").alias("n_scored"), (F.floor(F.avg("score") * 100 + 0.5) / 100).alias("mean_score"), F.count_if(s >= 75).alias("n_likely_ai"),
         F.count_if((s >= 55) & (s < 75)).alias("n_possibly_ai"), F.count_if((s >= 40) & (s < 55)).alias("n_uncertain"), F.count_if(s < 40).alias("n_human"),
     )
