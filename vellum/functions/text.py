@@ -22,6 +22,17 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
+def upper_letters(x: Column) -> Column:
+    """Upper case letter by letter, so that no letter becomes several: ß becomes ẞ, others without a capital of one letter stay."""
+    capital = lambda c: F.when(c == "ß", "ẞ").when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)
+    return F.array_join(F.transform(F.split(x, ""), capital), "")
+
+
+def lower_letters(x: Column) -> Column:
+    """Lower case letter by letter, whatever the letters beside it (a sigma at a word's end is no other letter)."""
+    return F.array_join(F.transform(F.split(x, ""), lambda c: F.substring(F.lower(c), 1, 1)), "")
+
+
 def words(x: Column) -> Column:
     """Pieces between white space, without empty ones."""
     return F.filter(F.split(x, r"\s+"), lambda w: w != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import ascii_rule, strip, words
+from vellum.functions.text import ascii_rule, lower_letters, strip, words
 
 # Headings of contents lists, bare page numbers, and what fills the space before a page number.
 CONTENTS = r"(?i)^(?:table\s+of\s+contents|contents)$"
@@ -215,12 +215,12 @@ def generic_sections(lines: DataFrame, matched: DataFrame) -> DataFrame:
 def toc_alignment(toc: DataFrame, chunks: DataFrame) -> DataFrame:
     """doc_id, toc_entries, matched, missing (texts in order, joined by |), coverage: entries of a contents list (doc_id,
     toc_idx, text) whose text is a chunk's heading but for case and spaces; of equal headings the last counts."""
-    key = lambda c: F.lower(single_spaced(F.col(c)))
+    key = lambda c: lower_letters(single_spaced(F.col(c)))
     heads = chunks.filter("heading <> ''").groupBy("doc_id", key("heading").alias("k")).agg(F.max_by("section_type", "chunk_idx").alias("section_type"))
     rows = toc.filter(strip(F.col("text")) != "").select("doc_id", "toc_idx", strip(F.col("text")).alias("text"), key("text").alias("k")).join(heads, ["doc_id", "k"], "left")
     listed = lambda own, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(own, F.struct("toc_idx", F.col(value).alias("t"))))), lambda x: x["t"]), "|")
     hit = F.col("section_type").isNotNull()
-    out = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("toc_entries"), listed(hit, "section_type").alias("matched"), listed(~hit, "text").alias("missing"), F.round(F.count_if(hit) / F.count(F.lit(1)), 3).alias("coverage"))
+    out = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("toc_entries"), listed(hit, "section_type").alias("matched"), listed(~hit, "text").alias("missing"), (F.floor(F.count_if(hit) / F.count(F.lit(1)) * 1000 + 0.5) / 1000).alias("coverage"))
     return chunks.select("doc_id").distinct().join(out, "doc_id", "left").na.fill({"toc_entries": 0, "matched": "", "missing": "", "coverage": 0.0})
 
 

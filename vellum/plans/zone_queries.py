@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.text import upper_letters
 from vellum.operators import citations, layout, zones
 from vellum.plans.paper_queries import START, STRIP
 from vellum.plans.structure_queries import BLOCKS, CHUNKS, SPANS, blocks, chunks, spans
@@ -154,7 +155,7 @@ query(
 j AS (SELECT t.*, section_type FROM t LEFT JOIN h ON t.doc_id = h.doc_id AND lower({SPACED.format("t.text")}) = h.k WHERE {STRIP.format("t.text")} <> ''),
 o AS (SELECT doc_id, count(*) AS toc_entries, string_agg(section_type, '|' ORDER BY toc_idx) AS matched, string_agg({STRIP.format("text")}, '|' ORDER BY toc_idx) FILTER (section_type IS NULL) AS missing, round(count(section_type) / count(*), 3) AS coverage FROM j GROUP BY doc_id)
 SELECT c.doc_id, coalesce(toc_entries, 0) AS toc_entries, coalesce(matched, '') AS matched, coalesce(missing, '') AS missing, coalesce(coverage, 0) AS coverage FROM (SELECT DISTINCT doc_id FROM chunks) c LEFT JOIN o ON c.doc_id = o.doc_id""",
-)(lambda s, d: zones.toc_alignment(chunks(s, d).filter("doc_id % 8 > 0").select("doc_id", F.col("chunk_idx").alias("toc_idx"), F.expr(ENTRY).alias("text")), chunks(s, d)))
+)(lambda s, d: zones.toc_alignment(chunks(s, d).filter("doc_id % 8 > 0").select("doc_id", F.col("chunk_idx").alias("toc_idx"), F.when(F.col("chunk_idx") % 4 == 1, upper_letters(F.col("heading"))).otherwise(F.expr(ENTRY)).alias("text")), chunks(s, d)))
 NAMED = "CASE (chunk_idx + doc_id) % 7 WHEN 2 THEN concat(heading, '?') WHEN 3 THEN 'Accuracy: 3' WHEN 5 THEN concat('2.1 ', heading, ' of it') WHEN 6 THEN 'What is it' ELSE heading END"
 NORMAL = r"lower(regexp_replace(regexp_replace(regexp_replace({0}, '" + zones.TITLE_NUMBER + r"', ''), '\s+', ' ', 'g'), '^[ .:-]+|[ .:-]+$', '', 'g'))"
 IN = lambda names: "(" + ", ".join(map(quoted, names)) + ")"
