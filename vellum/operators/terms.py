@@ -1,23 +1,33 @@
 """Dictionaries as tables: which terms of a table of any size are in a text.
 
-A short list becomes one array constant that each text is tried against. A longer one is an index: a term is filed under an
-anchor (its first word, or its first four characters where it may begin inside a word), texts meet terms on the anchors that
-they have, without their texts, and the terms that a text has met are then looked for in full. Equal texts are looked up once.
+A short list becomes one array constant that each text is tried against. A longer one becomes an Aho-Corasick automaton that
+the tasks share, and each text is scanned once, where it is: nothing but the terms is sent. Terms of more than ``MAX_BYTES``
+are dealt by hash to several automata that are scanned one after the other.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.shipping import ship
 from vellum.functions.text import ascii_rule
+from vellum.sources.corpus import written_once
 
 #: Terms, and characters of all of them, up to which a list is tried term by term.
 FEW, FEW_CHARS = 256, 16_384
-GRAM = 4
+#: UTF-8 bytes of the terms of one automaton, which each worker builds once.
+MAX_BYTES = 4_000_000
 HOW = ("inside", "words")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+_scanners: dict[str, ahocorasick.Automaton] = {}
 
 
 def as_terms(spark: SparkSession, terms: list[str]) -> DataFrame:
@@ -47,9 +57,45 @@ def _is_in(text: Column, term: Column, how: str) -> Column:
     return F.when(F.col("_low").contains(F.lower(term)), F.rlike(text, F.concat(F.lit(f"(?i){edge}"), _quoted(term), F.lit(edge)))).otherwise(False)
 
 
-def _grams(chars: str) -> Column:
-    """The distinct four-character pieces of a text, from its column of characters (a column, so that they are cut once)."""
-    return F.array_distinct(F.transform(chars, lambda c, i: F.concat(c, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, GRAM)])))
+def _automaton(key: str, terms: list[str], how: str) -> ahocorasick.Automaton:
+    """The worker's automaton of the terms; a worker that goes on with other terms lets all but the last few go."""
+    if key not in _scanners:
+        while len(_scanners) > 3:
+            _scanners.pop(next(iter(_scanners)))
+        filed: dict[str, list[str]] = {}
+        for term in terms:
+            filed.setdefault(term.translate(_LOWER) if how == "words" else term, []).append(term)
+        _scanners[key] = made = ahocorasick.Automaton()
+        for k, named in filed.items():
+            made.add_word(k, (len(k), named))
+        made.make_automaton()
+    return _scanners[key]
+
+
+def _found(text: str, automaton: ahocorasick.Automaton, how: str) -> list[str]:
+    """The automaton's terms that are in a text (for ``words`` with A-Z in lower case), sorted."""
+    out: set[str] = set()
+    for end, (n, named) in automaton.iter(text):
+        if how == "words":  # an edge is where a word character and another one meet
+            first, after = end - n + 1, end + 1
+            if (first > 0 and text[first - 1] in _WORD) == (text[first] in _WORD) or (after < len(text) and text[after] in _WORD) == (text[end] in _WORD):
+                continue
+        out.update(named)
+    return sorted(out)
+
+
+def _scan(text: Column, terms: DataFrame, how: str) -> Column:
+    """array<string>: those of the terms (at most about ``MAX_BYTES``) that are in ``text``."""
+    context, key = terms.sparkSession.sparkContext, uuid.uuid4().hex
+    sent = context.broadcast([r.term for r in terms.collect()])
+
+    @F.arrow_udf("array<string>")
+    def scan(texts: pa.Array) -> pa.Array:
+        automaton = _automaton(key, sent.value, how)
+        plain = (x if x is None or how == "inside" else x.translate(_LOWER) for x in texts.to_pylist())
+        return pa.array([_found(x, automaton, how) if x and len(automaton) else [] for x in plain], pa.list_(pa.string()))
+
+    return scan(text)
 
 
 def with_terms(docs: DataFrame, text: Column, terms: DataFrame | list[str], name: str, how: str = "inside", column: str = "term") -> DataFrame:
@@ -67,23 +113,11 @@ def with_terms(docs: DataFrame, text: Column, terms: DataFrame | list[str], name
         found = F.filter(F.array(*map(F.lit, sorted(few))).cast("array<string>"), lambda t: _is_in(text, t, how)) if few else none
         return docs.withColumn(name, F.coalesce(F.when(text.isNotNull(), found), none)).drop("_low")
     distinct = terms.select(F.col(column).alias("term")).filter("term is not null and term <> ''").distinct()
-    first_word = F.regexp_extract(F.lower("term"), "^[a-z0-9_]+", 0)
-    if how == "words":
-        anchor, cut, met = F.nullif(first_word, F.lit("")), F.regexp_extract_all(lower, F.lit("[a-z0-9_]+"), F.lit(0)), F.array_distinct("_cut")
-    else:
-        anchor, cut, met = F.when(F.length("term") >= GRAM, F.substring("term", 1, GRAM)), F.filter(F.split(lower, ""), lambda c: c != ""), _grams("_cut")
-    filed = distinct.withColumn("_anchor", anchor)
-    # Terms too short for an anchor, or that begin with other characters, are tried one by one if they are few.
-    loose = short_list(filed.filter("_anchor is null"))
-    index = (filed.na.fill("", ["_anchor"]) if loose is None else filed.filter("_anchor is not null")).select("_anchor", "term")
-    met = F.concat(met, F.array(F.lit(""))) if loose is None else met
-    keyed = docs.withColumn("_text_key", F.md5(text))
-    pieces = keyed.filter("_text_key is not null").select("_text_key", cut.alias("_cut")).select("_text_key", F.explode(met).alias("_anchor")).distinct()
-    candidates = pieces.join(index, "_anchor").groupBy("_text_key").agg(F.collect_set("term").alias("_candidates"))
-    rows = keyed.join(candidates, "_text_key", "left")
-    tried = F.concat(F.coalesce("_candidates", none), F.array(*map(F.lit, loose or [])).cast("array<string>"))
-    found = F.array_sort(F.filter(tried, lambda t: _is_in(text, t, how)))
-    return rows.withColumn(name, F.coalesce(F.when(text.isNotNull(), found), none)).drop("_low", "_text_key", "_candidates")
+    blocks = math.ceil((distinct.agg(F.sum(F.octet_length("term"))).first()[0] or 0) / MAX_BYTES)
+    ship(docs.sparkSession)
+    distinct = written_once(distinct) if blocks > 1 else distinct
+    scanned = [_scan(lower if how == "inside" else text, distinct.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i) if blocks > 1 else distinct, how) for i in range(blocks)]
+    return docs.withColumn(name, F.coalesce(F.array_sort(F.concat(*scanned)), none)).drop("_low")
 
 
 def with_term_count(docs: DataFrame, text: Column, terms: DataFrame | list[str], name: str, how: str = "inside", column: str = "term") -> DataFrame:
