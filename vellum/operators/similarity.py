@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import WORD, overlap_confidence, ranked, strip
+from vellum.operators.postings import most_shared
 from vellum.operators.segment import sentence_chunks
 from vellum.operators.vectors import keyed_matches
 
@@ -137,28 +138,11 @@ def combined_similarity(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     return joined.groupBy("a_id").agg((F.floor(F.max(overall) * 100 + 0.5) / 100).alias("best"))
 
 
-def candidate_pages(chunks: DataFrame, pages: DataFrame, first_chunks: int = 8, query_tokens: int = 12, k: int = 3, frequent: int = 64) -> DataFrame:
+def candidate_pages(chunks: DataFrame, pages: DataFrame, first_chunks: int = 8, query_tokens: int = 12, k: int = 3) -> DataFrame:
     """doc_id, chunk_idx, page_id, hits, place: the k pages that have most of the first tokens of each of a document's first
-    chunks; of equal ones the smaller page_id.
-
-    Tokens of more than ``frequent`` pages don't find pages where they can't change the result: if k pages have more of a
-    chunk's rarer tokens than it has frequent ones, no page without a rarer token comes in, and frequent tokens are looked
-    up for the pages at hand only. The other chunks meet pages on all of their tokens.
-    """
-    chunk = ["doc_id", "chunk_idx"]
-    few = chunks.filter(F.col("chunk_idx") < first_chunks).select(*chunk, F.explode(F.array_distinct(F.slice(tokens(F.col("chunk")), 1, query_tokens))).alias("token"))
-    index = pages.select("page_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    common = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > frequent).select("token", F.lit(True).alias("common"))
-    few = few.join(common, "token", "left").na.fill(False, ["common"])
-    rare = few.filter("not common").join(index, "token").groupBy(*chunk, "page_id").agg(F.count(F.lit(1)).alias("rare"))
-    most = few.groupBy(*chunk).agg(F.count_if("common").alias("others"))
-    least = ranked(rare, chunk, [F.desc("rare")], "nth").filter(F.col("nth") == k).select(*chunk, F.col("rare").alias("least"))
-    sure = most.join(least, chunk).filter("least > others")
-    near = rare.join(sure, chunk).filter("rare + others >= least").select(*chunk, "page_id", "rare")
-    more = near.join(few.filter("common").select(*chunk, "token"), chunk).join(index, ["page_id", "token"]).groupBy(*chunk, "page_id").agg(F.count(F.lit(1)).alias("more"))
-    hits = near.join(more, [*chunk, "page_id"], "left").select(*chunk, "page_id", (F.col("rare") + F.coalesce("more", F.lit(0))).alias("hits"))
-    full = few.join(sure.select(*chunk), chunk, "left_anti").join(index, "token").groupBy(*chunk, "page_id").agg(F.count(F.lit(1)).alias("hits"))
-    return ranked(hits.union(full), chunk, [F.desc("hits"), "page_id"], "place").filter(F.col("place") <= k)
+    chunks; of equal ones the smaller page_id. Counts are exact, whatever the tokens' frequency."""
+    few = chunks.filter(F.col("chunk_idx") < first_chunks).select("doc_id", "chunk_idx", F.slice(tokens(F.col("chunk")), 1, query_tokens).alias("words"))
+    return most_shared(few, pages.select("page_id", tokens(F.col("text")).alias("words")), ["doc_id", "chunk_idx"], k)
 
 
 def page_scores(chunks: DataFrame, pages: DataFrame) -> DataFrame:
