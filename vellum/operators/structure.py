@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.lexicons import ESSENTIAL, JOURNAL, KNOWLEDGE, OPTIONAL_SECTIONS, RECOMMENDED, REQUIRED_SECTIONS, SECTION_HEADERS, SECTION_KEYWORDS, SECTION_SIGNS
-from vellum.functions.text import ascii_rule, cosine, ranked, strip, words
+from vellum.functions.shipping import ship
+from vellum.functions.text import ascii_rule, ranked, strip, words
 from vellum.operators.similarity import tokens
 from vellum.operators.terms import short_list, with_terms
+from vellum.operators.vectors import cosines_with
 from vellum.operators.zones import KEYWORDS, MEASURES, REFERENCE_TITLES, TITLE_NUMBER, is_marginal, single_spaced
 
 MARKDOWN = r"^(#{1,6})\s+(.+)$"
@@ -236,11 +238,12 @@ def statement_scores(chunks: DataFrame, knowledge: list[tuple[str, str]] = KNOWL
     idf = words_of.groupBy("token").agg((F.log((1.0 + len(knowledge)) / (1.0 + F.count(F.lit(1)))) + 1).alias("idf"))
 
     def unit(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        w = df.join(F.broadcast(idf), "token").withColumn("w", F.col("tf") * F.col("idf"))
+        w = df.withColumn("w", F.col("tf") * F.col("idf"))
         return w.select(*keys, "token", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))).alias(name))
 
-    mine = chunks.select("doc_id", "chunk_idx", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "chunk_idx", "token").agg(F.count(F.lit(1)).alias("tf"))
-    both = unit(mine, ["doc_id", "chunk_idx"], "v").join(F.broadcast(unit(words_of, ["kb_idx", "section"], "w")), "token")
+    # Words that no statement has count nowhere, and go before anything is exchanged.
+    mine = chunks.select("doc_id", "chunk_idx", F.explode(tokens(F.col("text"))).alias("token")).join(F.broadcast(idf), "token").groupBy("doc_id", "chunk_idx", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    both = unit(mine, ["doc_id", "chunk_idx"], "v").join(F.broadcast(unit(words_of.join(idf, "token"), ["kb_idx", "section"], "w")), "token")
     return both.groupBy("doc_id", "chunk_idx", "kb_idx", "section").agg(F.sum(F.col("v") * F.col("w")).alias("c"))
 
 
@@ -249,15 +252,18 @@ def vector_statement_scores(chunks: DataFrame, chunk_vectors: DataFrame, stateme
     (kb_idx, embedding), at most one for each; a null vector is none.
 
     Pairs of which both have a vector of one length are compared by it (a vector of length 0 has cosine 0), all others by
-    TF-IDF. Statements are as many as ``knowledge`` has, so their vectors are broadcast.
+    TF-IDF. Statements are as many as ``knowledge`` has, so their vectors are sent with the task, and a chunk meets them in its row.
     """
     key = ["doc_id", "chunk_idx"]
     mine = chunks.select(*key).join(chunk_vectors.filter("embedding is not null").select(*key, F.col("embedding").alias("x")), key)
-    listed = F.array(*[F.struct(F.lit(i).alias("kb_idx"), F.lit(k).alias("section")) for i, (k, _) in enumerate(knowledge)])
-    theirs = statement_vectors.filter("embedding is not null").filter(F.col("kb_idx").between(0, len(knowledge) - 1)).select(F.col("kb_idx").cast("int").alias("kb_idx"), F.col("embedding").alias("y"))
-    pairs = mine.select(*key, "x", F.explode(listed).alias("k")).select(*key, "x", "k.*").join(F.broadcast(theirs), "kb_idx").filter("size(x) = size(y)")
-    dense = pairs.select(*key, "kb_idx", "section", cosine(F.col("x"), F.col("y")).alias("c"))
-    sparse = statement_scores(chunks, knowledge).join(dense.select(*key, "kb_idx"), [*key, "kb_idx"], "left_anti")
+    theirs = statement_vectors.filter("embedding is not null").filter(F.col("kb_idx").between(0, len(knowledge) - 1)).select(F.col("kb_idx").cast("int").alias("kb_idx"), F.col("embedding").alias("y")).collect()
+    named = F.array(*[F.struct(F.lit(r.kb_idx).alias("kb_idx"), F.lit(knowledge[r.kb_idx][0]).alias("section"), F.lit(len(r.y)).alias("d")) for r in theirs]) if theirs else F.expr("cast(array() as array<struct<kb_idx:int,section:string,d:int>>)")
+    cosines = cosines_with([r.y for r in theirs])
+    ship(chunks.sparkSession)
+    pairs = mine.select(*key, F.size("x").alias("d"), F.arrays_zip(named.alias("k"), cosines(F.col("x")).alias("c")).alias("p")).select(*key, "d", F.explode("p").alias("p"))
+    dense = pairs.filter("p.k.d = d").select(*key, "p.k.kb_idx", "p.k.section", "p.c")
+    lengths = F.filter(named, lambda k: (k["kb_idx"] == F.col("kb_idx")) & (k["d"] == F.col("_d")))
+    sparse = statement_scores(chunks, knowledge).join(mine.select(*key, F.size("x").alias("_d")), key, "left").filter(F.size(lengths) == 0).drop("_d")
     return dense.unionByName(sparse)
 
 

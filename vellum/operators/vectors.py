@@ -35,6 +35,29 @@ ROUNDING, ROOM = 1e-4, 1e-6
 BLOCK = "unit int, block int, ids array<long>, n array<long>, x binary"
 
 
+def cosines_with(few: list[list]) -> Callable:
+    """A function of a column of vectors: array<double> of the cosines with each of a few vectors; 0 for a vector of length 0, of another
+    length or with a null."""
+
+    @F.arrow_udf("array<double>")
+    def cosines(vectors: pa.Array) -> pa.Array:
+        out = np.zeros((len(vectors), len(few)))
+        lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        ends = np.cumsum(lengths)
+        whole = np.add.reduceat(np.append(vectors.flatten().is_null().to_numpy(zero_copy_only=False), False).astype(np.int64), ends - lengths) * (lengths > 0) == 0
+        for j, y in enumerate(few):
+            y = np.array(y, np.float64)
+            at = np.flatnonzero((lengths == len(y)) & whole)
+            if len(at) and len(y):
+                x = flat[(ends - lengths)[at][:, None] + np.arange(len(y))]
+                norm = np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum())
+                out[at, j] = np.where(norm == 0, 0.0, (x @ y) / np.where(norm == 0, 1, norm))
+        return pa.array(out.tolist(), pa.list_(pa.float64()))
+
+    return cosines
+
+
 @dataclass(frozen=True)
 class Index:
     """Pivots (a row each) and largest angle of each cell, cells in order of their units and where each unit begins there, number

@@ -61,10 +61,10 @@ SELECT doc_id, coalesce(string_agg(section, ',' ORDER BY i) FILTER (score >= 0.3
 CHUNK_VECTOR, KB_VECTOR = "(doc_id * 5 + chunk_idx) % 500", "kb_idx * 31 % 500"
 
 
-def gap_vectors(spark, folder):
+def gap_vectors(spark, folder, chunks):
     """Vectors of chunks and of statements."""
     v = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
-    mine = said(spark, folder).filter("chunk_idx % 3 <> 1").select("doc_id", "chunk_idx", F.expr(CHUNK_VECTOR).alias("vec_id")).join(v, "vec_id").drop("vec_id")
+    mine = chunks.filter("chunk_idx % 3 <> 1").select("doc_id", "chunk_idx", F.expr(CHUNK_VECTOR).alias("vec_id")).join(v, "vec_id").drop("vec_id")
     kb = spark.range(len(lexicons.KNOWLEDGE)).select(F.col("id").cast("int").alias("kb_idx")).filter("kb_idx % 4 <> 3")
     return mine, kb.withColumn("vec_id", F.expr(KB_VECTOR)).join(v, "vec_id").drop("vec_id")
 
@@ -78,7 +78,7 @@ va AS (SELECT * FROM dense UNION ALL SELECT * FROM sparse s WHERE NOT EXISTS (SE
 vs AS (SELECT doc_id, section, round(max(c), 4) AS score FROM va GROUP BY ALL),
 x AS (SELECT c.doc_id, i, a.section, required, coalesce(score, 0) AS score FROM (SELECT DISTINCT doc_id FROM chunks) c CROSS JOIN {ASKED} LEFT JOIN vs ON vs.doc_id = c.doc_id AND vs.section = a.section)
 SELECT doc_id, coalesce(string_agg(section, ',' ORDER BY i) FILTER (score >= 0.35), '') AS present, coalesce(string_agg(section, ',' ORDER BY i) FILTER (score >= 0.25 AND score < 0.35), '') AS thin, coalesce(string_agg(section, ',' ORDER BY i) FILTER (score < 0.25 AND required), '') AS missing, round(count(*) FILTER (score >= 0.35) / 7, 3) AS coverage FROM x GROUP BY doc_id""",
-)(lambda s, d: structure.gap_report(said(s, d), vectors=gap_vectors(s, d)))
+)(lambda s, d: (lambda c: structure.gap_report(c, vectors=gap_vectors(s, d, c)))(corpus.written_once(said(s, d))))
 SIGNS = ", ".join(f"CASE WHEN {' OR '.join(f"contains(t, '{w}')" for w in ws)} THEN '{k}' END" for k, ws in lexicons.SECTION_SIGNS)
 query(
     "str5_keyword_gaps",
