@@ -1,14 +1,16 @@
 """Which pages share most words with each of many short queries: exact counts, in blocks.
 
-Pages are dealt to blocks with an inverted index each, queries to groups; a group meets each block once, in one task, where
-shared words are counted as sums of rows of small matrices and a query keeps its ``k`` best pages. So what is exchanged is
-the queries once for each block and ``k`` rows of each, never the pairs of a query and a page, which frequent words make
-nearly all pairs. The counting itself is queries x pages.
+Pages are dealt to blocks with an inverted index each; a block comes before its queries in a task, where shared words are
+counted as sums of rows of small matrices and a query keeps its ``k`` best pages. So what is exchanged is the queries once
+for each block and ``k`` rows of each, never the pairs of a query and a page, which frequent words make nearly all pairs.
+Where blocks are few, each is sent to several tasks that share the queries, since an index is far smaller than they are. The
+counting itself is queries x pages.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,11 @@ from vellum.functions.shipping import ship
 from vellum.functions.text import ranked
 from vellum.sources.corpus import written_once
 
-#: Pages of a block, least number of blocks (tasks), queries of a group, pages counted at a time.
-PAGES_EACH, LEAST_BLOCKS, QUERIES_EACH, SLICE = 16_384, 16, 2048, 1024
-BLOCK = "block int, pages array<long>, words binary, starts binary, places binary"
+#: Pairs of a page that one task scores.
+PAIRS_EACH = 20_000
+#: Pages of a block, least number of tasks, queries and pages that are counted at a time.
+PAGES_EACH, LEAST_TASKS, QUERIES_EACH, SLICE = 16_384, 16, 2048, 1024
+BLOCK = "block int, pages array<long>, words array<binary>, starts array<binary>, places array<binary>"
 
 
 def _hashed(words: Column) -> Column:
@@ -31,51 +35,56 @@ def _hashed(words: Column) -> Column:
 
 
 def _blocks(pages: DataFrame, n_blocks: int) -> DataFrame:
-    """A row for each block of pages (page_id, words): page ids, ascending, distinct words, where each word's list begins, places of pages."""
+    """A row for each block of pages (page_id, words): page ids, ascending, and for each slice of them distinct words, where each
+    word's list begins, and places of pages in the slice."""
     rows = pages.groupBy(F.pmod(F.xxhash64("page_id"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("page_id", "words"))).alias("rows"))
+    width = SLICE
 
     def packed(batches):
         for batch in batches:
             for i, rows in enumerate(batch.column(1)):
                 inner = pa.RecordBatch.from_struct_array(rows.values)
-                lengths = inner.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                flat = inner.column(1).flatten().to_numpy(zero_copy_only=False)
-                order = np.argsort(flat, kind="stable")
-                words, starts = np.unique(flat[order], return_index=True)
-                places = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
-                arrays = [pa.array([inner.column(0).to_pylist()], pa.list_(pa.int64()))] + [pa.array([x.tobytes()], pa.binary()) for x in (words.astype(np.int64), np.append(starts, len(flat)).astype(np.int64), places)]
+                slices = []
+                for low in range(0, inner.num_rows, width):
+                    lists = inner.column(1).slice(low, width)
+                    lengths, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+                    order = np.argsort(flat, kind="stable")
+                    words, starts = np.unique(flat[order], return_index=True)
+                    places = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
+                    slices.append((words.astype(np.int64).tobytes(), np.append(starts, len(flat)).astype(np.int64).tobytes(), places.tobytes()))
+                arrays = [pa.array([inner.column(0).to_pylist()], pa.list_(pa.int64())), *[pa.array([list(x)], pa.list_(pa.binary())) for x in zip(*slices, strict=True)]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *arrays], names=["block", "pages", "words", "starts", "places"])
 
     return written_once(rows.mapInArrow(packed, BLOCK))
 
 
-def _best(queries: pa.ListArray, words: np.ndarray, starts: np.ndarray, places: np.ndarray, n_pages: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _best(queries: pa.ListArray, slices: list[tuple], n_pages: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts and places of each query's k best pages of a block, of equal ones the first; a count of 0 is none."""
     lengths = queries.value_lengths().to_numpy(zero_copy_only=False)
     n, most = len(lengths), int(lengths.max(initial=1))
     distinct, which = np.unique(queries.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    at = np.minimum(np.searchsorted(words, distinct), len(words) - 1)
-    known = words[at] == distinct
-    row = np.where(known, np.cumsum(known), 0)  # row 0 has no page
-    at = at[known]
-    sizes = starts[at + 1] - starts[at]
-    rows = np.repeat(np.arange(1, len(at) + 1), sizes)
-    listed = places[np.arange(sizes.sum()) + np.repeat(starts[at] - (np.cumsum(sizes) - sizes), sizes)]
     table = np.zeros((n, most), np.int64)
-    table[np.arange(most) < lengths[:, None]] = row[which]
     keys = []
-    for low in range(0, n_pages, SLICE):
-        width = min(SLICE, n_pages - low)
+    first = 0
+    for words, starts, places in slices:
+        at = np.minimum(np.searchsorted(words, distinct), len(words) - 1)
+        known = words[at] == distinct
+        table[np.arange(most) < lengths[:, None]] = np.where(known, np.cumsum(known), 0)[which]  # row 0 has no page
+        at = at[known]
+        sizes = starts[at + 1] - starts[at]
+        rows = np.repeat(np.arange(1, len(at) + 1, dtype=np.int32), sizes)
+        listed = places[np.arange(sizes.sum()) + np.repeat(starts[at] - (np.cumsum(sizes) - sizes), sizes)]
+        width = min(n_pages - first, int(places.max()) + 1)
         has = np.zeros((len(at) + 1, width), np.uint8 if most < 256 else np.uint32)
-        here = (listed >= low) & (listed < low + width)
-        has[rows[here], listed[here] - low] = 1
+        has[rows, listed] = 1
         count = has[table[:, 0]]
         for j in range(1, most):
             count += has[table[:, j]]
         for _ in range(min(k, width)):
             best = count.argmax(1)
-            keys.append(count[np.arange(n), best].astype(np.int64) * n_pages + (n_pages - 1 - low - best))
+            keys.append(count[np.arange(n), best].astype(np.int64) * n_pages + (n_pages - 1 - first - best))
             count[np.arange(n), best] = 0
+        first += width
     top = -np.sort(-np.stack(keys, 1), 1)[:, :k]
     return top // n_pages, n_pages - 1 - top % n_pages
 
@@ -85,27 +94,88 @@ def most_shared(queries: DataFrame, pages: DataFrame, keys: list[str], k: int) -
     ship(queries.sparkSession)
     asked = written_once(queries.select(*keys, _hashed(F.col("words")).alias("words")).filter(F.size("words") > 0))
     filed = written_once(pages.select(F.col("page_id").cast("long").alias("page_id"), _hashed(F.col("words")).alias("words")).filter(F.size("words") > 0))
-    n_groups = max(1, math.ceil(asked.count() / QUERIES_EACH))
     n_pages = filed.count()
-    n_blocks = max(1, min(n_pages, LEAST_BLOCKS), math.ceil(n_pages / PAGES_EACH))
-    groups = asked.groupBy(F.pmod(F.xxhash64(*keys), F.lit(n_groups)).alias("g")).agg(F.collect_list(F.struct(*keys, "words")).alias("rows"))
-    wide = groups.select("rows", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    met = wide.join(_blocks(filed, n_blocks).hint("shuffle_hash"), "block").select("rows", "pages", "words", "starts", "places")
+    n_blocks = max(1, math.ceil(n_pages / PAGES_EACH))
+    n_shares = math.ceil(LEAST_TASKS / n_blocks)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     fields = [asked.schema[c] for c in keys]
+    none = lambda kept: [F.lit(None).cast(f.dataType).alias(f.name) for f in kept]
+    blocks = _blocks(filed, n_blocks)
+    wide = asked.select(each(n_blocks).alias("block"), F.pmod(F.xxhash64(*keys), F.lit(n_shares)).cast("int").alias("share"), F.lit(1).alias("kind"), *keys, F.col("words").alias("asked"), *none(blocks.schema[1:]))
+    first = blocks.withColumn("asked", F.lit(None).cast("array<long>")).select("block", each(n_shares).alias("share"), F.lit(0).alias("kind"), *none(fields), "asked", *blocks.columns[1:])
+    met = wide.unionByName(first).repartition("block", "share").sortWithinPartitions("block", "share", "kind").drop("share")
     names, types = [*keys, "page_id", "hits"], [*[to_arrow_type(f.dataType) for f in fields], pa.int64(), pa.int64()]
 
     def counted(batches):
+        block = ids = slices = None
         for batch in batches:
-            for rows, page_ids, *packed in zip(*batch.columns, strict=True):
-                inner = pa.RecordBatch.from_struct_array(rows.values)
-                ids = page_ids.values.to_numpy(zero_copy_only=False)
-                arrays = [np.frombuffer(x.as_py(), t) for x, t in zip(packed, (np.int64, np.int64, np.int32), strict=True)]
-                for low in range(0, inner.num_rows, QUERIES_EACH):
-                    part = inner.slice(low, QUERIES_EACH)
-                    hits, at = _best(part.column(len(keys)), *arrays, len(ids), k)
+            of, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.append(np.flatnonzero(np.diff(of) | (kinds[1:] == 0)) + 1, len(of))
+            low = 0
+            while low < len(of):
+                if kinds[low] == 0:
+                    block, (page_ids, *packed) = of[low], [c[low] for c in batch.columns[-4:]]
+                    ids = page_ids.values.to_numpy(zero_copy_only=False)
+                    slices = [tuple(np.frombuffer(x, t) for x, t in zip(one, (np.int64, np.int64, np.int32), strict=True)) for one in zip(*[x.as_py() for x in packed], strict=True)]
+                    low += 1
+                    continue
+                high = min(low + QUERIES_EACH, ends[np.searchsorted(ends, low, "right")])
+                if of[low] == block:  # otherwise no page is in the block
+                    part = batch.slice(low, high - low)
+                    hits, at = _best(part.column(2 + len(keys)), slices, len(ids), k)
                     i, j = np.nonzero(hits)
-                    columns = [part.column(c).take(pa.array(i)) for c in range(len(keys))] + [pa.array(ids[at[i, j]]), pa.array(hits[i, j])]
+                    columns = [part.column(2 + c).take(pa.array(i)) for c in range(len(keys))] + [pa.array(ids[at[i, j]]), pa.array(hits[i, j])]
                     yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names=names)
+                low = high
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", page_id long, hits long"
     return ranked(met.mapInArrow(counted, schema), keys, [F.desc("hits"), "page_id"], "place").filter(F.col("place") <= k)
+
+
+def _counted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct words, ascending, their counts, and the sum of the counts' squares."""
+    distinct, counts = np.unique(words, return_counts=True)
+    return distinct, counts, int((counts * counts).sum())
+
+
+def shared_squares(pairs: DataFrame, pages: DataFrame, keys: list[str], words: Callable[[Column], Column]) -> DataFrame:
+    """keys, page_id, text, dot, sa, sb, na, nb of pairs (keys, page_id, text) of a text and one of the pages (page_id, text).
+
+    With counts a of the text's and b of the page's words, dot is the sum of a * b, sa and sb are those of a * a and b * b over
+    shared words, na and nb those over all. Texts and pages are exchanged as they are and meet in order: a page comes before its
+    pairs, and its words are counted once. A page of many pairs is sent to several tasks.
+    """
+    ship(pairs.sparkSession)
+    paired = pairs.groupBy("page_id").agg(F.ceil(F.count(F.lit(1)) / PAIRS_EACH).cast("int").alias("n"))
+    share = F.pmod(F.xxhash64(*keys), F.col("n")).cast("int").alias("share")
+    fields = [pairs.schema[c] for c in keys]
+    theirs = pages.join(paired, "page_id").select("page_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("share"), F.lit(0).alias("kind"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields], "text")
+    mine = pairs.join(paired, "page_id").select("page_id", share, F.lit(1).alias("kind"), *keys, "text")
+    met = theirs.unionByName(mine).repartition("page_id", "share").sortWithinPartitions("page_id", "share", "kind")
+    met = met.select("kind", *keys, "page_id", "text", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    sums = ["dot", "sa", "sb", "na", "nb"]
+
+    def squares(batches):
+        page = of = None
+        for batch in batches:
+            kinds, ids, lists = batch.column(0).to_numpy(), batch.column(1 + len(keys)).to_numpy(), batch.column(batch.num_columns - 1)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            out, kept = [], []
+            for i, (kind, end) in enumerate(zip(kinds, ends, strict=True)):
+                here = _counted(flat[ends[i - 1] if i else 0 : end])
+                if kind == 0:
+                    page, of = here, ids[i]
+                    continue
+                if ids[i] != of:  # no such page
+                    continue
+                at = np.minimum(np.searchsorted(page[0], here[0]), max(0, len(page[0]) - 1))
+                shared = page[0][at] == here[0] if len(page[0]) else np.zeros(len(here[0]), bool)
+                a, b = here[1][shared], page[1][at[shared]] if len(page[0]) else here[1][:0]
+                out.append((int((a * b).sum()), int((a * a).sum()), int((b * b).sum()), here[2], page[2]))
+                kept.append(i)
+            rows = batch.take(pa.array(kept, pa.int64()))
+            columns = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] or [pa.array([], pa.int64())] * len(sums)
+            yield pa.RecordBatch.from_arrays([*rows.columns[1:-1], *columns], names=[*keys, "page_id", "text", *sums])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*fields, pairs.schema["page_id"]]) + ", text string, " + ", ".join(f"{x} long" for x in sums)
+    return met.mapInArrow(squares, schema)

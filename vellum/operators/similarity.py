@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import WORD, overlap_confidence, ranked, strip
-from vellum.operators.postings import most_shared
+from vellum.operators.postings import most_shared, shared_squares
 from vellum.operators.segment import sentence_chunks
 from vellum.operators.vectors import keyed_matches
+from vellum.sources.corpus import written_once
 
 THRESHOLD = 0.75
 #: More than rounding to four digits can add to a similarity.
@@ -146,31 +147,26 @@ def candidate_pages(chunks: DataFrame, pages: DataFrame, first_chunks: int = 8,
 
 
 def page_scores(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, chunk_idx, page_id, similarity of each chunk and its candidate pages: cosine of TF-IDF fitted on the two texts.
+    """doc_id, chunk_idx, page_id, text (the chunk), similarity of each chunk and its candidate pages: cosine of TF-IDF fitted on the two texts.
 
-    Chunks and pages are counted once each, whatever they meet: with two texts the idf of shared tokens is 1 and that of
-    others a constant, so a pair needs its shared tokens and both squares, which are sums of a text alone.
+    With two texts the idf of shared tokens is 1 and that of others a constant, so a pair needs sums over its shared tokens and
+    over each text alone. They are counted where a chunk's text meets its page: tokens aren't exchanged.
     """
     unit = ["doc_id", "chunk_idx"]
-    candidates = candidate_pages(chunks, pages).select(*unit, "page_id")
-    counted = lambda df, keys, text: df.select(*keys, F.explode(tokens(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
-    square = lambda df, keys, name: df.groupBy(*keys).agg(F.sum(F.col("tf") * F.col("tf")).alias(name))
-    mine = counted(chunks.join(candidates.select(*unit).distinct(), unit, "left_semi"), unit, "chunk")
-    theirs = counted(pages, ["page_id"], "text")
-    shared = candidates.join(mine.withColumnRenamed("tf", "a"), unit).join(theirs.withColumnRenamed("tf", "b"), ["page_id", "token"])
-    sums = shared.groupBy(*unit, "page_id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") * F.col("a")).alias("sa"), F.sum(F.col("b") * F.col("b")).alias("sb"))
-    sums = sums.join(square(mine, unit, "na"), unit).join(square(theirs, ["page_id"], "nb"), "page_id")
+    candidates = written_once(candidate_pages(chunks, pages).select(*unit, "page_id"))
+    pairs = candidates.join(chunks.select(*unit, F.col("chunk").alias("text")), unit)
+    sums = shared_squares(pairs, pages.select(F.col("page_id").cast("long").alias("page_id"), "text"), unit, tokens)
     alone = F.pow(F.log(F.lit(1.5)) + 1, F.lit(2.0))
     length = lambda whole, part: F.sqrt(F.col(part) + alone * (F.col(whole) - F.col(part)))
     score = F.round(F.col("dot") / (length("na", "sa") * length("nb", "sb")) * 100, 2) / 100
-    return candidates.join(sums.select(*unit, "page_id", score.alias("similarity")), [*unit, "page_id"], "left").na.fill(0.0, ["similarity"])
+    return sums.select(*unit, "page_id", "text", score.alias("similarity"))
 
 
 def web_matches(chunks: DataFrame, pages: DataFrame, threshold: float = 0.72) -> DataFrame:
     """doc_id, chunk_idx, page_id, url, similarity, percent, preview (150 characters of the chunk) of pairs that reach the threshold."""
-    shown = F.concat(F.substring("chunk", 1, 150), F.when(F.length("chunk") > 150, "...").otherwise(""))
-    hits = page_scores(chunks, pages).filter(F.col("similarity") >= threshold)
-    hits = hits.join(chunks.select("doc_id", "chunk_idx", shown.alias("preview")), ["doc_id", "chunk_idx"]).join(pages.select("page_id", "url"), "page_id")
+    shown = F.concat(F.substring("text", 1, 150), F.when(F.length("text") > 150, "...").otherwise(""))
+    hits = page_scores(chunks, pages).filter(F.col("similarity") >= threshold).withColumn("preview", shown).drop("text")
+    hits = hits.join(pages.select("page_id", "url"), "page_id")
     return hits.select("doc_id", "chunk_idx", "page_id", "url", "similarity", F.round(F.col("similarity") * 100, 2).alias("percent"), "preview")
 
 
