@@ -257,3 +257,19 @@ def test_runs_of_odd_rows(spark, odd):
     assert periodic_runs.report(df.limit(0)).collect() == []
     found = periodic_runs.find_runs(df.filter("doc_id = 100")).first()
     assert [tuple(r) for r in found.runs] == [(0, 40, 2)] and found.collapsed == "a b" and found.start == "clash"
+
+
+def test_likeness_lanes_are_added_in_short_lanes_and_lengths_computed_once(spark):
+    """More sentences than a short lane holds, exactly as many, and none give the plain sums (op3)."""
+    from pyspark.sql import functions as F
+
+    from vellum.llm import fingerprints as fp
+
+    texts = [None, "", "one", *[" ".join(f"s{i % 50}." for i in range(n)) for n in (30, 31, 32, 62, 63, 400)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = F.transform(fp.sentences(F.col("text")), lambda u: F.array(*[F.xxhash64(F.lit("likeness"), F.lit(j), u) for j in range(fp.HASHES)]))
+    for r in df.select("doc_id", hashes.alias("h"), fp.fingerprint(F.col("text")).alias("f")).collect():
+        one = sum(1 << fp.LANE_BITS * i for i in range(fp.LANES_EACH))
+        plain = [sum((h[j] % (1 << 64) >> i) & one for h in r.h) & fp.M60 for j in range(fp.HASHES) for i in range(fp.LANE_BITS)]
+        assert r.f[fp.AT - 1 :] == [len(r.h), *plain]
+    assert "edited_norm#" in fp.report(df)._jdf.queryExecution().optimizedPlan().toString()

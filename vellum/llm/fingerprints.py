@@ -27,7 +27,9 @@ LANES_EACH = 4
 PACKED = HASHES * LANE_BITS
 M60 = (1 << 60) - 1
 LANE_MASK = (1 << LANE_BITS) - 1
-ONE_BIT = sum(1 << LANE_BITS * i for i in range(LANES_EACH))
+#: Short lanes, of which a full one is a whole number, and the sentences that they hold.
+SHORT_BITS = 5
+SHORT_EACH = (1 << SHORT_BITS) - 1
 SENTENCE_END = r"\n+|(?<=[.!?])\s+"
 ROWS_EACH = 1500
 MOST_BUCKETS = 2048
@@ -48,12 +50,29 @@ def _sum(units: Column, vector, width: int) -> Column:
     return F.aggregate(units, zero, lambda acc, u: F.zip_with(acc, F.array(F.lit(1).cast("long"), *vector(u)), lambda a, b: (a + b).bitwiseAND(F.lit(M60))))
 
 
+def _bound(x: Column, make) -> Column:
+    """``make`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(x), make), 1)
+
+
+def _packed(hashes: Column) -> Column:
+    """Packed sums modulo 2^60 of each sentence's hash bits: first of up to ``SHORT_EACH`` sentences in short lanes of
+    ``SHORT_BITS``, three times as many to an integer, whose sums are then added as lanes of full width."""
+    short = sum(1 << i for i in range(0, LANES_EACH * LANE_BITS, SHORT_BITS))
+    wide = sum(SHORT_EACH << LANE_BITS * i for i in range(LANES_EACH))
+    zero = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    bits = lambda h: F.array(*[F.shiftrightunsigned(h[j], i).bitwiseAND(F.lit(short)) for j in range(HASHES) for i in range(SHORT_BITS)])
+    some = lambda b: F.aggregate(F.slice(hashes, b * SHORT_EACH + 1, SHORT_EACH), zero(HASHES * SHORT_BITS), lambda acc, h: F.zip_with(acc, bits(h), lambda x, y: x + y))
+    full = lambda s: F.array(*[F.shiftrightunsigned(s[j * SHORT_BITS + i % SHORT_BITS], i - i % SHORT_BITS).bitwiseAND(F.lit(wide)) for j in range(HASHES) for i in range(LANE_BITS)])
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(hashes) / SHORT_EACH).cast("int") - 1)), some)
+    return F.aggregate(blocks, zero(PACKED), lambda acc, s: F.zip_with(acc, full(s), lambda x, y: (x + y).bitwiseAND(F.lit(M60))))
+
+
 def fingerprint(text: Column) -> Column:
     """array<bigint>: paragraphs, identity lanes, sentences, packed likeness lanes."""
     identity = _sum(paragraphs(text), lambda u: [F.xxhash64(F.lit(seed), u).bitwiseAND(F.lit(M60)) for seed in range(IDENTITY_LANES)], IDENTITY_LANES)
     bits = F.transform(sentences(text), lambda u: F.array(*[F.xxhash64(F.lit("likeness"), F.lit(j), u) for j in range(HASHES)]))
-    likeness = _sum(bits, lambda h: [F.shiftrightunsigned(h[j], i).bitwiseAND(F.lit(ONE_BIT)) for j in range(HASHES) for i in range(LANE_BITS)], PACKED)
-    return F.concat(identity, likeness)
+    return F.concat(identity, _bound(bits, lambda hashes: F.concat(F.array(F.size(hashes).cast("long")), _packed(hashes))))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -66,33 +85,46 @@ def as_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """1 - |a - b|^2 / (|a|^2 + |b|^2) of the likeness lanes as sums of signs, from 0 to 1; 1 for equal fingerprints.
+AT = IDENTITY_LANES + 2
 
-    For multisets without repeated sentences that is 1 - (size of the difference) / (size of both); squares of both kinds
-    grow alike where sentences repeat.
-    """
-    at = IDENTITY_LANES + 1
-    count = lambda x: F.element_at(x, at + 1)
+
+def _square(packed: Column, n: Column) -> Column:
+    """Sum of the squares of packed lanes as sums of signs: twice the sum of bits less the number of sentences, modulo 2^15."""
     half = 1 << LANE_BITS - 1
-    lanes = lambda v: [F.shiftrightunsigned(v, LANE_BITS * i).bitwiseAND(F.lit(LANE_MASK)) for i in range(LANES_EACH)]
 
-    def square(twice: Column, n: Column) -> Column:
-        """Square of a lane as a sum of signs: twice the sum of bits less the number of sentences."""
-        d = F.pmod(twice - n + half, F.lit(2 * half)) - half
-        return d.cast("double") * d
+    def added(gap: Column) -> Column:
+        signs = lambda x: F.array(*[(F.shiftrightunsigned(x, LANE_BITS * i) * 2 + gap).bitwiseAND(F.lit(LANE_MASK)) - half for i in range(LANES_EACH)])
+        return F.aggregate(packed, F.lit(0).cast("long"), lambda acc, x: F.aggregate(signs(x), acc, lambda total, d: total + d * d))
+
+    return _bound(half - n, added).cast("double")
+
 
-    added = lambda parts: F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
-    packed = lambda x: F.slice(x, at + 2, PACKED)
-    gap = added(F.zip_with(packed(a), packed(b), lambda x, y: sum((square(2 * (i - j), count(a) - count(b)) for i, j in zip(lanes(x), lanes(y), strict=True)), F.lit(0.0))))
-    norm = lambda fp: added(F.transform(packed(fp), lambda x: sum((square(2 * i, count(fp)) for i in lanes(x)), F.lit(0.0))))
-    both = norm(a) + norm(b)
-    return F.when(a == b, 1.0).when(both == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(gap, both)))
+def norm(fp: Column) -> Column:
+    """Squared length of a fingerprint's likeness lanes as sums of signs."""
+    return _square(F.slice(fp, AT + 1, PACKED), F.element_at(fp, AT))
+
+
+def _gap(a: Column, b: Column) -> Column:
+    """Squared distance of two fingerprints' likeness lanes, subtracted one by one, so that no lane borrows from another."""
+    half = 1 << LANE_BITS - 1
+    lane = lambda x, y, i, gap: ((F.shiftrightunsigned(x, LANE_BITS * i) - F.shiftrightunsigned(y, LANE_BITS * i)) * 2 + gap).bitwiseAND(F.lit(LANE_MASK)) - half
+    squares = lambda gap: F.zip_with(F.slice(a, AT + 1, PACKED), F.slice(b, AT + 1, PACKED), lambda x, y: F.aggregate(F.array(*[lane(x, y, i, gap) for i in range(LANES_EACH)]), F.lit(0).cast("long"), lambda total, d: total + d * d))
+    return _bound(half - (F.element_at(a, AT) - F.element_at(b, AT)), lambda gap: F.aggregate(squares(gap), F.lit(0).cast("long"), lambda total, d: total + d)).cast("double")
+
+
+def likeness(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """1 - |a - b|^2 / (|a|^2 + |b|^2) of the likeness lanes as sums of signs, from 0 to 1; 1 for equal fingerprints.
+
+    For multisets without repeated sentences that is 1 - (size of the difference) / (size of both); squares of both kinds
+    grow alike where sentences repeat. Norms that are columns already aren't computed again.
+    """
+    both = (norm(a) if norm_a is None else norm_a) + (norm(b) if norm_b is None else norm_b)
+    return F.when(a == b, 1.0).when(both == 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.try_divide(_gap(a, b), both)))
 
 
 def with_next(docs: DataFrame, columns: list[str], made: dict[str, Column] | None = None) -> DataFrame:
     """Add next_<column>: the value in the next document, ascending doc_id (after the last: the first). Columns that are
-    ``made`` from others are added after the exchange, so they don't go through it.
+    ``made`` from others are added after the exchange, in order, so they don't go through it.
 
     Documents are dealt to ranges of doc_id of about equal size; the first row of each range is also put at
     the end of the range before, so one exchange and a window within ranges are enough. A null doc_id is the
@@ -110,7 +142,9 @@ def with_next(docs: DataFrame, columns: list[str], made: dict[str, Column] | Non
     earlier = F.element_at(F.array(*[F.lit(before.get(b, 0)) for b in range(len(bounds) + 1)]), bucket + 1)
     place = lambda b, late: F.struct(b.cast("int").alias("_bucket"), F.lit(late).alias("_late"))
     rows = docs.select("*", F.explode(F.when(is_first, F.array(place(bucket, False), place(earlier, True))).otherwise(F.array(place(bucket, False)))).alias("_place")).select("*", "_place.*").drop("_place")
-    rows = rows.repartition("_bucket").withColumns(made or {})
+    rows = rows.repartition("_bucket")
+    for name, column in (made or {}).items():
+        rows = rows.withColumn(name, column)
     order = Window.partitionBy("_bucket").orderBy("_late", key, "text")
     return rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).filter(~F.col("_late")).drop("_bucket", "_late")
 
@@ -121,12 +155,12 @@ def report(docs: DataFrame) -> DataFrame:
     A null text is empty. The edited text has its last half replaced by as much of the next document's start.
     """
     docs = as_documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(docs, ["text", "fp"], {"fp": fingerprint(F.col("text"))})
+    docs = with_next(docs, ["text", "fp", "norm"], {"fp": fingerprint(F.col("text")), "norm": norm(F.col("fp"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    docs = docs.withColumn("edited_fp", fingerprint(F.col("edited")))
+    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", "norm", "next_norm", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    docs = docs.withColumn("edited_fp", fingerprint(F.col("edited"))).withColumn("edited_norm", norm(F.col("edited_fp")))
     return docs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(*map(F.col, ("fp", "edited_fp", "norm", "edited_norm"))).alias("near_edited"), likeness(*map(F.col, ("fp", "next_fp", "norm", "next_norm"))).alias("near_next"),
     )
