@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -252,3 +253,52 @@ def test_page_scores_exchange_texts_and_not_tokens(spark, monkeypatch):
     urls = {(r.doc_id, r.chunk_idx, r.page_id): (r.url, r.preview) for r in similarity.web_matches(chunk_rows, page_rows, 0.2).collect()}
     texts = {(d, c): " ".join(w) for d, c, w in chunks}
     assert urls == {k: (f"u{k[2]}", texts[k[:2]][:150] + ("..." if len(texts[k[:2]]) > 150 else "")) for k, v in got.items() if v >= 0.2}
+
+
+# Chunks and sources
+
+
+similarity_words = re.compile(r"\w\w+")
+
+
+def brute_matches(chunks, sources, threshold):
+    """(doc, chunk, source, similarity) by counting; rows of one key are one unit, but each counts as a unit."""
+    words = lambda t: similarity_words.findall((t or "").lower())
+    units = {}
+    for key, text in [(("c", d, i), t) for d, i, t in chunks] + [(("s", s), t) for s, t in sources]:
+        units.setdefault(key, Counter()).update(words(text))
+    n, df = len(chunks) + len(sources), Counter(w for u in units.values() for w in u)
+    vectors_of = {k: {w: c * (math.log((1 + n) / (1 + df[w])) + 1) for w, c in u.items()} for k, u in units.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = []
+    for a, x in vectors_of.items():
+        for b, y in vectors_of.items():
+            if a[0] == "c" and b[0] == "s" and None not in a and set(x) & set(y):
+                cosine = sum(x[w] * y[w] for w in x if w in y) / norm(x) / norm(y)
+                if math.floor(cosine * 1e4 + 0.5) / 1e4 >= threshold:
+                    out.append((a[1], a[2], b[1], math.floor(cosine * 1e4 + 0.5) / 1e4))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("held", "threshold"), [(1 << 16, 0.35), (5, 0.35), (5, 0.75)])
+def test_chunks_stream_past_sources(spark, monkeypatch, held, threshold):
+    """Words that tasks don't hold, keys that come twice, empty and null texts, slices of few sources and words."""
+    monkeypatch.setattr(similarity, "WORDS_HELD", held)
+    monkeypatch.setattr(postings, "WIDTH", 7)
+    monkeypatch.setattr(postings, "COLUMNS", 3)
+    monkeypatch.setattr(postings, "SOURCES_EACH", 16)
+    rnd = random.Random(3)
+    text = lambda n: " ".join(f"w{min(int(rnd.expovariate(0.08)), 90)}" for _ in range(n))
+    sources = [(s, text(rnd.randint(1, 12))) for s in range(40)] + [(98, ""), (99, None)]
+    chunks = [(d, i, rnd.choice([text(rnd.randint(1, 15)), f"{rnd.choice(sources[:40])[1]} {text(2)}"])) for d in range(60) for i in range(3)]
+    chunks += [(7, 1, "w1 w2 w3"), (None, 0, sources[0][1]), (61, 0, ""), (62, 0, "w1 " * 5000 + sources[3][1])]
+    found = similarity.chunk_matches(spark.createDataFrame(chunks, "doc_id long, chunk_idx int, chunk string"), spark.createDataFrame(sources, "source_id long, text string"), threshold)
+    want = brute_matches(chunks, sources, threshold)
+    assert len(want) > 50
+    assert rows(found, "doc_id", "chunk_idx", "source", "similarity") == sorted(want, key=repr)
+
+
+def test_rows_of_queries_hold_no_null_arrays(spark):
+    """Arrow's writer passes over all null arrays of a batch again for each of its rows."""
+    block = spark.createDataFrame([], postings.WEIGHTED)
+    assert all(v == [] for v in spark.range(1).select(*postings._empty(block)).first())

@@ -26,6 +26,9 @@ from vellum.sources.corpus import written_once
 PAIRS_EACH = 20_000
 #: Pages of a block, least number of tasks, queries and pages that are counted at a time.
 PAGES_EACH, LEAST_TASKS, QUERIES_EACH, SLICE = 16_384, 16, 2048, 1024
+#: Words whose frequencies a task holds, queries of a task, sources of a block and of a slice, words of a product.
+WORDS_HELD, QUERIES_A_TASK, SOURCES_EACH, WIDTH, COLUMNS = 1 << 16, 50_000, 4096, 512, 4096
+WEIGHTED = "block int, sources array<long>, words array<binary>, starts array<binary>, places array<binary>, weights array<binary>, leads array<binary>"
 BLOCK = "block int, pages array<long>, words array<binary>, starts array<binary>, places array<binary>"
 
 
@@ -34,6 +37,12 @@ def _hashed(words: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
+def _empty(blocks: DataFrame) -> list[Column]:
+    """Empty arrays for the fields of a block in the rows of queries. A null array would be costly: Arrow's writer passes over all
+    null rows of a batch again for each of its rows."""
+    return [F.array().cast(f.dataType).alias(f.name) for f in blocks.schema[1:]]
+
+
 def _blocks(pages: DataFrame, n_blocks: int) -> DataFrame:
     """A row for each block of pages (page_id, words): page ids, ascending, and for each slice of them distinct words, where each
     word's list begins, and places of pages in the slice."""
@@ -101,7 +110,7 @@ def most_shared(queries: DataFrame, pages: DataFrame, keys: list[str], k: int) -
     fields = [asked.schema[c] for c in keys]
     none = lambda kept: [F.lit(None).cast(f.dataType).alias(f.name) for f in kept]
     blocks = _blocks(filed, n_blocks)
-    wide = asked.select(each(n_blocks).alias("block"), F.pmod(F.xxhash64(*keys), F.lit(n_shares)).cast("int").alias("share"), F.lit(1).alias("kind"), *keys, F.col("words").alias("asked"), *none(blocks.schema[1:]))
+    wide = asked.select(each(n_blocks).alias("block"), F.pmod(F.xxhash64(*keys), F.lit(n_shares)).cast("int").alias("share"), F.lit(1).alias("kind"), *keys, F.col("words").alias("asked"), *_empty(blocks))
     first = blocks.withColumn("asked", F.lit(None).cast("array<long>")).select("block", each(n_shares).alias("share"), F.lit(0).alias("kind"), *none(fields), "asked", *blocks.columns[1:])
     met = wide.unionByName(first).repartition("block", "share").sortWithinPartitions("block", "share", "kind").drop("share")
     names, types = [*keys, "page_id", "hits"], [*[to_arrow_type(f.dataType) for f in fields], pa.int64(), pa.int64()]
@@ -179,3 +188,132 @@ def shared_squares(pairs: DataFrame, pages: DataFrame, keys: list[str], words: C
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*fields, pairs.schema["page_id"]]) + ", text string, " + ", ".join(f"{x} long" for x in sums)
     return met.mapInArrow(squares, schema)
+
+
+def _weighted_blocks(weights: DataFrame, n_blocks: int) -> DataFrame:
+    """A row for each block of sources (source, word, weight, leads): source ids, and for each slice of them distinct words, where
+    each word's list begins, places of sources in the slice, their weights, and whether a word leads a source."""
+    rows = weights.groupBy("source").agg(F.collect_list(F.struct("word", "weight", "leads")).alias("list"))
+    rows = rows.groupBy(F.pmod(F.xxhash64("source"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("source", "list")).alias("rows"))
+    width = WIDTH
+
+    def packed(batches):
+        for batch in batches:
+            for i, rows in enumerate(batch.column(1)):
+                inner = pa.RecordBatch.from_struct_array(rows.values)
+                slices = []
+                for low in range(0, inner.num_rows, width):
+                    lists = inner.column(1).slice(low, width)
+                    lengths, flat = lists.value_lengths().to_numpy(zero_copy_only=False), pa.RecordBatch.from_struct_array(lists.flatten())
+                    word, weight, leads = (flat.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+                    order = np.argsort(word, kind="stable")
+                    words, starts = np.unique(word[order], return_index=True)
+                    places = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
+                    slices.append((words.tobytes(), np.append(starts, len(word)).astype(np.int64).tobytes(), places.tobytes(), weight[order].tobytes(), np.logical_or.reduceat(leads[order], starts).tobytes()))
+                arrays = [pa.array([inner.column(0).to_pylist()], pa.list_(pa.int64())), *[pa.array([list(x)], pa.list_(pa.binary())) for x in zip(*slices, strict=True)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *arrays], names=["block", "sources", "words", "starts", "places", "weights", "leads"])
+
+    return written_once(rows.mapInArrow(packed, WEIGHTED))
+
+
+def _products(queries: pa.ListArray, slices: list[tuple], held: np.ndarray, idf: np.ndarray, floor: float, least: float) -> tuple:
+    """Rows and places of what can reach ``least``, products, the rows' squares over held words; and for all rows, row and count
+    of each word that isn't held, with the word."""
+    lengths = queries.value_lengths().to_numpy(zero_copy_only=False)
+    n = len(lengths)
+    distinct, which = np.unique(queries.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    pairs, tf = np.unique(np.repeat(np.arange(n), lengths) * len(distinct) + which, return_counts=True)
+    row, word = np.divmod(pairs, max(1, len(distinct)))
+    at = np.minimum(np.searchsorted(held, distinct), max(0, len(held) - 1))
+    known = held[at] == distinct if len(held) else np.zeros(len(distinct), bool)
+    squares = (tf * np.where(known, idf[at], floor)[word] if len(held) else tf * floor) ** 2.0
+    exact = np.bincount(row, squares * known[word], n)
+    bound = (least - 1e-4) * np.sqrt(np.bincount(row, squares, n))
+    rows, places, products, first = [], [], [], 0
+    for words, starts, listed, weights, leads in slices:
+        at = np.minimum(np.searchsorted(words, distinct), len(words) - 1)
+        here = words[at] == distinct
+        width = int(listed.max()) + 1
+        keyed = np.repeat(np.arange(len(words)), np.diff(starts)) * width + listed
+        led = np.zeros(n, bool)
+        led[row[(here & leads[at])[word]]] = True
+        use = np.flatnonzero(here[word] & led[row])
+        if len(use):
+            met, begin, counts = np.unique(row[use], return_index=True, return_counts=True)
+            of = np.repeat(np.arange(len(met)), counts)
+            column = (np.cumsum(here) - 1)[word[use]]
+            dots = np.zeros((len(met), width), np.float32)
+            for low in range(0, here.sum(), COLUMNS):
+                part = at[here][low : low + COLUMNS]
+                sizes = starts[part + 1] - starts[part]
+                flat = np.arange(sizes.sum()) + np.repeat(starts[part] - (np.cumsum(sizes) - sizes), sizes)
+                table = np.zeros((len(part), width), np.float32)
+                table[np.repeat(np.arange(len(part)), sizes), listed[flat]] = weights[flat]
+                mine = (column >= low) & (column < low + len(part))
+                times = np.zeros((len(met), len(part)), np.float32)
+                times[of[mine], column[mine] - low] = tf[use][mine]
+                dots += times @ table
+            # Sums of few digits screen, with room for what each of their steps rounds; what is left is summed in full.
+            room = 1 - 1e-5 - 1e-7 * counts
+            i, j = np.nonzero((dots > 0) & (dots >= (bound[met] * room)[:, None]))
+            sizes = counts[i]
+            entry = use[np.arange(sizes.sum()) + np.repeat(begin[i] - (np.cumsum(sizes) - sizes), sizes)]
+            key = at[word[entry]] * width + np.repeat(j, sizes)
+            spot = np.minimum(np.searchsorted(keyed, key), len(keyed) - 1)
+            full = np.bincount(np.repeat(np.arange(len(i)), sizes), np.where(keyed[spot] == key, weights[spot], 0.0) * tf[entry], len(i))
+            good = full >= bound[met[i]]
+            rows.append(met[i][good])
+            places.append(first + j[good])
+            products.append(full[good])
+        first += width
+    none = np.zeros(0, np.int64)
+    other = ~known[word]
+    hit = np.concatenate([none, *rows])
+    return hit, np.concatenate([none, *places]), np.concatenate([none.astype(np.float64), *products]), exact[hit], row[other], distinct[word[other]], tf[other]
+
+
+def weighted_matches(queries: DataFrame, weights: DataFrame, frequent: list[tuple[int, float]], floor: float, least: float, keys: list[str], n_queries: int) -> DataFrame:
+    """keys, source, dot, square, rest (word, n) of all pairs of a query and a source whose cosine can reach ``least``.
+
+    ``queries`` has (keys, words array<long>, repeated ones too), ``weights`` (source, word, weight, leads): a word's weight in the
+    source, whose vector has length 1, times its idf. ``frequent`` are words with their idf; all others have one of ``floor`` or
+    more. ``square`` is the query's sum of squares over frequent words, ``rest`` its other words with counts; without them the
+    cosine is dot / sqrt(square). A query that has no word that leads a source isn't multiplied. Queries are exchanged once for each
+    block of sources.
+    """
+    ship(queries.sparkSession)
+    n_blocks = max(1, math.ceil(weights.select("source").distinct().count() / SOURCES_EACH))
+    n_shares = max(64, math.ceil(n_queries / QUERIES_A_TASK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    fields = [queries.schema[c] for c in keys]
+    none = lambda kept: [F.lit(None).cast(f.dataType).alias(f.name) for f in kept]
+    blocks = _weighted_blocks(weights, n_blocks)
+    wide = queries.select(each(n_blocks).alias("block"), F.pmod(F.xxhash64(*keys), F.lit(n_shares)).cast("int").alias("share"), F.lit(1).alias("kind"), *keys, F.col("words").alias("asked"), *_empty(blocks))
+    first = blocks.withColumn("asked", F.lit(None).cast("array<long>")).select("block", each(n_shares).alias("share"), F.lit(0).alias("kind"), *none(fields), "asked", *blocks.columns[1:])
+    met = wide.unionByName(first).repartition("block", "share").sortWithinPartitions("block", "share", "kind").drop("share")
+    held, idf = (np.array([r[c] for r in sorted(frequent)], t) for c, t in ((0, np.int64), (1, np.float64)))
+
+    def multiplied(batches):
+        block = ids = slices = None
+        for batch in batches:
+            of, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.append(np.flatnonzero(np.diff(of) | (kinds[1:] == 0)) + 1, len(of))
+            low = 0
+            while low < len(of):
+                if kinds[low] == 0:
+                    block, (source_ids, *packed) = of[low], [c[low] for c in batch.columns[-6:]]
+                    ids = source_ids.values.to_numpy(zero_copy_only=False)
+                    slices = [tuple(np.frombuffer(x, t) for x, t in zip(one, (np.int64, np.int64, np.int32, np.float64, bool), strict=True)) for one in zip(*[x.as_py() for x in packed], strict=True)]
+                    low += 1
+                    continue
+                high = min(low + QUERIES_EACH, ends[np.searchsorted(ends, low, "right")])
+                if of[low] == block:  # otherwise no source is in the block
+                    part = batch.slice(low, high - low)
+                    i, at, dot, square, row, word, n = _products(part.column(2 + len(keys)), slices, held, idf, floor, least)
+                    begin, end = np.searchsorted(row, i), np.searchsorted(row, i, "right")
+                    rest = pa.array([[{"word": w, "n": c} for w, c in zip(word[b:e].tolist(), n[b:e].tolist(), strict=True)] for b, e in zip(begin, end, strict=True)], pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))
+                    yield pa.RecordBatch.from_arrays([*[part.column(2 + c).take(pa.array(i)) for c in range(len(keys))], pa.array(ids[at], pa.int64()), pa.array(dot), pa.array(square), rest], names=[*keys, "source", "dot", "square", "rest"])
+                low = high
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", source long, dot double, square double, rest array<struct<word:long,n:long>>"
+    return met.mapInArrow(multiplied, schema)

@@ -27,8 +27,9 @@ def explode_sentences(docs: DataFrame, mode: str = "punct") -> DataFrame:
 
 def sentence_chunks(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, chunk_idx, chunk: each k sentences (mode ``period``) joined by a space, without an exchange."""
-    docs = docs.select("doc_id", sentences(F.col("text"), "period").alias("s")).filter(F.size("s") > 0)
-    chunks = F.transform(F.sequence(F.lit(1), F.size("s"), F.lit(k)), lambda i: F.array_join(F.slice("s", i, k), " "))
+    docs = docs.select("doc_id", sentences(F.col("text"), "period").alias("s"))
+    # A filter on the size would be pushed below and cut each text to sentences again.
+    chunks = F.when(F.size("s") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size("s"), F.lit(1)), F.lit(k)), lambda i: F.array_join(F.slice("s", i, k), " ")))
     return docs.select("doc_id", F.posexplode(chunks).alias("chunk_idx", "chunk"))
 
 

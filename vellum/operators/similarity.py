@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import WORD, overlap_confidence, ranked, strip
-from vellum.operators.postings import most_shared, shared_squares
+from vellum.operators.postings import WORDS_HELD, most_shared, shared_squares, weighted_matches
 from vellum.operators.segment import sentence_chunks
 from vellum.operators.vectors import keyed_matches
 from vellum.sources.corpus import written_once
@@ -33,38 +35,53 @@ def tfidf_vectors(units: DataFrame, keys: list[str]) -> DataFrame:
     return weights.join(norms, keys).select(*keys, "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def match_chunks(chunks: DataFrame, sources: DataFrame, threshold: float | None = THRESHOLD, fitted: DataFrame | None = None) -> DataFrame:
-    """doc_id, chunk_idx, source, similarity (4 digits), percent, preview of pairs that reach the threshold.
+def chunk_matches(chunks: DataFrame, sources: DataFrame, threshold: float | None = THRESHOLD, fitted: DataFrame | None = None) -> DataFrame:
+    """doc_id, chunk_idx, source, similarity (4 digits), percent of pairs that reach the threshold.
 
-    A unit's tokens are ordered from the rarest on. If two units reach the threshold, the first token that they
-    share begins, in both, a rest whose norm reaches it too (the product of two rests bounds what they share from
-    there on). So units meet on such leading tokens alone, frequent words almost never, and the pairs that meet get
-    their whole product. A threshold of 0 or None means the default. Weights are fitted on chunks and sources, or on the
-    table ``fitted`` (text), so that they don't depend on which chunks come together.
+    Texts are cut to tokens once; tokens aren't exchanged, but for their frequencies, which are counted before the exchange. Chunks
+    stream past blocks of sources and are multiplied with them in tasks. A source's tokens are ordered from the rarest on: if a
+    chunk reaches the threshold with it, the first token that both have begins, in the source, a rest whose norm reaches it too (the product
+    of two rests bounds what they share from there on). Chunks without such a leading token of a source aren't multiplied. Tasks
+    hold the frequencies of the most frequent tokens alone; others have at least the weight of the last of these, which bounds
+    a chunk's length, and chunks that can reach the threshold get their exact length. A threshold of 0 or None means
+    the default. Weights are fitted on chunks and sources, or on the table ``fitted`` (text), so that they don't depend on which
+    chunks come together.
     """
     threshold = threshold or THRESHOLD
     none = F.lit(None).cast("long")
-    units = chunks.select(F.col("doc_id").cast("long").alias("a"), F.col("chunk_idx").cast("long").alias("b"), none.alias("s"), F.col("chunk").alias("text")).unionByName(
-        sources.select(none.alias("a"), none.alias("b"), F.col("source_id").cast("long").alias("s"), F.col("text").alias("text"))
+    hashed = lambda text: F.coalesce(F.transform(tokens(F.col(text)), lambda w: F.xxhash64(w)), F.array().cast("array<long>"))
+    units = chunks.select(F.col("doc_id").cast("long").alias("a"), F.col("chunk_idx").cast("long").alias("b"), none.alias("s"), hashed("chunk").alias("words")).unionByName(
+        sources.select(none.alias("a"), none.alias("b"), F.col("source_id").cast("long").alias("s"), hashed("text").alias("words"))
     )
-    counts = units.select("a", "b", "s", F.explode(tokens(F.col("text"))).alias("token")).groupBy("a", "b", "s", "token").agg(F.count(F.lit(1)).alias("tf"))
-    if fitted is None:
-        n, df = units.count(), counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    else:
-        n, df = fitted.count(), fitted.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weights = counts.join(df, "token", "inner" if fitted is None else "left").na.fill(0, ["df"])
-    weights = weights.select("a", "b", "s", "token", "df", (F.col("tf") * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("w"))
-    unit = Window.partitionBy("a", "b", "s")
+    units = written_once(units)
+    n_units = units.count()
+    if units.groupBy("a", "b", "s").count().filter("count > 1").head(1):  # rows of one key are one unit
+        units = written_once(units.groupBy("a", "b", "s").agg(F.flatten(F.collect_list("words")).alias("words")))
+    n, fit = (n_units, units) if fitted is None else (fitted.count(), fitted.select(hashed("text").alias("words")))
+    df = written_once(fit.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    idf = F.log((1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1
+    held = df.orderBy(F.desc("df"), "word").limit(WORDS_HELD).select("word", "df", idf.alias("idf")).collect()
+    floor = held[-1].idf if len(held) == WORDS_HELD else math.log(1.0 + n) + 1
+
+    counts = units.filter("s is not null").select(F.col("s").alias("source"), F.explode("words").alias("word")).groupBy("source", "word").agg(F.count(F.lit(1)).alias("tf"))
+    weights = counts.join(df, "word", "left").withColumn("idf", idf).withColumn("w", F.col("tf") * F.col("idf"))
+    unit = Window.partitionBy("source")
     squares = lambda w: F.sum(F.col("w") * F.col("w")).over(w)
-    rest = squares(unit.orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing))
-    weights = weights.select("a", "b", "s", "token", (F.col("w") / F.sqrt(squares(unit))).alias("w"), F.sqrt(rest / squares(unit)).alias("rest"))
-    left, right = weights.filter("s is null").drop("s"), weights.filter("s is not null").select(F.col("s").alias("source"), "token", F.col("w").alias("v"), "rest")
-    leads = F.col("rest") >= threshold - ROUNDING
-    pairs = left.filter(leads).select("a", "b", "token").join(right.filter(leads).select("source", "token"), "token").select("a", "b", "source").distinct()
-    dots = pairs.join(left.drop("rest"), ["a", "b"]).join(right.drop("rest"), ["source", "token"]).groupBy("a", "b", "source").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    near = dots.withColumn("similarity", F.round("dot", 4)).filter(F.col("similarity") >= threshold)
-    near = near.select(F.col("a").alias("doc_id"), F.col("b").alias("chunk_idx"), "source", "similarity", F.round(F.col("similarity") * 100, 2).alias("percent"))
+    rest = squares(unit.orderBy(F.desc("idf"), "word").rowsBetween(0, Window.unboundedFollowing))
+    weights = written_once(weights.select("source", "word", (F.col("w") * F.col("idf") / F.sqrt(squares(unit))).alias("weight"), (F.sqrt(rest / squares(unit)) >= threshold - ROUNDING).alias("leads")))
+    found = weighted_matches(units.filter("a is not null and b is not null").select("a", "b", "words"), weights, [(r.word, r.idf) for r in held], floor, threshold, ["a", "b"], n_units)
+    found = written_once(found)
+    others = found.filter(F.size("rest") > 0).groupBy("a", "b").agg(F.first("rest").alias("rest")).select("a", "b", F.explode("rest").alias("r"))
+    others = others.select("a", "b", F.col("r.word").alias("word"), F.col("r.n").alias("tf")).join(df, "word", "left").groupBy("a", "b").agg(F.sum(F.pow(F.col("tf") * idf, F.lit(2.0))).alias("more"))
+    exact = F.col("dot") / F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))
+    near = found.select("a", "b", "source", "dot", "square").join(others, ["a", "b"], "left").withColumn("similarity", F.round(exact, 4)).filter(F.col("similarity") >= threshold)
+    return near.select(F.col("a").alias("doc_id"), F.col("b").alias("chunk_idx"), "source", "similarity", F.round(F.col("similarity") * 100, 2).alias("percent"))
+
+
+def match_chunks(chunks: DataFrame, sources: DataFrame, threshold: float | None = THRESHOLD, fitted: DataFrame | None = None) -> DataFrame:
+    """``chunk_matches`` and a preview of the chunk."""
     shown = F.when(F.length("chunk") > 100, F.concat(F.substring("chunk", 1, 100), F.lit("..."))).otherwise(F.col("chunk"))
+    near = written_once(chunk_matches(chunks, sources, threshold, fitted))
     return near.join(chunks.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), shown.alias("preview")), ["doc_id", "chunk_idx"])
 
 
@@ -109,7 +126,7 @@ def plagiarism_report(chunks: DataFrame, matches: DataFrame, threshold: float =
 def batch_check(docs: DataFrame, sources: DataFrame, threshold: float = THRESHOLD, fitted: DataFrame | None = None) -> DataFrame:
     """The whole corpus against a table of sources (source_id, text): two-sentence chunks, matches, report."""
     chunks = sentence_chunks(docs.filter(F.trim("text") != ""), 2)
-    return plagiarism_report(chunks, match_chunks(chunks, sources, threshold, fitted), threshold)
+    return plagiarism_report(chunks, chunk_matches(chunks, sources, threshold, fitted), threshold)
 
 
 def similar_sentences(a: DataFrame, b: DataFrame, threshold: float = 0.7) -> DataFrame:
