@@ -302,3 +302,22 @@ def test_rows_of_queries_hold_no_null_arrays(spark):
     """Arrow's writer passes over all null arrays of a batch again for each of its rows."""
     block = spark.createDataFrame([], postings.WEIGHTED)
     assert all(v == [] for v in spark.range(1).select(*postings._empty(block)).first())
+
+
+def test_pairs_are_scored_in_their_rows(spark):
+    """No token is exchanged; rows of one pair are one pair, and texts without tokens have no row or 0."""
+    pairs = [(1, "the cat sat on the mat", 1, "the dog sat"), (2, "", 1, "the dog"), (3, None, 2, "!"), (4, "aa bb aa", 1, "aa bb aa"), (5, "xx yy", 1, "zz"), (6, "one two", 3, "two three"), (6, "one six", 3, "two")]
+    table = spark.createDataFrame(pairs, "a_id long, a_text string, b_id long, b_text string")
+    want = {}
+    merged = {}
+    for a, x, b, y in pairs:
+        for side, text in enumerate((x, y)):
+            merged.setdefault((a, b), (Counter(), Counter()))[side].update(similarity_words.findall((text or "").lower()))
+    for key, (x, y) in merged.items():
+        idf = lambda w: 1.0 if w in x and w in y else math.log(1.5) + 1  # noqa: B023, E731
+        norm = lambda c: math.sqrt(sum((n * idf(w)) ** 2 for w, n in c.items()))  # noqa: B023, E731
+        if x or y:
+            want[key] = round(sum(x[w] * y[w] for w in x) / norm(x) / norm(y) * 100, 2) if x and y else 0.0
+    assert {(r.a_id, r.b_id): r.score for r in similarity.pair_tfidf(table).collect()} == want
+    once = similarity.pair_tfidf(table.filter("a_id < 6"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()

@@ -28,6 +28,8 @@ PAIRS_EACH = 20_000
 PAGES_EACH, LEAST_TASKS, QUERIES_EACH, SLICE = 16_384, 16, 2048, 1024
 #: Words whose frequencies a task holds, queries of a task, sources of a block and of a slice, words of a product.
 WORDS_HELD, QUERIES_A_TASK, SOURCES_EACH, WIDTH, COLUMNS = 1 << 16, 50_000, 4096, 512, 4096
+#: Pairs of a row that are counted at a time.
+ROWS_COUNTED = 512
 WEIGHTED = "block int, sources array<long>, words array<binary>, starts array<binary>, places array<binary>, weights array<binary>, leads array<binary>"
 BLOCK = "block int, pages array<long>, words array<binary>, starts array<binary>, places array<binary>"
 
@@ -190,6 +192,34 @@ def shared_squares(pairs: DataFrame, pages: DataFrame, keys: list[str], words: C
     return met.mapInArrow(squares, schema)
 
 
+def row_squares(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, dot, sa, sb, na, nb, as ``shared_squares`` has them, of the words a and b (array<long>) of each row, without an exchange."""
+    ship(pairs.sparkSession)
+    fields = [pairs.schema[c] for c in keys]
+    sums = ["dot", "sa", "sb", "na", "nb"]
+
+    def squares(batches):
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS_COUNTED):
+                batch = whole.slice(low, ROWS_COUNTED)
+                n = batch.num_rows
+                lists = [batch.column(len(keys) + c) for c in (0, 1)]
+                owner = [np.repeat(np.arange(n), x.value_lengths().to_numpy(zero_copy_only=False)) for x in lists]
+                flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+                distinct, which = np.unique(np.concatenate(flat), return_inverse=True)
+                key = np.concatenate(owner) * max(1, len(distinct)) + which
+                met, at = np.unique(key, return_inverse=True)
+                row, split = met // max(1, len(distinct)), len(flat[0])
+                a, b = np.bincount(at[:split], minlength=len(met)).astype(np.float64), np.bincount(at[split:], minlength=len(met)).astype(np.float64)
+                both = (a > 0) & (b > 0)
+                # Sums of whole numbers: exact in doubles up to 2^53.
+                out = [np.bincount(row, x, n).astype(np.int64) for x in (a * b, a * a * both, b * b * both, a * a, b * b)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *map(pa.array, out)], names=[*keys, *sums])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", " + ", ".join(f"{x} long" for x in sums)
+    return pairs.mapInArrow(squares, schema)
+
+
 def _weighted_blocks(weights: DataFrame, n_blocks: int) -> DataFrame:
     """A row for each block of sources (source, word, weight, leads): source ids, and for each slice of them distinct words, where
     each word's list begins, places of sources in the slice, their weights, and whether a word leads a source."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import WORD, overlap_confidence, ranked, strip
-from vellum.operators.postings import WORDS_HELD, most_shared, shared_squares, weighted_matches
+from vellum.operators.postings import WORDS_HELD, most_shared, row_squares, shared_squares, weighted_matches
 from vellum.operators.segment import sentence_chunks
 from vellum.operators.vectors import keyed_matches
 from vellum.sources.corpus import written_once
@@ -139,14 +139,17 @@ def pair_tfidf(pairs: DataFrame) -> DataFrame:
     """a_id, b_id, score: cosine of TF-IDF fitted on the two texts of each pair alone, times 100.
 
     ``pairs`` has (a_id, a_text, b_id, b_text). With two texts the idf is 1 for shared tokens and
-    ln(3/2) + 1 for others, so each pair needs only its own tokens.
+    ln(3/2) + 1 for others, so a pair needs sums over its own tokens alone, which are counted in its row: tokens aren't
+    exchanged. A pair in which neither text has a token has no row.
     """
-    side = lambda k: pairs.select("a_id", "b_id", F.explode(tokens(F.col(f"{k}_text"))).alias("token")).groupBy("a_id", "b_id", "token").agg(F.count(F.lit(1)).alias(f"t{k}"))
-    both = side("a").join(side("b"), ["a_id", "b_id", "token"], "full").na.fill(0)
-    idf = F.when((F.col("ta") > 0) & (F.col("tb") > 0), 1.0).otherwise(F.log(F.lit(1.5)) + 1)
-    x, y = F.col("ta") * idf, F.col("tb") * idf
-    sums = both.groupBy("a_id", "b_id").agg(F.sum(x * y).alias("dot"), F.sqrt(F.sum(x * x)).alias("na"), F.sqrt(F.sum(y * y)).alias("nb"))
-    return sums.select("a_id", "b_id", F.when((F.col("na") > 0) & (F.col("nb") > 0), F.round(F.col("dot") / (F.col("na") * F.col("nb")) * 100, 2)).otherwise(0.0).alias("score"))
+    hashed = lambda text: F.coalesce(F.transform(tokens(F.col(text)), lambda w: F.xxhash64(w)), F.array().cast("array<long>"))
+    rows = pairs.select("a_id", "b_id", hashed("a_text").alias("a"), hashed("b_text").alias("b"))
+    if pairs.groupBy("a_id", "b_id").count().filter("count > 1").head(1):  # rows of one pair are one
+        rows = rows.groupBy("a_id", "b_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("a", "b")])
+    sums = row_squares(rows, ["a_id", "b_id"])
+    alone = F.pow(F.log(F.lit(1.5)) + 1, F.lit(2.0))
+    na, nb = (F.sqrt(F.col(part) + alone * (F.col(whole) - F.col(part))) for whole, part in (("na", "sa"), ("nb", "sb")))
+    return sums.filter("na + nb > 0").select("a_id", "b_id", F.when((F.col("na") > 0) & (F.col("nb") > 0), F.round(F.col("dot") / (na * nb) * 100, 2)).otherwise(0.0).alias("score"))
 
 
 def combined_similarity(lexical: DataFrame, semantic: DataFrame) -> DataFrame:

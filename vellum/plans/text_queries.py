@@ -203,7 +203,7 @@ query("sim5_pair_tfidf", f"WITH {pair_sql(PAIRS)} SELECT * FROM pair_scores")(la
 query(
     "sim6_combined_similarity",
     f"""WITH {pair_sql(TRIPLES)} SELECT a_id, floor(max((score + coalesce(nullif(CASE WHEN a_id % 3 = 1 THEN NULL WHEN a_id % 3 = 2 THEN 0 ELSE (a_id + b_id) % 100 END, 0), score)) / 2) * 100 + 0.5) / 100 AS best FROM pair_scores GROUP BY a_id""",
-)(lambda s, d: (lambda lex: similarity.combined_similarity(lex, lex.filter("a_id % 3 <> 1").select("a_id", "b_id", F.when(F.col("a_id") % 3 == 2, 0.0).otherwise(((F.col("a_id") + F.col("b_id")) % 100).cast("double")).alias("score"))))(similarity.pair_tfidf(triples(s, d))))
+)(lambda s, d: (lambda lex: similarity.combined_similarity(lex, lex.filter("a_id % 3 <> 1").select("a_id", "b_id", F.when(F.col("a_id") % 3 == 2, 0.0).otherwise(((F.col("a_id") + F.col("b_id")) % 100).cast("double")).alias("score"))))(corpus.written_once(similarity.pair_tfidf(triples(s, d)))))
 
 
 def embedded(spark, folder):
