@@ -10,8 +10,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions import lexicons
+from vellum.functions import text as text_functions
 from vellum.functions.text import overlap_confidence
-from vellum.operators import layout, operations, postings, similarity, vectors
+from vellum.operators import language, layout, operations, postings, similarity, vectors, zones
 
 
 def rows(df, *columns):
@@ -321,3 +323,18 @@ def test_pairs_are_scored_in_their_rows(spark):
     assert {(r.a_id, r.b_id): r.score for r in similarity.pair_tfidf(table).collect()} == want
     once = similarity.pair_tfidf(table.filter("a_id < 6"))
     assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ascii_boundaries_look_to_one_side():
+    """Beside plain words a boundary is one look to the other side, with the same matches."""
+    patterns = [p for _, p, _ in lexicons.GRAMMAR_RULES] + [
+        zones.MARGIN_PLACES, zones.QUESTION, *zones.MARGIN_STARTS, language.TONE_CONTRACTION, language.TONE_FIRST_PERSON, r"(?i)\bwe\b", r"\b20\d{2}\b", r"\bi?we\b|\b", r"\b(?:i |we)\b", r"\s\b", r"\bw*e", r"\bet al\.?\b", r"\b(?:19|20)\d{2}\b",
+    ]
+    rnd = random.Random(5)
+    pieces = ["i", "we", "We", "us", "my", "é", "_", "'", " ", " ", ".", "20", "2019", "et al", "usa", "inc", "who", "article", "your going", "their are", "-", "\n"]
+    for pattern in patterns:
+        plain, fast = re.compile(pattern.replace(r"\b", text_functions.ASCII_EDGE), re.ASCII), re.compile(text_functions.ascii_rule(pattern), re.ASCII)
+        for _ in range(300):
+            text = "".join(rnd.choice(pieces) for _ in range(12))
+            assert [m.span() for m in plain.finditer(text)] == [m.span() for m in fast.finditer(text)], (pattern, text)
+    assert text_functions.ASCII_EDGE not in text_functions.ascii_rule(zones.MARGIN_PLACES) + text_functions.ascii_rule(language.TONE_FIRST_PERSON)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,18 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 ASCII_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+NO_WORD_BEFORE, NO_WORD_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: What matches word characters only, at its begin or its end: a letter, a class of them, or a group of plain words.
+_PLAIN_WORDS = r"\((?:\?:)?[A-Za-z0-9_]+(?: +[A-Za-z0-9_]+)*(?:\|[A-Za-z0-9_]+(?: +[A-Za-z0-9_]+)*)*\)"
+_WORD_FOLLOWS = re.compile(rf"\\b(?=(?:[A-Za-z0-9_]|\\[wd]|{_PLAIN_WORDS})(?![?*{{]))")
+_WORD_PRECEDES = re.compile(rf"((?<!\\)[A-Za-z0-9_]|\\[wd]\+?|{_PLAIN_WORDS})\\b")
+
+
 def ascii_rule(pattern: str) -> str:
-    """A pattern whose word boundaries are ASCII, whatever the regular-expression engine's default."""
+    """A pattern whose word boundaries are ASCII, whatever the regular-expression engine's default. Beside what matches word
+    characters only, a boundary is one look to the other side."""
+    if not re.match(r"\(\?[a-z]*[uU]", pattern):  # otherwise letters match letters of other scripts
+        pattern = _WORD_PRECEDES.sub(lambda m: m[1] + NO_WORD_AFTER, _WORD_FOLLOWS.sub(lambda m: NO_WORD_BEFORE, pattern))
     return pattern.replace(r"\b", ASCII_EDGE)
 
 

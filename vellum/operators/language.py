@@ -102,11 +102,14 @@ def basic_enhancements(docs: DataFrame) -> DataFrame:
     out = out.withColumn("c1", F.when(F.col("t").rlike(punct), "punctuation")).withColumn("t", F.regexp_replace("t", punct, "$1"))
     raised = F.transform(F.regexp_extract_all("t", F.lit(r"[.!?]\s+[a-z]"), F.lit(0)), lambda m: F.concat(F.substring(m, 1, 1), F.lit(" "), F.upper(F.substring(m, -1, 1))))
     out = out.withColumn("t", F.array_join(F.zip_with(F.split("t", r"[.!?]\s+[a-z]", -1), raised, lambda gap, r: F.concat(gap, F.coalesce(r, F.lit("")))), ""))
-    for pattern, new in ((rf"(?i)\byour\s+({YOUR_VERBS})\b", "you're $1"), (r"(?i)\btheir\s+(is|are|was|were)\b", "there $1"), (r"(?i)\bits\s+(is|are|was|were|has|have|had)\b", "it's $1")):
-        out = out.withColumn("t", F.regexp_replace("t", ascii_rule(pattern), new))
+    # A text without the word isn't searched by its rule.
+    has = lambda word: F.lower("t").contains(word)
+    mended = lambda word, pattern, new: F.when(has(word), F.regexp_replace("t", pattern, new)).otherwise(F.col("t"))
+    for word, pattern, new in (("your", rf"(?i)\byour\s+({YOUR_VERBS})\b", "you're $1"), ("their", r"(?i)\btheir\s+(is|are|was|were)\b", "there $1"), ("its", r"(?i)\bits\s+(is|are|was|were|has|have|had)\b", "it's $1")):
+        out = out.withColumn("t", mended(word, ascii_rule(pattern), new))
     for i, (wrong, right) in enumerate(SPELLINGS, 2):
         pattern = ascii_rule(rf"(?i)\b{wrong}\b")
-        out = out.withColumn(f"c{i}", F.when(F.col("t").rlike(pattern) & (F.regexp_replace("t", pattern, right) != F.col("t")), wrong)).withColumn("t", F.regexp_replace("t", pattern, right))
+        out = out.withColumn(f"c{i}", F.when(has(wrong) & F.col("t").rlike(pattern) & (F.regexp_replace("t", pattern, right) != F.col("t")), wrong)).withColumn("t", mended(wrong, pattern, right))
     return out.select("doc_id", F.col("t").alias("text"), F.concat_ws(",", *[f"c{i}" for i in range(2 + len(SPELLINGS))]).alias("changes"))
 
 

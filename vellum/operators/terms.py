@@ -8,6 +8,7 @@ are dealt by hash to several automata that are scanned one after the other.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from functools import reduce
 
@@ -123,7 +124,10 @@ def with_terms(docs: DataFrame, text: Column, terms: DataFrame | list[str], name
 def with_term_count(docs: DataFrame, text: Column, terms: DataFrame | list[str], name: str, how: str = "inside", column: str = "term") -> DataFrame:
     """Add ``name``: how many distinct terms are in ``text`` (see ``with_terms``). A list given in code is tried by fixed patterns."""
     if not isinstance(terms, DataFrame):
-        lower = F.lower(text)
-        hit = (lambda t: lower.contains(t)) if how == "inside" else (lambda t: text.rlike(ascii_rule(rf"(?i)\b{t}\b")))
-        return docs.withColumn(name, reduce(lambda acc, t: acc + F.coalesce(hit(t), F.lit(False)).cast("int"), terms, F.lit(0)))
+        docs = docs.withColumn("_low", F.lower(text))  # a column, so that it isn't made again for each term
+        lower = F.col("_low")
+        whole = lambda t: text.rlike(ascii_rule(rf"(?i)\b{t}\b"))
+        # A text without a plain term isn't searched by its pattern.
+        hit = (lambda t: lower.contains(t)) if how == "inside" else (lambda t: lower.contains(t.lower()) & whole(t) if re.fullmatch(r"[A-Za-z0-9_' ]+", t) else whole(t))
+        return docs.withColumn(name, reduce(lambda acc, t: acc + F.coalesce(hit(t), F.lit(False)).cast("int"), terms, F.lit(0))).drop("_low")
     return with_terms(docs, text, terms, name, how, column).withColumn(name, F.size(name))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,16 +68,20 @@ def toc_units(lines: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> D
     return out.select(*keys, "n_lines", "n_toc", "has_heading", (enough & (F.col("n_toc") / F.col("n_lines") >= F.when(F.col("has_heading"), 0.40).otherwise(0.55))).alias("is_toc"))
 
 
-def is_marginal(line: Column) -> Column:
-    """The text of a line tells metadata: addresses, dates of receipt, institutions, journals with a year, numbers only."""
-    v = single_spaced(line)
-    low = F.lower(v)
-    found = low.rlike(ascii_rule(MARGIN_PLACES)) & (F.size(words(v)) <= 14)
-    for w in MARGIN_WORDS:
-        found = found | low.contains(w)
+def is_marginal(line: Column, spaced: Column | None = None, lower: Column | None = None) -> Column:
+    """The text of a line tells metadata: addresses, dates of receipt, institutions, journals with a year, numbers only.
+
+    ``spaced`` and ``lower`` are columns that hold the line with single spaces and that in lower case, so that they aren't made again
+    for each rule. A line without any word of a rule isn't searched by it.
+    """
+    v = single_spaced(line) if spaced is None else spaced
+    low = F.lower(v) if lower is None else lower
+    found = reduce(lambda a, b: a | b, [low.contains(w) for w in MARGIN_WORDS]) | v.rlike(MARGIN_ONLY)
     for p in MARGIN_STARTS:
         found = found | low.rlike(ascii_rule(p))
-    return (v != "") & (found | (low.rlike(ascii_rule(r"\bjournal\b")) & low.rlike(ascii_rule(r"\b20\d{2}\b"))) | v.rlike(MARGIN_ONLY))
+    places = reduce(lambda a, b: a | b, [low.contains(w) for w in MARGIN_PLACES.split("(")[1].split(")")[0].split("|")])
+    found = found | (places & low.rlike(ascii_rule(MARGIN_PLACES)) & (F.size(words(v)) <= 14))
+    return (v != "") & (found | (low.contains("journal") & low.rlike(ascii_rule(r"\bjournal\b")) & low.rlike(ascii_rule(r"\b20\d{2}\b"))))
 
 
 def line_zones(lines: DataFrame) -> DataFrame:
@@ -89,7 +95,9 @@ def line_zones(lines: DataFrame) -> DataFrame:
     footer = yes(F.col("bottom") >= F.col("page_height") * 0.93) | strip(F.col("line")).rlike(r"(?i)^(?:page\s*)?\d{1,4}$")
     middle = (F.col("x0") + F.col("x1")) / 2 / F.col("page_width")
     sidebar = yes(((F.col("x1") - F.col("x0")) / F.col("page_width") <= 0.26) & ((middle <= 0.18) | (middle >= 0.82)))
-    return lines.select("doc_id", "line_no", F.when(header, "header").when(footer, "footer").when(is_marginal(F.col("line")), "marginalia").when(sidebar, "sidebar").otherwise("main_body").alias("zone"))
+    lines = lines.withColumn("_spaced", single_spaced(F.col("line"))).withColumn("_low", F.lower("_spaced"))
+    marginal = is_marginal(F.col("line"), F.col("_spaced"), F.col("_low"))
+    return lines.select("doc_id", "line_no", F.when(header, "header").when(footer, "footer").when(marginal, "marginalia").when(sidebar, "sidebar").otherwise("main_body").alias("zone"))
 
 
 ZONES = ("header", "footer", "marginalia", "sidebar", "main_body")
@@ -101,8 +109,9 @@ def zone_counts(zones: DataFrame) -> DataFrame:
 
 
 def _block_kind(modal: Column) -> Column:
-    text, size = strip(F.col("text")), F.col("font_size")
-    n, chars = F.size(words(text)), F.length(text)
+    """The type of a block with the columns _s (its text, stripped) and _n (number of words)."""
+    text, size = F.col("_s"), F.col("font_size")
+    n, chars = F.col("_n"), F.length(text)
     heading = (size > modal + 1.5) | ((n <= 10) & (chars <= 80) & text.rlike(NUMBERED_HEADING)) | (F.col("is_bold") & n.between(2, 8))
     return (
         F.when(chars < 3, "unknown").when((chars < 80) & (n < 15) & text.rlike(r"\d+\s*$"), "running_header").when((F.col("page") == 1) & (size > 16), "title_page").when(heading, "heading")
@@ -116,17 +125,18 @@ def typed_blocks(blocks: DataFrame, usual: float = 12.0) -> DataFrame:
     Blocks are first told apart with the usual font size, then with the document's own: the most frequent rounded size of
     its paragraphs (of equals the one that comes first), or the mean of all sizes outside title pages.
     """
+    blocks = blocks.withColumn("_s", strip(F.col("text"))).withColumn("_n", F.size(words(F.col("_s"))))
     first = blocks.withColumn("kind", _block_kind(F.lit(usual)))
     sized = first.filter("font_size > 0")
     counts = sized.filter("kind = 'paragraph'").groupBy("doc_id", F.bround("font_size").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.min("block_idx").alias("at"))
     modal = counts.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("at")).alias("at"), "size")).alias("m")).select("doc_id", F.col("m.size").alias("modal"))
     mean = sized.filter("kind <> 'title_page'").groupBy("doc_id").agg(F.avg("font_size").alias("mean"))
     rows = blocks.join(modal, "doc_id", "left").join(mean, "doc_id", "left").withColumn("modal", F.coalesce("modal", "mean", F.lit(usual)))
-    text, size = strip(F.col("text")), F.col("font_size")
+    text, size = F.col("_s"), F.col("font_size")
     number = F.when(text.rlike(r"^\d+\.\d"), 2).when(text.rlike(r"^\d"), 1)
     level = F.coalesce(number, F.when(size >= F.col("modal") + 3, 1).when(size >= F.col("modal") + 1, 2).otherwise(3))
-    kind = _block_kind(F.col("modal"))
-    return rows.select("doc_id", "block_idx", kind.alias("type"), F.when(kind == "heading", level).alias("level"))
+    rows = rows.withColumn("type", _block_kind(F.col("modal")))
+    return rows.select("doc_id", "block_idx", "type", F.when(F.col("type") == "heading", level).alias("level"))
 
 
 def merge_paragraphs(blocks: DataFrame) -> DataFrame:
