@@ -338,3 +338,11 @@ def test_ascii_boundaries_look_to_one_side():
             text = "".join(rnd.choice(pieces) for _ in range(12))
             assert [m.span() for m in plain.finditer(text)] == [m.span() for m in fast.finditer(text)], (pattern, text)
     assert text_functions.ASCII_EDGE not in text_functions.ascii_rule(zones.MARGIN_PLACES) + text_functions.ascii_rule(language.TONE_FIRST_PERSON)
+
+
+def test_typed_blocks_are_stripped_once(spark):
+    """What three steps read is written once; long texts have more words than rules ask for."""
+    blocks = spark.createDataFrame([(1, 0, " A word " * 9, 10.0, True, 2), (1, 1, "one two three four five six seven eight", 10.0, True, 2), (1, 2, "w " * 15 + "1", 10.0, False, 2), (1, 3, "w " * 13 + "1", 10.0, False, 2)], "doc_id long, block_idx int, text string, font_size double, is_bold boolean, page int")
+    found = zones.typed_blocks(blocks)
+    assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found, "block_idx", "type") == [(0, "paragraph"), (1, "heading"), (2, "paragraph"), (3, "running_header")]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions.text import ascii_rule, lower_letters, strip, words
+from vellum.sources.corpus import written_once
 
 # Headings of contents lists, bare page numbers, and what fills the space before a page number.
 CONTENTS = r"(?i)^(?:table\s+of\s+contents|contents)$"
@@ -125,13 +126,14 @@ def typed_blocks(blocks: DataFrame, usual: float = 12.0) -> DataFrame:
     Blocks are first told apart with the usual font size, then with the document's own: the most frequent rounded size of
     its paragraphs (of equals the one that comes first), or the mean of all sizes outside title pages.
     """
-    blocks = blocks.withColumn("_s", strip(F.col("text"))).withColumn("_n", F.size(words(F.col("_s"))))
-    first = blocks.withColumn("kind", _block_kind(F.lit(usual)))
+    # Rules ask for up to 15 words, so a text isn't cut to more than 20 pieces. Three steps read the blocks.
+    blocks = blocks.withColumn("_s", strip(F.col("text"))).withColumn("_n", F.size(F.filter(F.split("_s", r"\s+", 20), lambda w: w != "")))
+    first = blocks = written_once(blocks.withColumn("kind", _block_kind(F.lit(usual))))
     sized = first.filter("font_size > 0")
     counts = sized.filter("kind = 'paragraph'").groupBy("doc_id", F.bround("font_size").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.min("block_idx").alias("at"))
     modal = counts.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("at")).alias("at"), "size")).alias("m")).select("doc_id", F.col("m.size").alias("modal"))
     mean = sized.filter("kind <> 'title_page'").groupBy("doc_id").agg(F.avg("font_size").alias("mean"))
-    rows = blocks.join(modal, "doc_id", "left").join(mean, "doc_id", "left").withColumn("modal", F.coalesce("modal", "mean", F.lit(usual)))
+    rows = blocks.drop("kind").join(modal, "doc_id", "left").join(mean, "doc_id", "left").withColumn("modal", F.coalesce("modal", "mean", F.lit(usual)))
     text, size = F.col("_s"), F.col("font_size")
     number = F.when(text.rlike(r"^\d+\.\d"), 2).when(text.rlike(r"^\d"), 1)
     level = F.coalesce(number, F.when(size >= F.col("modal") + 3, 1).when(size >= F.col("modal") + 1, 2).otherwise(3))
