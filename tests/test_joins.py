@@ -346,3 +346,41 @@ def test_typed_blocks_are_stripped_once(spark):
     found = zones.typed_blocks(blocks)
     assert "regexp_replace" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert rows(found, "block_idx", "type") == [(0, "paragraph"), (1, "heading"), (2, "paragraph"), (3, "running_header")]
+
+
+# Shingles
+
+
+def test_shingle_candidates_equal_all_pairs(spark):
+    """Near copies, a passage that most texts have, copies but for case, short texts, and several texts of one doc_id, whose shingles are one set."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    passage = " ".join(rnd.choices(words, k=60))
+    docs = [(9000, None), (None, "a b c d e f"), (9001, " "), (9002, "a b"), (9003, "a b c"), (9004, "A  b"), (9005, "a b")]
+    for i in range(40):
+        own = rnd.choices(words, k=rnd.randint(5, 90))
+        docs.append((i, " ".join(own) + (" " + passage if i % 3 else "")))
+        for j in range(rnd.randint(0, 3)):
+            near = list(own)
+            near[rnd.randrange(len(near))] = "x"
+            docs.append((100 + 10 * i + j, " ".join(near) + (" " + passage if i % 3 else "")))
+    base = " ".join(rnd.choices(words, k=50))
+    docs += [(8000, base), (8000, base + " and more of it"), (8000, base), (8001, base + " and"), (8002, base.upper())]
+    least = {}
+    for d, t in docs:
+        t = " ".join((t or "").lower().split())
+        if t and d is not None:
+            least[t] = min(d, least.get(t, d))
+    sets = {}
+    for t, d in least.items():
+        w = t.split(" ")
+        sets.setdefault(d, set()).update(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    want = []
+    for a in sets:
+        for b in sets:
+            share = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if a < b and share >= 0.8 - 1e-9:
+                want.append((a, b, round(share, 6)))
+    assert len(want) > 20 and any(8000 in w for w in want)
+    found = similarity.shingle_candidates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows(found, "a_id", "b_id", "jaccard") == sorted(want, key=repr)

@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.shipping import ship
 from vellum.functions.text import WORD, overlap_confidence, ranked, strip
 from vellum.operators.postings import WORDS_HELD, most_shared, row_squares, shared_squares, weighted_matches
 from vellum.operators.segment import sentence_chunks
+from vellum.operators.shingles import LEADS, SETS, SHINGLES_HELD, SLACK, counted_documents, distinct_shingles, leading_shingles, required
 from vellum.operators.vectors import keyed_matches
 from vellum.sources.corpus import written_once
 
@@ -217,23 +219,36 @@ def shingle_candidates(docs: DataFrame, width: int = 5, threshold: float = 0.8)
     """a_id, b_id (a_id < b_id), jaccard of texts whose sets of ``width``-word shingles reach the threshold; of texts that are
     equal but for case and white space the first stands for all.
 
-    Two such sets share one of the rarest ``size - least overlap + 1`` shingles of each, so texts meet on rare shingles
-    alone; what meets is counted in full, so there is no false pair and none is missed.
+    In any common order of shingles, two such sets share one of the first ``size - least overlap + 1`` of each, so texts meet on
+    these alone. The order has shingles last that are frequent in some of the documents; sets and leading shingles are made in
+    tasks, and only these are exchanged. A place in the order tells how much two sets can still share, which rules out most of
+    what meets; the rest is counted in full, so there is no false pair and none is missed.
     """
-    rows = docs.filter(strip(F.col("text")) != "").select("doc_id", normal_key(F.col("text")).alias("t"))
-    texts = rows.groupBy(F.sha2("t", 256).alias("k")).agg(F.min("doc_id").alias("d"), F.min("t").alias("t")).select("d", F.split("t", " ").alias("w"))
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, width), " ")))
-    shingles = texts.select("d", F.explode(F.array_distinct(pieces)).alias("s"))
-    counts = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    unit = Window.partitionBy("d")
-    placed = shingles.join(counts, "s").select("d", "s", "df", F.row_number().over(unit.orderBy("df", "s")).alias("nth"), F.count(F.lit(1)).over(unit).alias("n"))
-    leads = placed.filter((F.col("df") > 1) & (F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).select("d", "s", "n")
-    side = lambda df, x: df.select(F.col("d").alias(f"{x}_id"), "s", F.col("n").alias(f"n_{x}"))
-    fits = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    pairs = side(leads, "a").join(side(leads, "b"), "s").filter((F.col("a_id") < F.col("b_id")) & fits).select("a_id", "b_id", "n_a", "n_b").distinct()
-    both = pairs.join(shingles.select(F.col("d").alias("a_id"), "s"), "a_id").join(shingles.select(F.col("d").alias("b_id"), "s"), ["b_id", "s"])
-    found = both.groupBy("a_id", "b_id", "n_a", "n_b").agg(F.count(F.lit(1)).alias("o"))
-    return found.select("a_id", "b_id", (F.col("o") / (F.col("n_a") + F.col("n_b") - F.col("o"))).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9).withColumn("jaccard", F.round("jaccard", 6))
+    ship(docs.sparkSession)
+    rows = docs.filter(strip(F.col("text")) != "").select(F.col("doc_id").cast("long").alias("doc_id"), normal_key(F.col("text")).alias("t"))
+    hashed = rows.select("doc_id", F.sha2("t", 256).alias("k"), F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("w"))
+    sets = written_once(hashed.mapInArrow(distinct_shingles(width), SETS))
+    first = written_once(sets.groupBy("k").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null"))
+    if sets.groupBy("doc_id").count().filter("count > 1").head(1):  # texts of one doc_id are one set, a copy is none
+        sets = sets.join(first, ["k", "doc_id"], "left_semi").groupBy("doc_id").agg(F.min("k").alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+        sets = written_once(sets.select("doc_id", "k", "s"))
+        first = sets.select("k", "doc_id")
+    some = sets.filter(F.pmod(F.xxhash64("doc_id"), F.lit(counted_documents(first.count()))) == 0).select(F.explode("s").alias("s"))
+    common = some.groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(SHINGLES_HELD).toArrow().sort_by("s")
+    leads = sets.mapInArrow(leading_shingles(common["s"].to_numpy(), common["count"].to_numpy(), threshold), LEADS).join(first, ["k", "doc_id"], "left_semi")
+    leads = written_once(leads.select("doc_id", "n", F.posexplode("lead").alias("at", "s")))
+    share = required(threshold)
+    side = lambda df, x: df.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "at")])
+    shorter = leads.filter(F.col("at") <= F.col("n") - F.ceil(2 * share * F.col("n") - SLACK))  # a smaller set shares more of its own
+    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
+    still = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    able = (F.col("n_b") >= threshold * F.col("n_a") - SLACK) & (still >= share * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    pairs = side(leads, "a").join(side(shorter, "b"), "s").filter(larger & able & (F.col("doc_id_a") != F.col("doc_id_b")))
+    pairs = written_once(pairs.select("doc_id_a", "doc_id_b").distinct())
+    whole = lambda x: sets.join(first, ["k", "doc_id"], "left_semi").select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("s").alias(f"s_{x}"))
+    met = pairs.join(whole("a"), "doc_id_a").join(whole("b"), "doc_id_b")
+    shared = met.select(F.least("doc_id_a", "doc_id_b").alias("a_id"), F.greatest("doc_id_a", "doc_id_b").alias("b_id"), F.size(F.array_intersect("s_a", "s_b")).alias("o"), (F.size("s_a") + F.size("s_b")).alias("n"))
+    return shared.select("a_id", "b_id", (F.col("o") / (F.col("n") - F.col("o"))).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def word_overlap(pairs: DataFrame) -> DataFrame:
