@@ -384,3 +384,18 @@ def test_shingle_candidates_equal_all_pairs(spark):
     assert len(want) > 20 and any(8000 in w for w in want)
     found = similarity.shingle_candidates(spark.createDataFrame(docs, "doc_id long, text string"))
     assert rows(found, "a_id", "b_id", "jaccard") == sorted(want, key=repr)
+
+
+# Steps that are made once
+
+
+def generators(name, spark, sf):
+    """Expansions of documents into lines that a query's last plan still holds."""
+    from vellum import catalog
+
+    return catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Generate")
+
+
+def test_metrics_are_made_once(spark, sf):
+    """str11 compares metrics with themselves and scores both: they are four uses of one table."""
+    assert generators("str11_compare_segmentations", spark, sf) == 0

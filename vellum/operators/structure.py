@@ -205,21 +205,26 @@ def structure_metrics(docs: DataFrame, chunks: DataFrame, references: DataFrame)
     return out.select("doc_id", "n_sections", "n_paragraphs", "n_references", "has_abstract", share("w", "n_paragraphs").alias("avg_paragraph_words"), "n_titles", (F.col("single") / F.greatest(F.lit(1), F.col("n_sections"))).alias("single_share"))
 
 
-def structure_quality_score(metrics: DataFrame) -> DataFrame:
-    """doc_id, score: capped weights of the metrics, less for many short sections, few paragraphs or none."""
+def quality_score() -> Column:
+    """Capped weights of a document's metrics, less for many short sections, few paragraphs or none."""
     cap = lambda c, most, weight: F.least(F.col(c), F.lit(most)) * weight
     score = cap("n_sections", 18, 2.0) + cap("n_paragraphs", 120, 0.6) + cap("n_references", 80, 1.4) + F.when(F.col("has_abstract"), 12.0).otherwise(0.0) + cap("n_titles", 18, 1.0) + cap("avg_paragraph_words", 90.0, 0.15)
     score = score - F.when((F.col("n_sections") > 25) & (F.col("single_share") > 0.55), (F.col("n_sections") - 25) * 1.5 + F.col("single_share") * 20).otherwise(0.0)
     score = score - F.when(F.col("n_paragraphs") <= 2, 25.0).otherwise(0.0) - F.when(F.col("n_sections") == 0, 50.0).otherwise(0.0)
-    return metrics.select("doc_id", F.round(score, 4).alias("score"))
+    return F.round(score, 4)
+
+
+def structure_quality_score(metrics: DataFrame) -> DataFrame:
+    """doc_id, score of each row of metrics."""
+    return metrics.select("doc_id", quality_score().alias("score"))
 
 
 def compare_segmentations(a: DataFrame, b: DataFrame) -> DataFrame:
     """doc_id, differences of the metrics of b from a, and whether b is chosen: its quality is higher."""
     names = ("n_sections", "n_paragraphs", "n_references", "avg_paragraph_words")
-    both = a.alias("a").join(b.alias("b"), "doc_id").select("doc_id", *[F.round(F.col(f"b.{c}") - F.col(f"a.{c}"), 2).alias(f"d_{c}") for c in names])
-    scores = structure_quality_score(a).withColumnRenamed("score", "sa").join(structure_quality_score(b).withColumnRenamed("score", "sb"), "doc_id")
-    return both.join(scores, "doc_id").select("doc_id", *[f"d_{c}" for c in names], (F.col("sb") > F.col("sa")).alias("b_chosen"))
+    scored = lambda df, x: df.select("doc_id", *[F.col(c).alias(f"{x}_{c}") for c in names], quality_score().alias(f"{x}_score"))
+    both = scored(a, "a").join(scored(b, "b"), "doc_id")
+    return both.select("doc_id", *[F.round(F.col(f"b_{c}") - F.col(f"a_{c}"), 2).alias(f"d_{c}") for c in names], (F.col("b_score") > F.col("a_score")).alias("b_chosen"))
 
 
 def guideline_rules(docs: DataFrame, pattern: str, most: int = 40) -> DataFrame:

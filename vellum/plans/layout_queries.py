@@ -71,7 +71,7 @@ query(
     "str11_compare_segmentations",
     f"""WITH {METRICS}, b AS (SELECT doc_id, n_sections + 2 AS n_sections, n_paragraphs + doc_id % 5 AS n_paragraphs, n_references, avg_paragraph_words FROM metrics)
 SELECT a.doc_id, round(b.n_sections - a.n_sections, 2) AS d_n_sections, round(b.n_paragraphs - a.n_paragraphs, 2) AS d_n_paragraphs, round(b.n_references - a.n_references, 2) AS d_n_references, round(b.avg_paragraph_words - a.avg_paragraph_words, 2) AS d_avg_paragraph_words, true AS b_chosen FROM metrics a JOIN b ON a.doc_id = b.doc_id""",
-)(lambda s, d: (lambda m: structure.compare_segmentations(m, m.withColumn("n_sections", F.col("n_sections") + 2).withColumn("n_paragraphs", F.col("n_paragraphs") + F.col("doc_id") % 5)))(metrics(s, d)))
+)(lambda s, d: (lambda m: structure.compare_segmentations(m, m.withColumn("n_sections", F.col("n_sections") + 2).withColumn("n_paragraphs", F.col("n_paragraphs") + F.col("doc_id") % 5)))(corpus.written_once(metrics(s, d))))
 # A run for each paper: words of its text and of its sections, sections, references, whether it has an abstract, few paragraphs as warnings.
 RUN = "n_sections AS sections, n_references AS citations, has_abstract AS artifact, CASE WHEN n_paragraphs <= 4 THEN 5 ELSE 0 END AS warnings, avg_paragraph_words * n_paragraphs AS out_words"
 query(
