@@ -399,3 +399,8 @@ def generators(name, spark, sf):
 def test_metrics_are_made_once(spark, sf):
     """str11 compares metrics with themselves and scores both: they are four uses of one table."""
     assert generators("str11_compare_segmentations", spark, sf) == 0
+
+
+def test_page_keys_are_made_once(spark, sf):
+    """seg22 makes blocks once for sections and pages, and a key once for all that it meets."""
+    assert generators("seg22_page_ranges", spark, sf) == 0

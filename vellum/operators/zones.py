@@ -195,14 +195,16 @@ def front_matter(lines: DataFrame, most: int = 80) -> DataFrame:
 
 def page_key(text: Column, most: int = 1200) -> Column:
     """Letters, digits and single spaces of a text's start, in lower case."""
-    return F.substring(F.regexp_replace(strip(F.regexp_replace(F.lower(text), r"\s+", " ")), "[^a-z0-9 ]+", ""), 1, most)
+    spaced = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.substring(F.regexp_replace(spaced, r"[^\p{Alnum} ]+", ""), 1, most)  # ASCII; ten times as fast as ranges of letters
 
 
 def page_ranges(sections: DataFrame, blocks: DataFrame, start: int = 180) -> DataFrame:
     """doc_id, section_idx, page_start, page_end: pages of the blocks that are inside a section's text, or that hold its start."""
-    a = sections.select("doc_id", "section_idx", page_key(F.col("text")).alias("whole")).filter("whole <> ''")
-    b = blocks.select("doc_id", page_key(F.col("text")).alias("part"), "page_start", "page_end").filter("part <> '' and page_start > 0")
-    inside = F.col("whole").contains(F.col("part")) | F.col("part").contains(F.substring("whole", 1, start))
+    # Written, so that a key is made once, and not again for each filter and pair.
+    a = written_once(sections.select("doc_id", "section_idx", page_key(F.col("text")).alias("whole"))).filter("whole <> ''").withColumn("head", F.substring("whole", 1, start))
+    b = written_once(blocks.filter("page_start > 0").select("doc_id", page_key(F.col("text")).alias("part"), "page_start", "page_end")).filter("part <> ''")
+    inside = F.when(F.length("part") <= F.length("whole"), F.col("whole").contains(F.col("part"))).otherwise(False) | F.col("part").contains(F.col("head"))
     return a.join(b, "doc_id").filter(inside).groupBy("doc_id", "section_idx").agg(F.min("page_start").alias("page_start"), F.max(F.greatest("page_start", "page_end")).alias("page_end"))
 
 

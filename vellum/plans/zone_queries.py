@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.text import upper_letters
-from vellum.operators import citations, layout, zones
+from vellum.operators import citations, layout, structure, zones
 from vellum.plans.paper_queries import START, STRIP
 from vellum.plans.structure_queries import BLOCKS, CHUNKS, SPANS, blocks, chunks, spans
 from vellum.plans.text_queries import WORDS
@@ -135,12 +135,18 @@ g AS (SELECT doc_id, max(s) FILTER (line_no = author_line) AS a, arg_min(s, line
 SELECT notes.doc_id, {LISTED.format("string_split(a, ',')")} AS authors, affiliation, abstract, {LISTED.format("string_split_regex(k, '[;,]')")} AS keywords, footnotes FROM notes LEFT JOIN g ON notes.doc_id = g.doc_id""",
 )(lambda s, d: zones.front_matter(citations.lines(corpus.load_corpus(s, d).selectExpr("doc_id", f"{FRONT} AS text"))))
 
+
+def paged(b):
+    pages = b.select("doc_id", "text", (1 + F.floor(F.col("block_idx") / 3)).cast("int").alias("page_start"), ((1 + F.floor(F.col("block_idx") / 3)).cast("int") + F.col("block_idx") % 2).alias("page_end"))
+    return zones.page_ranges(structure.section_chunks(b).withColumnRenamed("chunk_idx", "section_idx"), pages)
+
+
 KEY = r"substring(regexp_replace(" + STRIP.format(r"regexp_replace(lower(text), '\s+', ' ', 'g')") + ", '[^a-z0-9 ]+', '', 'g'), 1, 1200)"
 query(
     "seg22_page_ranges",
     f"""WITH {CHUNKS}, a AS (SELECT doc_id, chunk_idx AS section_idx, {KEY} AS whole FROM chunks), b AS (SELECT doc_id, {KEY} AS part, CAST(1 + floor(block_idx / 3) AS INT) AS page_start, CAST(1 + floor(block_idx / 3) AS INT) + block_idx % 2 AS page_end FROM blocks)
 SELECT a.doc_id, section_idx, min(page_start) AS page_start, max(page_end) AS page_end FROM a JOIN b ON a.doc_id = b.doc_id WHERE whole <> '' AND part <> '' AND (contains(whole, part) OR contains(part, whole[1:180])) GROUP BY ALL""",
-)(lambda s, d: zones.page_ranges(chunks(s, d).withColumnRenamed("chunk_idx", "section_idx"), blocks(s, d).select("doc_id", "text", (1 + F.floor(F.col("block_idx") / 3)).cast("int").alias("page_start"), ((1 + F.floor(F.col("block_idx") / 3)).cast("int") + F.col("block_idx") % 2).alias("page_end"))))
+)(lambda s, d: paged(corpus.written_once(blocks(s, d))))
 query(
     "seg12_generic_sections",
     rf"""WITH {SPANS}, g AS (SELECT l.doc_id, l.line_no, l.s, length(p.text) AS total, l.line_at + length(regexp_extract(l.line, '^(\s*)', 1)) AS start, len({WORDS.format("l.s")}) AS n, k.start IS NOT NULL AS known, regexp_matches(l.s, '\p{{Lu}}') AND NOT regexp_matches(l.s, '\p{{Ll}}') AS capitals
