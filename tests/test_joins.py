@@ -404,3 +404,8 @@ def test_metrics_are_made_once(spark, sf):
 def test_page_keys_are_made_once(spark, sf):
     """seg22 makes blocks once for sections and pages, and a key once for all that it meets."""
     assert generators("seg22_page_ranges", spark, sf) == 0
+
+
+def test_bibliographies_are_made_once(spark, sf):
+    """cit13 splits lines and adds a heading; it neither finds the lists twice nor parses again for the headings."""
+    assert generators("cit13_convert_mla", spark, sf) == 2

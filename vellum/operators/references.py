@@ -194,8 +194,10 @@ def convert_bibliography(parsed: DataFrame, style: str) -> DataFrame:
         once = once.withColumn("entry", F.when(F.col("entry").rlike(r"^\[\d+\]"), F.col("entry")).otherwise(F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), "entry")))
     else:
         once = ranked(once, ["doc_id"], [F.lower(F.regexp_replace("entry", r"^[\[(]?\d+[\])]?\s*", "")), "ref_idx"], "place")
-    head = once.select("doc_id").distinct().select("doc_id", F.lit(0).alias("place"), F.lit(HEADINGS[style]).alias("entry"))
-    return once.select("doc_id", "place", "entry").union(head)
+    line = lambda place, entry: F.struct(place.cast("int").alias("place"), entry.alias("entry"))
+    own = line(F.col("place"), F.col("entry"))
+    lines = F.when(F.col("place") == 1, F.array(line(F.lit(0), F.lit(HEADINGS[style])), own)).otherwise(F.array(own))
+    return once.select("doc_id", F.explode(lines).alias("l")).select("doc_id", "l.*")
 
 
 def _surname(authors: Column) -> Column:

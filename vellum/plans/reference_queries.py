@@ -96,7 +96,8 @@ parsed AS (SELECT doc_id, ref_idx, ref_number, raw, r.authors AS authors, {", ".
 
 
 def parsed(s, d):
-    return ref.parse_references(citations.extract_references(papers.load_papers(s, d)), ref.reference_list_style(lists(s, d)))
+    found, listed = citations.references_and_lists(papers.load_papers(s, d))
+    return ref.parse_references(found, ref.reference_list_style(listed))
 
 
 query("cit11_parse_references", f"WITH {PARSED} SELECT * REPLACE (array_to_string(authors, '|') AS authors) FROM parsed")(lambda s, d: parsed(s, d).withColumn("authors", F.array_join("authors", "|")))
