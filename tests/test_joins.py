@@ -409,3 +409,8 @@ def test_page_keys_are_made_once(spark, sf):
 def test_bibliographies_are_made_once(spark, sf):
     """cit13 splits lines and adds a heading; it neither finds the lists twice nor parses again for the headings."""
     assert generators("cit13_convert_mla", spark, sf) == 2
+
+
+def test_section_features_are_made_once(spark, sf):
+    """str2 meets each section with all types, for the best and for the sum; sections aren't found again for either."""
+    assert generators("str2_section_classifier", spark, sf) <= 2

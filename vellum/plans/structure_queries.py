@@ -96,7 +96,7 @@ query(
 p AS (SELECT doc_id, section_idx, type, class, ln(n / (SELECT count(*) FROM feats)) {" ".join(f"- 0.5 * ln(2 * 3.141592653589793 * v_{c}) - ({c} - m_{c}) * ({c} - m_{c}) / (2 * v_{c})" for c in NAMES)} AS l FROM feats, k),
 t AS (SELECT *, max(l) OVER (PARTITION BY doc_id, section_idx) AS top FROM p)
 SELECT doc_id, section_idx, type, round(sum(CASE WHEN class = type THEN exp(l - top) ELSE 0 END) / sum(exp(l - top)), 3) AS posterior FROM t GROUP BY doc_id, section_idx, type""",
-)(lambda s, d: structure.section_classifier(structure.section_features(spans(s, d))))
+)(lambda s, d: structure.section_classifier(corpus.written_once(structure.section_features(spans(s, d)))))
 SETS = f"{SPANS}, sets AS (SELECT doc_id, list(DISTINCT type) AS k FROM spans GROUP BY doc_id)"
 query(
     "str3_document_type",
