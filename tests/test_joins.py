@@ -414,3 +414,8 @@ def test_bibliographies_are_made_once(spark, sf):
 def test_section_features_are_made_once(spark, sf):
     """str2 meets each section with all types, for the best and for the sum; sections aren't found again for either."""
     assert generators("str2_section_classifier", spark, sf) <= 2
+
+
+def test_parted_blocks_are_made_once(spark, sf):
+    """seg25 takes titles and parts from one table of blocks."""
+    assert generators("seg25_document_parts", spark, sf) == 0

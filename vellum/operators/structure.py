@@ -367,7 +367,8 @@ def document_parts(blocks: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("block_idx")
     rows = blocks.filter((strip(F.col("text")) != "") | (F.col("type") == "table")).join(document_title(blocks), "doc_id", "left")
     head, low = F.col("type") == "heading", F.lower(F.col("clean"))
-    rows = rows.withColumn("s", strip(F.col("text"))).withColumn("clean", clean_heading(F.col("text"))).withColumn("in_title", head & F.lower(F.coalesce("title", F.lit(""))).contains(low))
+    begin = F.lower(F.substring("s", 1, 40))  # more than any word that is asked for
+    rows = rows.withColumn("s", strip(F.col("text"))).withColumn("clean", F.when(head, clean_heading(F.col("text")))).withColumn("in_title", head & F.lower(F.coalesce("title", F.lit(""))).contains(low))
     listed = (F.col("type") == "paragraph") & F.col("s").rlike(r"^\[\d+\]\s+\S+")
     event = F.when(head & ~F.col("in_title"), F.when(low.isin(*REFERENCE_TITLES), "r").when(low == "abstract", "a").otherwise("s")).when(listed, "r")
     rows = rows.withColumn("event", event).withColumn("listed", F.coalesce(F.last(F.when(F.col("event") != "s", F.col("event")), ignorenulls=True).over(order), F.lit("")) == "r")
@@ -375,8 +376,8 @@ def document_parts(blocks: DataFrame) -> DataFrame:
     rows = rows.withColumn("state", F.last(F.when(F.col("opens"), "s").when(F.col("event") == "a", "a"), ignorenulls=True).over(order)).withColumn("section_idx", F.sum(F.coalesce(F.col("opens").cast("int"), F.lit(0))).over(order))
     part = (
         F.when(F.col("type") == "title", "title").when(F.col("in_title"), "dropped").when(head & F.col("event").isin("r", "a"), "dropped").when(F.col("listed"), "references").when(head, "heading")
-        .when(F.col("type") == "table", F.when(F.col("state") == "s", "table").otherwise("dropped")).when(F.lower("s").startswith("abstract:"), "abstract").when(F.col("s").rlike(KEYWORDS), "keywords")
-        .when(F.col("state") == "a", "abstract").when((F.col("state") == "s") & ~F.lower("s").isin(*FRONT_MATTER), "body").otherwise("dropped")
+        .when(F.col("type") == "table", F.when(F.col("state") == "s", "table").otherwise("dropped")).when(begin.startswith("abstract:"), "abstract").when(F.col("s").rlike(KEYWORDS), "keywords")
+        .when(F.col("state") == "a", "abstract").when((F.col("state") == "s") & ~begin.isin(*FRONT_MATTER), "body").otherwise("dropped")
     )
     rows = rows.withColumn("part", part)
     section = Window.partitionBy("doc_id", "section_idx")

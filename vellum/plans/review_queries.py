@@ -125,7 +125,7 @@ def parted(s, d):
 
 
 query("seg25_document_title", f"WITH {DPARTS} SELECT * FROM titles")(lambda s, d: structure.document_title(parted(s, d)))
-query("seg25_document_parts", f"WITH {DPARTS} SELECT doc_id, block_idx, CASE WHEN part IN ('heading', 'body', 'table') AND NOT filled THEN 'dropped' ELSE part END AS part, section_idx FROM fu")(lambda s, d: structure.document_parts(parted(s, d)))
+query("seg25_document_parts", f"WITH {DPARTS} SELECT doc_id, block_idx, CASE WHEN part IN ('heading', 'body', 'table') AND NOT filled THEN 'dropped' ELSE part END AS part, section_idx FROM fu")(lambda s, d: structure.document_parts(corpus.written_once(parted(s, d))))
 
 # Shingles
 query(
