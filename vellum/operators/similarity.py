@@ -12,7 +12,7 @@ from vellum.functions.text import WORD, overlap_confidence, ranked, strip
 from vellum.operators.postings import WORDS_HELD, most_shared, row_squares, shared_squares, weighted_matches
 from vellum.operators.segment import sentence_chunks
 from vellum.operators.shingles import LEADS, SETS, SHINGLES_HELD, SLACK, counted_documents, distinct_shingles, leading_shingles, required
-from vellum.operators.vectors import keyed_matches
+from vellum.operators.vectors import class_matches, classed
 from vellum.sources.corpus import written_once
 
 THRESHOLD = 0.75
@@ -91,15 +91,17 @@ def match_chunk_vectors(chunks: DataFrame, sources: DataFrame, chunk_vectors: Da
     """``match_chunks`` with vectors of one's own: pairs of which both have one are compared by it, all others by TF-IDF.
 
     ``chunk_vectors`` has (doc_id, chunk_idx, embedding), ``source_vectors`` (source_id, embedding), at most one for each; a
-    null vector is none.
+    null vector is none. Vectors aren't exchanged with their chunks: equal ones are compared once.
     """
     threshold = threshold or THRESHOLD
     key = ["doc_id", "chunk_idx"]
-    mine = chunks.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx")).join(chunk_vectors.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "embedding").filter("embedding is not null"), key)
-    theirs = source_vectors.filter("embedding is not null").select(F.col("source_id").cast("long").alias("source"), "embedding").join(sources.select(F.col("source_id").cast("long").alias("source")), "source", "left_semi")
+    known, vectors = classed(chunk_vectors.filter("embedding is not null").select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "embedding"))
+    mine = written_once(chunks.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx")).join(known, key))
+    theirs, source_classes = classed(source_vectors.filter("embedding is not null").select(F.col("source_id").cast("long").alias("source"), "embedding"))
+    theirs = written_once(theirs.join(sources.select(F.col("source_id").cast("long").alias("source")), "source", "left_semi"))
     shown = F.when(F.length("chunk") > 100, F.concat(F.substring("chunk", 1, 100), F.lit("..."))).otherwise(F.col("chunk"))
     previews = chunks.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), shown.alias("preview"))
-    dense = keyed_matches(mine, theirs, threshold).withColumn("percent", F.round(F.col("similarity") * 100, 2)).join(previews, key)
+    dense = class_matches((mine, vectors), (theirs, source_classes), threshold).withColumn("percent", F.round(F.col("similarity") * 100, 2)).join(previews, key)
     sparse = match_chunks(chunks, sources, threshold).join(mine.select(*key, F.lit(True).alias("_m")), key, "left").join(theirs.select("source", F.lit(True).alias("_t")), "source", "left")
     columns = [*key, "source", "similarity", "percent", "preview"]
     return dense.select(*columns).unionByName(sparse.filter("_m is null or _t is null").select(*columns))

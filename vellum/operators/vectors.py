@@ -100,7 +100,7 @@ def _grouped_cells(pivots: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.
     return order, unit
 
 
-def _blocks(vectors: DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+def _blocks(vectors: DataFrame, pivots: np.ndarray, least_blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, DataFrame]:
     """What ``Index`` has beside the pivots. A block is a hash share of its unit, so that no cell is one task."""
 
     def cells(batches):
@@ -116,7 +116,7 @@ def _blocks(vectors: DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndar
     radius, held = np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
     for r in placed.groupBy("cell").agg(F.max("angle").alias("angle"), F.count(F.lit(1)).alias("n")).collect():  # a row for each pivot
         radius[r.cell], held[r.cell] = r.angle, r.n
-    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * pivots.shape[1]), math.ceil(held.sum() / LEAST_BLOCKS)))
+    most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * pivots.shape[1]), math.ceil(held.sum() / least_blocks)))
     order, unit = _grouped_cells(pivots, held, most)
     n_blocks = np.ceil(np.bincount(unit, held) / most).astype(np.int64)
     starts = np.searchsorted(unit[order], np.arange(len(n_blocks)))
@@ -134,9 +134,10 @@ def _blocks(vectors: DataFrame, pivots: np.ndarray) -> tuple[np.ndarray, np.ndar
     return radius, order, starts, n_blocks, written_once(rows.mapInArrow(packed, BLOCK))
 
 
-def build_index(vectors: DataFrame) -> Index | None:
+def build_index(vectors: DataFrame, least_blocks: int = LEAST_BLOCKS) -> Index | None:
     """Index all rows of vectors (vec_id, embedding) of the longest length; others, and those with null or NaN entries, meet
-    nothing. None if there is none. Pivots are vectors of smallest hash; which they are changes the work, never the result."""
+    nothing. None if there is none. Pivots are vectors of smallest hash; which they are changes the work, never the result.
+    Each query goes to each block that it can meet, so many queries need fewer of them than ``LEAST_BLOCKS``."""
     head = vectors.agg(F.max(F.size("embedding")).alias("d"), F.count(F.lit(1)).alias("n")).first()
     if not head.n or (head.d or 0) < 1:
         return None
@@ -148,7 +149,7 @@ def build_index(vectors: DataFrame) -> Index | None:
     pivots = np.array([r.embedding for r in found], np.float64)
     norm = np.sqrt((pivots * pivots).sum(1, keepdims=True))
     pivots = pivots / np.where(norm > 0, norm, 1)
-    return Index(pivots, *_blocks(rows, pivots))
+    return Index(pivots, *_blocks(rows, pivots, min(least_blocks, LEAST_BLOCKS)))
 
 
 def block_join(queries: DataFrame, index: Index, score: Callable, schema: str, least: float | None = None, bound: str | None = None, counted: bool = False) -> DataFrame:
@@ -244,21 +245,32 @@ def vector_matches(queries: DataFrame, vectors: DataFrame, least: float) -> Data
     return block_join(_whole(queries, index.pivots.shape[1]), index, _matches(least), "a long, b long, similarity double", least)
 
 
-def keyed_matches(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """The columns of both tables but their embeddings, and similarity, of pairs of rows of two tables of keyed vectors (any
-    columns, and embedding) from ``least`` on. Their other columns have different names."""
+def classed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of keyed vectors (any columns, and embedding) with a digest (``class``) in place of their vector, and each distinct vector
+    once: class, vec_id, embedding. Equal vectors meet before they are exchanged."""
+    keyed = df.withColumn("class", F.unhex(F.sha2(F.to_json("embedding"), 256)))
+    distinct = keyed.groupBy("class").agg(F.first("embedding").alias("embedding")).withColumn("vec_id", F.monotonically_increasing_id())
+    return keyed.drop("embedding"), written_once(distinct)
 
-    def numbered(df: DataFrame) -> DataFrame:
-        return written_once(df.withColumn("vec_id", F.monotonically_increasing_id()))
 
-    left, right = numbered(a), numbered(b)
-    index = build_index(right.select("vec_id", "embedding"))
-    keys = lambda df, name: df.withColumnRenamed("vec_id", name).drop("embedding")
+def class_matches(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame], least: float) -> DataFrame:
+    """The columns of both tables and similarity of pairs of rows of two tables of classed vectors from ``least`` on. Classes are
+    compared, rows are joined to what their classes meet. Their other columns have different names."""
+    (left, mine), (right, theirs) = a, b
+    index = build_index(theirs, max(1, LEAST_BLOCKS * ROWS_EACH // max(1, mine.count())))
     if index is None:
-        pairs = a.sparkSession.createDataFrame([], "a long, b long, similarity double")
+        pairs = left.sparkSession.createDataFrame([], "a long, b long, similarity double")
     else:
-        pairs = block_join(_whole(left, index.pivots.shape[1]), index, _matches(least, False), "a long, b long, similarity double", least)
-    return pairs.withColumnsRenamed({"a": "_a", "b": "_b"}).join(keys(left, "_a"), "_a").join(keys(right, "_b"), "_b").drop("_a", "_b")
+        pairs = written_once(block_join(_whole(mine, index.pivots.shape[1]), index, _matches(least, False), "a long, b long, similarity double", least))
+    name = lambda df, x: df.select(F.col("vec_id").alias(x), F.col("class").alias(f"_{x}"))
+    pairs = pairs.join(name(mine, "a"), "a").join(name(theirs, "b"), "b").select("_a", "_b", "similarity")
+    return left.withColumnRenamed("class", "_a").join(pairs, "_a").join(right.withColumnRenamed("class", "_b"), "_b").drop("_a", "_b")
+
+
+def keyed_matches(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """The columns of both tables but their embeddings, and similarity, of pairs of rows of two tables of keyed vectors (any
+    columns, and embedding) from ``least`` on. Their other columns have different names."""
+    return class_matches(classed(a), classed(b), least)
 
 
 def nearest_vector(queries: DataFrame, vectors: DataFrame, least: float = 0.30) -> DataFrame:
