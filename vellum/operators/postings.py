@@ -1,10 +1,10 @@
 """Which pages share most words with each of many short queries: exact counts, in blocks.
 
-Pages are dealt to blocks with an inverted index each; a block comes before its queries in a task, where shared words are
-counted as sums of rows of small matrices and a query keeps its ``k`` best pages. So what is exchanged is the queries once
-for each block and ``k`` rows of each, never the pairs of a query and a page, which frequent words make nearly all pairs.
-Where blocks are few, each is sent to several tasks that share the queries, since an index is far smaller than they are. The
-counting itself is queries x pages.
+Pages are dealt to blocks with an inverted index each, by ascending page_id; the first blocks are small. Queries are exchanged
+once, to shares of up to ``QUERIES_A_SHARE``, and a share is passed by all blocks, each of them packed. It keeps each query's ``k`` best
+pages, so nothing of a pair of a query and a page is exchanged. A page of a later block has to have more words of a query than
+its ``k``-th best page, ``h``, so it has one of the ``m - h`` rarest of the query's ``m`` words: only these words' lists are
+opened, and what they list is dropped where too many of the other words are missing.
 """
 
 from __future__ import annotations
@@ -14,24 +14,27 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from vellum.functions.shipping import ship
-from vellum.functions.text import ranked
 from vellum.sources.corpus import written_once
 
 #: Pairs of a page that one task scores.
 PAIRS_EACH = 20_000
-#: Pages of a block, least number of tasks, queries and pages that are counted at a time.
-PAGES_EACH, LEAST_TASKS, QUERIES_EACH, SLICE = 16_384, 16, 2048, 1024
+#: Pages of a block and of the first one, queries of a share, most shares that are made for the sake of cores alone.
+PAGES_EACH, SLICE, QUERIES_A_SHARE, SHARES = 32_768, 1024, 1 << 20, 64
+#: Queries that are counted at a time in the first block, and in others, and listed pages that are looked at together.
+QUERIES_EACH, ROWS_EACH, LISTED = 2048, 8192, 1 << 18
 #: Words whose frequencies a task holds, queries of a task, sources of a block and of a slice, words of a product.
 WORDS_HELD, QUERIES_A_TASK, SOURCES_EACH, WIDTH, COLUMNS = 1 << 16, 50_000, 4096, 512, 4096
 #: Pairs of a row that are counted at a time.
 ROWS_COUNTED = 512
 WEIGHTED = "block int, sources array<long>, words array<binary>, starts array<binary>, places array<binary>, weights array<binary>, leads array<binary>"
-BLOCK = "block int, pages array<long>, words array<binary>, starts array<binary>, places array<binary>"
+BLOCK = "block int, body array<binary>"
+#: What a block has, in order: page ids, distinct words, how many pages list each, and their places, lists one after the other.
+PARTS = (np.int64, np.int64, np.uint32, np.uint32)
 
 
 def _hashed(words: Column) -> Column:
@@ -45,102 +48,226 @@ def _empty(blocks: DataFrame) -> list[Column]:
     return [F.array().cast(f.dataType).alias(f.name) for f in blocks.schema[1:]]
 
 
-def _blocks(pages: DataFrame, n_blocks: int) -> DataFrame:
-    """A row for each block of pages (page_id, words): page ids, ascending, and for each slice of them distinct words, where each
-    word's list begins, and places of pages in the slice."""
-    rows = pages.groupBy(F.pmod(F.xxhash64("page_id"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("page_id", "words"))).alias("rows"))
-    width = SLICE
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers as compressed differences, byte by byte; ascending ones get small."""
+    x = np.diff(x, prepend=x.dtype.type(0))
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(data[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).reshape(n), dtype=kind)
+
+
+def _bounds(pages: DataFrame, n_pages: int) -> np.ndarray:
+    """The page ids that the blocks but the first begin with, about: blocks double from SLICE up to PAGES_EACH pages."""
+    ends, size = [], SLICE
+    while (ends[-1] if ends else 0) + size < n_pages:
+        ends.append((ends[-1] if ends else 0) + size)
+        size = min(PAGES_EACH, ends[-1])
+    return np.unique(pages.approxQuantile("page_id", [e / n_pages for e in ends], max(1e-5, min(0.01, SLICE / 4 / n_pages)))) if ends else np.zeros(0)
+
+
+def _blocks(pages: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """A row for each block of pages (page_id, words)."""
+
+    def dealt(batches):
+        for batch in batches:
+            block = np.searchsorted(bounds, batch.column(0).to_numpy(), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", "page_id", "words"])
+
+    rows = pages.mapInArrow(dealt, "block int, page_id long, words array<long>").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("page_id", "words"))).alias("rows"))
 
     def packed(batches):
         for batch in batches:
             for i, rows in enumerate(batch.column(1)):
                 inner = pa.RecordBatch.from_struct_array(rows.values)
-                slices = []
-                for low in range(0, inner.num_rows, width):
-                    lists = inner.column(1).slice(low, width)
-                    lengths, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
-                    order = np.argsort(flat, kind="stable")
-                    words, starts = np.unique(flat[order], return_index=True)
-                    places = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order]
-                    slices.append((words.astype(np.int64).tobytes(), np.append(starts, len(flat)).astype(np.int64).tobytes(), places.tobytes()))
-                arrays = [pa.array([inner.column(0).to_pylist()], pa.list_(pa.int64())), *[pa.array([list(x)], pa.list_(pa.binary())) for x in zip(*slices, strict=True)]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *arrays], names=["block", "pages", "words", "starts", "places"])
+                lengths, flat = inner.column(1).value_lengths().to_numpy(zero_copy_only=False), inner.column(1).flatten().to_numpy(zero_copy_only=False)
+                order = np.argsort(flat, kind="stable")
+                words, counts = np.unique(flat[order], return_counts=True)
+                places = np.repeat(np.arange(len(lengths)), lengths)[order]
+                body = [_squeezed(x.astype(t)) for x, t in zip((inner.column(0).to_numpy(), words, counts, places), PARTS, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([body], pa.list_(pa.binary()))], names=["block", "body"])
 
     return written_once(rows.mapInArrow(packed, BLOCK))
 
 
-def _best(queries: pa.ListArray, slices: list[tuple], n_pages: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and places of each query's k best pages of a block, of equal ones the first; a count of 0 is none."""
-    lengths = queries.value_lengths().to_numpy(zero_copy_only=False)
-    n, most = len(lengths), int(lengths.max(initial=1))
-    distinct, which = np.unique(queries.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    table = np.zeros((n, most), np.int64)
-    keys = []
-    first = 0
-    for words, starts, places in slices:
-        at = np.minimum(np.searchsorted(words, distinct), len(words) - 1)
-        known = words[at] == distinct
-        table[np.arange(most) < lengths[:, None]] = np.where(known, np.cumsum(known), 0)[which]  # row 0 has no page
-        at = at[known]
-        sizes = starts[at + 1] - starts[at]
-        rows = np.repeat(np.arange(1, len(at) + 1, dtype=np.int32), sizes)
-        listed = places[np.arange(sizes.sum()) + np.repeat(starts[at] - (np.cumsum(sizes) - sizes), sizes)]
-        width = min(n_pages - first, int(places.max()) + 1)
-        has = np.zeros((len(at) + 1, width), np.uint8 if most < 256 else np.uint32)
-        has[rows, listed] = 1
-        count = has[table[:, 0]]
-        for j in range(1, most):
-            count += has[table[:, j]]
-        for _ in range(min(k, width)):
-            best = count.argmax(1)
-            keys.append(count[np.arange(n), best].astype(np.int64) * n_pages + (n_pages - 1 - first - best))
-            count[np.arange(n), best] = 0
-        first += width
-    top = -np.sort(-np.stack(keys, 1), 1)[:, :k]
-    return top // n_pages, n_pages - 1 - top % n_pages
+class _Asked:
+    """Queries of a share and each one's ``k`` best pages of the blocks that it has met, by hits and then by page id; hits of 0 are none."""
+
+    def __init__(self, words: pa.ListArray, k: int):
+        self.lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.n, self.k = len(self.lengths), k
+        self.ends = np.cumsum(self.lengths)
+        self.distinct, which = np.unique(words.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        self.which = which.astype(np.int32)
+        self.listed, self.sorted_at = np.zeros(len(self.distinct), np.int64), 0
+        self.hits, self.pages = np.zeros((self.n, k), np.int64), np.full((self.n, k), np.iinfo(np.int64).max)
+
+    def meet(self, body: list[bytes]) -> None:
+        """A block whose page ids are larger than those of all before it."""
+        ids, words, counts, places = (_unsqueezed(x, t) for x, t in zip(body, PARTS, strict=True))
+        at = np.minimum(np.searchsorted(words, self.distinct), len(words) - 1)
+        known = words[at] == self.distinct
+        counts, places, at = counts.astype(np.int64), places.astype(np.int64), np.where(known, at, -1)
+        if self.sorted_at:
+            self._sort(known, counts[at])
+            self._prune(ids, counts, places, at)
+        else:
+            self._count(ids, counts, places, at)
+            self._sort(known, counts[at])
+
+    def _sort(self, known: np.ndarray, counts: np.ndarray) -> None:
+        """Each query's words from the rarest on, by what has been listed so far. Any order gives the same result."""
+        self.listed += np.where(known, counts, 0)
+        total = int(self.listed.sum())
+        if total >= 2 * self.sorted_at or not self.sorted_at:
+            row = np.repeat(np.arange(self.n), self.lengths)
+            self.which = self.which[np.argsort(row * (int(self.listed.max(initial=0)) + 1) + self.listed[self.which], kind="stable")]
+            self.sorted_at = max(1, total)
+
+    def _count(self, ids: np.ndarray, counts: np.ndarray, places: np.ndarray, at: np.ndarray) -> None:
+        """All pages of a small block: shared words are sums of rows of a matrix."""
+        met = at[at >= 0]
+        row_of = np.zeros(len(at), np.int32)  # row 0 has no page
+        row_of[at >= 0] = np.arange(1, len(met) + 1)
+        sizes = counts[met]
+        most = int(self.lengths.max(initial=1))
+        has = np.zeros((len(met) + 1, len(ids)), np.uint8 if most < 256 else np.uint32)
+        starts = np.cumsum(counts) - counts
+        has[np.repeat(np.arange(1, len(met) + 1), sizes), places[np.arange(sizes.sum()) + np.repeat(starts[met] - (np.cumsum(sizes) - sizes), sizes)]] = 1
+        for low in range(0, self.n, QUERIES_EACH):
+            lengths = self.lengths[low : low + QUERIES_EACH]
+            n, begin = len(lengths), self.ends[low] - self.lengths[low]
+            table = np.zeros((n, int(lengths.max(initial=1))), np.int32)
+            table[np.arange(table.shape[1]) < lengths[:, None]] = row_of[self.which[begin : self.ends[low + n - 1]]]
+            count = has[table[:, 0]]
+            for j in range(1, table.shape[1]):
+                count += has[table[:, j]]
+            for j in range(min(self.k, len(ids))):
+                best = count.argmax(1)
+                hits = count[np.arange(n), best]
+                self.hits[low : low + n, j] = hits
+                self.pages[low : low + n, j] = np.where(hits > 0, ids[best], self.pages[low : low + n, j])
+                count[np.arange(n), best] = 0
+
+    def _prune(self, ids: np.ndarray, counts: np.ndarray, places: np.ndarray, at: np.ndarray) -> None:
+        starts, width = np.cumsum(counts) - counts, len(ids)
+        filed = np.repeat(np.arange(len(counts)), counts) * width + places  # ascending
+        bits = max(10, math.ceil(math.log2(8 * len(filed))))
+        slot = lambda key: (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+        table = np.zeros(1 << bits, bool)  # false where a page hasn't a word; seldom true where it hasn't
+        table[slot(filed)] = True
+        for low in range(0, self.n, ROWS_EACH):
+            lengths = self.lengths[low : low + ROWS_EACH]
+            n = len(lengths)
+            word = at[self.which[self.ends[low] - lengths[0] : self.ends[low + n - 1]]]
+            row = np.repeat(np.arange(n), lengths)[word >= 0]
+            word = word[word >= 0]
+            m = np.bincount(row, minlength=n)
+            first = np.cumsum(m) - m
+            rank = np.arange(len(word)) - first[row]
+            # If a page's first word is this one, it lacks those before it and may lack so many of those after it.
+            room = (m - self.hits[low : low + n, -1])[row] - 1 - rank
+            last = rank == m[row] - 1
+            entries = np.flatnonzero(room >= 0)
+            ends = np.cumsum(counts[word[entries]])
+            begin, found = 0, []
+            while begin < len(entries):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + LISTED, "right")))
+                part = entries[begin:end]
+                begin = end
+                sizes = counts[word[part]]
+                page = places[np.arange(sizes.sum()) + np.repeat(starts[word[part]] - (np.cumsum(sizes) - sizes), sizes)]
+                entry = np.repeat(part, sizes)
+                left = room[entry]
+                while len(page):
+                    over = last[entry]
+                    if over.any():
+                        found.append(row[entry[over]] * width + page[over])
+                        page, entry, left = page[~over], entry[~over], left[~over]
+                    entry = entry + 1
+                    left = left - ~table[slot(word[entry] * width + page)]
+                    able = left >= 0
+                    page, entry, left = page[able], entry[able], left[able]
+            if not found:
+                continue
+            pair = np.unique(np.concatenate(found))
+            of, page = np.divmod(pair, width)
+            sizes = m[of]
+            key = word[np.arange(sizes.sum()) + np.repeat(first[of] - (np.cumsum(sizes) - sizes), sizes)] * width + np.repeat(page, sizes)
+            here = filed[np.minimum(np.searchsorted(filed, key), len(filed) - 1)] == key
+            hits = np.bincount(np.repeat(np.arange(len(pair)), sizes), here, len(pair)).astype(np.int64)
+            good = hits > self.hits[low + of, -1]
+            self._merge(low + of[good], hits[good], ids[page[good]])
+
+    def _merge(self, rows: np.ndarray, hits: np.ndarray, pages: np.ndarray) -> None:
+        some, k = np.unique(rows), self.k
+        of, hits, pages = np.concatenate([np.repeat(some, k), rows]), np.concatenate([self.hits[some].ravel(), hits]), np.concatenate([self.pages[some].ravel(), pages])
+        order = np.lexsort((pages, -hits, of))
+        of, hits, pages = of[order], hits[order], pages[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        kept = place < k
+        self.hits[of[kept], place[kept]], self.pages[of[kept], place[kept]] = hits[kept], pages[kept]
+
+
+def _apart(spark: SparkSession, n: int) -> list[int]:
+    """Integers, each of which has a partition of its own among ``n`` that rows are dealt to by hash."""
+    some = spark.range(64 * n).select(F.col("id").cast("int").alias("x"))
+    found = some.groupBy(F.pmod(F.hash("x"), F.lit(n))).agg(F.min("x").alias("x")).collect()
+    return [r.x for r in found] + list(range(64 * n, 65 * n - len(found)))
 
 
 def most_shared(queries: DataFrame, pages: DataFrame, keys: list[str], k: int) -> DataFrame:
     """keys, page_id, hits, place: the k pages (page_id, words) that have most of a query's distinct words (keys, words); of equal ones the smaller page_id."""
     ship(queries.sparkSession)
     asked = written_once(queries.select(*keys, _hashed(F.col("words")).alias("words")).filter(F.size("words") > 0))
+    if asked.groupBy(*keys).count().filter("count > 1").head(1):  # queries of one key are one
+        asked = written_once(asked.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words")))
     filed = written_once(pages.select(F.col("page_id").cast("long").alias("page_id"), _hashed(F.col("words")).alias("words")).filter(F.size("words") > 0))
-    n_pages = filed.count()
-    n_blocks = max(1, math.ceil(n_pages / PAGES_EACH))
-    n_shares = math.ceil(LEAST_TASKS / n_blocks)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    n_queries, n_pages = asked.count(), filed.count()
+    n_shares = max(1, min(SHARES, queries.sparkSession.sparkContext.defaultParallelism), math.ceil(n_queries / QUERIES_A_SHARE))
+    blocks = _blocks(filed, _bounds(filed, n_pages))
     fields = [asked.schema[c] for c in keys]
-    none = lambda kept: [F.lit(None).cast(f.dataType).alias(f.name) for f in kept]
-    blocks = _blocks(filed, n_blocks)
-    wide = asked.select(each(n_blocks).alias("block"), F.pmod(F.xxhash64(*keys), F.lit(n_shares)).cast("int").alias("share"), F.lit(1).alias("kind"), *keys, F.col("words").alias("asked"), *_empty(blocks))
-    first = blocks.withColumn("asked", F.lit(None).cast("array<long>")).select("block", each(n_shares).alias("share"), F.lit(0).alias("kind"), *none(fields), "asked", *blocks.columns[1:])
-    met = wide.unionByName(first).repartition("block", "share").sortWithinPartitions("block", "share", "kind").drop("share")
-    names, types = [*keys, "page_id", "hits"], [*[to_arrow_type(f.dataType) for f in fields], pa.int64(), pa.int64()]
+    types = [to_arrow_type(f.dataType) for f in fields]
+    shares = F.array(*map(F.lit, _apart(queries.sparkSession, n_shares)))
+    mine = asked.select(F.element_at(shares, F.pmod(F.xxhash64(*keys), F.lit(n_shares)).cast("int") + 1).alias("share"), F.lit(-1).alias("block"), F.array().cast("array<binary>").alias("body"), *keys, "words")
+    theirs = blocks.select(F.explode(shares).alias("share"), "block", "body", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields], F.lit(None).cast("array<long>").alias("words"))
+    met = mine.unionByName(theirs).repartition(n_shares, "share").sortWithinPartitions("share", "block")
+    names = [*keys, "page_id", "hits", "place"]
+
+    def best(columns: list[pa.Array], asked: _Asked):
+        for low in range(0, asked.n, ROWS_EACH):
+            i, j = np.nonzero(asked.hits[low : low + ROWS_EACH])
+            i += low
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(i)).cast(t) for c, t in zip(columns, types, strict=True)], pa.array(asked.pages[i, j]), pa.array(asked.hits[i, j]), pa.array((j + 1).astype(np.int32))], names=names)
 
     def counted(batches):
-        block = ids = slices = None
+        share, parts, asked, columns = None, [], None, []
         for batch in batches:
-            of, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ends = np.append(np.flatnonzero(np.diff(of) | (kinds[1:] == 0)) + 1, len(of))
-            low = 0
-            while low < len(of):
-                if kinds[low] == 0:
-                    block, (page_ids, *packed) = of[low], [c[low] for c in batch.columns[-4:]]
-                    ids = page_ids.values.to_numpy(zero_copy_only=False)
-                    slices = [tuple(np.frombuffer(x, t) for x, t in zip(one, (np.int64, np.int64, np.int32), strict=True)) for one in zip(*[x.as_py() for x in packed], strict=True)]
-                    low += 1
+            of, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.append(np.flatnonzero((np.diff(of) != 0) | (block[1:] >= 0)) + 1, len(of))
+            for low, high in zip(np.append(0, ends[:-1]), ends, strict=True):
+                if of[low] != share:
+                    if asked:
+                        yield from best(columns, asked)
+                    share, parts, asked = of[low], [], None
+                if block[low] < 0:
+                    parts.append(pa.RecordBatch.from_arrays(batch.slice(low, high - low).columns[3:], names=[*keys, "words"]))
                     continue
-                high = min(low + QUERIES_EACH, ends[np.searchsorted(ends, low, "right")])
-                if of[low] == block:  # otherwise no page is in the block
-                    part = batch.slice(low, high - low)
-                    hits, at = _best(part.column(2 + len(keys)), slices, len(ids), k)
-                    i, j = np.nonzero(hits)
-                    columns = [part.column(2 + c).take(pa.array(i)) for c in range(len(keys))] + [pa.array(ids[at[i, j]]), pa.array(hits[i, j])]
-                    yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names=names)
-                low = high
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", page_id long, hits long"
-    return ranked(met.mapInArrow(counted, schema), keys, [F.desc("hits"), "page_id"], "place").filter(F.col("place") <= k)
+                if parts and not asked:
+                    whole = pa.Table.from_batches(parts).combine_chunks()
+                    columns = [whole.column(c).combine_chunks() for c in range(len(keys))]
+                    asked, parts = _Asked(whole.column("words").combine_chunks(), k), []
+                if asked:  # otherwise no query is in the share
+                    asked.meet(batch.column(2)[low].as_py())
+        if asked:
+            yield from best(columns, asked)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", page_id long, hits long, place int"
+    return met.mapInArrow(counted, schema)
 
 
 def _counted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
