@@ -276,19 +276,22 @@ def _counted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return distinct, counts, int((counts * counts).sum())
 
 
-def shared_squares(pairs: DataFrame, pages: DataFrame, keys: list[str], words: Callable[[Column], Column]) -> DataFrame:
-    """keys, page_id, text, dot, sa, sb, na, nb of pairs (keys, page_id, text) of a text and one of the pages (page_id, text).
+def shared_squares(texts: DataFrame, pairs: DataFrame, pages: DataFrame, keys: list[str], words: Callable[[Column], Column]) -> DataFrame:
+    """keys, page_id, text, dot, sa, sb, na, nb of pairs (keys, page_id) of one of the texts (keys, text) and one of the pages (page_id, text).
 
     With counts a of the text's and b of the page's words, dot is the sum of a * b, sa and sb are those of a * a and b * b over
     shared words, na and nb those over all. Texts and pages are exchanged as they are and meet in order: a page comes before its
-    pairs, and its words are counted once. A page of many pairs is sent to several tasks.
+    pairs, and its words are counted once. A page of many pairs is sent to several tasks. Pairs are dealt to tasks before they get
+    their texts, so that a text is exchanged to its pairs and once for each of them.
     """
     ship(pairs.sparkSession)
     paired = pairs.groupBy("page_id").agg(F.ceil(F.count(F.lit(1)) / PAIRS_EACH).cast("int").alias("n"))
     share = F.pmod(F.xxhash64(*keys), F.col("n")).cast("int").alias("share")
+    dealt = pairs.join(paired, "page_id").groupBy(*keys).agg(F.collect_list(F.struct("page_id", share)).alias("to"))
+    pairs = texts.join(dealt, keys).select(*keys, "text", F.explode("to").alias("to")).select(*keys, "to.page_id", "to.share", "text")
     fields = [pairs.schema[c] for c in keys]
     theirs = pages.join(paired, "page_id").select("page_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("share"), F.lit(0).alias("kind"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields], "text")
-    mine = pairs.join(paired, "page_id").select("page_id", share, F.lit(1).alias("kind"), *keys, "text")
+    mine = pairs.select("page_id", "share", F.lit(1).alias("kind"), *keys, "text")
     met = theirs.unionByName(mine).repartition("page_id", "share").sortWithinPartitions("page_id", "share", "kind")
     met = met.select("kind", *keys, "page_id", "text", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
     sums = ["dot", "sa", "sb", "na", "nb"]

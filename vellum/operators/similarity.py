@@ -163,7 +163,11 @@ def combined_similarity(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
     return joined.groupBy("a_id").agg((F.floor(F.max(overall) * 100 + 0.5) / 100).alias("best"))
 
 
-def candidate_pages(chunks: DataFrame, pages: DataFrame, first_chunks: int = 8, query_tokens: int = 12, k: int = 3) -> DataFrame:
+#: Chunks of a document that candidate pages are sought for.
+FIRST_CHUNKS = 8
+
+
+def candidate_pages(chunks: DataFrame, pages: DataFrame, first_chunks: int = FIRST_CHUNKS, query_tokens: int = 12, k: int = 3) -> DataFrame:
     """doc_id, chunk_idx, page_id, hits, place: the k pages that have most of the first tokens of each of a document's first
     chunks; of equal ones the smaller page_id. Counts are exact, whatever the tokens' frequency."""
     few = chunks.filter(F.col("chunk_idx") < first_chunks).select("doc_id", "chunk_idx", F.slice(tokens(F.col("chunk")), 1, query_tokens).alias("words"))
@@ -178,8 +182,8 @@ def page_scores(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """
     unit = ["doc_id", "chunk_idx"]
     candidates = written_once(candidate_pages(chunks, pages).select(*unit, "page_id"))
-    pairs = candidates.join(chunks.select(*unit, F.col("chunk").alias("text")), unit)
-    sums = shared_squares(pairs, pages.select(F.col("page_id").cast("long").alias("page_id"), "text"), unit, tokens)
+    texts = chunks.filter(F.col("chunk_idx") < FIRST_CHUNKS).select(*unit, F.col("chunk").alias("text"))  # others have no candidates
+    sums = shared_squares(texts, candidates, pages.select(F.col("page_id").cast("long").alias("page_id"), "text"), unit, tokens)
     alone = F.pow(F.log(F.lit(1.5)) + 1, F.lit(2.0))
     length = lambda whole, part: F.sqrt(F.col(part) + alone * (F.col(whole) - F.col(part)))
     score = F.round(F.col("dot") / (length("na", "sa") * length("nb", "sb")) * 100, 2) / 100
