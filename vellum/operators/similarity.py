@@ -11,11 +11,13 @@ from vellum.functions.shipping import ship
 from vellum.functions.text import WORD, overlap_confidence, ranked, strip
 from vellum.operators.postings import WORDS_HELD, most_shared, row_squares, shared_squares, weighted_matches
 from vellum.operators.segment import sentence_chunks
-from vellum.operators.shingles import LEADS, SETS, SHINGLES_HELD, SLACK, counted_documents, distinct_shingles, leading_shingles, required
+from vellum.operators.shingles import LEADS, PART_EACH, SETS, SHINGLES_HELD, UNIT_SETS, counted_documents, distinct_shingles, leading_shingles, near_members, pairs_of_units, units_of
 from vellum.operators.vectors import class_matches, classed
 from vellum.sources.corpus import written_once
 
 THRESHOLD = 0.75
+#: Rows of a document id (and its units) that are broadcast at most.
+ROWS_BROADCAST = 1 << 20
 #: More than rounding to four digits can add to a similarity.
 ROUNDING = 1e-4
 
@@ -226,35 +228,53 @@ def shingle_candidates(docs: DataFrame, width: int = 5, threshold: float = 0.8)
     equal but for case and white space the first stands for all.
 
     In any common order of shingles, two such sets share one of the first ``size - least overlap + 1`` of each, so texts meet on
-    these alone. The order has shingles last that are frequent in some of the documents; sets and leading shingles are made in
-    tasks, and only these are exchanged. A place in the order tells how much two sets can still share, which rules out most of
-    what meets; the rest is counted in full, so there is no false pair and none is missed.
+    these alone. The order has shingles last that are frequent in some of the documents. A place in the order tells how much two sets
+    can still share, which rules out most of what meets. What is left are units: texts that meet on a shingle, under the smallest
+    of them, so near copies of one text are one unit. Parities of shingles, some bits for each set, rule out most of those that meet by
+    chance. A set is made again for the texts that are left and exchanged once for each unit (a large one is cut to parts); neither sets of all texts nor pairs that aren't in the result are written or
+    exchanged. Pairs of a unit are counted in full, so there is no false pair and none is missed.
     """
     ship(docs.sparkSession)
-    rows = docs.filter(strip(F.col("text")) != "").select(F.col("doc_id").cast("long").alias("doc_id"), normal_key(F.col("text")).alias("t"))
-    hashed = rows.select("doc_id", F.sha2("t", 256).alias("k"), F.transform(F.split("t", " "), lambda w: F.xxhash64(w)).alias("w"))
-    sets = written_once(hashed.mapInArrow(distinct_shingles(width), SETS))
-    first = written_once(sets.groupBy("k").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null"))
-    if sets.groupBy("doc_id").count().filter("count > 1").head(1):  # texts of one doc_id are one set, a copy is none
-        sets = sets.join(first, ["k", "doc_id"], "left_semi").groupBy("doc_id").agg(F.min("k").alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
-        sets = written_once(sets.select("doc_id", "k", "s"))
-        first = sets.select("k", "doc_id")
-    some = sets.filter(F.pmod(F.xxhash64("doc_id"), F.lit(counted_documents(first.count()))) == 0).select(F.explode("s").alias("s"))
+    rows = docs.filter(strip(F.col("text")) != "").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashes = lambda t: F.transform(F.split(t, " "), lambda w: F.xxhash64(w))
+    keyed = lambda df: df.select("doc_id", normal_key(F.col("text")).alias("t")).select("doc_id", F.sha2("t", 256).alias("k"), hashes(F.col("t")).alias("w")).mapInArrow(distinct_shingles(width), SETS)
+    some = keyed(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(counted_documents(docs.count()))) == 0)).select(F.explode("s").alias("s"))
     common = some.groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(SHINGLES_HELD).toArrow().sort_by("s")
-    leads = sets.mapInArrow(leading_shingles(common["s"].to_numpy(), common["count"].to_numpy(), threshold), LEADS).join(first, ["k", "doc_id"], "left_semi")
-    leads = written_once(leads.select("doc_id", "n", F.posexplode("lead").alias("at", "s")))
-    share = required(threshold)
-    side = lambda df, x: df.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "at")])
-    shorter = leads.filter(F.col("at") <= F.col("n") - F.ceil(2 * share * F.col("n") - SLACK))  # a smaller set shares more of its own
-    larger = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
-    still = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    able = (F.col("n_b") >= threshold * F.col("n_a") - SLACK) & (still >= share * (F.col("n_a") + F.col("n_b")) - 1e-6)
-    pairs = side(leads, "a").join(side(shorter, "b"), "s").filter(larger & able & (F.col("doc_id_a") != F.col("doc_id_b")))
-    pairs = written_once(pairs.select("doc_id_a", "doc_id_b").distinct())
-    whole = lambda x: sets.join(first, ["k", "doc_id"], "left_semi").select(F.col("doc_id").alias(f"doc_id_{x}"), F.col("s").alias(f"s_{x}"))
-    met = pairs.join(whole("a"), "doc_id_a").join(whole("b"), "doc_id_b")
-    shared = met.select(F.least("doc_id_a", "doc_id_b").alias("a_id"), F.greatest("doc_id_a", "doc_id_b").alias("b_id"), F.size(F.array_intersect("s_a", "s_b")).alias("o"), (F.size("s_a") + F.size("s_b")).alias("n"))
-    return shared.select("a_id", "b_id", (F.col("o") / (F.col("n") - F.col("o"))).alias("jaccard")).filter(F.col("jaccard") >= threshold - 1e-9).withColumn("jaccard", F.round("jaccard", 6))
+    leading = leading_shingles(common["s"].to_numpy(), common["count"].to_numpy(), threshold)
+    leads = written_once(keyed(rows).mapInArrow(leading, LEADS))
+    first = leads.groupBy("k").agg(F.min("doc_id").alias("first_id")).filter("first_id is not null")
+    sets = None
+    if leads.groupBy("doc_id").count().filter("count > 1").head(1):  # texts of one doc_id are one set, a copy is none
+        sets = keyed(rows).join(first.withColumnRenamed("first_id", "doc_id"), ["k", "doc_id"], "left_semi").groupBy("doc_id").agg(F.min("k").alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+        sets = written_once(sets.select("doc_id", "k", "s"))
+        leads = written_once(sets.mapInArrow(leading, LEADS))
+    else:
+        copies = written_once(leads.select("k", "doc_id").join(first, "k").filter("doc_id > first_id").select("doc_id"))
+        leads = leads.filter("doc_id is not null").join(_broadcast_if_few(copies), "doc_id", "left_anti")
+    met = leads.select("doc_id", "n", F.posexplode("lead").alias("at", "s")).select("s", "doc_id", "n", "at").repartition("s").sortWithinPartitions("s")
+    members = written_once(met.mapInArrow(units_of(threshold), "unit long, doc_id long").distinct())
+
+    def units(members: DataFrame) -> DataFrame:
+        sizes = members.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / PART_EACH).cast("int").alias("parts"))
+        return _broadcast_if_few(written_once(members.join(sizes, "unit").groupBy("doc_id").agg(F.collect_list(F.struct("unit", "parts")).alias("k"))))
+
+    def placed(df: DataFrame, *columns: str) -> DataFrame:
+        parts = df.select("doc_id", *columns, F.explode("k").alias("k")).select("doc_id", *columns, "k.unit", "k.parts", F.pmod(F.xxhash64("doc_id"), F.col("k.parts")).cast("int").alias("part"))
+        parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to"))
+        return parts.select("unit", F.least("part", "to").alias("i"), F.greatest("part", "to").alias("j"), "part", "doc_id", *columns).repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+
+    marked = placed(leads.select("doc_id", "n", "bits").join(units(members), "doc_id"), "n", "bits")
+    found = units(written_once(marked.mapInArrow(near_members(threshold), "unit long, doc_id long").distinct()))
+    if sets is None:
+        sets = rows.join(found, "doc_id").select("doc_id", "k", hashes(normal_key(F.col("text"))).alias("w")).mapInArrow(distinct_shingles(width), UNIT_SETS)
+    else:
+        sets = sets.select("doc_id", "s").join(found, "doc_id")
+    pairs = placed(sets, "s").mapInArrow(pairs_of_units(threshold), "a_id long, b_id long, jaccard double")
+    return pairs.distinct().withColumn("jaccard", F.round("jaccard", 6))
+
+
+def _broadcast_if_few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= ROWS_BROADCAST else df
 
 
 def word_overlap(pairs: DataFrame) -> DataFrame:
