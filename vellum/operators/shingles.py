@@ -13,6 +13,8 @@ import pyarrow as pa
 DOCS_COUNTED, SHINGLES_HELD = 1 << 14, 1 << 20
 SETS = "doc_id long, k string, s array<long>"
 UNIT_SETS = "doc_id long, k array<struct<unit:long,parts:int>>, s array<long>"
+#: Texts that are cut to shingles together.
+ROWS_EACH = 512
 #: Pairs that are looked at together, and about as many texts of a part of a unit.
 PAIRS_EACH, PART_EACH = 1 << 20, 4096
 LEADS = "doc_id long, k string, n int, lead array<long>, bits binary"
@@ -40,7 +42,7 @@ def distinct_shingles(width: int) -> Callable:
     """Of rows (doc_id, k, hashes of words) the sorted distinct hashes of runs of ``width`` words, or of all words if there are fewer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, ROWS_EACH) for b in batches for low in range(0, b.num_rows, ROWS_EACH)):
             words, starts = _parts(batch.column(2))
             words = words.view(np.uint64)
             found = []

@@ -237,15 +237,16 @@ def shingle_candidates(docs: DataFrame, width: int = 5, threshold: float = 0.8)
     ship(docs.sparkSession)
     rows = docs.filter(strip(F.col("text")) != "").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashes = lambda t: F.transform(F.split(t, " "), lambda w: F.xxhash64(w))
-    keyed = lambda df: df.select("doc_id", normal_key(F.col("text")).alias("t")).select("doc_id", F.sha2("t", 256).alias("k"), hashes(F.col("t")).alias("w")).mapInArrow(distinct_shingles(width), SETS)
-    some = keyed(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(counted_documents(docs.count()))) == 0)).select(F.explode("s").alias("s"))
+    keyed = lambda df: df.select("doc_id", normal_key(F.col("text")).alias("t")).select("doc_id", F.sha2("t", 256).alias("k"), hashes(F.col("t")).alias("w"))
+    distinct = distinct_shingles(width)
+    some = keyed(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(counted_documents(docs.count()))) == 0)).mapInArrow(distinct, SETS).select(F.explode("s").alias("s"))
     common = some.groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(SHINGLES_HELD).toArrow().sort_by("s")
     leading = leading_shingles(common["s"].to_numpy(), common["count"].to_numpy(), threshold)
-    leads = written_once(keyed(rows).mapInArrow(leading, LEADS))
+    leads = written_once(keyed(rows).mapInArrow(lambda batches: leading(distinct(batches)), LEADS))
     first = leads.groupBy("k").agg(F.min("doc_id").alias("first_id")).filter("first_id is not null")
     sets = None
     if leads.groupBy("doc_id").count().filter("count > 1").head(1):  # texts of one doc_id are one set, a copy is none
-        sets = keyed(rows).join(first.withColumnRenamed("first_id", "doc_id"), ["k", "doc_id"], "left_semi").groupBy("doc_id").agg(F.min("k").alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+        sets = keyed(rows).mapInArrow(distinct, SETS).join(first.withColumnRenamed("first_id", "doc_id"), ["k", "doc_id"], "left_semi").groupBy("doc_id").agg(F.min("k").alias("k"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
         sets = written_once(sets.select("doc_id", "k", "s"))
         leads = written_once(sets.mapInArrow(leading, LEADS))
     else:
@@ -266,7 +267,7 @@ def shingle_candidates(docs: DataFrame, width: int = 5, threshold: float = 0.8)
     marked = placed(leads.select("doc_id", "n", "bits").join(units(members), "doc_id"), "n", "bits")
     found = units(written_once(marked.mapInArrow(near_members(threshold), "unit long, doc_id long").distinct()))
     if sets is None:
-        sets = rows.join(found, "doc_id").select("doc_id", "k", hashes(normal_key(F.col("text"))).alias("w")).mapInArrow(distinct_shingles(width), UNIT_SETS)
+        sets = rows.join(found, "doc_id").select("doc_id", "k", hashes(normal_key(F.col("text"))).alias("w")).mapInArrow(distinct, UNIT_SETS)
     else:
         sets = sets.select("doc_id", "s").join(found, "doc_id")
     pairs = placed(sets, "s").mapInArrow(pairs_of_units(threshold), "a_id long, b_id long, jaccard double")
